@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ship
-from . import language_id, quality, url_filter
+from . import language_id, quality, simhash, substring, url_filter
 from .common import table
 
 
@@ -26,12 +27,26 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = simhash.components_within(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", simhash.hex64(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def op8_substring_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
     "op3_quality_crf": op3_quality_crf,
+    "op5_simhash_golay": op5_simhash_golay,
+    "op8_substring_rlz": op8_substring_rlz,
 }
 
 SQL = {
     "op1_url_filter": url_filter.filter_sql(),
+    "op8_substring_rlz": substring.DIGEST_SQL,
 }
