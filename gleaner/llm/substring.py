@@ -47,7 +47,7 @@ MIX_A = 0xFF51AFD7ED558CCD
 MIX_B = 0xC4CEB9FE1A85EC53
 MASK = (1 << 64) - 1
 
-ENTRY = "part int, entry binary, kid long, dg long, spans binary"
+ENTRY = "part int, entry binary, bucket int, spans binary"
 SPAN = np.dtype([("at", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("ref_at", "<i4")])
 RUN = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1")])
 KEY = np.dtype([("kid", "<i8"), ("dg", "<i8")])
@@ -276,6 +276,25 @@ def settle(entries: list[bytes]) -> list[tuple[int, int, bytes]]:
     return spans_by_doc(doc[later], place[later], doc[head[later]], place[head[later]], pairs)
 
 
+def pack_spans(found: list[tuple[int, int, bytes]], parts: int) -> list[tuple[int, bytes]]:
+    """Spans of many documents as one record for each bucket of documents."""
+    by: dict[int, list[tuple[int, int, bytes]]] = {}
+    for row in found:
+        by.setdefault((row[0] ^ row[1]) % parts, []).append(row)
+    return [
+        (b, b"".join([np.array([len(rows)], "<i8").tobytes(), np.array([(k, d, len(s)) for k, d, s in rows], "<i8").tobytes(), *(s for _, _, s in rows)]))
+        for b, rows in sorted(by.items())
+    ]
+
+
+def unpack_spans(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    at = 8 + 24 * n
+    for kid, dg, size in np.frombuffer(raw, "<i8", 3 * n, 8).reshape(-1, 3).tolist():
+        yield kid, dg, raw[at : at + size]
+        at += size
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds ``_kid`` (null ids last) and ``_dg``, which together name a document."""
     text = F.col(text_col).cast("string")
@@ -288,12 +307,12 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _schema():
-    return pa.schema([("part", pa.int32()), ("entry", pa.binary()), ("kid", pa.int64()), ("dg", pa.int64()), ("spans", pa.binary())])
+def _batch(*columns: tuple[str, pa.DataType, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, kind) for _, kind, values in columns], names=[name for name, _, _ in columns])
 
 
 def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col="text") -> DataFrame:
-    """Settled spans: kid, dg, spans (packed ``SPAN`` records), several rows a document."""
+    """Settled spans, one row for each document that has any: kid, dg, spans (packed ``SPAN`` records)."""
     parts = shuffle_width(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,33 +324,48 @@ def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col=
 
         for block in segments(rows(), window):
             settled, entries = index_block(block, window, parts)
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in entries], pa.int32()), pa.array([e for _, e in entries], pa.binary()), pa.nulls(len(entries), pa.int64()), pa.nulls(len(entries), pa.int64()), pa.nulls(len(entries), pa.binary())], schema=_schema())
-            if settled:
-                part = [(k ^ d) % parts for k, d, _ in settled]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.nulls(len(settled), pa.binary()), *(pa.array([s[k] for s in settled], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary())))], schema=_schema())
+            known = pack_spans(settled, parts)
+            none = [None] * len(known), [None] * len(entries)
+            yield _batch(
+                ("part", pa.int32(), [p for p, _ in entries] + [b for b, _ in known]),
+                ("entry", pa.binary(), [e for _, e in entries] + none[0]),
+                ("bucket", pa.int32(), none[1] + [b for b, _ in known]),
+                ("spans", pa.binary(), none[1] + [s for _, s in known]),
+            )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             entry = batch.column("entry")
-            through = batch.filter(entry.is_null()).select(["kid", "dg", "spans"])
+            through = batch.filter(entry.is_null()).select(["bucket", "spans"])
             if through.num_rows:
                 yield through
             for p, e in zip(batch.column("part").to_pylist(), entry.to_pylist(), strict=True):
                 if e is not None:
                     held.setdefault(p, []).append(e)
         for p in list(held):
-            found = settle(held.pop(p))
-            for at in range(0, len(found), 10_000):
-                yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found[at : at + 10_000]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["kid", "dg", "spans"])
+            known = pack_spans(settle(held.pop(p)), parts)
+            yield _batch(("bucket", pa.int32(), [b for b, _ in known]), ("spans", pa.binary(), [s for _, s in known]))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by: dict[tuple[int, int], list[bytes]] = {}
+        for batch in batches:
+            for raw in batch.column("spans").to_pylist():
+                for kid, dg, own in unpack_spans(raw):
+                    by.setdefault((kid, dg), []).append(own)
+        keys = list(by)
+        for at in range(0, len(keys), 2_000):
+            some = keys[at : at + 2_000]
+            yield _batch(("kid", pa.int64(), [k for k, _ in some]), ("dg", pa.int64(), [d for _, d in some]), ("spans", pa.binary(), [b"".join(by[k]) for k in some]))
 
     keyed = _keyed(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), "_i", "_t").select("_kid", "_dg", "_raw")
-    return keyed.mapInArrow(index, ENTRY).repartitionById(parts, F.col("part")).mapInArrow(meet, "kid long, dg long, spans binary")
+    met = keyed.mapInArrow(index, ENTRY).repartitionById(parts, F.col("part")).mapInArrow(meet, "bucket int, spans binary")
+    return met.repartitionById(parts, F.col("bucket")).mapInArrow(gather, "kid long, dg long, spans binary")
 
 
-def removal_mask(n: int, spans: Iterable[bytes], window: int) -> np.ndarray | None:
+def removal_mask(n: int, spans: bytes, window: int) -> np.ndarray | None:
     """Which of ``n`` words a settled window covers; None: none."""
-    found = np.frombuffer(b"".join(spans), SPAN)
+    found = np.frombuffer(spans, SPAN)
     if not len(found):
         return None
     turn = np.zeros(n + 1, np.int64)
@@ -365,7 +399,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_
     ``kept``: the words that stay, joined by one space, or with their own white
     space where ``joined`` is False.
     """
-    spans = find_spans(docs, window, id_col, text_col).groupBy("kid", "dg").agg(F.collect_list("spans").alias("_spans"))
+    spans = find_spans(docs, window, id_col, text_col).withColumnRenamed("spans", "_spans")
 
     @F.pandas_udf("n_words long, n_removed long, kept string")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -373,7 +407,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_
             rows = []
             for raw, own in zip(raws, all_spans, strict=True):
                 words = raw.split()
-                gone = removal_mask(len(words), own, window) if own is not None and len(own) else None
+                gone = removal_mask(len(words), own, window) if own else None
                 lost = 0 if gone is None else int(gone.sum())
                 if joined:
                     kept = b" ".join(words if gone is None else [w for w, g in zip(words, gone.tolist(), strict=True) if not g])
