@@ -1,30 +1,67 @@
-"""The corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, packing.
+
+Every stage takes ``(spark, docs, sf_dir)``; all but the last return the
+columns of ``documents``, and each works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleaner.llm import quality
-from gleaner.llm.common import table
+from gleaner.llm import decontaminate, packing, quality, simhash, substring
+from gleaner.llm.common import materialize, table
 from gleaner.session import ship
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the line model does not reject."""
     ship(spark)
-    model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, model)
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the smallest id of every class of near-duplicates."""
+    ship(spark)
+    return simhash.drop_near_duplicates(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut words that stand in an earlier window of twenty; the other words keep their white space."""
+    ship(spark)
+    out = substring.remove_repeats(docs, joined=False)
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return out.withColumns({"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the documents that leak no benchmark item."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A place in a packed sequence for every piece of every document."""
+    ship(spark)
+    return packing.pack(docs)
 
 
 STAGES = [
     ("quality classifier", drop_low_quality),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("substring dedup", cut_repeated_passages),
+    ("benchmark decontamination", drop_benchmark_leaks),
+    ("best-fit packing", pack_sequences),
 ]
 
+#: SQL has neither the model nor the fingerprints; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; each stage's rows are written once, as a cluster would hand them on."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k}")
     return docs
