@@ -36,69 +36,118 @@ K = 20
 #: Vectors of a block and queries of a block.
 BLOCK = 16_384
 QUERIES = 1_024
-#: Directions, share of them that must collide, least half-width in deviations, widening.
-DIRECTIONS = 96
+#: Directions, share of them that must collide, least half-width in deviations, widening, cells of a sorted array.
+DIRECTIONS = 160
 THRESHOLD = 0.65
-FIRST = 0.1
-WIDEN = 1.1
-#: Windows stop widening when this share of a block (and 5 k vectors) collide often enough.
-VERIFIED = 0.25
+FIRST = 0.9
+WIDEN = 1.05
+CELLS = 128
+#: Windows stop widening when this share of a block, and 20 k vectors, collide often enough.
+VERIFIED = 0.12
+#: Queries that are counted together.
+TOGETHER = 64
 
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
+def counted(planes: list[np.ndarray]) -> list[np.ndarray]:
+    """Column sums of bit vectors, as bit planes from the lowest: full adders until one plane a weight is left."""
+    levels, out = [list(planes)], []
+    while levels:
+        level, above = levels.pop(), []
+        while len(level) > 1:
+            if len(level) == 2:
+                x, y = level.pop(), level.pop()
+                above.append(x & y)
+                level.append(x ^ y)
+            else:
+                x, y, z = level.pop(), level.pop(), level.pop()
+                half = x ^ y
+                above.append((x & y) | (half & z))
+                level.insert(0, half ^ z)
+        out.append(level[0])
+        if above:
+            levels.append(above)
+    return out
+
+
+def at_least(planes: list[np.ndarray], bound: int) -> np.ndarray:
+    """Where the number in the bit planes is ``bound`` or more."""
+    more, same = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+    for k in reversed(range(max(len(planes), bound.bit_length()))):
+        p = planes[k] if k < len(planes) else np.zeros_like(more)
+        if bound >> k & 1:
+            same = same & p
+        else:
+            more = more | (same & p)
+            same = same & ~p
+    return more | same
+
+
 class CollisionIndex:
-    """Sorted single projections of one block of vectors."""
+    """Sorted single projections of one block of vectors.
+
+    Each sorted array is cut into ``CELLS`` cells; which vectors lie before a
+    cell is kept as a bit vector, so those inside a window are the difference of
+    two, and all collisions of a query are counted bitwise at once.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float, directions: int = DIRECTIONS, seed: int = 7):
         self.ids, self.vectors, self.longest = ids, vectors, longest
-        dim = vectors.shape[1]
+        n, dim = vectors.shape
         self.axes = np.random.default_rng(seed).standard_normal((directions, dim + 1)).astype(np.float32)
         x = (vectors / longest).astype(np.float32)
         rest = np.sqrt(np.maximum(0, 1 - (x.astype(np.float64) ** 2).sum(axis=1))).astype(np.float32)
         spots = self.axes @ np.hstack([x, rest[:, None]]).T
-        self.order = np.argsort(spots, axis=1).astype(np.int32)
-        self.sorted = np.take_along_axis(spots, self.order, axis=1)
-        self.first = FIRST
-        # Where a few vectors of the block itself would stop: windows open a little narrower than the least of these.
-        trial = self.axes[:, :-1] @ (x[:: max(1, len(x) // 8)] / np.maximum(1e-12, np.linalg.norm(x[:: max(1, len(x) // 8)], axis=1, keepdims=True))).T
-        self.first = max(FIRST, min(self.candidates(s, int(VERIFIED * len(ids)))[1] for s in trial.T) / WIDEN**2)
-
-    def candidates(self, spot: np.ndarray, wanted: int) -> tuple[np.ndarray, float]:
-        """Places of the vectors that collide with ``spot`` often enough, at least ``wanted`` if there are so many, and the half-width."""
-        n, m = len(self.ids), len(spot)
-        need = int(np.ceil(THRESHOLD * m))
-        hits = np.zeros(n, np.int64)
-        lo = np.array([np.searchsorted(row, s) for row, s in zip(self.sorted, spot, strict=True)])
-        hi = lo.copy()
-        half = self.first
-        while True:
-            fresh = []
-            for j in range(m):
-                row = self.sorted[j]
-                a, b = np.searchsorted(row, (spot[j] - half, spot[j] + half))
-                fresh += [self.order[j, a : lo[j]], self.order[j, hi[j] : b]]
-                lo[j], hi[j] = min(a, lo[j]), max(b, hi[j])
-            hits += np.bincount(np.concatenate(fresh), minlength=n)
-            found = np.flatnonzero(hits >= need)
-            if len(found) >= min(wanted, n):
-                return found, half
-            half *= WIDEN
+        order = np.argsort(spots, axis=1)
+        self.sorted = np.take_along_axis(spots, order, axis=1)
+        words = (n + 63) // 64
+        self.before = np.zeros((directions, CELLS + 1, words), np.uint64)
+        edges = np.arange(CELLS + 1)[:, None]
+        cell = np.empty(n, np.int64)
+        for j in range(directions):
+            cell[order[j]] = np.arange(n) * CELLS // n
+            packed = np.packbits(cell[None, :] < edges, axis=1, bitorder="little")
+            self.before[j].view(np.uint8)[:, : packed.shape[1]] = packed
+
+    def inside(self, spots: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """Bit vectors, one a query, of the vectors that collide often enough within the half-widths."""
+        n, m = len(self.ids), len(self.axes)
+        planes = []
+        for j in range(m):
+            lo = np.searchsorted(self.sorted[j], spots[:, j] - half) * CELLS // n
+            hi = -(-np.searchsorted(self.sorted[j], spots[:, j] + half, side="right") * CELLS // n)
+            planes.append(self.before[j, hi] ^ self.before[j, lo])
+        return at_least(counted(planes), int(np.ceil(THRESHOLD * m)))
+
+    def candidates(self, spots: np.ndarray, wanted: int) -> np.ndarray:
+        """Boolean (query, vector): collides often enough; windows widen until ``wanted`` do, or all."""
+        n = len(self.ids)
+        out = np.zeros((len(spots), len(self.before[0, 0])), np.uint64)
+        open_, half = np.arange(len(spots)), np.full(len(spots), FIRST, np.float32)
+        while len(open_):
+            found = self.inside(spots[open_], half[open_])
+            out[open_] = found
+            open_ = open_[np.bitwise_count(found).sum(axis=1) < min(wanted, n)]
+            half[open_] *= WIDEN
+        return np.unpackbits(out.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         spots = np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32) @ self.axes.T
-        wanted = max(5 * k, int(VERIFIED * len(self.ids)))
-        for q, vector, spot in zip(query_ids, queries, spots, strict=True):
-            found = self.candidates(spot, wanted)[0]
-            found = found[self.ids[found] != q]
-            score = self.vectors[found] @ vector
-            if len(found) > 4 * k:  # all that may reach rank k, ties included
-                least = np.partition(score, len(score) - k)[len(score) - k]
-                keep = score >= least
-                found, score = found[keep], score[keep]
-            best = np.lexsort((self.ids[found], -score))[:k]
-            yield int(q), self.ids[found][best], score[best]
+        wanted = max(20 * k, int(VERIFIED * len(self.ids)))
+        for at in range(0, len(queries), TOGETHER):
+            some = self.candidates(spots[at : at + TOGETHER], wanted)
+            for q, vector, hit in zip(query_ids[at:], queries[at:], some, strict=False):
+                found = np.flatnonzero(hit)
+                found = found[self.ids[found] != q]
+                score = self.vectors[found] @ vector
+                if len(found) > 4 * k:  # all that may reach rank k, ties included
+                    least = np.partition(score, len(score) - k)[len(score) - k]
+                    keep = score >= least
+                    found, score = found[keep], score[keep]
+                best = np.lexsort((self.ids[found], -score))[:k]
+                yield int(q), self.ids[found][best], score[best]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
