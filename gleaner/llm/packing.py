@@ -215,9 +215,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
         for batch in batches:
             rows = []
             ids = batch.column(0).to_pylist()
-            for k in range(batch.num_rows):
-                raw = batch.column(1)[k].as_py()
-                coded = np.concatenate([words.ids(raw), end])
+            for k, own_ids in enumerate(words.ids_many(x.as_py() for x in batch.column(1))):
+                coded = np.concatenate([own_ids, end])
                 for piece, at in enumerate(range(0, len(coded), capacity)):
                     own = coded[at : at + capacity]
                     rows.append((ids[k], piece, at, len(own), crc32(own.tobytes()), part, int(seen[len(own)])))

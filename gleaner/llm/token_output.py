@@ -114,8 +114,8 @@ def pack_sequences(docs: DataFrame, path: str | None = None, width: int = WIDTH,
         held, size = [], 0
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for k in range(batch.num_rows):
-                coded = np.concatenate([words.ids(batch.column(1)[k].as_py()), end])
+            for k, own_ids in enumerate(words.ids_many(x.as_py() for x in batch.column(1))):
+                coded = np.concatenate([own_ids, end])
                 for piece, at in enumerate(range(0, len(coded), width)):
                     own = coded[at : at + width]
                     held.append((doc_ids[k], piece, at, own))
