@@ -51,7 +51,7 @@ def answer_from_markdown(text: Column, evidence: Column) -> Column:
 
 def json_in_text(text: Column) -> Column:
     """The text if it is JSON, else the first fenced block that is; null: none."""
-    blocks = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)```"), F.lit(1)), lambda b: F.trim(b))
+    blocks = F.transform(F.regexp_extract_all(text, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)```"), F.lit(1)), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
     good = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull() & b.rlike(r"^\s*[{\[]"))
     return F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.get(good, 0))
 

@@ -39,7 +39,7 @@ def corpus_hits(requests: DataFrame, corpus: DataFrame, k: int = 5) -> DataFrame
     ranked = rows.withColumn("_r", F.row_number().over(w)).filter(F.col("query_vector").isNull() | (F.col("_r") <= k))
     piece = F.struct(F.col("content").alias("text"), provenance(F.col("source_url"), iso_utc(F.col("scrape_timestamp")), F.col("page_title"), F.col("section_heading")).alias("provenance"))
     one = ranked.groupBy("request_id", "url").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", piece.alias("e")))), lambda x: x["e"]).alias("evidence"),  # the chunks of one URL
+        F.transform(F.array_sort(F.collect_list(F.struct("_r", piece.alias("e"))), lambda a, b: a["_r"] - b["_r"]), lambda x: x["e"]).alias("evidence"),  # the chunks of one URL
         F.min_by(provenance(F.col("url"), iso_utc(F.col("scrape_timestamp")), F.col("page_title")), "_r").alias("provenance"),
     )
     return one.select("request_id", "url", F.lit(True).alias("found_in_corpus"), F.lit("corpus").alias("source_used"), F.lit("ok").alias("status"), F.lit(None).cast("string").alias("reason"), "provenance", "evidence", F.lit("corpus_hit").alias("event_outcome"))

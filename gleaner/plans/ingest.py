@@ -1,6 +1,7 @@
-"""The whole chain as one plan: fetched pages to a stored corpus, statuses and events.
+"""The whole chain: fetched pages to a stored corpus, statuses and events.
 
-Every step is ``DataFrame -> DataFrame``; what a step cannot use leaves it with
+Stripped content and validated results, which several steps read, are written
+once; otherwise every step is ``DataFrame -> DataFrame``; what a step cannot use leaves it with
 a status and never reaches the costlier ones behind it.
 """
 
@@ -16,6 +17,7 @@ from ..config import CorpusSettings, ExtractorSettings, RetrySettings
 from ..functions.html import content_type
 from ..operators import chunk, embed, events, extract, fetch, frontier, strip, validate
 from ..schemas import SECTION
+from ..session import settled
 
 
 @dataclass
@@ -58,12 +60,12 @@ def ingest(
     """Run the chain over fetch results; without writing, nothing is chunked or embedded and nothing repaired."""
     settings, corpus = settings or ExtractorSettings(), corpus or CorpusSettings()
     now = F.current_timestamp() if scrape_timestamp is None else scrape_timestamp
-    ready = _content(fetched, strict_compat)
+    ready = settled(_content(fetched, strict_compat), "content")
     ok = F.col("outcome") == "success"
     usable = ok & (F.col("content").isNotNull() | F.col("kind").isin("html") & F.col("html").isNotNull() | F.col("raw").isNotNull())
     inputs = ready.filter(usable).select(F.col("url").alias("source_url"), now.alias("scrape_timestamp"), "page_title", F.col("kind").alias("content_type"), F.coalesce("content", F.lit("")).alias("content"))
     results = extract.extract(inputs, extractor, settings.parse_retry)
-    checked = validate.validate(results, extractor, settings.min_confidence, settings.repair_budget, not write_to_corpus, settings.parse_retry)
+    checked = settled(validate.validate(results, extractor, settings.min_confidence, settings.repair_budget, not write_to_corpus, settings.parse_retry), "validated")
 
     early = ready.filter(~usable).select(
         "url",
@@ -78,16 +80,14 @@ def ingest(
     pieces = chunk.chunk_results(good, corpus.max_chunk_chars, now)
     if write_to_corpus:
         made = pieces.withColumn("embedding", embed.embed(F.col("content"), embedder or embed.load_embedder(corpus), corpus.batch_size))
-        count = F.aggregate(F.transform("sections", lambda s: F.lit(1)), F.lit(0), lambda a, x: a + x)
     else:
         made = pieces.withColumn("embedding", F.lit(None).cast("array<float>")).limit(0)
-        count = F.lit(0)
     stored = good.select(
         F.col("source_url").alias("url"), F.lit("stored").alias("status"), F.lit(None).cast("string").alias("reason"), F.lit("success").alias("fetch_outcome"),
-        count.alias("stored_chunks"), F.lit(write_to_corpus).alias("written"), *nothing,
+        F.lit(0).alias("stored_chunks"), F.lit(write_to_corpus).alias("written"), *nothing,
     )
     if write_to_corpus:
-        sizes = made.groupBy(F.col("source_url").alias("url")).agg(F.count("*").cast("int").alias("_n"))
+        sizes = pieces.groupBy(F.col("source_url").alias("url")).agg(F.count("*").cast("int").alias("_n"))
         stored = stored.join(sizes, "url", "left").withColumn("stored_chunks", F.coalesce("_n", F.lit(0))).drop("_n")
     bad = checked.filter("not is_valid").select(
         F.col("source_url").alias("url"), F.lit("flagged").alias("status"), F.concat(F.lit("validation failed: "), F.size("errors").cast("string"), F.lit(" errors, repair budget exhausted")).alias("reason"), F.lit("success").alias("fetch_outcome"),
@@ -113,10 +113,14 @@ def run_batch(queue: DataFrame, urls: DataFrame, fetcher, now: Column, retry: Re
     """
     retry = retry or RetrySettings()
     full = frontier.recover_interrupted(frontier.add_urls(queue, urls, now), now)
+    full = settled(full, "frontier")
     due = frontier.pending_due(full, now).select("url")
     working = frontier.mark_processing(full, due, now)
     done = ingest(fetcher(due), scrape_timestamp=now, **options)
+    done.outcomes = settled(done.outcomes, "outcomes")
+    done.events = lifecycle_events(fetcher(due), done.outcomes, now)
     after = frontier.apply_outcomes(working, done.outcomes.select("url", "status", "reason"), now, retry.max_attempts, retry.backoff_seconds)
+    after = settled(after, "frontier")
     moved = after.join(due, "url", "left_semi")
     log = events.event(moved, "batch_url_state", F.col("url"), F.col("state"), F.col("reason"), now, attempts=F.col("attempts"))
     return after, done, done.events.unionByName(log)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -46,3 +47,21 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(path)
         context._gleaner_shipped = context.applicationId
     return spark
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the folder of ``spark.checkpoint.dir`` and read back.
+
+    Costly steps with several readers run once, and lineage does not grow from
+    pass to pass.  Without such a folder one of our own is made.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="gleaner-")
+        if not held.isDefined():
+            spark.sparkContext.setCheckpointDir(folder)
+    path = f"{folder}/gleaner/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
