@@ -7,8 +7,11 @@ cut lineage goes to a Parquet table in the folder named by
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +73,16 @@ def sample_key(doc_id: Column) -> Column:
 def empty_like(df: DataFrame, schema: str) -> DataFrame:
     """An empty DataFrame of ``schema`` in the session of ``df``."""
     return df.sparkSession.createDataFrame([], schema)
+
+
+def tidy(made: Iterator) -> Iterator:
+    """Pass ``made`` on and hand freed memory back to the system at the end: workers live on between tasks."""
+    import pyarrow as pa
+
+    yield from made
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):  # another C library: nothing to do
+        pass

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokenizer
-from .common import materialize
+from .common import materialize, tidy
 
 
 CAPACITY = 4096
@@ -170,9 +170,9 @@ def cover(demand: np.ndarray, capacity: int, rate: float) -> Plan:
                         tally[key] = tally.get(key, 0) + step
                         for k, a in content.items():
                             left[k] -= a * step
-    # Round: either all of x stays, or only the configurations without room, the others being packed with the rest.
+    # Round: all of x stays, or only the configurations with little or no room, the others being packed with the rest.
     plans = []
-    for most_room in (capacity, 0):
+    for most_room in (capacity, capacity // 100, 0):
         plan, rest = Plan(capacity), left.copy()
         for key, count in tally.items():
             if capacity - sum(k * a for k, a in key) <= most_room:
@@ -208,6 +208,9 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
     """Every piece with its place among the pieces of its length in its partition."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(cut_up(batches))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer.load(path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)

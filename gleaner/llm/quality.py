@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, sample_key
+from .common import held_out, sample_key, tidy
 
 #: Classes of bytes: lower, upper, digit, space, stop, comma, shout, pipe, symbol, other mark, not ASCII, newline.
 GROUPS = [
@@ -266,6 +266,9 @@ def _scorer(spark, model: LineModel):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(scored(batches))
+
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             done, held, weight = [], [], 0
             for t in texts:

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, tidy
 from .components import components
 
 SEED = 42
@@ -151,8 +151,7 @@ def fingerprints(docs: DataFrame, size: int = 3, id_col="doc_id", text_col="text
 
     @F.pandas_udf("long")
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for raws in batches:
-            yield pd.Series([fingerprint(r, size) for r in raws], dtype="int64")
+        yield from tidy(pd.Series([fingerprint(r, size) for r in raws], dtype="int64") for raws in batches)
 
     return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col).cast("string").cast("binary")).alias("fp"))
 
@@ -268,6 +267,9 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
 
     @F.pandas_udf("w array<long>, keys array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(sketched(batches))
+
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for raws in batches:
             w, keys = [], []
             for at in range(0, len(raws), 256):

@@ -33,7 +33,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .common import shuffle_width, tidy
 
 WINDOW = 20
 GROUP = 6
@@ -316,6 +316,9 @@ def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col=
     parts = shuffle_width(docs.sparkSession)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(indexed(batches))
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
             for batch in batches:
                 kid, dg, raw = batch.columns
@@ -334,6 +337,9 @@ def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col=
             )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(met_of(batches))
+
+    def met_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[bytes]] = {}
         for batch in batches:
             entry = batch.column("entry")
@@ -348,6 +354,9 @@ def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col=
             yield _batch(("bucket", pa.int32(), [b for b, _ in known]), ("spans", pa.binary(), [s for _, s in known]))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(gathered(batches))
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[tuple[int, int], list[bytes]] = {}
         for batch in batches:
             for raw in batch.column("spans").to_pylist():
