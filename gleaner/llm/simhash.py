@@ -29,6 +29,7 @@ name unless it has no other; repeated rows are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -224,7 +225,9 @@ def hex64(fp: Column) -> Column:
 # ----------------------------------------------- similar shingle sets, 512 bits
 
 WORDS = 8
-BANDS = 7
+BANDS = 6
+#: Choices of codewords by rank (0: best fit) for the three segments of a band: the likeliest of the three best each.
+PROBES = [c for c in product(range(3), repeat=3) if sum(c) <= 3]
 #: Bits of 512 in which sets of similarity 0.8 differ: 512 * acos(2 * 0.8 / 1.8) / pi is 77.5 on average, with a
 #: deviation of 8.1; one and a half deviations more, so that a pair at the threshold is rarely missed.
 APART = 90
@@ -245,21 +248,20 @@ def wide_counts(raw: bytes, size: int) -> tuple[np.ndarray, int]:
 
 
 def soft_keys(lean: np.ndarray) -> np.ndarray:
-    """Keys of each row of ``lean`` (how far each bit is from even): bands of three segments, two codewords each."""
-    rows = len(lean)
+    """Keys of each row of ``lean`` (how far each bit is from even): every probe of every band of three segments."""
+    rows = np.arange(len(lean))
     signs = sign_words()
-    best = np.zeros((rows, 3 * BANDS, 2), np.int64)
+    best = np.zeros((len(lean), 3 * BANDS, 3), np.int64)
     for s in range(3 * BANDS):
         fit = lean[:, 24 * s : 24 * s + 24].astype(np.float32) @ signs
-        best[:, s, 0] = fit.argmax(axis=1)
-        fit[np.arange(rows), best[:, s, 0]] = -np.inf
-        best[:, s, 1] = fit.argmax(axis=1)
-    keys = np.zeros((rows, BANDS * 8), np.int64)
+        for rank in range(3):
+            best[:, s, rank] = fit.argmax(axis=1)
+            fit[rows, best[:, s, rank]] = -np.inf
+    keys = np.zeros((len(lean), BANDS, len(PROBES)), np.int64)
     for b in range(BANDS):
-        for c in range(8):
-            i, j, k = best[:, 3 * b, c & 1], best[:, 3 * b + 1, c >> 1 & 1], best[:, 3 * b + 2, c >> 2]
-            keys[:, 8 * b + c] = (b << 36) | (i << 24) | (j << 12) | k
-    return keys
+        for p, (i, j, k) in enumerate(PROBES):
+            keys[:, b, p] = (b << 36) | (best[:, 3 * b, i] << 24) | (best[:, 3 * b + 1, j] << 12) | best[:, 3 * b + 2, k]
+    return keys.reshape(len(lean), -1)
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
