@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import domain, severity
 from ..schemas import EVENTS
+from ..session import settled
 
 
 def empty(spark) -> DataFrame:
@@ -38,9 +39,13 @@ def append(log: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: list[str], name: str, after: int = 0) -> DataFrame:
-    """``rows`` with dense numbers ``after + 1 ...`` in ``order``."""
+    """``rows`` with dense numbers ``after + 1 ...`` in ``order``.
+
+    Range partitions are written before they are counted: counts and rows must
+    see the same partitions.
+    """
     ranged = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    own = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+    own = settled(ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*order))), "numbered")
     sizes = own.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     joined = own.join(F.broadcast(before), F.col("_part") == F.col("_p"))  # one row a partition
@@ -94,16 +99,30 @@ def unfinished(log: DataFrame, begin: str = "chunk_ingest_begin", complete: str
 
 
 def stage_durations(log: DataFrame, *keys: str) -> DataFrame:
-    """Seconds of each event since the first one of its keys."""
-    first = F.min("ts").over(Window.partitionBy(*keys))
-    return log.withColumn("duration_seconds", F.round(seconds(F.col("ts")) - seconds(first), 2))
+    """Seconds of each event since the first one of its keys; the first is aggregated before it is joined back."""
+    names = {k: f"_key_{k}" for k in keys}
+    first = log.groupBy(*(F.col(k).alias(n) for k, n in names.items())).agg(F.min("ts").alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    joined = log.join(first, same)
+    return joined.withColumn("duration_seconds", F.round(seconds(F.col("ts")) - seconds(F.col("_first")), 2)).drop("_first", *names.values())
 
 
 def spacing(requests: DataFrame, min_interval: float = 1.0, url_col: str = "url") -> DataFrame:
-    """For each request, the gap to the one before in its domain and the wait that would keep the interval."""
-    w = Window.partitionBy("domain").orderBy("ts", "id")
-    out = requests.withColumn("domain", domain(F.col(url_col))).withColumn("gap", seconds(F.col("ts")) - seconds(F.lag("ts").over(w)))
-    return out.withColumn("wait", F.coalesce(F.greatest(F.lit(0.0), F.lit(float(min_interval)) - F.col("gap")), F.lit(0.0)))
+    """For each request, the gap to the one before in its domain and the wait that would keep the interval.
+
+    Requests lie in range partitions by domain and time, so a domain with a
+    third of all requests spans many; only the last time of a domain in each
+    partition crosses over to the next.
+    """
+    keyed = requests.withColumns({"domain": domain(F.col(url_col)), "_at": seconds(F.col("ts"))})
+    ranged = settled(keyed.repartitionByRange("domain", "ts", "id").withColumn("_part", F.spark_partition_id()), "spacing")
+    last = ranged.groupBy("domain", "_part").agg(F.max("_at").alias("_last"))
+    before = last.select(F.col("domain").alias("_d"), F.col("_part").alias("_p"), F.lag("_last").over(Window.partitionBy("domain").orderBy("_part")).alias("_before"))
+    own = ranged.withColumn("_own", F.lag("_at").over(Window.partitionBy("domain", "_part").orderBy("ts", "id")))
+    joined = own.join(before, F.col("domain").eqNullSafe(F.col("_d")) & (F.col("_part") == F.col("_p")))
+    out = joined.withColumn("gap", F.col("_at") - F.coalesce("_own", "_before"))
+    wait = F.coalesce(F.greatest(F.lit(0.0), F.lit(float(min_interval)) - F.col("gap")), F.lit(0.0))
+    return out.withColumn("wait", wait).drop("_at", "_part", "_p", "_d", "_own", "_before")
 
 
 def delete_url(log: DataFrame, url: str) -> DataFrame:

@@ -124,6 +124,26 @@ def test_filters(spark):
     assert [r["event_type"] for r in events.types(log).collect()] == ["a", "b"]
 
 
+def test_spacing_across_partitions(spark):
+    rng = random.Random(2)
+    made = sorted((rng.randrange(500), f"http://{rng.choice('aaaaab')}/{i}") for i in range(300))
+    rows = [(i, T + dt.timedelta(seconds=t), "x", u, None, None, None) for i, (t, u) in enumerate(made)]
+    want, last = {}, {}
+    for i, ts, _, u, *_ in rows:
+        d = u[7]
+        want[i] = max(0.0, 3.0 - (ts - last[d]).total_seconds()) if d in last else 0.0
+        last[d] = ts
+    got = {r["id"]: r["wait"] for r in events.spacing(spark.createDataFrame(rows, EVENTS).repartition(7), 3.0).collect()}
+    assert got == want
+    assert events.spacing(events.empty(spark)).count() == 0
+
+
+def test_durations(spark):
+    rows = [(1, T, "x", "u", None, None, None), (2, T + dt.timedelta(seconds=2.5), "x", "u", None, None, None), (3, T, "x", None, None, None, None)]
+    got = {r["id"]: r["duration_seconds"] for r in events.stage_durations(spark.createDataFrame(rows, EVENTS), "url").collect()}
+    assert got == {1: 0.0, 2: 2.5, 3: 0.0}
+
+
 def test_unfinished(spark):
     log = spark.createDataFrame([(1, T, "chunk_ingest_begin", "u", None, None, None), (2, T, "chunk_ingest_complete", "u", None, None, None), (3, T, "chunk_ingest_begin", "v", None, None, None), (4, T, "chunk_ingest_begin", "u", None, None, None)], EVENTS)
     assert {(r["url"], r["begun"]) for r in events.unfinished(log).collect()} == {("u", 4), ("v", 3)}
