@@ -137,3 +137,42 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", te
     gone = find_leaks(docs, benchmark, id_col, text_col).select(F.col("dg").alias("_gone")).distinct()
     mark = F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).cast("string"))
     return docs.join(gone, mark == F.col("_gone"), "left_anti")
+
+
+_UNITS = "|".join(UNITS)
+_ITEM_IS = {"item": ("benchmark", "item_id"), "doc": ("documents", "doc_id")}
+
+
+def _words_sql(name: str) -> str:
+    """CTEs that turn a table into word lists: ``r`` raw, ``c`` template."""
+    table, key = _ITEM_IS[name]
+    return rf"""
+{name}0 AS (SELECT {key} AS id, regexp_extract_all(coalesce(text, ''), '(\s*)(\S+)', 1) AS s, regexp_extract_all(coalesce(text, ''), '(\s*)(\S+)', 2) AS w FROM {table}),
+{name}1 AS (SELECT id, array_to_string(list_transform(w, lambda x, i: s[i] || CASE WHEN regexp_matches(x, '[\p{{L}}\p{{N}}]') THEN x ELSE '' END), '') AS t FROM {name}0),
+{name}2 AS (SELECT id, regexp_extract_all(t, '(\s*)(\S+)', 1) AS s, regexp_extract_all(t, '(\s*)(\S+)', 2) AS r FROM {name}1),
+{name}3 AS (SELECT id, s, r, list_transform(r, lambda x, i: CASE
+    WHEN i > 1 AND s[i] = ' ' AND regexp_matches(r[i - 1], '[\p{{Ll}},;:]$') AND regexp_matches(x, '^\p{{Lu}}[\p{{Ll}}''’-]+') THEN '<name>'
+    WHEN regexp_matches(x, '\p{{N}}') THEN '<number>' ELSE x END) AS k FROM {name}2),
+{name} AS (SELECT id, r, list_transform(k, lambda x, i: CASE WHEN x IN ('<name>', '<number>') THEN x
+    WHEN i > 1 AND k[i - 1] = '<number>' AND s[i] = ' ' AND regexp_matches(x, '^(?i:{_UNITS})([^\p{{L}}\p{{N}}].*)?$') THEN '<unit>'
+    ELSE regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g') END) AS c FROM {name}3)"""
+
+
+#: DuckDB SQL with the query's rows.
+LEAK_SQL = rf"""
+WITH {_words_sql("item")},{_words_sql("doc")},
+items AS (SELECT min(id) AS item_id, arg_min(r, id) AS r, c, len(c) - {WORDS - 1} AS n FROM item WHERE len(c) >= {WORDS} GROUP BY c),
+iw AS (SELECT item_id, r, c, n, unnest(range(1, n + 1)) AS i FROM items),
+dw AS (SELECT id AS doc_id, r, c, unnest(range(1, len(c) - {WORDS - 2})) AS j FROM doc WHERE len(c) >= {WORDS}),
+iw5 AS (SELECT item_id, r, c, n, i, c[i:i + {WORDS - 1}] AS w FROM iw),
+dw5 AS (SELECT doc_id, r, j, c[j:j + {WORDS - 1}] AS w FROM dw),
+met AS (SELECT d.doc_id, t.item_id, t.n, t.i, d.j, t.r AS ir, t.c AS ic, d.r AS dr FROM dw5 d JOIN iw5 t USING (w)),
+near AS (SELECT doc_id, item_id, n, count(DISTINCT i) AS hit FROM met GROUP BY ALL HAVING count(DISTINCT i) >= {COVERAGE} * n),
+slot AS (
+  SELECT doc_id, item_id, j - i AS shift, ic[i + o] AS kind, ir[i + o] AS ours, dr[j + o] AS theirs
+  FROM met JOIN near USING (doc_id, item_id), (SELECT unnest(range(0, {WORDS})) AS o) WHERE ic[i + o] IN ('<name>', '<number>', '<unit>')),
+one AS (SELECT doc_id, item_id, shift, kind, ours, min(theirs) AS lo, max(theirs) AS hi FROM slot GROUP BY ALL),
+fit AS (SELECT doc_id, item_id, count(*) AS n_slots, avg(CASE WHEN lo = hi THEN 1.0 ELSE 0.0 END) AS share, bool_or(lo <> ours OR hi <> ours) AS other FROM one GROUP BY ALL)
+SELECT doc_id, item_id, hit / n AS coverage, CAST(n AS INTEGER) AS n_windows, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots, coalesce(share, 1.0) AS slot_consistency,
+       coalesce(other, FALSE) AS reparameterised, TRUE AS contaminated
+FROM near LEFT JOIN fit USING (doc_id, item_id) WHERE coalesce(share, 1.0) >= {CONSISTENCY}"""

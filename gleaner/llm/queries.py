@@ -79,5 +79,6 @@ QUERIES = {
 
 SQL = {
     "op1_url_filter": url_filter.filter_sql(),
+    "op6_decontaminate_templates": decontaminate.LEAK_SQL,
     "op8_substring_rlz": substring.DIGEST_SQL,
 }
