@@ -88,7 +88,7 @@ def severity(outcome: Column) -> Column:
 
 
 def ingest_report(url: Column, status: Column, fetch_outcome: Column, reason: Column, stored: Column, sections: Column, confidence: Column, validation_json: Column) -> Column:
-    """The text that a one-URL ingestion prints."""
+    """The text that a one-URL ingestion prints; its wording is a fixed value."""
     none = F.lit("None")
     return (
         F.when(status.isin("blocked", "fetch_failed"), F.format_string("fetch outcome=%s reason=%s -> no ingestion", fetch_outcome, F.coalesce(reason, none)))

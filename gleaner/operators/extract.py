@@ -18,6 +18,7 @@ from ..schemas import SECTION
 
 Extractor = Callable[[str, str, "str | None", "str | None"], "dict | None"]
 
+#: Why a row is flagged.
 UNSUPPORTED = "unsupported content type: no extraction path exists"
 BLANK = "empty content: nothing to extract"
 NO_OUTPUT = "model returned no parseable structured output"

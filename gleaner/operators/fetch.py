@@ -9,6 +9,7 @@ from ..config import OBSTACLES
 from ..functions import html as H
 
 THRESHOLD = 100
+#: Reasons of the decisions.
 BLOCKED = "blocked by site, no browser fallback"
 INSUFFICIENT = "static content insufficient, falling back to browser fetch"
 SUFFICIENT = "static fetch sufficient"

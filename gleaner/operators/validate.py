@@ -10,6 +10,7 @@ from . import extract as ex
 
 MIN_CONFIDENCE = 0.5
 REPAIR_BUDGET = 1
+#: The texts of the checks, here and in :func:`errors`.
 UNKNOWN_TYPE = "unsupported content type: unknown"
 
 
