@@ -34,9 +34,12 @@ SPACES = r"\s\x1c-\x1f\x85\xa0  -     　"
 _one_char = sorted({n.rstrip(";") for n, v in html5.items() if len(v) == 1 and not v.isspace() and ord(v) < 0x2300}, key=lambda n: (-len(n), n))
 _open = {n for n in html5 if not n.endswith(";")}
 #: Entities of one visible character (rule: named, one code point below U+2300, or numeric); those of spaces are replaced first.
-VISIBLE_ENTITY = r"&(?:#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|(?:" + "|".join(n for n in _one_char if n not in _open) + ");|(?:" + "|".join(n for n in _one_char if n in _open) + ");?)"
+VISIBLE_ENTITY = r"&(?:(?:amp|lt|gt|quot|copy|middot);|#[0-9]{1,7};|#[xX][0-9a-fA-F]{1,6};|(?:" + "|".join(n for n in _one_char if n not in _open) + ");|(?:" + "|".join(n for n in _one_char if n in _open) + ");?)"
 SPACE_ENTITY = r"&(?:nbsp;?|ensp;|emsp;|thinsp;|hairsp;|NewLine;|Tab;|#(?:9|10|11|12|13|32|160);|#[xX](?:9|[aA]|[bB]|[cC]|[dD]|20|[aA]0);)"
 
+#: The same for Java, which can first see that no letter and no number sign follows.
+_ENTITY = VISIBLE_ENTITY.replace("&", "&(?=[#a-zA-Z])", 1)
+
 SCRIPT = r"(?is)<script.*?</script>"
 STYLE = r"(?is)<style.*?</style>"
 TAG = r"<[^>]+>"
@@ -74,7 +77,7 @@ def visible_text_length(html: Column) -> Column:
     t = F.regexp_replace(t, STYLE, " ")
     t = F.regexp_replace(t, TAG, " ")
     t = F.regexp_replace(t, SPACE_ENTITY, " ")
-    t = F.regexp_replace(t, VISIBLE_ENTITY, "x")
+    t = F.regexp_replace(t, _ENTITY, "x")
     return F.coalesce(F.length(F.regexp_replace(t, f"[{SPACES}]", "")), F.lit(0))
 
 

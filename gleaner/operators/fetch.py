@@ -44,7 +44,9 @@ def encoding_fallback(body: Column, charset: Column) -> Column:
 def decide(static: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Static results with ``decision``, ``decision_reason`` and ``needs_browser``."""
     htmlish = H.is_html_like(F.col("content_type"))
-    short = F.col("html").isNull() | H.looks_empty(F.col("html"), threshold)
+    static = static.withColumn("_visible", H.visible_text_length(F.col("html")))  # costly and read more than once
+    static = static.withColumn("_short", F.col("html").isNull() | H.looks_empty(F.col("html"), threshold, F.col("_visible")))
+    short = F.col("_short")
     decision = F.when(F.col("outcome") == "blocked", "no_fallback").when(F.col("outcome") != "success", "fallback").when(~htmlish, "kept_static").when(short, "fallback").otherwise("kept_static")
     reason = (
         F.when(F.col("outcome") == "blocked", BLOCKED)
@@ -54,7 +56,7 @@ def decide(static: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         .otherwise(SUFFICIENT)
     )
     out = static.withColumns({"decision": decision, "decision_reason": reason})
-    return out.withColumn("needs_browser", F.col("decision") == "fallback")
+    return out.withColumn("needs_browser", F.col("decision") == "fallback").drop("_short", "_visible")
 
 
 def fetch_pages(static: DataFrame, browser: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:

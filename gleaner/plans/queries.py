@@ -90,8 +90,9 @@ def page_visible_length(spark, sf_dir):
 
 
 def page_looks_empty(spark, sf_dir):
-    p = read(spark, sf_dir, "pages")
-    return p.select("page_id", H.looks_empty(F.col("html"), 100).alias("empty_100"), H.looks_empty(F.col("html"), 1000).alias("empty_1000"), H.is_error_page(F.col("html")).alias("error_page"))
+    p = read(spark, sf_dir, "pages").withColumn("visible", H.visible_text_length(F.col("html")))
+    v = F.col("visible")
+    return p.select("page_id", H.looks_empty(F.col("html"), 100, v).alias("empty_100"), H.looks_empty(F.col("html"), 1000, v).alias("empty_1000"), H.is_error_page(F.col("html")).alias("error_page"))
 
 
 def page_fetch_decision(spark, sf_dir):
