@@ -36,8 +36,15 @@ def get_session(master: str | None = None, app: str = "gleaner", shuffle_partiti
     return builder.getOrCreate()
 
 
+#: Rows of an Arrow batch where the session has Spark's default: whole texts make Spark's 10,000 rows heavy.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Make this package importable in the executors' Python workers, once a session."""
+    key, usual, ours = BATCH_ROWS
+    if spark.conf.get(key, usual) == usual:
+        spark.conf.set(key, ours)
     context = spark.sparkContext
     if getattr(context, "_gleaner_shipped", None) != context.applicationId:
         path = os.path.join(tempfile.mkdtemp(prefix="gleaner-code-"), "gleaner.zip")
