@@ -18,7 +18,7 @@ Two uses:
 Copies meet as one fingerprint first.  In a bucket of many fingerprints no
 pairs are formed: :func:`components_within` meets them through the words half
 way between them, 65 a fingerprint, and :func:`near_duplicates` verifies all
-against the bucket's least one, then only what that left apart.
+against the bucket's least one, then in rounds only what that left apart.
 
 Defined results: null, empty and white-space texts have fingerprint zero and
 link to each other like any others (:func:`components_within`), or are never
@@ -225,9 +225,13 @@ def hex64(fp: Column) -> Column:
 # ----------------------------------------------- similar shingle sets, 512 bits
 
 WORDS = 8
-BANDS = 6
+BANDS = 7
+#: Members of a bucket of soft keys up to which its pairs are formed.
+PAIRED = 3
+#: Rounds in which the strays of large buckets meet before they are compared one by one.
+ROUNDS = 4
 #: Choices of codewords by rank (0: best fit) for the three segments of a band: the likeliest of the three best each.
-PROBES = [c for c in product(range(3), repeat=3) if sum(c) <= 3]
+PROBES = [c for c in product(range(3), repeat=3) if sum(c) <= 2]
 #: Bits of 512 in which sets of similarity 0.8 differ: 512 * acos(2 * 0.8 / 1.8) / pi is 77.5 on average, with a
 #: deviation of 8.1; one and a half deviations more, so that a pair at the threshold is rarely missed.
 APART = 90
@@ -304,19 +308,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col="doc_id", text_col="t
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     size_of = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
     shared = materialize(keyed.join(size_of, "key"), "soft-keys")
-    few = shared.filter(F.col("n") <= BUCKET)
+    few = shared.filter(F.col("n") <= PAIRED)
     close = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").filter("u < v").select("u", "v")
-    many = shared.filter((F.col("n") > BUCKET) & (F.col("node") != F.col("hub")))
-    first = _verified(close.unionAll(many.select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct(), nodes)
-    classes = components(first)
-    # What a large bucket's hub left apart is compared with all of the bucket that is not yet of its class.
-    named = shared.filter(F.col("n") > BUCKET).select("key", "hub", "node").join(classes, "node", "left").select("key", "hub", "node", F.coalesce("root", "node").alias("root"))
-    hubs = classes.select(F.col("node").alias("h"), F.col("root").alias("hub_root"))
-    named = named.join(hubs, F.col("hub") == F.col("h"), "left").select("key", "node", "root", F.coalesce("hub_root", "hub").alias("hub_root"))
-    rest = named.filter("root <> hub_root").select("key", F.col("node").alias("u"), F.col("root").alias("ru"))
-    pairs = rest.join(named.select("key", F.col("node").alias("v"), F.col("root").alias("rv")), "key").filter("ru <> rv").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-    second = _verified(pairs, nodes)
-    final = components(classes.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(second))
+    many = shared.filter((F.col("n") > PAIRED) & (F.col("node") != F.col("hub")))
+    links = _verified(close.unionAll(many.select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct(), nodes)
+    classes = components(links)
+    # Large buckets again: strays, the members outside a bucket's least class, meet at the least of them, so that a
+    # round costs no more than the bucket's size.  When few are left they are compared with all other classes' members.
+    large = shared.filter(F.col("n") > PAIRED).select("key", "node")
+    for turn in range(ROUNDS + 1):
+        named = materialize(large.join(classes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "named")
+        hubs = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
+        strays = named.join(hubs, "key").filter("root <> least")
+        width = strays.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+        if not width["n"]:
+            break
+        if width["n"] <= BUCKET or turn == ROUNDS:
+            members = named.join(hubs.select("key"), "key", "left_semi").select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
+            pairs = strays.select("key", F.col("node").alias("u"), F.col("root").alias("ru")).join(members, "key").filter("ru <> rv")
+        else:
+            hub = strays.groupBy("key").agg(F.min("node").alias("v"))
+            pairs = strays.select("key", F.col("node").alias("u")).join(hub, "key").filter("u <> v")
+        new = _verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes)
+        classes = components(classes.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(new))
+        if width["n"] <= BUCKET:
+            break
+    final = classes
     of = known.select("id", "w").join(nodes.select("w", "node"), "w").select("id", "node")
     return of.join(final, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 

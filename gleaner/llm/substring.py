@@ -38,7 +38,7 @@ from .common import shuffle_width, tidy
 WINDOW = 20
 GROUP = 6
 #: Words of a reference block, and bytes of a text that are split at a time.
-BLOCK_WORDS = 700_000
+BLOCK_WORDS = 250_000
 BLOCK_BYTES = 1 << 20
 #: Odd multipliers of the rolling hashes and of the finishing mix.
 ROLL_A = 0x9E3779B97F4A7C15

@@ -119,7 +119,7 @@ def test_components_within_by_brute_force(spark, monkeypatch):
     assert simhash.components_within(frame(spark, rows).limit(0)).count() == 0
 
 
-def test_near_duplicates(spark):
+def test_near_duplicates(spark, monkeypatch):
     rng = random.Random(6)
     vocabulary = [f"{a}{b}" for a in "bcdfghklmnprst" for b in ("ane", "olo", "ist", "ura", "emi")]
     clean = [" ".join(rng.choice(vocabulary) for _ in range(300)) for _ in range(60)]
@@ -132,7 +132,13 @@ def test_near_duplicates(spark):
         rows.append((100 + k, " ".join(words)))
         planted.append((k, 100 + k))
     rows += [(200 + i, clean[50] + f" tail{i}") for i in range(60)] + [(400, None), (401, ""), (402, " "), (None, clean[0])]
+    monkeypatch.setattr(simhash, "PAIRED", 1)  # all buckets are then large
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    monkeypatch.setattr(simhash, "ROUNDS", 1)
+    strict = {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    monkeypatch.undo()
     got = {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == strict
     assert sum(got[a] == got[b] == a for a, b in planted) >= 39
     assert all(got[200 + i] == 50 for i in range(60))
     assert all(got[k] == k for k in range(60))
