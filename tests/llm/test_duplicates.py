@@ -146,6 +146,32 @@ def test_near_duplicates(spark, monkeypatch):
     assert set(range(60)) | {400, 401, 402, None} <= kept and not any(200 <= (x or 0) < 300 for x in kept)
 
 
+def edited(words, share, rng, tag):
+    """``words`` with about ``share`` of them replaced by words of ``tag``."""
+    out = list(words)
+    for at in rng.sample(range(len(out)), max(1, round(share * len(out)))):
+        out[at] = f"{tag}{at}"
+    return out
+
+
+def shingle_similarity(a, b):
+    a, b = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_soft_keys_are_shared_at_the_threshold(spark):
+    rng = random.Random(11)
+    pairs = []
+    while len(pairs) < 400:
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 300))]
+        b = edited(a, 0.022, rng, "v")
+        if 0.8 <= shingle_similarity(a, b) < 0.85:
+            pairs.append((a, b))
+    rows = [(2 * i + side, " ".join(t)) for i, pair in enumerate(pairs) for side, t in enumerate(pair)]
+    keys = {r["id"]: set(r["keys"]) for r in simhash.sketches(frame(spark, rows), 5, "doc_id", "text").collect()}
+    assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(400)) >= 380
+
+
 # ------------------------------------------------------------------ substrings
 
 
