@@ -12,8 +12,9 @@ Two uses:
   least one segment has none (pigeonhole) and its neighbour at most two, which
   the words in the ball of radius one around it decode to a common codeword.
 * :func:`near_duplicates` links documents whose five-word shingle sets are
-  similar (0.8 or more) through fingerprints of 512 bits, whose segments
-  are decoded with the bits' majorities as weights.
+  similar (0.8 or more).  Fingerprints of 512 bits, whose segments are decoded
+  with the bits' majorities as weights, find the candidates; the sets of those,
+  as hashes, are then compared.
 
 Copies meet as one fingerprint first.  In a bucket of many fingerprints no
 pairs are formed: :func:`components_within` meets them through the words half
@@ -232,23 +233,27 @@ PAIRED = 3
 ROUNDS = 4
 #: Choices of codewords by rank (0: best fit) for the three segments of a band: the likeliest of the three best each.
 PROBES = [c for c in product(range(3), repeat=3) if sum(c) <= 3]
-#: Bits of 512 in which sets of similarity 0.8 differ: 512 * acos(2 * 0.8 / 1.8) / pi is 77.5 on average, with a
-#: deviation of 8.1; one and a half deviations more, so that a pair at the threshold is rarely missed.
-APART = 90
+#: Bits of 512 up to which a candidate's sets are compared.  Sets of similarity 0.8 differ in 77.5 bits on average
+#: (512 * acos(2 * 0.8 / 1.8) / pi), the smallest ones (four shingles of five) in 96; four deviations of 8.8 more.
+APART = 131
+#: Least similarity of a link, as a fraction: common shingles by all shingles of the two sets.
+SIMILAR = (4, 5)
 
 
-def wide_counts(raw: bytes, size: int) -> tuple[np.ndarray, int]:
-    """Bit counts of the distinct shingles over eight mixes of their hashes."""
-    parts = list(shingle_hashes(raw, size))
-    if not parts:
-        return np.zeros(64 * WORDS, np.int64), 0
-    h = np.unique(np.concatenate(parts))
+def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    parts = list(shingle_hashes(raw or b"", size))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+
+
+def wide_counts(h: np.ndarray) -> np.ndarray:
+    """Bit counts of distinct shingles over eight mixes of their hashes."""
     counts = [bit_counts(h)]
     for k in range(1, WORDS):
         x = (h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
         counts.append(bit_counts(x ^ (x >> np.uint64(32))))
-    return np.concatenate(counts), len(h)
+    return np.concatenate(counts)
 
 
 def soft_keys(lean: np.ndarray) -> np.ndarray:
@@ -269,41 +274,62 @@ def soft_keys(lean: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``w0`` ... ``w7``, ``keys`` of every document with at least one word."""
+    """``id``, ``w`` (fingerprint), ``sig`` (hash of the shingle set), ``keys`` of every document with at least one word."""
 
-    @F.pandas_udf("w array<long>, keys array<long>")
+    @F.pandas_udf("w array<long>, sig long, keys array<long>")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from tidy(sketched(batches))
 
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for raws in batches:
-            w, keys = [], []
+            w, sig, keys = [], [], []
             for at in range(0, len(raws), 256):
-                pairs = [wide_counts(bytes(r), size) if r is not None else (np.zeros(64 * WORDS, np.int64), 0) for r in raws.iloc[at : at + 256]]
-                lean = np.stack([2 * c - n for c, n in pairs])
+                lean, some = [], []
+                for r in raws.iloc[at : at + 256]:
+                    h = shingle_set(r, size)
+                    lean.append(2 * wide_counts(h) - len(h))
+                    some.append(len(h) > 0)
+                    sig.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                lean = np.stack(lean)
                 words = np.packbits(lean > 0, axis=1, bitorder="little").view("<i8")
-                some = np.array([n > 0 for _, n in pairs])
                 own = soft_keys(lean)
                 w += [x if ok else None for x, ok in zip(words, some, strict=True)]
                 keys += [x if ok else None for x, ok in zip(own, some, strict=True)]
-            yield pd.DataFrame({"w": pd.Series(w, dtype=object), "keys": pd.Series(keys, dtype=object)})
+            yield pd.DataFrame({"w": pd.Series(w, dtype=object), "sig": np.array(sig, np.uint64).view(np.int64), "keys": pd.Series(keys, dtype=object)})
 
     out = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col).cast("string").cast("binary")).alias("_s")).filter("_s.w is not null")
-    return out.select("id", F.col("_s.w").alias("w"), F.col("_s.keys").alias("keys"))
+    return out.select("id", F.col("_s.w").alias("w"), F.col("_s.sig").alias("sig"), F.col("_s.keys").alias("keys"))
+
+
+def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """``node``, ``shingles`` (distinct hashes) of every row of ``docs``."""
+
+    @F.pandas_udf("array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(pd.Series([shingle_set(r, size).view(np.int64) for r in raws], dtype=object) for raws in batches)
+
+    return docs.select(F.col(id_col).alias("node"), sets(F.col(text_col).cast("string").cast("binary")).alias("shingles"))
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs ``u``, ``v`` whose fingerprints are near enough."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """The pairs ``u``, ``v`` whose shingle sets are similar enough; only sets of near fingerprints are made and compared."""
     w = nodes.select("node", "w")
     both = pairs.join(w.select(F.col("node").alias("u"), F.col("w").alias("wu")), "u").join(w.select(F.col("node").alias("v"), F.col("w").alias("wv")), "v")
     bits = sum((apart(F.col("wu")[k], F.col("wv")[k]) for k in range(1, WORDS)), apart(F.col("wu")[0], F.col("wv")[0]))
-    return both.filter(bits <= APART).select("u", "v")
+    near = materialize(both.filter(bits <= APART).select("u", "v").distinct(), "near-pairs")
+    asked = near.select(F.explode(F.array("u", "v")).alias("_asked")).distinct()
+    own = docs.select(id_col, text_col).join(asked, F.col(id_col) == F.col("_asked"), "left_semi").distinct()
+    own = materialize(shingle_sets(own, size, id_col, text_col), "shingle-sets")
+    both = near.join(own.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(own.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
+    common = F.size(F.array_intersect("su", "sv"))
+    some, of = SIMILAR
+    return both.filter(common * of >= (F.size("su") + F.size("sv") - common) * some).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
     """``id``, ``root``: for every id with words whose document has a near-duplicate, the least id of its class."""
     known = materialize(sketches(docs.filter(F.col(id_col).isNotNull()), size, id_col, text_col), "sketches")
-    same = known.groupBy("w").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys"))
+    same = known.groupBy("w", "sig").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys"))
     nodes = materialize(same, "sketch-nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     size_of = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
@@ -311,30 +337,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col="doc_id", text_col="t
     few = shared.filter(F.col("n") <= PAIRED)
     close = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").filter("u < v").select("u", "v")
     many = shared.filter((F.col("n") > PAIRED) & (F.col("node") != F.col("hub")))
-    links = _verified(close.unionAll(many.select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct(), nodes)
+    links = _verified(close.unionAll(many.select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct(), nodes, docs, size, id_col, text_col)
     classes = components(links)
     # Large buckets again: strays, the members outside a bucket's least class, meet at the least of them, so that a
-    # round costs no more than the bucket's size.  When few are left they are compared with all other classes' members.
+    # round costs no more than the bucket's size.  When few are left, or a round joined none, they are compared with all
+    # other classes' members.
     large = shared.filter(F.col("n") > PAIRED).select("key", "node")
+    before = None
     for turn in range(ROUNDS + 1):
         named = materialize(large.join(classes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "named")
         hubs = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
         strays = named.join(hubs, "key").filter("root <> least")
-        width = strays.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()
+        width = strays.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
         if not width["n"]:
             break
-        if width["n"] <= BUCKET or turn == ROUNDS:
+        last = width["n"] <= BUCKET or turn == ROUNDS or width["all"] == before
+        before = width["all"]
+        if last:
             members = named.join(hubs.select("key"), "key", "left_semi").select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
             pairs = strays.select("key", F.col("node").alias("u"), F.col("root").alias("ru")).join(members, "key").filter("ru <> rv")
         else:
-            hub = strays.groupBy("key").agg(F.min("node").alias("v"))
-            pairs = strays.select("key", F.col("node").alias("u")).join(hub, "key").filter("u <> v")
-        new = _verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes)
+            hub = strays.groupBy("key").agg(F.min("node").alias("v"), F.min_by("root", "node").alias("rv"))
+            pairs = strays.select("key", F.col("node").alias("u"), F.col("root").alias("ru")).join(hub, "key").filter("ru <> rv")
+        new = _verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes, docs, size, id_col, text_col)
         classes = components(classes.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(new))
-        if width["n"] <= BUCKET:
+        if last:
             break
     final = classes
-    of = known.select("id", "w").join(nodes.select("w", "node"), "w").select("id", "node")
+    of = known.select("id", "w", "sig").join(nodes.select("w", "sig", "node"), ["w", "sig"]).select("id", "node")
     return of.join(final, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
 
 

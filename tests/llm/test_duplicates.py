@@ -172,6 +172,33 @@ def test_soft_keys_are_shared_at_the_threshold(spark):
     assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(400)) >= 380
 
 
+def test_links_are_of_the_stated_similarity(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for k in range(60):
+        a = [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))]
+        b = edited(a, (0.033, 0.018)[k % 2], rng, "v")  # similarity of 0.65 to 0.9
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want[2 * k + 1] = shingle_similarity(a, b)
+    rows += [(500, "one two three four five six seven eight"), (501, "one two three four five six seven eight nine")]  # four shingles of five
+    want[501] = 0.8
+    got = {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    below = [b for b, s in want.items() if s < 0.8]
+    assert len(below) >= 20 and all(got[b] == b for b in below)
+    near = [b for b, s in want.items() if s >= 0.8]
+    assert len(near) >= 5 and sum(got[b] == b - 1 for b in near) >= 0.95 * len(near)
+
+
+def test_equal_fingerprints_are_no_proof(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "APART", 512)
+    monkeypatch.setattr(simhash, "soft_keys", lambda lean: np.zeros((len(lean), 1), np.int64))  # one bucket for all
+    rng = random.Random(13)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(25)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t[:-1] + ["x"])) for i, t in enumerate(texts)]
+    got = {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
+    assert got == {i: i % 100 for i, _ in rows}
+
+
 # ------------------------------------------------------------------ substrings
 
 
