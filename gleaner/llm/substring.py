@@ -181,11 +181,11 @@ def index_block(block, window: int, parts: int):
     by = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[by], np.arange(parts + 1))
     entries = []
-    tail = (whole >> np.uint64(24)).astype("<u8")
+    whole = whole.astype("<u8")
     for p in range(parts):
         mine = by[edges[p] : edges[p + 1]]
         if len(mine):
-            entries.append((p, pack_entry(mine, runs, length, anchor, tail, doc_of, place, table)))
+            entries.append((p, pack_entry(mine, runs, length, anchor, whole, doc_of, place, table)))
     return settled, entries
 
 
@@ -194,18 +194,18 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def pack_entry(mine, runs, length, anchor, tail, doc_of, place, table) -> bytes:
-    """Keys, runs, and 40 more bits of each window's hash."""
+def pack_entry(mine, runs, length, anchor, whole, doc_of, place, table) -> bytes:
+    """Keys, runs, and the hash of each window."""
     docs, doc = np.unique(doc_of[runs[mine]], return_inverse=True)
     out = np.empty(len(mine), RUN)
     out["anchor"], out["doc"], out["at"], out["n"] = anchor[runs[mine]], doc, place[runs[mine]], length[mine]
-    windows = tail[ragged(runs[mine], length[mine])]
+    windows = whole[ragged(runs[mine], length[mine])]
     return b"".join(
         (
             np.array([len(docs), len(mine), len(windows)], "<i8").tobytes(),
             table[docs].astype("<i8").tobytes(),
             out.tobytes(),
-            windows.view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
+            windows.tobytes(),
         )
     )
 
@@ -214,7 +214,7 @@ def unpack_entry(raw: bytes):
     d, r, w = np.frombuffer(raw, "<i8", 3)
     keys = np.frombuffer(raw, KEY, d, 24)
     runs = np.frombuffer(raw, RUN, r, 24 + 16 * d)
-    windows = np.frombuffer(raw, np.uint8, 5 * w, 24 + 16 * d + RUN.itemsize * r).reshape(-1, 5)
+    windows = np.frombuffer(raw, "<u8", w, 24 + 16 * d + RUN.itemsize * r)
     return keys, runs, windows
 
 
@@ -258,18 +258,17 @@ def settle(entries: list[bytes]) -> list[tuple[int, int, bytes]]:
     starts = np.cumsum(size) - size
     pick = ragged(starts[mine], size[mine])
     edges = np.cumsum([0, *(len(w) for w in windows)])
-    tail = np.zeros((len(pick), 8), np.uint8)
+    whole = np.empty(len(pick), np.uint64)
     lo = np.searchsorted(pick, edges)
     for k, w in enumerate(windows):
-        tail[lo[k] : lo[k + 1], :5] = w[pick[lo[k] : lo[k + 1]] - edges[k]]
-    tail = tail.view("<u8").ravel()
+        whole[lo[k] : lo[k + 1]] = w[pick[lo[k] : lo[k + 1]] - edges[k]]
     anchor = np.repeat(runs["anchor"][mine], size[mine])
     doc = np.repeat(rank.ravel()[runs["doc"][mine]], size[mine])
     place = np.repeat(runs["at"][mine].astype(np.int64), size[mine]) + ragged(np.zeros(len(mine), np.int64), size[mine])
-    order = np.lexsort((place, doc, tail, anchor))
-    anchor, tail, doc, place = anchor[order], tail[order], doc[order], place[order]
+    order = np.lexsort((place, doc, whole, anchor))
+    anchor, whole, doc, place = anchor[order], whole[order], doc[order], place[order]
     same = np.zeros(len(order), bool)
-    same[1:] = (anchor[1:] == anchor[:-1]) & (tail[1:] == tail[:-1])
+    same[1:] = (anchor[1:] == anchor[:-1]) & (whole[1:] == whole[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     later = same & ((doc != doc[head]) | (place != place[head]))
     pairs = np.stack([table["kid"], table["dg"]], axis=1)

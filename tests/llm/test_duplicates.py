@@ -286,6 +286,22 @@ def test_rolled_hashes_depend_on_the_window_only():
     assert (substring.sliding_min(both, 15) == [both[i : i + 15].min() for i in range(186)]).all()
 
 
+def test_windows_under_one_anchor_are_told_apart_by_the_whole_hash(monkeypatch):
+    real = substring.rolled
+
+    def low_bits(h, size, base):  # one anchor for all; hashes of windows differ in their low 24 bits only
+        out = real(h, size, base)
+        return np.zeros_like(out) if base == substring.ROLL_A else out & np.uint64((1 << 24) - 1)
+
+    monkeypatch.setattr(substring, "rolled", low_bits)
+    texts = [" ".join(f"{side}{i}" for i in range(40)) for side in "ab"] + [" ".join(f"a{i}" for i in range(40))]
+    entries = []
+    for k, text in enumerate(texts):  # a block each
+        for block in substring.segments([(k, k, text.encode())], 20):
+            entries += substring.index_block(block, 20, 1)[1]
+    assert [(kid, np.frombuffer(spans, substring.SPAN)["n"].sum()) for kid, _, spans in substring.settle([e for _, e in entries])] == [(2, 21)]
+
+
 def test_sources_of_spans(spark):
     text = " ".join(f"w{i}" for i in range(40))
     got = substring.find_spans(frame(spark, [(1, "x " + text), (2, "y z " + text)])).collect()
