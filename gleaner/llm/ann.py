@@ -18,7 +18,9 @@ with its best, and those are merged.
 Defined results: vectors that are null, empty, all zero, of another length
 than most, or hold null or non-finite components take no part; ties go to the
 smaller id; rows with the query's own id are no candidates; fewer candidates
-than ``k`` are all returned.
+than ``k`` are all returned.  Rows of equal id and vector are one row, dropped
+before the blocks are built; different vectors of one id are different rows,
+and as queries they ask together: a row counts once, with its best score.
 """
 
 from __future__ import annotations
@@ -132,7 +134,8 @@ class CollisionIndex:
             half[open_] *= WIDEN
         return np.unpackbits(out.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each query: its id, and ids, scores and places in the block of its best."""
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
         spots = np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32) @ self.axes.T
         wanted = max(20 * k, int(VERIFIED * len(self.ids)))
@@ -147,7 +150,7 @@ class CollisionIndex:
                     keep = score >= least
                     found, score = found[keep], score[keep]
                 best = np.lexsort((self.ids[found], -score))[:k]
-                yield int(q), self.ids[found][best], score[best]
+                yield int(q), self.ids[found][best], score[best], found[best]
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -159,7 +162,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 def search(vectors: DataFrame, every: int = 20, k: int = K, id_col="vec_id", vec_col="embedding") -> DataFrame:
     """Neighbours of the rows whose id is divisible by ``every``: query_id, rank, vec_id, score."""
-    known = usable(vectors, id_col, vec_col)
+    known = materialize(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"]), "ann-rows")
     size = known.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
     if size is None:
         return empty_like(vectors, RESULT)
@@ -192,10 +195,12 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, id_col="vec_id", vec
                 if held != block:
                     held, index = block, CollisionIndex(np.frombuffer(ids, np.int64), np.frombuffer(vs, np.float64).reshape(-1, dim), longest)
                 out = list(index.search(np.frombuffer(qids, np.int64), np.frombuffer(qvs, np.float64).reshape(-1, dim), k))
-                yield pd.DataFrame({"query_id": [q for q, _, _ in out], "ids": [i for _, i, _ in out], "scores": [s for _, _, s in out]})
-
-    best = pairs.select("block", "ids", "vs", "qids", "qvs").mapInPandas(visit, "query_id long, ids array<long>, scores array<double>")
-    merged = best.groupBy("query_id").agg(F.flatten(F.collect_list(F.arrays_zip("scores", "ids"))).alias("all"))  # k a block at most
-    # Largest score first, then smallest id: negated scores sort that way as structs.
-    ranked = F.slice(F.array_distinct(F.array_sort(F.transform("all", lambda s: F.struct((-s["scores"]).alias("s"), s["ids"].alias("i"))))), 1, k)
+                yield pd.DataFrame({"query_id": [q for q, _, _, _ in out], "ids": [i for _, i, _, _ in out], "scores": [s for _, _, s, _ in out], "rows": [block * (1 << 32) + at for _, _, _, at in out]})
+
+    best = pairs.select("block", "ids", "vs", "qids", "qvs").mapInPandas(visit, "query_id long, ids array<long>, scores array<double>, rows array<long>")
+    zipped = F.transform(F.arrays_zip("scores", "ids", "rows"), lambda s: F.struct((-s["scores"]).alias("s"), s["ids"].alias("i"), s["rows"].alias("r")))
+    # Largest score first, then smallest id: negated scores sort that way as structs.  k a block and query vector at most.
+    merged = best.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list(zipped))).alias("all"), F.count("*").alias("n"))
+    once = F.filter("all", lambda s, at: (F.col("n") <= blocks) | (F.array_position(F.transform("all", lambda t: t["r"]), s["r"]) == at + 1))
+    ranked = F.slice(once, 1, k)
     return merged.select("query_id", F.posexplode(ranked).alias("p", "hit")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))

@@ -214,6 +214,19 @@ def test_neighbours(spark, monkeypatch):
     assert hits / (20 * len(want)) >= 0.9
 
 
+def test_repeated_rows_push_no_neighbour_out(spark):
+    rng = np.random.default_rng(3)
+    made = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(rng.normal(size=(60, 8)))]
+    near = max((float(np.dot(v, made[0][1])), i) for i, v in made[1:])[1]
+    df = spark.createDataFrame(made + [made[near]] * 30 + [made[0]] * 5, "vec_id long, embedding array<float>").repartition(3)
+    want = sorted(((-float(np.dot(v, made[0][1])), i) for i, v in made[1:]))[:20]
+    got = sorted((r["rank"], r["vec_id"]) for r in ann.search(df).filter("query_id = 0").collect())
+    assert got == [(k + 1, i) for k, (_, i) in enumerate(want)]
+    # two vectors of one id: two rows, also where their scores are equal, and one query
+    odd = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, -1.0])], "vec_id long, embedding array<float>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(odd).orderBy("rank").collect()] == [(1, 1, 2.0), (2, 2, 1.0), (3, 2, 1.0)]
+
+
 def test_few_neighbours_and_none(spark):
     df = spark.createDataFrame([(20 * i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df).collect())
