@@ -9,8 +9,6 @@ laid out by ``url_bucket``, a hash of the URL, which a lookup by URL prunes to.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +20,9 @@ from ..schemas import CORPUS
 BUCKETS = 32
 #: New URLs up to which the side of a replace is broadcast; counted first.
 BROADCAST_URLS = 100_000
+#: Vectors of a block and queries of a block.
+BLOCK_ROWS = 4_096
+BLOCK_QUERIES = 1_024
 
 
 def url_bucket(url: Column, buckets: int = BUCKETS) -> Column:
@@ -51,43 +52,56 @@ def query(collection: DataFrame, embedding: list[float], k: int = 5, where: Colu
     return rows.withColumn("distance", cosine_distance(F.col(vector_col), _vector(embedding))).filter("distance is not null").orderBy("distance", id_col).limit(k)
 
 
-def query_many(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector_col: str = "embedding", max_queries: int = 10_000) -> DataFrame:
-    """The ``k`` nearest rows for each of a bounded set of queries (query_id, query_vector): query_id, rank, hit_id, distance.
+def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, v) dealt into blocks of about ``size`` a vector length (width, ``name``, ids, flat), and the blocks of each length."""
+    v = F.col("v").cast("array<double>")
+    fine = F.forall(v, lambda x: x.isNotNull()) & F.exists(v, lambda x: x != 0)
+    rows = rows.select("id", v.alias("v"), F.size("v").alias("width")).filter(fine)
+    sizes = rows.groupBy("width").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+    dealt = rows.join(F.broadcast(sizes), "width").withColumn(name, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("blocks")).cast("int"))
+    held = dealt.groupBy("width", name).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
+    return held.select("width", name, F.transform("rows", lambda r: r["id"]).alias("ids"), F.flatten(F.transform("rows", lambda r: r["v"])).alias("flat")), sizes
+
+
+def _ordered_sum(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows from left to right, so that equal vectors have equal distances wherever they lie."""
+    return np.cumsum(x, axis=1)[:, -1]
+
+
+def query_many(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "chunk_id", vector_col: str = "embedding", max_queries: int | None = None) -> DataFrame:
+    """The ``k`` nearest rows for each query (query_id, query_vector) among the vectors of its length: query_id, rank, hit_id, distance.
 
-    The queries, at most ``max_queries`` of them, travel to the collection.  A
-    task keeps the best ``k`` of each query over all it reads, so what is
-    shuffled is queries x k rows a task, whatever the collection's size.
+    Blocks of queries visit every block of the collection, and a visit sends
+    back ``k`` rows a query.  Any number of queries is searched; a caller that
+    wants a bound names it as ``max_queries``, and more are an error.  Vectors
+    that are null, all zero or hold nulls take no part, nor do pairs without a
+    distance.
     """
-    asked = queries.limit(max_queries + 1).collect()
-    if len(asked) > max_queries:
+    if max_queries is not None and queries.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"more than {max_queries} queries; search them in parts")
     id_type = collection.schema[id_col].dataType.simpleString()
     query_type = queries.schema["query_id"].dataType.simpleString()
-    asked = [r for r in asked if r["query_vector"] and any(r["query_vector"])]
-    width = len(asked[0]["query_vector"]) if asked else 0
-    asked = [r for r in asked if len(r["query_vector"]) == width]
-    matrix = np.array([r["query_vector"] for r in asked], float).reshape(-1, width)
-    unit = collection.sparkSession.sparkContext.broadcast(matrix / np.linalg.norm(matrix, axis=1, keepdims=True) if asked else matrix)
-    names = [r["query_id"] for r in asked]
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        q = unit.value
-        held: list[list[tuple]] = [[] for _ in range(len(q))]
-        for pdf in batches:
-            pdf = pdf[pdf["v"].map(lambda v: v is not None and len(v) == width and bool(np.any(v)))]
-            for at in range(0, len(pdf) if len(q) else 0, 1024):
-                part = pdf.iloc[at : at + 1024]
-                vectors = np.stack(part["v"].to_numpy()).astype(float)
-                distance = 1 - (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)) @ q.T
-                ids = part["hit_id"].tolist()
-                for j in range(len(q)):
-                    d = distance[:, j]
-                    near = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1]) if len(d) > k else range(len(d))
-                    held[j] = sorted(held[j] + [(float(d[i]), ids[i]) for i in near])[:k]
-        rows = [(names[j], i, d) for j, own in enumerate(held) for d, i in own]
-        yield pd.DataFrame(rows, columns=["query_id", "hit_id", "distance"])
-
-    best = collection.select(F.col(id_col).alias("hit_id"), F.col(vector_col).alias("v")).mapInPandas(nearest, f"query_id {query_type}, hit_id {id_type}, distance double")
+    data, sizes = _blocks(collection.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), BLOCK_ROWS, "block")
+    asked, _ = _blocks(queries.select(F.col("query_id").alias("id"), F.col("query_vector").alias("v")), BLOCK_QUERIES, "qblock")
+    asked = asked.select("width", "qblock", F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
+    visits = asked.join(F.broadcast(sizes), "width").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
+    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for width, ids, flat, qids, qflat in zip(pdf["width"], pdf["ids"], pdf["flat"], pdf["qids"], pdf["qflat"], strict=True):
+            v, q = (np.asarray(x, float).reshape(-1, width) for x in (flat, qflat))
+            size, qsize = np.sqrt(_ordered_sum(v * v)), np.sqrt(_ordered_sum(q * q))
+            with np.errstate(all="ignore"):
+                rough = 1 - (q / qsize[:, None]) @ (v / size[:, None]).T
+            for j, own in enumerate(rough):
+                own = np.where(np.isnan(own), np.inf, own)
+                near = np.flatnonzero(own <= np.partition(own, k - 1)[k - 1] + 1e-9 if len(own) > k else own < np.inf)
+                exact = 1 - _ordered_sum(v[near] * q[j]) / (size[near] * qsize[j])
+                best = sorted((float(d), ids[i]) for d, i in zip(exact, near, strict=True) if np.isfinite(d))[:k]
+                out += [(qids[j], i, d) for d, i in best]
+        return pd.DataFrame(out, columns=["query_id", "hit_id", "distance"])
+
+    best = data.join(visits, ["width", "block"]).groupBy("width", "block", "qblock").applyInPandas(visit, f"query_id {query_type}, hit_id {id_type}, distance double")
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "hit_id"))
     return best.withColumn("rank", final).filter(F.col("rank") <= k).select("query_id", "rank", "hit_id", "distance")
 

@@ -64,6 +64,20 @@ def test_query_many_is_query(spark):
         corpus.query_many(df, qs, 4, max_queries=2)
 
 
+def test_query_many_takes_any_number_and_length(spark, monkeypatch):
+    many = spark.range(10_050).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.col("id").cast("double")).alias("query_vector"))
+    df = spark.createDataFrame([chunk_row("https://a/", i, [1, i]) for i in range(5)] + [chunk_row("https://b/", i, [1, i, i]) for i in range(5)], CORPUS)
+    got = corpus.query_many(df, many, 2)
+    assert got.count() == 20_100 and got.select("query_id").distinct().count() == 10_050
+    monkeypatch.setattr(corpus, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(corpus, "BLOCK_QUERIES", 3)
+    mixed = many.limit(7).unionByName(spark.createDataFrame([(100, [1.0, 2.0, 2.0]), (101, [1.0])], "query_id long, query_vector array<double>"))
+    got = corpus.query_many(df, mixed, 3).collect()
+    for q in mixed.collect():
+        one = [(r["chunk_id"], r["distance"]) for r in corpus.query(df, list(q["query_vector"]), 3).collect()]
+        assert [(r["hit_id"], r["distance"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q["query_id"]] == one
+
+
 def test_vectors_join_one_to_one(spark):
     chunks = rows(spark).drop("embedding")
     vectors = spark.createDataFrame([(f"https://a/{i}", [1.0]) for i in (1, 2, 3)], "chunk_id string, embedding array<float>")
