@@ -11,20 +11,24 @@ Two uses:
   two bits, exactly.  Three segments (22, 21 and 21 bits): of two errors at
   least one segment has none (pigeonhole) and its neighbour at most two, which
   the words in the ball of radius one around it decode to a common codeword.
-* :func:`near_duplicates` links documents whose five-word shingle sets are
-  similar (0.8 or more).  Fingerprints of 512 bits, whose segments are decoded
-  with the bits' majorities as weights, find the candidates; the sets of those,
-  as hashes, are then compared.
+* :func:`near_duplicates` links documents whose five-word shingle sets have a
+  similarity of 0.8 or more.  Fingerprints of 512 bits, whose segments are
+  decoded with the bits' majorities as weights, find who is to be compared with
+  whom; links rest on the sets themselves, as hashes.
 
-Copies meet as one fingerprint first.  In a bucket of many fingerprints no
-pairs are formed: :func:`components_within` meets them through the words half
-way between them, 65 a fingerprint, and :func:`near_duplicates` verifies all
-against the bucket's least one, then in rounds only what that left apart.
+Copies meet as one fingerprint first, and no bucket's pairs are formed when it
+has many members: :func:`components_within` meets those through the words half
+way between them, 65 a fingerprint; :func:`near_duplicates` compares the members
+of a group by their differences to one reference set, all pairs of 0.8 and more
+being connected (see :func:`_links`).
 
 Defined results: null, empty and white-space texts have fingerprint zero and
 link to each other like any others (:func:`components_within`), or are never
-near-duplicates (:func:`near_duplicates`); null ids are never a component's
-name unless it has no other; repeated rows are kept.
+near-duplicates (:func:`near_duplicates`); texts of fewer words than a shingle
+are one shingle; a class is named by its least id, null ids are never a name
+unless a component has no other; repeated rows are kept; rows of one id with
+different texts are compared each; an empty table gives no row; texts are read
+whole, a block at a time; columns of other names are no input.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -227,17 +232,19 @@ def hex64(fp: Column) -> Column:
 
 WORDS = 8
 BANDS = 7
-#: Members of a bucket of soft keys up to which its pairs are formed.
-PAIRED = 3
-#: Rounds in which the strays of large buckets meet before they are compared one by one.
-ROUNDS = 4
 #: Choices of codewords by rank (0: best fit) for the three segments of a band: the likeliest of the three best each.
 PROBES = [c for c in product(range(3), repeat=3) if sum(c) <= 3]
-#: Bits of 512 up to which a candidate's sets are compared.  Sets of similarity 0.8 differ in 77.5 bits on average
-#: (512 * acos(2 * 0.8 / 1.8) / pi), the smallest ones (four shingles of five) in 96; four deviations of 8.8 more.
+#: Bits of 512 up to which the sets of a pair that met nobody else are compared.  Sets of similarity 0.8 differ in 77.5
+#: bits on average (512 * acos(2 * 0.8 / 1.8) / pi), the smallest ones (four shingles of five) in 96; four deviations of 8.8 more.
 APART = 131
 #: Least similarity of a link, as a fraction: common shingles by all shingles of the two sets.
 SIMILAR = (4, 5)
+#: The same in shingles that only one of two sets has: a link has SPAN of them at most for STEP shingles of both sets.
+SPAN, STEP = SIMILAR[1] + SIMILAR[0], SIMILAR[1] - SIMILAR[0]
+#: A shingle is frequent in a group when one in so many differences holds it.
+FREQUENT = 64
+#: Keys, and ids, up to which a semi join broadcasts them; counted first.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
@@ -246,6 +253,12 @@ def shingle_set(raw: bytes | None, size: int) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
+def set_mark(h: np.ndarray) -> int:
+    """Hash of a shingle set, as a signed number."""
+    mark = xxhash.xxh64_intdigest(h.tobytes(), SEED)
+    return mark - (1 << 64) if mark >> 63 else mark
+
+
 def wide_counts(h: np.ndarray) -> np.ndarray:
     """Bit counts of distinct shingles over eight mixes of their hashes."""
     counts = [bit_counts(h)]
@@ -256,116 +269,212 @@ def wide_counts(h: np.ndarray) -> np.ndarray:
     return np.concatenate(counts)
 
 
-def soft_keys(lean: np.ndarray) -> np.ndarray:
-    """Keys of each row of ``lean`` (how far each bit is from even): every probe of every band of three segments."""
+def nearest_codes(lean: np.ndarray) -> np.ndarray:
+    """The three best codewords of every segment, for each row of ``lean`` (how far each bit is from even)."""
     rows = np.arange(len(lean))
     signs = sign_words()
-    best = np.zeros((len(lean), 3 * BANDS, 3), np.int64)
+    best = np.zeros((len(lean), 3 * BANDS, 3), "<i2")
     for s in range(3 * BANDS):
         fit = lean[:, 24 * s : 24 * s + 24].astype(np.float32) @ signs
         for rank in range(3):
             best[:, s, rank] = fit.argmax(axis=1)
             fit[rows, best[:, s, rank]] = -np.inf
-    keys = np.zeros((len(lean), BANDS, len(PROBES)), np.int64)
+    return best
+
+
+def soft_keys(codes: np.ndarray, probes: list[tuple[int, int, int]]) -> np.ndarray:
+    """Keys of each row of ``codes``: every probe of every band of three segments."""
+    codes = codes.astype(np.int64)
+    keys = np.zeros((len(codes), BANDS, len(probes)), np.int64)
     for b in range(BANDS):
-        for p, (i, j, k) in enumerate(PROBES):
-            keys[:, b, p] = (b << 36) | (best[:, 3 * b, i] << 24) | (best[:, 3 * b + 1, j] << 12) | best[:, 3 * b + 2, k]
-    return keys.reshape(len(lean), -1)
+        for p, (i, j, k) in enumerate(probes):
+            keys[:, b, p] = (b << 36) | (codes[:, 3 * b, i] << 24) | (codes[:, 3 * b + 1, j] << 12) | codes[:, 3 * b + 2, k]
+    return keys.reshape(len(codes), -1)
 
 
 def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``w`` (fingerprint), ``sig`` (hash of the shingle set), ``keys`` of every document with at least one word."""
+    """``id``, ``w`` (fingerprint), ``mark`` (hash of the shingle set), ``codes`` (:func:`nearest_codes`) of every document with a word."""
 
-    @F.pandas_udf("w array<long>, sig long, keys array<long>")
+    @F.pandas_udf("w array<long>, mark long, codes binary")
     def sketch(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield from tidy(sketched(batches))
 
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for raws in batches:
-            w, sig, keys = [], [], []
+            w, mark, codes = [], [], []
             for at in range(0, len(raws), 256):
                 lean, some = [], []
                 for r in raws.iloc[at : at + 256]:
                     h = shingle_set(r, size)
                     lean.append(2 * wide_counts(h) - len(h))
                     some.append(len(h) > 0)
-                    sig.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
+                    mark.append(set_mark(h))
                 lean = np.stack(lean)
                 words = np.packbits(lean > 0, axis=1, bitorder="little").view("<i8")
-                own = soft_keys(lean)
                 w += [x if ok else None for x, ok in zip(words, some, strict=True)]
-                keys += [x if ok else None for x, ok in zip(own, some, strict=True)]
-            yield pd.DataFrame({"w": pd.Series(w, dtype=object), "sig": np.array(sig, np.uint64).view(np.int64), "keys": pd.Series(keys, dtype=object)})
+                codes += [c.tobytes() for c in nearest_codes(lean)]
+            yield pd.DataFrame({"w": pd.Series(w, dtype=object), "mark": np.array(mark, np.int64), "codes": pd.Series(codes, dtype=object)})
 
     out = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col).cast("string").cast("binary")).alias("_s")).filter("_s.w is not null")
-    return out.select("id", F.col("_s.w").alias("w"), F.col("_s.sig").alias("sig"), F.col("_s.keys").alias("keys"))
+    return out.select("id", "_s.w", "_s.mark", "_s.codes")
+
+
+def _keys_of(labelled: DataFrame, probes: list[tuple[int, int, int]]) -> DataFrame:
+    """``g``, ``s``, ``key``: the keys of the members of each group; rows of one group that stand together send each key once."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            g, s = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            codes = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i2").reshape(-1, 3 * BANDS, 3)
+            keys = soft_keys(codes, probes)
+            row = np.repeat(np.arange(len(g)), keys.shape[1])
+            keys = keys.ravel()
+            order = np.lexsort((keys, g[row]))
+            row, keys = row[order], keys[order]
+            own = g[row]
+            new = np.append(True, (own[1:] != own[:-1]) | (keys[1:] != keys[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(own[new]), pa.array(s[row[new]]), pa.array(keys[new])], names=["g", "s", "key"])
+
+    return labelled.select("g", "s", "codes").mapInArrow(expand, "g long, s long, key long")
+
+
+def _groups(nodes: DataFrame) -> DataFrame:
+    """``p``, ``node``: every node in its own group, and in each group it has to be compared with.
+
+    A node's own group is the largest bucket that its best codewords put it in.
+    Then all keys are sent once a group, not once a member, and where groups
+    share a key the smaller ones' members join the largest: whichever two nodes
+    share a key are in one group.
+    """
+    best = _keys_of(nodes.select(F.col("node").alias("g"), F.lit(1).cast("long").alias("s"), "codes"), PROBES[:1]).select(F.col("g").alias("node"), "key")
+    order = best.join(nodes.select("node", F.struct("least", "mark", "node").alias("o")), "node")
+    bucket = order.groupBy("key").agg(F.count("*").alias("n"), F.min("o").alias("hub")).filter("n > 1").select("key", "n", F.col("hub.node").alias("hub"))
+    own = best.join(bucket, "key").groupBy("node").agg(F.max_by("hub", F.struct("n", "key")).alias("g"))
+    grouped = nodes.join(own, "node", "left").select("node", F.coalesce("g", "node").alias("g"), "codes")
+    sizes = grouped.groupBy("g").agg(F.count("*").alias("s"))
+    labelled = materialize(grouped.join(sizes, "g").select("node", "g", "s", "codes").sortWithinPartitions("g"), "groups")
+    every = _keys_of(labelled, PROBES)
+    met = materialize(every.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key"), "met-keys")
+    sharing = materialize(every.join(_small(met), "key", "left_semi").distinct(), "sharing")
+    top = sharing.groupBy("key").agg(F.max_by("g", F.struct("s", "g")).alias("p"))
+    meet = sharing.join(top, "key").filter("g <> p").select("p", "g").distinct()
+    members = labelled.select("g", "node")
+    return members.withColumnRenamed("g", "p").unionAll(meet.join(members, "g").select("p", "node"))
+
+
+def _small(rows: DataFrame) -> DataFrame:
+    """``rows``, marked for a broadcast if a count finds them few."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
 
 
 def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``node``, ``shingles`` (distinct hashes) of every row of ``docs``."""
+    """``least``, ``mark``, ``shingles`` (distinct hashes) of every row of ``docs``."""
 
-    @F.pandas_udf("array<long>")
-    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from tidy(pd.Series([shingle_set(r, size).view(np.int64) for r in raws], dtype=object) for raws in batches)
+    @F.pandas_udf("mark long, shingles array<long>")
+    def sets(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from tidy(made(batches))
+
+    def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for raws in batches:
+            own = [shingle_set(r, size) for r in raws]
+            yield pd.DataFrame({"mark": np.array([set_mark(h) for h in own], np.int64), "shingles": pd.Series([h.view(np.int64) for h in own], dtype=object)})
+
+    out = docs.select(F.col(id_col).alias("least"), sets(F.col(text_col).cast("string").cast("binary")).alias("_s"))
+    return out.select("least", "_s.mark", "_s.shingles")
 
-    return docs.select(F.col(id_col).alias("node"), sets(F.col(text_col).cast("string").cast("binary")).alias("shingles"))
 
+def _either(a: str, b: str) -> Column:
+    """What only one of two sets holds."""
+    return F.concat(F.array_except(a, b), F.array_except(b, a))
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """The pairs ``u``, ``v`` whose shingle sets are similar enough; only sets of near fingerprints are made and compared."""
+
+def _links(nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """Edges ``u``, ``v`` between nodes of similarity 0.8 and more that connect whatever such nodes share a key.
+
+    In a group every set is replaced by its difference to one reference set: two
+    sets differ in just the shingles that their differences differ in.  Around a
+    reference near the middle differences are short, and most have no shingle in
+    common; then their lengths tell whether they link, and all that link by
+    length link to the one of least difference.  The others must share one of
+    their rarest shingles (prefix filtering), so a group of n similar documents
+    costs about n rows and not the square.
+    """
+    groups = materialize(_groups(nodes), "memberships")
+    others = groups.filter("p <> node").groupBy("p").agg(F.count("*").alias("others"))
+    groups = materialize(groups.join(others, "p"), "groups-met")
     w = nodes.select("node", "w")
-    both = pairs.join(w.select(F.col("node").alias("u"), F.col("w").alias("wu")), "u").join(w.select(F.col("node").alias("v"), F.col("w").alias("wv")), "v")
     bits = sum((apart(F.col("wu")[k], F.col("wv")[k]) for k in range(1, WORDS)), apart(F.col("wu")[0], F.col("wv")[0]))
-    near = materialize(both.filter(bits <= APART).select("u", "v").distinct(), "near-pairs")
-    asked = near.select(F.explode(F.array("u", "v")).alias("_asked")).distinct()
-    own = docs.select(id_col, text_col).join(asked, F.col(id_col) == F.col("_asked"), "left_semi").distinct()
-    own = materialize(shingle_sets(own, size, id_col, text_col), "shingle-sets")
-    both = near.join(own.select(F.col("node").alias("u"), F.col("shingles").alias("su")), "u").join(own.select(F.col("node").alias("v"), F.col("shingles").alias("sv")), "v")
-    common = F.size(F.array_intersect("su", "sv"))
-    some, of = SIMILAR
-    return both.filter(common * of >= (F.size("su") + F.size("sv") - common) * some).select("u", "v").distinct()
+    two = groups.filter("others = 1 and p <> node").join(w.withColumnRenamed("w", "wu"), "node").join(w.select(F.col("node").alias("p"), F.col("w").alias("wv")), "p").filter(bits <= APART)
+    kept = materialize(groups.filter("others > 1").unionAll(two.select("p", "node", "others")), "groups-kept")
+
+    name = nodes.select("node", "least", "mark")
+    asked = materialize(kept.select(F.explode(F.array("p", "node")).alias("node")).distinct().join(name, "node"), "asked")
+    ids = _small(materialize(asked.select(F.col("least").alias("_asked")).distinct(), "asked-ids"))
+    own = shingle_sets(docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_asked"), "left_semi"), size, id_col, text_col)
+    sets = materialize(own.join(asked, ["least", "mark"]).groupBy("node").agg(F.any_value("shingles").alias("su")), "shingle-sets")
+    both = kept.join(sets, "node").join(sets.select(F.col("node").alias("p"), F.col("su").alias("sp")), "p")
+    apart_ = materialize(both.select("p", "node", "others", F.size("su").alias("n"), F.size("sp").alias("np"), _either("su", "sp").alias("d")), "differences")
+    stars = apart_.filter((F.size("d") * SPAN <= (F.col("n") + F.col("np")) * STEP) & (F.col("p") != F.col("node"))).select(F.col("p").alias("u"), F.col("node").alias("v"))
+
+    # Move the reference to the middle: shingles that most differences hold change sides.  Frequent shingles, at most
+    # FREQUENT times a difference's length of them, go to the end of the order.
+    many = apart_.filter("others > 1").select("p", "node", "n", "d")
+    held = many.groupBy("p").agg(F.count("*").alias("k"))
+    often = many.select("p", F.explode("d").alias("t")).groupBy("p", "t").agg(F.count("*").alias("c")).filter("c > 1").join(held, "p").filter(F.col("c") * FREQUENT > F.col("k"))
+    listed = often.groupBy("p").agg(F.array_sort(F.collect_list(F.struct(F.least("c", F.col("k") - F.col("c")).alias("r"), "t", (F.col("c") * 2 > F.col("k")).alias("f")))).alias("l"))
+    listed = listed.select("p", F.col("l.t").alias("often"), F.filter("l", lambda x: x["f"])["t"].alias("flips"))
+    none = F.array().cast("array<bigint>")
+    centred = many.join(listed, "p", "left").withColumns({"often": F.coalesce("often", none), "flips": F.coalesce("flips", none)}).withColumn("d", _either("d", "flips"))
+    ordered = F.concat(F.array_sort(F.array_except("d", "often")), F.array_intersect("often", "d"))
+    centred = materialize(centred.select("p", "node", "n", F.size("d").alias("m"), (F.size("d") * SPAN - F.col("n") * STEP).alias("x"), ordered.alias("d")), "centred")
+    middle = centred.groupBy("p").agg(F.min(F.struct("x", "node")).alias("c"), F.max("n").alias("most"))
+    roled = centred.join(middle, "p").withColumn("core", F.col("x") + F.col("c.x") <= 0)
+    cores = roled.filter(F.col("core") & (F.col("node") != F.col("c.node"))).select(F.col("c.node").alias("u"), F.col("node").alias("v"))
+
+    # Pairs with a common shingle in their differences, not both in the core.  ``low``: the least difference of a partner.
+    strays = roled.filter(~F.col("core")).groupBy("p").agg(F.min("m").alias("stray"))
+    roled = materialize(roled.select("p", "node", "n", "m", "d", "core", "most").join(strays, "p"), "roles")
+    room = F.expr(f"(n + least(n * {SIMILAR[1]} div {SIMILAR[0]}, most)) * {STEP} div {SPAN}")
+    low = F.when(F.col("core"), F.col("stray")).otherwise(0)
+    common = F.floor((F.col("m") + F.col("low") - F.col("room") + 1) / 2)
+    roled = roled.withColumn("room", room)
+    prefix = F.greatest(F.lit(0), F.least(F.col("m"), F.col("m") - common + 1)).cast("int")
+    shorter = roled.withColumn("low", F.greatest(F.col("m"), low)).withColumn("prefix", prefix)
+    longer = roled.filter(~F.col("core") | (F.col("m") >= F.col("stray"))).withColumn("low", F.greatest(F.col("m") - F.col("room"), low)).withColumn("prefix", prefix)
+
+    def tokens(side: DataFrame, s: str) -> DataFrame:
+        cut = side.filter("prefix > 0").select("p", "node", "n", "m", "core", F.posexplode(F.slice("d", 1, F.col("prefix"))).alias("at", "t"))
+        return cut.select("p", "t", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "m", "core", "at")))
+
+    shared = F.expr(f"(m_a + m_b - (n_a + n_b) * {STEP} div {SPAN} + 1) div 2")
+    met = tokens(shorter, "a").join(tokens(longer, "b"), ["p", "t"]).filter(
+        ~(F.col("core_a") & F.col("core_b"))
+        & ((F.col("m_a") < F.col("m_b")) | ((F.col("m_a") == F.col("m_b")) & (F.col("node_a") < F.col("node_b"))))
+        & (shared >= 1)
+        & (F.col("at_a") + shared <= F.col("m_a"))
+        & (F.col("at_b") + shared <= F.col("m_b"))
+    )
+    pairs = met.select("p", F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+    side = roled.select("p", "node", "n", "m", "d")
+    for s in ("u", "v"):
+        pairs = pairs.join(side.select("p", *(F.col(c).alias(s if c == "node" else f"{c}_{s}") for c in ("node", "n", "m", "d"))), ["p", s])
+    differ = F.col("m_u") + F.col("m_v") - 2 * F.size(F.array_intersect("d_u", "d_v"))
+    found = pairs.filter(differ * SPAN <= (F.col("n_u") + F.col("n_v")) * STEP).select("u", "v")
+    return stars.unionAll(cores).unionAll(found).distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:
-    """``id``, ``root``: for every id with words whose document has a near-duplicate, the least id of its class."""
+    """``id``, ``root``: for every id with words, the least id of its class of near-duplicates."""
     known = materialize(sketches(docs.filter(F.col(id_col).isNotNull()), size, id_col, text_col), "sketches")
-    same = known.groupBy("w", "sig").agg(F.min("id").alias("node"), F.min_by("keys", "id").alias("keys"))
-    nodes = materialize(same, "sketch-nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    size_of = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("hub")).filter("n > 1")
-    shared = materialize(keyed.join(size_of, "key"), "soft-keys")
-    few = shared.filter(F.col("n") <= PAIRED)
-    close = few.select("key", F.col("node").alias("u")).join(few.select("key", F.col("node").alias("v")), "key").filter("u < v").select("u", "v")
-    many = shared.filter((F.col("n") > PAIRED) & (F.col("node") != F.col("hub")))
-    links = _verified(close.unionAll(many.select(F.col("hub").alias("u"), F.col("node").alias("v"))).distinct(), nodes, docs, size, id_col, text_col)
-    classes = components(links)
-    # Large buckets again: strays, the members outside a bucket's least class, meet at the least of them, so that a
-    # round costs no more than the bucket's size.  When few are left, or a round joined none, they are compared with all
-    # other classes' members.
-    large = shared.filter(F.col("n") > PAIRED).select("key", "node")
-    before = None
-    for turn in range(ROUNDS + 1):
-        named = materialize(large.join(classes, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "named")
-        hubs = named.groupBy("key").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least <> most")
-        strays = named.join(hubs, "key").filter("root <> least")
-        width = strays.groupBy("key").agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.sum("n").alias("all")).first()
-        if not width["n"]:
-            break
-        last = width["n"] <= BUCKET or turn == ROUNDS or width["all"] == before
-        before = width["all"]
-        if last:
-            members = named.join(hubs.select("key"), "key", "left_semi").select("key", F.col("node").alias("v"), F.col("root").alias("rv"))
-            pairs = strays.select("key", F.col("node").alias("u"), F.col("root").alias("ru")).join(members, "key").filter("ru <> rv")
-        else:
-            hub = strays.groupBy("key").agg(F.min("node").alias("v"), F.min_by("root", "node").alias("rv"))
-            pairs = strays.select("key", F.col("node").alias("u"), F.col("root").alias("ru")).join(hub, "key").filter("ru <> rv")
-        new = _verified(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), nodes, docs, size, id_col, text_col)
-        classes = components(classes.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(new))
-        if last:
-            break
-    final = classes
-    of = known.select("id", "w", "sig").join(nodes.select("w", "sig", "node"), ["w", "sig"]).select("id", "node")
-    return of.join(final, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
+    same = known.groupBy("w", "mark").agg(F.min("id").alias("least"), F.any_value("codes").alias("codes"))
+    nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
+    classes = components(_links(nodes, docs, size, id_col, text_col))
+    rooted = materialize(nodes.select("node", "w", "mark", "least").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    named = rooted.groupBy("root").agg(F.min("least").alias("name"))
+    of = rooted.join(named, "root").select("w", "mark", "name")
+    return known.select("id", "w", "mark").join(of, ["w", "mark"]).select("id", F.col("name").alias("root"))
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, id_col="doc_id", text_col="text") -> DataFrame:

@@ -132,13 +132,9 @@ def test_near_duplicates(spark, monkeypatch):
         rows.append((100 + k, " ".join(words)))
         planted.append((k, 100 + k))
     rows += [(200 + i, clean[50] + f" tail{i}") for i in range(60)] + [(400, None), (401, ""), (402, " "), (None, clean[0])]
-    monkeypatch.setattr(simhash, "PAIRED", 1)  # all buckets are then large
-    monkeypatch.setattr(simhash, "BUCKET", 1)
-    monkeypatch.setattr(simhash, "ROUNDS", 1)
-    strict = {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
-    monkeypatch.undo()
     got = {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
-    assert got == strict
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)  # every semi join shuffles
+    assert got == {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()}
     assert sum(got[a] == got[b] == a for a, b in planted) >= 39
     assert all(got[200 + i] == 50 for i in range(60))
     assert all(got[k] == k for k in range(60))
@@ -168,7 +164,8 @@ def test_soft_keys_are_shared_at_the_threshold(spark):
         if 0.8 <= shingle_similarity(a, b) < 0.85:
             pairs.append((a, b))
     rows = [(2 * i + side, " ".join(t)) for i, pair in enumerate(pairs) for side, t in enumerate(pair)]
-    keys = {r["id"]: set(r["keys"]) for r in simhash.sketches(frame(spark, rows), 5, "doc_id", "text").collect()}
+    codes = [(r["id"], np.frombuffer(r["codes"], "<i2").reshape(-1, 3 * simhash.BANDS, 3)) for r in simhash.sketches(frame(spark, rows), 5, "doc_id", "text").collect()]
+    keys = {i: set(simhash.soft_keys(c, simhash.PROBES)[0].tolist()) for i, c in codes}
     assert sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(400)) >= 380
 
 
@@ -189,9 +186,35 @@ def test_links_are_of_the_stated_similarity(spark):
     assert len(near) >= 5 and sum(got[b] == b - 1 for b in near) >= 0.95 * len(near)
 
 
+def near_classes(rows):
+    """Least id of what links of 0.8 and more connect, by comparing all pairs."""
+    sets = {i: set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for i, t in rows}
+    links = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return closure(links + [(i, i) for i in sets])
+
+
+def test_links_of_groups_by_brute_force(spark, monkeypatch):
+    """Whatever shares a key is compared: all texts in one bucket, families whose members link through others, or not at all."""
+    monkeypatch.setattr(simhash, "soft_keys", lambda codes, probes: np.zeros((len(codes), 1), np.int64))
+    rng = random.Random(13)
+    rows = []
+    for family in range(3):
+        base = [f"w{rng.randrange(10**6)}" for _ in range((80, 150, 40)[family])]
+        sub = edited(base, 0.1, rng, "s")  # a family within the family
+        for k in range(70):
+            words = list(base if k % 3 else sub)
+            for _ in range(rng.randrange(7)):
+                words[rng.randrange(len(words))] = f"v{rng.randrange(4)}"
+            rows.append((1000 * family + k, " ".join(words[: len(words) - rng.randrange(4)])))
+    rows += [(5000 + i, " ".join(f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 60)))) for i in range(30)]
+    want = near_classes(rows)
+    assert len(set(want.values())) >= 60 and max(collections.Counter(want.values()).values()) >= 10
+    assert {r["id"]: r["root"] for r in simhash.near_duplicates(frame(spark, rows)).collect()} == want
+
+
 def test_equal_fingerprints_are_no_proof(spark, monkeypatch):
     monkeypatch.setattr(simhash, "APART", 512)
-    monkeypatch.setattr(simhash, "soft_keys", lambda lean: np.zeros((len(lean), 1), np.int64))  # one bucket for all
+    monkeypatch.setattr(simhash, "soft_keys", lambda codes, probes: np.zeros((len(codes), 1), np.int64))  # one bucket for all
     rng = random.Random(13)
     texts = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(25)]
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t[:-1] + ["x"])) for i, t in enumerate(texts)]
@@ -199,6 +222,14 @@ def test_equal_fingerprints_are_no_proof(spark, monkeypatch):
     assert got == {i: i % 100 for i, _ in rows}
 
 
+def test_repeated_ids_and_odd_texts(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, "another text of five words"), (1, text), (2, text + " more"), (3, "one two"), (4, "one two"), (5, None), (6, ""), (None, text), (7, "ONE two")]
+    got = collections.Counter((r["id"], r["root"]) for r in simhash.near_duplicates(frame(spark, rows)).collect())
+    assert got == {(1, 1): 3, (2, 1): 1, (3, 3): 1, (4, 3): 1, (7, 3): 1}
+    assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+
+
 # ------------------------------------------------------------------ substrings
 
 
