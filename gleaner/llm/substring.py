@@ -18,8 +18,10 @@ A factor of at least ``window`` words is a duplicate span.  Order of documents:
 smaller id first, null ids last, then a hash of the text; rows with equal id
 and text are one document.
 
-Defined results: null text has no words; texts shorter than a window lose
-nothing; other columns are untouched.
+Defined results: null and empty texts have no words; texts shorter than a window
+lose nothing; other columns are untouched, whatever their names; an empty table
+gives no row; long texts are hashed a megabyte at a time and indexed in pieces
+that overlap by a window less one word; of equal windows the earliest stays.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pandas.util import hash_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shuffle_width, tidy
@@ -294,16 +296,14 @@ def unpack_spans(raw: bytes) -> Iterator[tuple[int, int, bytes]]:
         at += size
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Adds ``_kid`` (null ids last) and ``_dg``, which together name a document."""
+def _named(docs: DataFrame, id_col: str, text_col: str) -> dict[str, Column]:
+    """``_kid`` (null ids last) and ``_dg``, which together name a document."""
     text = F.col(text_col).cast("string")
-    return docs.withColumns(
-        {
-            "_kid": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)),
-            "_dg": F.xxhash64(text, F.col(id_col).isNull()),
-            "_raw": F.coalesce(text, F.lit("")).cast("binary"),
-        }
-    )
+    return {"_kid": F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)), "_dg": F.xxhash64(text, F.col(id_col).isNull())}
+
+
+def _bytes(text_col: str) -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
 
 
 def _batch(*columns: tuple[str, pa.DataType, list]) -> pa.RecordBatch:
@@ -366,7 +366,7 @@ def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col=
             some = keys[at : at + 2_000]
             yield _batch(("kid", pa.int64(), [k for k, _ in some]), ("dg", pa.int64(), [d for _, d in some]), ("spans", pa.binary(), [b"".join(by[k]) for k in some]))
 
-    keyed = _keyed(docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")), "_i", "_t").select("_kid", "_dg", "_raw")
+    keyed = docs.select(*(c.alias(n) for n, c in _named(docs, id_col, text_col).items()), _bytes(text_col).alias("_raw"))
     met = keyed.mapInArrow(index, ENTRY).repartitionById(parts, F.col("part")).mapInArrow(meet, "bucket int, spans binary")
     return met.repartitionById(parts, F.col("bucket")).mapInArrow(gather, "kid long, dg long, spans binary")
 
@@ -401,15 +401,16 @@ def cut(raw: bytes, gone: np.ndarray) -> bytes:
     return out.rstrip() if len(gone) and gone[-1] else out
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col="text", joined: bool = True) -> DataFrame:
-    """Every row of ``docs`` with all its columns and ``n_words``, ``n_removed``, ``kept``.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col="text", joined: bool = True, columns=("n_words", "n_removed", "kept")) -> DataFrame:
+    """Every row of ``docs`` with all its columns and three more, named by ``columns``: words, removed words, what is kept.
 
-    ``kept``: the words that stay, joined by one space, or with their own white
-    space where ``joined`` is False.
+    Kept: the words that stay, joined by one space, or with their own white
+    space where ``joined`` is False.  Columns of ``docs`` that have one of the
+    three names are replaced; no other name can clash.
     """
-    spans = find_spans(docs, window, id_col, text_col).withColumnRenamed("spans", "_spans")
+    spans = find_spans(docs, window, id_col, text_col)
 
-    @F.pandas_udf("n_words long, n_removed long, kept string")
+    @F.pandas_udf("n long, lost long, kept string")
     def apply(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for raws, all_spans in batches:
             rows = []
@@ -422,12 +423,14 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_
                 else:
                     kept = raw if gone is None else cut(raw, gone)
                 rows.append((len(words), lost, kept.decode("utf-8", "replace")))
-            yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept"])
-
-    keyed = _keyed(docs, id_col, text_col)
-    both = keyed.join(spans.hint("shuffle_hash"), (F.col("_kid") == F.col("kid")) & (F.col("_dg") == F.col("dg")), "left")
-    own = [F.col(c) for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
-    return both.select(*own, apply(F.col("_raw"), F.col("_spans")).alias("_out")).select(*own, "_out.n_words", "_out.n_removed", "_out.kept")
+            yield pd.DataFrame(rows, columns=["n", "lost", "kept"])
+
+    # One column holds the row, so that whatever its columns are called, and the text crosses the join once.
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in _named(docs, id_col, text_col).items()))
+    both = row.join(spans.hint("shuffle_hash"), (F.col("_kid") == F.col("kid")) & (F.col("_dg") == F.col("dg")), "left")
+    out = both.select("row", apply(_bytes(f"row.`{text_col}`"), F.col("spans")).alias("out"))
+    own = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in columns]
+    return out.select(*own, *(F.col(f"out.{c}").alias(n) for c, n in zip(("n", "lost", "kept"), columns, strict=True)))
 
 
 def digest(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col="text") -> DataFrame:

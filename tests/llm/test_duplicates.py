@@ -271,6 +271,20 @@ def test_digest_by_brute_force(spark, monkeypatch):
     assert substring.digest(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_other_columns_stay_whatever_their_names(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    names = ["kid", "dg", "spans", "row", "out", "_kid", "_raw", "a.b", "lost", "n_words"]
+    docs = frame(spark, [(1, text), (2, "x  " + text + "\ty"), (3, None)])
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, F.lit(k))
+    out = substring.remove_repeats(docs, joined=False, columns=("count", "removed", "left"))
+    got = {r["doc_id"]: r.asDict() for r in out.collect()}
+    assert out.columns == [*docs.columns, "count", "removed", "left"]
+    assert all(r[n] == k for r in got.values() for k, n in enumerate(names))
+    assert [(got[i]["count"], got[i]["removed"], got[i]["left"]) for i in (1, 2, 3)] == [(30, 0, text), (32, 30, "x  y"), (0, 0, "")]
+    assert substring.remove_repeats(docs).columns == [c for c in docs.columns if c != "n_words"] + ["n_words", "n_removed", "kept"]
+
+
 def test_long_documents_in_segments():
     rng = random.Random(9)
     passage = [f"p{i}" for i in range(45)]
