@@ -27,11 +27,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut words that stand in an earlier window of twenty; the other words keep their white space."""
+    """Cut words that stand in an earlier window of twenty; the other words keep their white space.
+
+    Null, empty and short texts stay as they are; of equal passages the one of
+    the least id stays, null ids coming last; an emptied document stays, empty.
+    """
     ship(spark)
-    out = substring.remove_repeats(docs, joined=False)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    return out.withColumns({"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}).select(*docs.columns)
+    new = [next(n for n in (base + "_" * k for k in range(len(docs.columns) + 1)) if n not in docs.columns) for base in ("words", "removed", "left")]
+    out = substring.remove_repeats(docs, joined=False, columns=new)
+    cut = F.col(new[1]) > 0
+    text = F.when(cut, F.col(new[2])).otherwise(F.col("text"))
+    size = F.when(cut, F.length(new[2]).cast("long")).otherwise(F.col("n_chars"))
+    return out.withColumns({"text": text, "n_chars": size}).drop(*new)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
