@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, tidy
+from .common import materialize, shuffle_width, tidy
 from .components import components
 
 SEED = 42
@@ -354,8 +354,9 @@ def _groups(nodes: DataFrame) -> DataFrame:
     own = best.join(bucket, "key").groupBy("node").agg(F.max_by("hub", F.struct("n", "key")).alias("g"))
     grouped = nodes.join(own, "node", "left").select("node", F.coalesce("g", "node").alias("g"), "codes")
     sizes = grouped.groupBy("g").agg(F.count("*").alias("s"))
-    labelled = materialize(grouped.join(sizes, "g").select("node", "g", "s", "codes").sortWithinPartitions("g"), "groups")
-    every = _keys_of(labelled, PROBES)
+    labelled = materialize(grouped.join(sizes, "g").select("node", "g", "s", "codes"), "groups")
+    # Members side by side, large groups over several tasks, and tasks small enough for many keys a row.
+    every = _keys_of(labelled.repartitionByRange(shuffle_width(nodes.sparkSession), "g", "node").sortWithinPartitions("g"), PROBES)
     met = materialize(every.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key"), "met-keys")
     sharing = materialize(every.join(_small(met), "key", "left_semi").distinct(), "sharing")
     top = sharing.groupBy("key").agg(F.max_by("g", F.struct("s", "g")).alias("p"))
