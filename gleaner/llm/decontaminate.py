@@ -4,25 +4,34 @@ Texts become templates: names, numbers and the units behind numbers turn into
 typed placeholders, other words are lower-cased and lose their punctuation.
 Windows of five template words are hashed, and the windows of the benchmark
 meet those of the documents in a hash join, so a question asked again with
-other numbers or names still matches.  Whether it is the same question shows in
-the slots: along one alignment, every value of the benchmark item has to map to
-one value of the document.
-
-A pair (document, item) is a leak when at least half of the item's windows
-occur in the document and at least four fifths of its slot values map
-consistently (or it has no slots).  The benchmark's windows are broadcast only
-up to ``BROADCAST_WINDOWS`` rows, counted first; beyond it the same join is a
-shuffled one.
+other numbers or names still matches.  A window of placeholders only says
+nothing; it counts by its words as they stand.
+
+An alignment lays an item beside one stretch of a document: the matches whose
+places differ from the item's by about the same (a band of ``2 * DRIFT``
+shifts, so that a value of one word more does not break it), one a window of
+the item.  Whether the stretch is the same question shows in its slots: a value
+of the item has to stand for one value of the document, and the other way round.
+
+A pair (document, item) is a leak when one alignment holds at least half of the
+item's windows and at least four fifths of its slot values, on either side, map
+to one value (or it has no slots).  The alignment with most windows, then the
+most consistent, then the first is reported.  The benchmark's windows are
+broadcast only up to ``BROADCAST_WINDOWS`` rows, counted first; beyond it the
+same join is a shuffled one.
 
 Defined results: items of fewer than five template words cannot be judged and
 match nothing; of items with the same template the smallest id is reported;
-null and empty texts are clean; rows with equal id and text are one document;
-null ids are allowed.
+null and empty texts are clean; an empty table, of documents or items, gives no
+row; texts are read whole, however long; rows with equal id and text are one
+document; null ids are allowed; columns of other names are no input.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -30,6 +39,8 @@ from .common import materialize
 WORDS = 5
 COVERAGE = 0.5
 CONSISTENCY = 0.8
+#: Half the width of an alignment, in words.
+DRIFT = 4
 BROADCAST_WINDOWS = 200_000
 
 #: Placeholders: private-use characters, so that no word can be one.
@@ -63,12 +74,24 @@ def template_words(text: Column) -> Column:
     return F.array_remove(F.split(F.regexp_replace(F.lower(t), MARKS, ""), r"\s+"), "")
 
 
-def windows(words: Column) -> Column:
-    """Hashes of all windows, in order; an array of nothing for fewer words."""
+def _windows(words: Column) -> Column:
     last = F.size(words) - WORDS
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, WORDS)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _bare(spark: SparkSession) -> list[int]:
+    """Hashes of the windows of placeholders only."""
+    rows = [(list(w),) for w in product((NAME, NUMBER, UNIT), repeat=WORDS)]
+    return [r[0] for r in spark.createDataFrame(rows, "w array<string>").select(F.xxhash64("w")).collect()]
+
+
+def windows(words: Column, raws: Column, bare: list[int]) -> Column:
+    """Hashes of all windows, in order; an array of nothing for fewer words; bare windows as hashes of their raw words."""
+    plain = _windows(words)
+    as_they_stand = F.transform(plain, lambda h, i: F.when(h.isin(bare), F.xxhash64(F.slice(raws, i + 1, WORDS), F.lit(WORDS))).otherwise(h))
+    return F.when(F.exists(plain, lambda h: h.isin(bare)), as_they_stand).otherwise(plain)
+
+
 def _text(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -85,50 +108,57 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
         .select("item", "words", "raws", (F.size("words") - WORDS + 1).alias("n_windows"), F.xxhash64("words").alias("tid")),
         "items",
     )
-    asked = items.select("tid", F.posexplode(windows(F.col("words"))).alias("at", "h"))
+    bare = _bare(spark)
+    asked = items.select("tid", F.posexplode(windows(F.col("words"), F.col("raws"), bare)).alias("at", "h"))
     small = items.agg(F.sum("n_windows")).first()[0] or 0
     asked = F.broadcast(asked) if small <= BROADCAST_WINDOWS else asked
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).cast("string")).alias("dg"), _text(text_col).alias("t"))
-    placed = keyed.select("id", "dg", template_words(F.col("t")).alias("words")).select("id", "dg", F.posexplode(windows(F.col("words"))).alias("place", "h"))
-    met = materialize(placed.join(asked, "h").select("id", "dg", "tid", "at", "place"), "template-matches")
+    placed = keyed.select("id", "dg", template_words(F.col("t")).alias("words"), "t").select("id", "dg", F.posexplode(windows(F.col("words"), raw_words(F.col("t")), bare)).alias("place", "h"))
+    # One match for each window of the item in an alignment: a repeated window adds nothing.
+    band = F.floor((F.col("place") - F.col("at")) / DRIFT)
+    met = placed.join(asked, "h").select("id", "dg", "tid", "at", "place", F.explode(F.array(band, band - 1)).alias("band"))
+    met = materialize(met.groupBy("dg", "tid", "band", "at").agg(F.min("place").alias("place"), F.min("id").alias("id")), "template-matches")
     close = (
-        met.groupBy("dg", "tid")
-        .agg(F.min("id").alias("id"), F.size(F.collect_set("at")).alias("hit"))  # at most the item's windows
+        met.groupBy("dg", "tid", "band")
+        .agg(F.min("id").alias("id"), F.count("*").alias("hit"))
         .join(items.select("tid", "item", "n_windows"), "tid")
         .filter(F.col("hit") >= COVERAGE * F.col("n_windows"))
     )
     close = materialize(close, "close-pairs")
 
-    # Slots, for close pairs only: values along each alignment of item and document.
+    # Slots, for close pairs only: the values that an alignment lays side by side.
     full = keyed.join(close.select("dg").distinct(), "dg", "left_semi").dropDuplicates(["dg"]).select("dg", raw_words(F.col("t")).alias("doc_raws"))
     slots = F.filter(
         F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.struct(F.element_at("words", F.col("at") + k + 1).alias("kind"), F.element_at("raws", F.col("at") + k + 1).alias("ours"), F.element_at("doc_raws", F.col("place") + k + 1).alias("theirs"))),
         lambda s: s["kind"].isin(NAME, NUMBER, UNIT),
     )
-    pairs = (
-        met.join(close.select("dg", "tid"), ["dg", "tid"])
+    key = ["dg", "tid", "band"]
+    values = materialize(
+        met.join(close.select(*key), key)
         .join(items.filter(F.exists("words", lambda w: w.isin(NAME, NUMBER, UNIT))).select("tid", "words", "raws"), "tid")
         .join(full, "dg")
-        .select("dg", "tid", (F.col("place") - F.col("at")).alias("shift"), F.explode(slots).alias("s"))
-        .groupBy("dg", "tid", "shift", "s.kind", "s.ours")
-        .agg(F.min("s.theirs").alias("lo"), F.max("s.theirs").alias("hi"))
-        .groupBy("dg", "tid")
-        .agg(F.count("*").alias("n_slots"), F.avg((F.col("lo") == F.col("hi")).cast("double")).alias("slot_consistency"), F.max((F.col("lo") != F.col("ours")) | (F.col("hi") != F.col("ours"))).alias("reparameterised"))
+        .select(*key, F.explode(slots).alias("s"))
+        .select(*key, "s.kind", "s.ours", "s.theirs")
+        .distinct(),
+        "slot-values",
     )
-    return (
-        close.join(pairs, ["dg", "tid"], "left")
-        .filter(F.coalesce("slot_consistency", F.lit(1.0)) >= CONSISTENCY)
-        .select(
-            F.col("id").alias(id_col),
-            F.col("item").alias(item_col),
-            (F.col("hit") / F.col("n_windows")).alias("coverage"),
-            "n_windows",
-            F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"),
-            F.coalesce("slot_consistency", F.lit(1.0)).alias("slot_consistency"),
-            F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
-            "dg",
-        )
+    ours = values.groupBy(*key, "kind", "ours").agg(F.count("*").alias("n"), F.max(F.col("ours") != F.col("theirs")).alias("other"))
+    theirs = values.groupBy(*key, "kind", "theirs").agg(F.count("*").alias("n"))
+    one = F.avg((F.col("n") == 1).cast("double"))
+    pairs = ours.groupBy(*key).agg(F.count("*").alias("n_slots"), one.alias("a"), F.max("other").alias("other")).join(theirs.groupBy(*key).agg(one.alias("b")), key)
+    judged = close.join(pairs, key, "left").withColumn("same", F.coalesce(F.least("a", "b"), F.lit(1.0))).filter(F.col("same") >= CONSISTENCY)
+    # Counters for maxima: more windows, more consistent, first.
+    best = judged.groupBy("dg", "tid").agg(F.max(F.struct("hit", "same", (-F.col("band")).alias("first"), "id", "item", "n_windows", "n_slots", "other")).alias("l"))
+    return best.select(
+        F.col("l.id").alias(id_col),
+        F.col("l.item").alias(item_col),
+        (F.col("l.hit") / F.col("l.n_windows")).alias("coverage"),
+        F.col("l.n_windows").alias("n_windows"),
+        F.coalesce("l.n_slots", F.lit(0)).cast("long").alias("n_slots"),
+        F.col("l.same").alias("slot_consistency"),
+        F.coalesce("l.other", F.lit(False)).alias("reparameterised"),
+        "dg",
     )
 
 
@@ -158,21 +188,34 @@ def _words_sql(name: str) -> str:
     ELSE regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]', '', 'g') END) AS c FROM {name}3)"""
 
 
+def _window_sql(at: str) -> str:
+    """The template window, or the raw words of one that is placeholders only."""
+    kinds = "['<name>', '<number>', '<unit>']"
+    cut = f"[{at}:{at} + {WORDS - 1}]"
+    return f"CASE WHEN list_has_all({kinds}, c{cut}) THEN list_concat(['='], r{cut}) ELSE c{cut} END"
+
+
 #: DuckDB SQL with the query's rows.
 LEAK_SQL = rf"""
 WITH {_words_sql("item")},{_words_sql("doc")},
 items AS (SELECT min(id) AS item_id, arg_min(r, id) AS r, c, len(c) - {WORDS - 1} AS n FROM item WHERE len(c) >= {WORDS} GROUP BY c),
 iw AS (SELECT item_id, r, c, n, unnest(range(1, n + 1)) AS i FROM items),
 dw AS (SELECT id AS doc_id, r, c, unnest(range(1, len(c) - {WORDS - 2})) AS j FROM doc WHERE len(c) >= {WORDS}),
-iw5 AS (SELECT item_id, r, c, n, i, c[i:i + {WORDS - 1}] AS w FROM iw),
-dw5 AS (SELECT doc_id, r, j, c[j:j + {WORDS - 1}] AS w FROM dw),
-met AS (SELECT d.doc_id, t.item_id, t.n, t.i, d.j, t.r AS ir, t.c AS ic, d.r AS dr FROM dw5 d JOIN iw5 t USING (w)),
-near AS (SELECT doc_id, item_id, n, count(DISTINCT i) AS hit FROM met GROUP BY ALL HAVING count(DISTINCT i) >= {COVERAGE} * n),
+iw5 AS (SELECT item_id, r, c, n, i, {_window_sql("i")} AS w FROM iw),
+dw5 AS (SELECT doc_id, r, j, {_window_sql("j")} AS w FROM dw),
+hits AS (SELECT doc_id, item_id, n, i, j, t.r AS ir, t.c AS ic, d.r AS dr, CAST(floor((j - i) / {DRIFT}.0) AS BIGINT) - o AS band
+         FROM dw5 d JOIN iw5 t USING (w), (SELECT unnest([0, 1]) AS o)),
+met AS (SELECT doc_id, item_id, band, i, min(j) AS j, any_value(n) AS n, any_value(ir) AS ir, any_value(ic) AS ic, any_value(dr) AS dr FROM hits GROUP BY doc_id, item_id, band, i),
+near AS (SELECT doc_id, item_id, band, n, count(*) AS hit FROM met GROUP BY ALL HAVING count(*) >= {COVERAGE} * n),
 slot AS (
-  SELECT doc_id, item_id, j - i AS shift, ic[i + o] AS kind, ir[i + o] AS ours, dr[j + o] AS theirs
-  FROM met JOIN near USING (doc_id, item_id), (SELECT unnest(range(0, {WORDS})) AS o) WHERE ic[i + o] IN ('<name>', '<number>', '<unit>')),
-one AS (SELECT doc_id, item_id, shift, kind, ours, min(theirs) AS lo, max(theirs) AS hi FROM slot GROUP BY ALL),
-fit AS (SELECT doc_id, item_id, count(*) AS n_slots, avg(CASE WHEN lo = hi THEN 1.0 ELSE 0.0 END) AS share, bool_or(lo <> ours OR hi <> ours) AS other FROM one GROUP BY ALL)
-SELECT doc_id, item_id, hit / n AS coverage, CAST(n AS INTEGER) AS n_windows, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots, coalesce(share, 1.0) AS slot_consistency,
+  SELECT DISTINCT doc_id, item_id, band, ic[i + o] AS kind, ir[i + o] AS ours, dr[j + o] AS theirs
+  FROM met JOIN near USING (doc_id, item_id, band), (SELECT unnest(range(0, {WORDS})) AS o) WHERE ic[i + o] IN ('<name>', '<number>', '<unit>')),
+ours AS (SELECT doc_id, item_id, band, kind, ours, count(*) AS k, bool_or(ours <> theirs) AS other FROM slot GROUP BY ALL),
+theirs AS (SELECT doc_id, item_id, band, kind, theirs, count(*) AS k FROM slot GROUP BY ALL),
+fit AS (
+  SELECT * FROM (SELECT doc_id, item_id, band, count(*) AS n_slots, avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END) AS a, bool_or(other) AS other FROM ours GROUP BY ALL)
+  JOIN (SELECT doc_id, item_id, band, avg(CASE WHEN k = 1 THEN 1.0 ELSE 0.0 END) AS b FROM theirs GROUP BY ALL) USING (doc_id, item_id, band)),
+judged AS (SELECT *, coalesce(least(a, b), 1.0) AS same FROM near LEFT JOIN fit USING (doc_id, item_id, band))
+SELECT doc_id, item_id, hit / n AS coverage, CAST(n AS INTEGER) AS n_windows, CAST(coalesce(n_slots, 0) AS BIGINT) AS n_slots, same AS slot_consistency,
        coalesce(other, FALSE) AS reparameterised, TRUE AS contaminated
-FROM near LEFT JOIN fit USING (doc_id, item_id) WHERE coalesce(share, 1.0) >= {CONSISTENCY}"""
+FROM judged WHERE same >= {CONSISTENCY} QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY hit DESC, same DESC, band) = 1"""

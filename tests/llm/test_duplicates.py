@@ -387,6 +387,41 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert got == {1}
 
 
+def leaks(spark, items, rows):
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r for r in decontaminate.find_leaks(frame(spark, rows), bench).collect()}
+
+
+def test_a_leak_stands_in_one_place(spark):
+    words = [f"item{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]}" for i in range(40)]
+    far = " ".join(f"other{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100]}" for i in range(180))
+    half = " ".join(words[:20]), " ".join(words[20:])
+    got = leaks(spark, [(1, " ".join(words))], [(1, f"{half[0]} {far} {half[1]}"), (2, f"{far} {half[0]} a word or two {half[1]} {far}"), (3, f"{half[0]} {far}")])
+    assert set(got) == {(2, 1)}
+
+
+def test_tables_of_numbers_are_no_leak(spark):
+    rng = random.Random(5)
+    item = " ".join(str(100 + i) for i in range(12))
+    table = " ".join(str(rng.randrange(200, 10**6)) for _ in range(1000))
+    got = leaks(spark, [(1, item), (2, "Anna Berta Cara Dora Ella Fina Gina")], [(1, table), (2, table + " " + item + " and more"), (3, "so Mia Nora Olga Pia Rita Sara Tina Ute Vera Wanda")])
+    assert set(got) == {(2, 1)} and got[2, 1]["n_slots"] == 12 and not got[2, 1]["reparameterised"]
+
+
+def test_two_values_may_not_become_one(spark):
+    item = "first 1 two 2 three 3 four 4 five 5 six 6 end of it all"
+    rows = [(1, "first 9 two 9 three 9 four 9 five 9 six 9 end of it all"), (2, "first 91 two 92 three 93 four 94 five 95 six 96 end of it all")]
+    got = leaks(spark, [(1, item)], rows)
+    assert set(got) == {(2, 1)} and got[2, 1]["reparameterised"]
+
+
+def test_long_texts_and_repeats_in_decontamination(spark):
+    item = "a question of some length about nothing in particular at all"
+    rows = [(1, ("word " * 50_000) + item), (2, f"{item} " * 300), (2, f"{item} " * 300), (3, item + " x"), (3, "other")]
+    got = leaks(spark, [(1, item), (2, None), (3, "")], rows)
+    assert {k: r["coverage"] for k, r in got.items()} == {(1, 1): 1.0, (2, 1): 1.0, (3, 1): 1.0}
+
+
 def test_leaks_by_brute_force(spark, sf):
     docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
     flat = lambda t: " ".join(t.split())
