@@ -10,15 +10,23 @@ where a configuration c says how many pieces of each length one sequence
 holds.  Multiplicative weights solve it: every length has a weight that falls
 as it gets covered, a knapsack dynamic program over the capacity prices the
 best configuration through each length, and steps of a fixed share of the
-demand add up to x.  x is rounded down, and what stays uncovered is packed best
-fit decreasing, again on the histogram.
+demand add up to a fractional x.  Each pricing's weights are a dual solution,
+so the program also says how few sequences there can be at all.
+
+x is rounded: whole parts stay, fractions become sequences from the largest on
+while their pieces last, and what stays uncovered is packed best fit
+decreasing, again on the histogram.  If plain best fit decreasing needs fewer
+sequences than that, it is taken; so the result never needs more.
 
 Pieces then find their places without meeting: a piece is the r-th of its
 length (counted by partition, then offset by a small window), and r alone
 tells configuration, sequence and offset.
 
 Defined results: null and empty texts are one piece of the end id alone;
-repeated rows are packed each; null ids are packed like others.
+texts of any length are cut, nothing is dropped; pieces of one length are
+alike, so ties do not matter; repeated rows are packed each; null ids are
+packed like others; an empty table gives no row; columns of other names are no
+input.
 """
 
 from __future__ import annotations
@@ -39,14 +47,16 @@ from .common import materialize, tidy
 
 CAPACITY = 4096
 END_ID = 1
-#: Lengths that one pricing serves; least and most sweeps over the demand; pricings to spend on them.
-SERVED = 96
+#: Lengths that one pricing serves; least and most sweeps over the demand; about how many pricings to spend on them.
+SERVED = 128
 SWEEPS = (6, 60)
-PRICINGS = 200
-#: How fast a length loses weight as it gets covered: one rate for many lengths, a choice for few.
-RATES_MANY = (0.3,)
-RATES_FEW = (0.3, 2.0, 6.0)
-FEW = 512
+PRICINGS = 64
+#: How fast a length loses weight as it gets covered.
+RATES = (0.3, 4.0)
+#: Room, as a share of the capacity, up to which a configuration is kept when x is rounded: each is tried.
+ROOMS = (1.0, 0.01, 0.0)
+#: Demand that counts as covered.
+COVERED = 1e-9
 
 
 class Plan:
@@ -55,6 +65,9 @@ class Plan:
     def __init__(self, capacity: int = CAPACITY):
         self.capacity = capacity
         self.groups: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+        #: No plan has fewer sequences; of this one's, so many are rounded configurations.
+        self.bound = 0
+        self.rounded = 0
 
     def add(self, count: int, content: dict[int, int]) -> None:
         if count > 0:
@@ -82,19 +95,16 @@ class Plan:
 
 def price(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Unbounded knapsack: best value and last length chosen (0: one unit left empty), for every capacity."""
-    best = np.zeros(capacity + 1)
+    best = np.zeros(capacity + 1, np.float32)
     last = np.zeros(capacity + 1, np.int64)
-    use = np.flatnonzero(value[1:] > 0) + 1
-    worth = value[use]
-    upto = np.searchsorted(use, np.arange(capacity + 1), side="right")
+    value = value.astype(np.float32)
+    got = np.empty(capacity, np.float32)
     for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        k = upto[c]
-        if k:
-            got = best[c - use[:k]] + worth[:k]
-            i = int(got.argmax())
-            if got[i] > best[c]:
-                best[c], last[c] = got[i], use[i]
+        np.add(best[c - 1 :: -1], value[1 : c + 1], out=got[:c])
+        length = int(got[:c].argmax()) + 1
+        best[c] = got[length - 1]
+        if value[length] > 0:
+            last[c] = length
     return best, last
 
 
@@ -144,45 +154,62 @@ def best_fit(left: np.ndarray, plan: Plan) -> None:
             plan.add(count, content)
 
 
-def cover(demand: np.ndarray, capacity: int, rate: float) -> Plan:
-    """One run of multiplicative weights over ``demand``, rounded, the rest best fit."""
-    left = demand.copy()
+Configuration = tuple[tuple[int, int], ...]
+
+
+def cover(demand: np.ndarray, capacity: int, rate: float) -> tuple[dict[Configuration, float], float]:
+    """Fractional x by multiplicative weights, and the best dual bound on the way."""
+    start = demand.astype(float)
+    left = start.copy()
     size = np.arange(capacity + 1)
-    start = left.astype(float)
     lengths = np.flatnonzero(start)
-    tally: dict[tuple[tuple[int, int], ...], int] = {}
+    x: dict[Configuration, float] = {}
+    bound = float(start @ size) / capacity  # weights by length are a dual solution
     sweeps = max(SWEEPS[0], min(SWEEPS[1], PRICINGS * SERVED // max(1, len(lengths))))
-    # A demand of less than one sequence a step rounds down to nothing: leave it to the rounding.
-    if len(lengths) and start.max() >= sweeps:
-        for sweep in range(sweeps):
-            order = lengths[np.argsort((lengths * 2654435761 + sweep * 40503) % 65537)]
-            for at in range(0, len(order), SERVED):
-                share = np.divide(left, start, out=np.zeros(capacity + 1), where=start > 0)
-                weight = np.where(left > 0, size / capacity * np.exp(rate * (share - 1)), 0.0)
-                _, last = price(weight, capacity)
-                for length in order[at : at + SERVED]:
-                    content = content_of(last, capacity - int(length))
-                    content[int(length)] = content.get(int(length), 0) + 1
-                    most = min(int(left[k]) // a for k, a in content.items())
-                    step = min(most, int(start[length] / sweeps / content[int(length)]))
-                    if step > 0:
-                        key = tuple(sorted(content.items(), reverse=True))
-                        tally[key] = tally.get(key, 0) + step
-                        for k, a in content.items():
-                            left[k] -= a * step
-    # Round: all of x stays, or only the configurations with little or no room, the others being packed with the rest.
-    plans = []
-    for most_room in (capacity, capacity // 100, 0):
-        plan, rest = Plan(capacity), left.copy()
-        for key, count in tally.items():
-            if capacity - sum(k * a for k, a in key) <= most_room:
-                plan.add(count, dict(key))
-            else:
-                for k, a in key:
-                    rest[k] += a * count
-        best_fit(rest, plan)
-        plans.append(plan)
-    return min(plans, key=lambda p: p.sequences)
+    for sweep in range(2 * sweeps):  # half of them are enough unless others used a length up
+        order = lengths[np.argsort((lengths * 2654435761 + sweep * 40503) % 65537)]
+        order = order[left[order] > COVERED]
+        if not len(order):
+            break
+        for at in range(0, len(order), SERVED):
+            share = np.divide(left, start, out=np.zeros(capacity + 1), where=start > 0)
+            weight = np.where(left > COVERED, size / capacity * np.exp(rate * (share - 1)), 0.0)
+            best, last = price(weight, capacity)
+            if best[capacity] > 0:
+                bound = max(bound, float((start * weight).sum() / best[capacity]) * (1 - 1e-5))  # single precision
+            for length in map(int, order[at : at + SERVED]):
+                if left[length] <= COVERED:
+                    continue
+                content = content_of(last, capacity - length)
+                content[length] = content.get(length, 0) + 1
+                step = min(min(left[k] / a for k, a in content.items()), start[length] / sweeps / content[length])
+                if step > 0:
+                    key = tuple(sorted(content.items(), reverse=True))
+                    x[key] = x.get(key, 0.0) + step
+                    for k, a in content.items():
+                        left[k] = max(0.0, left[k] - a * step)
+    return x, bound
+
+
+def rounded(x: dict[Configuration, float], demand: np.ndarray, capacity: int, room: float) -> Plan:
+    """Whole sequences of the configurations with little enough room, the rest best fit."""
+    plan, rest = Plan(capacity), demand.copy()
+    kept = [(c, n) for c, n in x.items() if capacity - sum(k * a for k, a in c) <= room * capacity]
+
+    def take(c: Configuration, most: int) -> None:
+        count = min(most, *(int(rest[k]) // a for k, a in c))
+        if count > 0:
+            plan.add(count, dict(c))
+            for k, a in c:
+                rest[k] -= a * count
+
+    for c, n in kept:
+        take(c, int(n + COVERED))
+    for c, _ in sorted(kept, key=lambda e: (-(e[1] % 1.0), e[0])):
+        take(c, 1)
+    plan.rounded = plan.sequences
+    best_fit(rest, plan)
+    return plan
 
 
 def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
@@ -192,10 +219,20 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
         demand[length] = n
     whole = int(demand[capacity])  # nothing fits beside these
     demand[capacity] = 0
-    rates = RATES_FEW if np.count_nonzero(demand) <= FEW else RATES_MANY
-    plan = min((cover(demand, capacity, rate) for rate in rates), key=lambda p: p.sequences)
-    if whole:
-        plan.add(whole, {capacity: 1})
+    plain = Plan(capacity)
+    best_fit(demand.copy(), plain)
+    plans, bound = [], 0.0
+    for rate in RATES:
+        x, least = cover(demand, capacity, rate)
+        bound = max(bound, least)
+        plans += [rounded(x, demand, capacity, room) for room in ROOMS]
+        plan = min(plans, key=lambda p: p.sequences)
+        if plan.sequences <= np.ceil(bound - 1e-6):  # proven: no plan has fewer
+            break
+    if plain.sequences < plan.sequences:
+        plan = plain
+    plan.add(whole, {capacity: 1})
+    plan.bound = int(np.ceil(bound - 1e-6)) + whole
     return plan
 
 

@@ -64,7 +64,7 @@ def test_plans_hold_every_piece_once(seed):
         left[k] = v
     packing.best_fit(left, bfd)
     least = -(-sum(k * v for k, v in h.items()) // 100)
-    assert least <= plan.sequences <= bfd.sequences * 1.02 + 1
+    assert least <= plan.bound <= plan.sequences <= bfd.sequences
 
 
 def test_program_beats_best_fit():
@@ -74,6 +74,55 @@ def test_program_beats_best_fit():
     assert packing.solve({}).sequences == 0 and packing.solve({4096: 5}).sequences == 5
 
 
+def fewest(sizes, capacity):
+    """Least number of sequences, by trying every first sequence of the largest piece."""
+    memo = {}
+
+    def go(left):
+        if not left:
+            return 0
+        if left not in memo:
+            first, rest = left[0], left[1:]
+            fills = {()}
+            for i, s in enumerate(rest):
+                fills |= {(*f, i) for f in fills if first + sum(rest[k] for k in f) + s <= capacity}
+            memo[left] = 1 + min(go(tuple(s for i, s in enumerate(rest) if i not in f)) for f in map(set, fills))
+        return memo[left]
+
+    return go(tuple(sorted(sizes, reverse=True)))
+
+
+def test_program_by_brute_force(monkeypatch):
+    rng, priced = random.Random(5), []
+    real = packing.price
+    monkeypatch.setattr(packing, "price", lambda *a: priced.append(1) or real(*a))
+    above = 0
+    for _ in range(40):
+        sizes = [rng.randrange(4, 17) for _ in range(rng.randrange(1, 11))]
+        before = len(priced)
+        plan = packing.solve(collections.Counter(sizes), 20)
+        least = fewest(sizes, 20)
+        assert plan.bound <= least <= plan.sequences <= least + 1 and len(priced) > before  # the program runs at every size
+        assert content(plan) == collections.Counter(sizes)
+        above += plan.sequences - least
+    assert above <= 2
+
+
+def test_fractional_program_covers_the_demand():
+    rng = random.Random(6)
+    demand = np.zeros(101, np.int64)
+    for _ in range(300):
+        demand[rng.randrange(1, 100)] += 1
+    x, bound = packing.cover(demand, 100, 0.3)
+    covered = np.zeros(101)
+    for c, n in x.items():
+        assert sum(k * a for k, a in c) <= 100 and n > 0
+        for k, a in c:
+            covered[k] += a * n
+    assert np.abs(covered - demand).max() < 1e-3
+    assert demand @ np.arange(101) / 100 - 1e-6 <= bound * 1.00002 and bound <= sum(x.values()) + 1e-6 <= 1.12 * bound
+
+
 def test_best_fit_is_the_plain_one():
     rng = random.Random(11)
     for _ in range(30):
