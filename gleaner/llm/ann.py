@@ -5,22 +5,29 @@ its own sorted array.  A query opens a window around its own projection in each
 array; a vector collides where it lies inside.  While too few vectors collide
 often enough, the windows widen, each by a fixed factor (virtual rehashing: the
 arrays stay as they are).  Vectors that reach the collision threshold are
-verified by their exact inner product.
+verified by their exact inner product.  The k-th best of those says how far the
+windows have to reach: a vector at that distance from the query falls into a
+window of ``REACH`` distances with a probability that exceeds the threshold by
+0.9 deviations of the count, so that nearer ones are hardly missed.  The windows
+widen to that and what collides then is verified: as much as the data need, no
+fixed share.
 
 The largest inner product becomes the smallest distance by one more coordinate,
 sqrt(M^2 - |x|^2), for vectors and none for queries.
 
 Vectors are dealt into blocks by a hash of the row, whatever their key; each
 block is an index of its own, so memory is bounded and blocks work in parallel.
-Queries, in blocks too, visit every block; a visit sends back one row a query
-with its best, and those are merged.
+Every block is sent and indexed once (a few times if there are fewer blocks
+than tasks); the queries, in blocks too, are what travels.  A visit sends back
+one row a query with its best, and those are merged.
 
 Defined results: vectors that are null, empty, all zero, of another length
 than most, or hold null or non-finite components take no part; ties go to the
 smaller id; rows with the query's own id are no candidates; fewer candidates
-than ``k`` are all returned.  Rows of equal id and vector are one row, dropped
-before the blocks are built; different vectors of one id are different rows,
-and as queries they ask together: a row counts once, with its best score.
+than ``k`` are all returned; an empty table gives no row.  Rows of equal id and
+vector are one row, dropped before the blocks are built; different vectors of
+one id are different rows, and as queries they ask together: a row counts once,
+with its best score.  Columns of other names are no input.
 """
 
 from __future__ import annotations
@@ -29,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import empty_like, materialize
+from .common import empty_like, materialize, shuffle_width
 
 K = 20
 #: Vectors of a block and queries of a block.
@@ -41,11 +49,12 @@ QUERIES = 1_024
 #: Directions, share of them that must collide, least half-width in deviations, widening, cells of a sorted array.
 DIRECTIONS = 160
 THRESHOLD = 0.65
-FIRST = 0.9
-WIDEN = 1.05
+FIRST = 0.7
+WIDEN = 1.1
 CELLS = 128
-#: Windows stop widening when this share of a block, and 20 k vectors, collide often enough.
-VERIFIED = 0.12
+#: Half-width of the last windows in distances of the k-th best: a normal value lies within it with a probability of
+#: THRESHOLD + 0.9 * sqrt(THRESHOLD * (1 - THRESHOLD) / DIRECTIONS).
+REACH = 1.0
 #: Queries that are counted together.
 TOGETHER = 64
 
@@ -122,35 +131,53 @@ class CollisionIndex:
             planes.append(self.before[j, hi] ^ self.before[j, lo])
         return at_least(counted(planes), int(np.ceil(THRESHOLD * m)))
 
-    def candidates(self, spots: np.ndarray, wanted: int) -> np.ndarray:
-        """Boolean (query, vector): collides often enough; windows widen until ``wanted`` do, or all."""
+    def collided(self, spots: np.ndarray, half: np.ndarray) -> np.ndarray:
+        """Boolean (query, vector): inside the windows often enough."""
+        found = self.inside(spots, half)
+        return np.unpackbits(found.view(np.uint8), axis=1, bitorder="little")[:, : len(self.ids)].astype(bool)
+
+    def candidates(self, spots: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """The first vectors to verify, and the half-widths they took: windows widen until ``wanted`` collide, or all."""
         n = len(self.ids)
-        out = np.zeros((len(spots), len(self.before[0, 0])), np.uint64)
+        out = np.zeros((len(spots), n), bool)
         open_, half = np.arange(len(spots)), np.full(len(spots), FIRST, np.float32)
         while len(open_):
-            found = self.inside(spots[open_], half[open_])
+            found = self.collided(spots[open_], half[open_])
             out[open_] = found
-            open_ = open_[np.bitwise_count(found).sum(axis=1) < min(wanted, n)]
+            open_ = open_[found.sum(axis=1) < min(wanted, n)]
             half[open_] *= WIDEN
-        return np.unpackbits(out.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
+        return out, half
+
+    def best(self, hit: np.ndarray, q: int, vector: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the best ``k`` of ``hit``, the query's own id left out."""
+        found = np.flatnonzero(hit)
+        found = found[self.ids[found] != q]
+        score = self.vectors[found] @ vector
+        if len(found) > 4 * k:  # all that may reach rank k, ties included
+            least = np.partition(score, len(score) - k)[len(score) - k]
+            keep = score >= least
+            found, score = found[keep], score[keep]
+        order = np.lexsort((self.ids[found], -score))[:k]
+        return found[order], score[order]
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """For each query: its id, and ids, scores and places in the block of its best."""
-        unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        spots = np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32) @ self.axes.T
-        wanted = max(20 * k, int(VERIFIED * len(self.ids)))
+        length = np.linalg.norm(queries, axis=1)
+        spots = np.hstack([queries / length[:, None], np.zeros((len(queries), 1))]).astype(np.float32) @ self.axes.T
         for at in range(0, len(queries), TOGETHER):
-            some = self.candidates(spots[at : at + TOGETHER], wanted)
-            for q, vector, hit in zip(query_ids[at:], queries[at:], some, strict=False):
-                found = np.flatnonzero(hit)
-                found = found[self.ids[found] != q]
-                score = self.vectors[found] @ vector
-                if len(found) > 4 * k:  # all that may reach rank k, ties included
-                    least = np.partition(score, len(score) - k)[len(score) - k]
-                    keep = score >= least
-                    found, score = found[keep], score[keep]
-                best = np.lexsort((self.ids[found], -score))[:k]
-                yield int(q), self.ids[found][best], score[best], found[best]
+            own = slice(at, at + TOGETHER)
+            some, half = self.candidates(spots[own], 5 * k)
+            reach = np.zeros(len(half), np.float32)
+            for i, (q, vector) in enumerate(zip(query_ids[own], queries[own], strict=True)):
+                _, score = self.best(some[i], q, vector, k)
+                if len(score):  # in units of the longest vector the query has length one, like all
+                    reach[i] = REACH * np.sqrt(max(0.0, 2 - 2 * score[-1] / (length[at + i] * self.longest)))
+            wide = np.flatnonzero(reach > half)
+            if len(wide):
+                some[wide] = self.collided(spots[own][wide], reach[wide])
+            for i, (q, vector) in enumerate(zip(query_ids[own], queries[own], strict=True)):
+                found, score = self.best(some[i], q, vector, k)
+                yield int(q), self.ids[found], score, found
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -183,21 +210,32 @@ def search(vectors: DataFrame, every: int = 20, k: int = K, id_col="vec_id", vec
     asked = known.filter(F.pmod("id", F.lit(every)) == 0)
     groups = -(-size["n"] // (every * QUERIES)) + 1
     data = materialize(packed(known, "block", blocks), "ann-blocks")
-    queries = packed(asked, "qblock", groups).withColumnRenamed("ids", "qids").withColumnRenamed("vs", "qvs")
-    # The stated queries against all rows, in blocks: a row for each pair of blocks.
-    visits = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pairs = data.join(visits, "block").repartition(max(blocks * groups, 1), "block", "qblock")
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, index = None, None
-        for pdf in batches:
-            for block, ids, vs, qids, qvs in zip(pdf["block"], pdf["ids"], pdf["vs"], pdf["qids"], pdf["qvs"], strict=True):
-                if held != block:
-                    held, index = block, CollisionIndex(np.frombuffer(ids, np.int64), np.frombuffer(vs, np.float64).reshape(-1, dim), longest)
-                out = list(index.search(np.frombuffer(qids, np.int64), np.frombuffer(qvs, np.float64).reshape(-1, dim), k))
-                yield pd.DataFrame({"query_id": [q for q, _, _, _ in out], "ids": [i for _, i, _, _ in out], "scores": [s for _, _, s, _ in out], "rows": [block * (1 << 32) + at for _, _, _, at in out]})
-
-    best = pairs.select("block", "ids", "vs", "qids", "qvs").mapInPandas(visit, "query_id long, ids array<long>, scores array<double>, rows array<long>")
+    queries = packed(asked, "qblock", groups)
+    # The stated queries against all rows, in blocks: each block waits in its task, and the query blocks come by.
+    tasks = max(blocks, shuffle_width(vectors.sparkSession))
+    copies = min(groups, tasks // blocks)  # of a block, each for its share of the queries
+    place = F.col("block") * copies
+    waiting = data.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((place + F.col("copy")).alias("place"), "block", F.lit(0).alias("turn"), "ids", "vs")
+    coming = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((place + F.pmod("qblock", F.lit(copies))).alias("place"), "block", F.lit(1).alias("turn"), "ids", "vs")
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, vs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vs"], np.float64).reshape(-1, dim)
+                if not row["turn"]:
+                    index = CollisionIndex(ids, vs, longest)
+                    continue
+                if index is None or not len(ids):
+                    continue
+                out = list(index.search(ids, vs, k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([q for q, _, _, _ in out], pa.int64()), pa.array([i for _, i, _, _ in out], pa.list_(pa.int64())), pa.array([s for _, _, s, _ in out], pa.list_(pa.float64())), pa.array([row["block"] * (1 << 32) + at for _, _, _, at in out], pa.list_(pa.int64()))],
+                    names=["query_id", "ids", "scores", "rows"],
+                )
+
+    met = waiting.unionAll(coming).repartitionById(blocks * copies, F.col("place")).sortWithinPartitions("place", "turn")
+    best = met.select("block", "turn", "ids", "vs").mapInArrow(visit, "query_id long, ids array<long>, scores array<double>, rows array<long>")
     zipped = F.transform(F.arrays_zip("scores", "ids", "rows"), lambda s: F.struct((-s["scores"]).alias("s"), s["ids"].alias("i"), s["rows"].alias("r")))
     # Largest score first, then smallest id: negated scores sort that way as structs.  k a block and query vector at most.
     merged = best.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list(zipped))).alias("all"), F.count("*").alias("n"))
