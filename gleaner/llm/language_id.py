@@ -5,13 +5,16 @@ against the rest, chooses the family; inside it, one-versus-one machines vote
 between its closely related languages.  Features are hashed byte trigrams of
 the whole lower-cased text, so short and long texts look alike after scaling.
 
-Training sees a bounded sample of labelled rows: about ``per_language`` rows
-of each language, chosen by a hash of the id, so the driver holds a matrix
-whose size does not depend on the corpus.  Prediction reads every text in full.
+Training sees a bounded sample of labelled rows: about ``per_language`` rows of
+each language, fewer (but ``LEAST``) if that makes more than ``max_rows``, chosen
+by a hash of id and text, so the driver holds a matrix whose size does not depend on the
+corpus.  Every language found is learned.  Prediction reads every text in full.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0.
 With no labelled row at all, every text is ``und``.  A language with no other
-of its family needs no second layer.  Repeated rows are predicted each.
+of its family needs no second layer.  Ties of families, votes and odds go to the
+name that sorts first.  Repeated rows are predicted each and learned once; an
+empty table gives no row; columns of other names are no input.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ FAMILIES = {
 }
 
 BINS = 4096
+#: Rows of a language that are drawn at least, on average, where it has them.
+LEAST = 20
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
 #: Bytes of a text whose trigrams are hashed at a time.
@@ -115,22 +120,24 @@ class LanguageModel:
         return best, float(odds[k] / odds.sum() * sure[best])
 
 
-def fit(docs: DataFrame, per_language: int = 500, max_languages: int = 64, id_col="doc_id", text_col="text", lang_col="lang") -> LanguageModel:
-    """Train on about ``per_language`` rows of each of the ``max_languages`` commonest languages, never on held-out rows."""
+def fit(docs: DataFrame, per_language: int = 500, max_rows: int = 32_000, id_col="doc_id", text_col="text", lang_col="lang") -> LanguageModel:
+    """Train on about ``per_language`` rows of each language, ``max_rows`` at most in all, never on held-out rows."""
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    found = known.groupBy(F.col(lang_col).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    share = {r["lang"]: min(1.0, per_language / r["count"]) for r in found}
-    if not share:
+    text = F.col(text_col).cast("string")
+    keyed = known.select(F.col(lang_col).alias("lang"), text.alias("text"), sample_key(F.xxhash64(F.col(id_col), text)).alias("key"))
+    found = keyed.groupBy("lang").agg(F.approx_count_distinct("key").alias("n")).collect()  # a row a language
+    if not found:
         return LanguageModel(np.zeros((0, BINS), np.float32), [])
-    chosen = F.lit(False)
-    for lang, part in sorted(share.items()):
-        chosen = chosen | ((F.col(lang_col) == lang) & (sample_key(F.col(id_col)) < part))
+    each = max(LEAST, min(per_language, max_rows // len(found)))
+    share = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / max(1, r["n"]))) for r in found], "_lang string, _share double")
 
     @F.pandas_udf("binary")
     def sketch(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t).astype(np.float16).tobytes())
 
-    rows = known.filter(chosen).select(F.col(lang_col).alias("lang"), sketch(F.col(text_col).cast("string")).alias("v")).orderBy("lang", "v").limit(2 * per_language * len(share)).collect()
+    drawn = keyed.join(F.broadcast(share), F.col("lang") == F.col("_lang")).filter(F.col("key") < F.col("_share"))
+    rows = drawn.dropDuplicates(["lang", "key"]).select("lang", "key", sketch("text").alias("v")).orderBy("key").limit(2 * each * len(found)).collect()
+    rows.sort(key=lambda r: (r["lang"], r["key"]))
     x = np.stack([np.frombuffer(bytes(r["v"]), np.float16) for r in rows]).astype(np.float32) if rows else np.zeros((0, BINS), np.float32)
     return LanguageModel(x, [r["lang"] for r in rows])
 

@@ -7,13 +7,16 @@ At prediction the forward-backward marginals of "good", weighted by line
 length, are averaged into a document figure that a one-variable logistic
 curve, fitted on the same training rows, turns into the score.
 
-Training reads a bounded sample: at most about ``max_docs`` labelled documents
-chosen by a hash of the id and at most ``max_lines`` lines of each; prediction
-reads every line of every text.
+Training reads a bounded sample of rows: at most about ``max_docs`` labelled
+documents, chosen by a hash of the id, and of a document of more than
+``max_lines`` lines as many, spread evenly over the whole text.  Prediction reads
+every line of every text, a megabyte at a time; it holds some fifty bytes a line.
 
 Defined results: a null text counts as empty; an empty text is one empty line
 and is scored like any other.  Documents with several labels count once, by
-the largest.  Without labels the score is 0.5.  Repeated rows are scored each.
+the largest.  Without labels the score is 0.5, and a score of 0.5 is kept.
+Repeated rows are scored each; an empty table gives no row; columns of other
+names are no input.
 """
 
 from __future__ import annotations
@@ -55,7 +58,23 @@ SHAPE = 20
 
 def line_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
     """(lines x SHAPE features, line lengths in bytes) of one text."""
+    parts = list(shape_blocks(text))
+    return np.vstack([f for f, _ in parts]), np.concatenate([size for _, size in parts])
+
+
+def shape_blocks(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`line_shapes`, for the lines of about a megabyte at a time."""
     raw = text.encode("utf-8", "surrogatepass")
+    seen: set[bytes] = set()
+    at = 0
+    while at <= len(raw):
+        end = raw.find(b"\n", at + BLOCK)
+        end = len(raw) if end < 0 else end
+        yield _shapes(raw[at:end], seen)
+        at = end + 1
+
+
+def _shapes(raw: bytes, seen: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
     b = np.frombuffer(raw, np.uint8)
     lines = raw.split(b"\n")
     n = len(lines)
@@ -73,7 +92,6 @@ def line_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
     same = np.zeros(n)
     varied = np.zeros(n)
     stuck = np.zeros(n)
-    seen: dict[bytes, int] = {}
     again = np.zeros(n)
     for i, x in enumerate(lines):
         w = x.split()
@@ -84,7 +102,7 @@ def line_shapes(text: str) -> tuple[np.ndarray, np.ndarray]:
             stuck[i] = w[0].endswith((b"*", b"&", b"$", b"%", b"#")) + w[-1].endswith((b"|", b"!!"))
         if w:
             again[i] = x in seen
-            seen[x] = i
+            seen.add(x)
     full = np.maximum(size, 1)[:, None]
     part = count[:, :NEWLINE] / full
     letters = np.maximum(1, count[:, 0] + count[:, 1] + count[:, WIDE])
@@ -108,6 +126,16 @@ def with_neighbours(f: np.ndarray) -> np.ndarray:
     return np.hstack([f, np.vstack([edge, f[:-1]]), np.vstack([f[1:], edge])])
 
 
+def emissions(text: str, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score of "good" at every line and the line lengths, without holding the features of all lines."""
+    parts = [(f @ weights.reshape(3, SHAPE).T, size) for f, size in shape_blocks(text)]
+    own, before, after = np.vstack([p for p, _ in parts]).T
+    emit = own.copy()
+    emit[1:] += before[:-1]
+    emit[:-1] += after[1:]
+    return emit, np.concatenate([size for _, size in parts])
+
+
 def _pad(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Chains from long to short as one matrix, with their lengths."""
     size = np.array([len(c) for c in chains])
@@ -155,13 +183,13 @@ class LineModel:
     CELLS = 1 << 17
 
     def raw(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Length-weighted mean marginal of "good", for each document."""
+        """Length-weighted mean marginal of "good", for each document's (:func:`emissions`)."""
         out = np.zeros(len(docs))
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i][0]))
         at = 0
         while at < len(order):
             rows = order[at : at + max(1, self.CELLS // len(docs[order[at]][0]))]
-            emit, size = _pad([with_neighbours(docs[i][0]) @ self.weights for i in rows])
+            emit, size = _pad([docs[i][0] for i in rows])
             good = forward_backward(emit, size, self.trans)[0]
             for k, i in enumerate(rows):
                 weight = docs[i][1] + 1
@@ -169,7 +197,10 @@ class LineModel:
             at += len(rows)
         return out
 
-    def score(self, docs) -> np.ndarray:
+    def score(self, texts: list[str]) -> np.ndarray:
+        return self.closed([emissions(t, self.weights) for t in texts])
+
+    def closed(self, docs: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.curve[0] * _logit(self.raw(docs)) + self.curve[1])))
 
 
@@ -213,7 +244,7 @@ def train(docs: list[np.ndarray], sizes: list[np.ndarray], labels: list[int], ro
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, trans = w - move[:-4], trans - move[-4:].reshape(2, 2)
     model = LineModel(w, trans, (1.0, 0.0))
-    z = _logit(model.raw(list(zip(docs, sizes, strict=True))))
+    z = _logit(model.raw([(with_neighbours(d) @ w, s) for d, s in zip(docs, sizes, strict=True)]))
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps of a lightly held logistic regression
         p = 1 / (1 + np.exp(-(a * z + b)))
@@ -225,6 +256,11 @@ def train(docs: list[np.ndarray], sizes: list[np.ndarray], labels: list[int], ro
     return model
 
 
+def spread(n: int, most: int) -> np.ndarray:
+    """At most ``most`` of ``n`` places, evenly over all of them."""
+    return np.arange(n) if n <= most else np.linspace(0, n - 1, most).astype(np.int64)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int = 256, id_col="doc_id", text_col="text", label_col="quality") -> LineModel:
     """Train on about ``max_docs`` labelled documents, half of each label where there are enough; held-out rows never count."""
     known = (
@@ -242,15 +278,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_lines: int
 
     @F.pandas_udf("f binary, s binary")
     def shapes(texts: pd.Series) -> pd.DataFrame:
-        out = [line_shapes(t or "") for t in texts]
-        return pd.DataFrame({"f": [f[:max_lines].astype(np.float32).tobytes() for f, _ in out], "s": [s[:max_lines].tobytes() for _, s in out]})
+        out = [(f[at].astype(np.float32).tobytes(), s[at].tobytes()) for f, s in map(line_shapes, texts.fillna("")) for at in [spread(len(s), max_lines)]]
+        return pd.DataFrame(out, columns=["f", "s"])
 
+    # Rows that say the same count once; should ids repeat with many texts, a hash picks among all alike.
     rows = (
         docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_t"))
         .join(F.broadcast(chosen), "_id")
-        .select("_id", "_y", shapes("_t").alias("_s"))
-        .select("_id", "_y", "_s.f", "_s.s")
-        .orderBy("_id", "f")
+        .select("_y", "_id", shapes("_t").alias("_s"))
+        .select("_y", "_s.f", "_s.s", F.xxhash64("_id", "_s.f").alias("_o"))
+        .dropDuplicates(["_o", "_y"])
+        .orderBy("_o")
         .limit(2 * max_docs)
         .collect()
     )
@@ -270,16 +308,9 @@ def _scorer(spark, model: LineModel):
 
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            done, held, weight = [], [], 0
-            for t in texts:
-                held.append(line_shapes(t or ""))
-                weight += len(held[-1][0])
-                if weight > 1 << 14:  # lines held at a time
-                    done.append(shipped.value.score(held))
-                    held, weight = [], 0
-            if held:
-                done.append(shipped.value.score(held))
-            yield pd.Series(np.concatenate(done) if done else np.zeros(0))
+            model = shipped.value
+            held = [emissions(t or "", model.weights) for t in texts]
+            yield pd.Series(model.closed(held))
 
     return score
 

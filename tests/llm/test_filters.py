@@ -70,6 +70,16 @@ def test_language_edges(spark):
     assert language_id.identify(odd.limit(0), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    names = [f"x{i:02d}" for i in range(70)]
+    rows = [(100 * i + k, f"{n} word{n} of{n} " * 8, n, None, 0) for i, n in enumerate(names) for k in range(6)]
+    rows += [(7, "x00 wordx00 ofx00 " * 8, "x00", None, 0)] * 400  # one row many times over
+    model = language_id.fit(spark.createDataFrame(rows, DOCS), per_language=3, max_rows=280)
+    assert sorted(sum(model.members.values(), [])) == names
+    got = language_id.identify(spark.createDataFrame(rows, DOCS).filter("doc_id % 100 = 5"), model).collect()
+    assert np.mean([r["lang_pred"] == names[r["doc_id"] // 100] for r in got]) > 0.95
+
+
 def test_chain_marginals_by_enumeration():
     rng = np.random.default_rng(3)
     emit, trans = rng.normal(size=(2, 4)), rng.normal(size=(2, 2))
@@ -90,6 +100,41 @@ def test_line_shapes_count_lines():
     assert len(quality.line_shapes("")[0]) == 1
 
 
+def test_lines_in_blocks(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = ["", "\n", "a\n", "no break at all " * 9] + ["".join(rng.choice(list("ab Z!|\n"), size=200)) for _ in range(20)]
+    weights = rng.normal(size=3 * quality.SHAPE)
+    want = [quality.line_shapes(t) for t in texts]
+    for block in (1 << 20, 7):
+        monkeypatch.setattr(quality, "BLOCK", block)
+        for t, (f, size) in zip(texts, want, strict=True):
+            assert len(f) == t.count("\n") + 1 and all((x == y).all() for x, y in zip(quality.line_shapes(t), (f, size), strict=True))
+            emit, own = quality.emissions(t, weights)
+            assert np.allclose(emit, quality.with_neighbours(f) @ weights) and (own == size).all()
+    assert quality.spread(5, 9).tolist() == [0, 1, 2, 3, 4] and quality.spread(1001, 3).tolist() == [0, 500, 1000]
+
+
+def test_training_lowers_the_loss_by_differences():
+    """The trained chain is where the plain likelihood, by enumeration, has no slope left to speak of."""
+    rng = np.random.default_rng(5)
+    docs = [rng.normal(size=(n, quality.SHAPE)) + y for n, y in [(2, 0), (3, 1), (1, 0), (3, 1), (2, 1), (2, 0)]]
+    labels = [0, 1, 0, 1, 1, 0]
+
+    def loss(w, trans):
+        total = 1e-3 / 2 * (w @ w) + 1e-2 / 2 * (trans * trans).sum()
+        for d, y in zip(docs, labels, strict=True):
+            emit, paths = quality.with_neighbours(d) @ w, list(itertools.product((0, 1), repeat=len(d)))
+            score = lambda p: sum(e * s for e, s in zip(emit, p, strict=True)) + sum(trans[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+            total += (np.log(sum(np.exp(score(p)) for p in paths)) - score([y] * len(d))) / 6 / len(d)
+        return total
+
+    model = quality.train(docs, [np.ones(len(d)) for d in docs], labels, rounds=2000)
+    best = loss(model.weights, model.trans)
+    assert best < 0.25 * loss(np.zeros(3 * quality.SHAPE), np.zeros((2, 2)))
+    for _ in range(20):
+        assert loss(model.weights + 0.05 * rng.normal(size=len(model.weights)), model.trans) > best - 1e-3
+
+
 def test_quality_held_out(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
