@@ -1,18 +1,21 @@
 """Sharding as vector bin packing: bytes, tokens and rows balanced together.
 
-Equal texts form a group, and groups are placed whole.  The driver never sees
-groups: small ones are hashed into a fixed number of cells, and only cells,
-with their three sums, are placed; a group that is large against a cell is
-a cell of its own, and one of more than a quarter of a shard is split by row.  Cells go from large to small to the shard
-whose residual capacity has the largest dot product with the cell, and a last
-pass moves the smallest cells from the fullest to the emptiest shard while that
-evens the bytes.  Law: ``bytes``.
+Equal texts form a group, and groups are placed whole as long as a shard has
+room for their bytes.  The driver never sees all groups: small ones are hashed
+into a fixed number of cells; a group that is large against a cell is a cell of
+its own.  Large groups are placed first, from large to small, then the cells,
+each on the shard whose residual capacity has the largest dot product with it,
+and a last pass moves the smallest cells from the fullest to the emptiest shard
+while that evens the bytes.  Only a group whose bytes no shard can hold any more
+is dealt to cells by row.  Law: ``bytes``.
 
 Everything after one pass over the texts works on a narrow table of digests,
 written once; hot groups are pre-aggregated before any shuffle.
 
 Defined results: null text counts as empty (size 16, crc 0) and forms a group;
-null ids and repeated rows are placed like others; an empty table gives no row.
+null ids and repeated rows are placed like others; a text of any length is one
+row and never cut; shards of equal dot product go by number, cells of equal size
+by name; an empty table gives no row; columns of other names are no input.
 """
 
 from __future__ import annotations
@@ -24,9 +27,11 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SHARDS = 40
-#: Hashed cells for each shard; groups of more than a HOT-th of a shard are cells of their own.
+#: Hashed cells for each shard; groups of more than a HOT-th of a shard are cells of their own; pieces of a shard's
+#: size that a group is cut into which fits none.
 FINE = 128
 HOT = 64
+PIECES = 8
 OVERHEAD = 16
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -44,14 +49,24 @@ def digests(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def place(cells: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of each cell (rows: bytes, tokens, rows)."""
-    total = np.maximum(cells.sum(axis=0), 1)
-    need = cells / (total / shards)
-    order = np.lexsort((np.arange(len(need)), -need.max(axis=1), -need[:, 0]))
-    room = np.ones((shards, need.shape[1]))
+def place(groups: np.ndarray, shards: int, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shard of each large group (rows: bytes, tokens, rows), -1 where its bytes fit none, and the room that is left."""
+    room = np.ones((shards, 3))
+    out = np.full(len(groups), -1, np.int64)
+    need = groups * shards / np.maximum(total, 1)
+    for i in np.lexsort((np.arange(len(need)), -need[:, 0])):
+        fits = room[:, 0] >= need[i, 0] - 1e-9
+        if fits.any():
+            out[i] = int(np.where(fits, room @ need[i], -np.inf).argmax())
+            room[out[i]] -= need[i]
+    return out, room
+
+
+def fill(cells: np.ndarray, room: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Shard of each cell, on top of what takes up ``room`` already."""
+    need = cells * len(room) / np.maximum(total, 1)
     out = np.zeros(len(need), np.int64)
-    for i in order:
+    for i in np.lexsort((np.arange(len(need)), -need.max(axis=1), -need[:, 0])):
         fits = (room >= need[i] - 1e-9).all(axis=1)
         gain = room @ need[i]
         best = int(np.where(fits, gain, -np.inf).argmax()) if fits.any() else int(gain.argmax())
@@ -78,19 +93,25 @@ def even(need: np.ndarray, out: np.ndarray, room: np.ndarray, rounds: int = 4000
 
 def assign(docs: DataFrame, shards: int = SHARDS, id_col="doc_id", text_col="text") -> DataFrame:
     """One row for each row of ``docs``: id, size, text_crc32, law, shard, slot, grown_shard."""
+    spark = docs.sparkSession
     held = materialize(digests(docs, id_col, text_col), "digests")
-    groups = held.groupBy("g").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    whole = held.agg(F.sum("size").alias("bytes")).first()["bytes"] or 0
-    most = max(1, whole // (shards * HOT))
-    # Groups above ``most`` bytes: at most shards * HOT of them, so they can be broadcast.
-    hot = F.broadcast(groups.filter(F.col("bytes") > most).select("g", F.when(F.col("bytes") <= most * (HOT // 4), F.lit(1)).otherwise(F.ceil(F.col("bytes") / (most * (HOT // 8)))).cast("long").alias("cuts")))
+    sums = (F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n"))
+    whole = held.agg(*sums).first()
+    total = np.array([whole["b"] or 0, whole["t"] or 0, whole["n"]], float)
+    most = max(1, int(total[0]) // (shards * HOT))
+    # Groups above ``most`` bytes: at most shards * HOT of them.
+    large = held.groupBy("g").agg(*sums).filter(F.col("b") > most).orderBy(F.desc("b"), "g").collect()
+    where, room = place(np.array([[r["b"], r["t"], r["n"]] for r in large], float).reshape(-1, 3), shards, total)
+    cuts = [1 if s >= 0 else -(-int(r["b"]) // (most * (HOT // PIECES))) for r, s in zip(large, where, strict=True)]
+    hot = F.broadcast(spark.createDataFrame([(bytes(r["g"]), int(c)) for r, c in zip(large, cuts, strict=True)], "hot binary, cuts long"))
     cell = F.when(F.col("cuts").isNull(), F.concat(F.lit("s"), F.pmod(F.xxhash64("g"), F.lit(shards * FINE)))).otherwise(F.concat(F.lit("h"), F.hex("g"), F.lit("/"), F.pmod(F.xxhash64("row"), F.col("cuts"))))
-    celled = held.join(hot, "g", "left").select("id", "size", "tokens", "crc", "row", cell.alias("cell"))
-    # At most shards * (FINE + 2 * HOT) cells.
-    sums = celled.groupBy("cell").agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).orderBy("cell").collect()
-    where = place(np.array([[r["b"], r["t"], r["n"]] for r in sums], float).reshape(-1, 3), shards)
-    spark = docs.sparkSession
-    placed = F.broadcast(spark.createDataFrame([(r["cell"], int(s)) for r, s in zip(sums, where, strict=True)], "cell string, shard int"))
+    celled = held.join(hot, F.col("g") == F.col("hot"), "left").select("id", "size", "tokens", "crc", "row", cell.alias("cell"))
+    # At most shards * (FINE + 2 * HOT) cells; those of whole groups have their place.
+    fixed = {f"h{bytes(r['g']).hex().upper()}/0": int(s) for r, s in zip(large, where, strict=True) if s >= 0}
+    loose = [r for r in celled.groupBy("cell").agg(*sums).orderBy("cell").collect() if r["cell"] not in fixed]
+    own = fill(np.array([[r["b"], r["t"], r["n"]] for r in loose], float).reshape(-1, 3), room, total)
+    known = [*fixed.items(), *((r["cell"], int(s)) for r, s in zip(loose, own, strict=True))]
+    placed = F.broadcast(spark.createDataFrame(known, "cell string, shard int"))
     out = celled.join(placed, "cell").select("id", "size", "crc", "row", "shard", F.shiftright("row", 33).alias("part"))
     # Slots: numbered inside each written partition, then shifted by the partitions before it.
     counts = out.groupBy("shard", "part").agg(F.count("*").alias("n"))

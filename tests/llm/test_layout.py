@@ -225,6 +225,42 @@ def test_shards(spark):
     assert sharding.assign(df.limit(0), 10).count() == 0
 
 
+def test_groups_stay_whole_while_a_shard_holds_them(spark):
+    rng = random.Random(6)
+    rows = [(i, f"{i} " + "x" * rng.randrange(100, 400)) for i in range(2000)]
+    rows += [(3000 + i, "half a shard " * 20) for i in range(95)] + [(4000 + i, "another large group " * 16) for i in range(120)] + [(5000 + i, "more than any shard " * 10) for i in range(700)]
+    got = sharding.assign(spark.createDataFrame(rows, DOCS).repartition(5), 10).collect()
+    mean = sum(r["size"] for r in got) / 10
+    by, sizes = collections.defaultdict(set), collections.Counter()
+    text = dict(rows)
+    for r in got:
+        by[text[r["doc_id"]]].add(r["shard"])
+        sizes[r["shard"]] += r["size"]
+    group = collections.Counter()
+    for _, t in rows:
+        group[t] += len(t) + 16
+    large = {t: b / mean for t, b in group.items() if b > mean / 8}
+    assert len(large) == 3 and sorted(b > 1 for b in large.values()) == [False, False, True] and min(large.values()) > 0.25
+    assert all(len(by[t]) == 1 for t, b in group.items() if b <= mean) and max(sizes.values()) <= 1.02 * mean
+    assert max(len(by[t]) for t, b in large.items() if b > 1) > 1
+
+
+def test_placement_by_plain_dot_products():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        shards, cells = int(rng.integers(2, 6)), rng.integers(1, 50, size=(40, 3)).astype(float)
+        cells[:, 0] += rng.random(40)
+        total = cells.sum(axis=0)
+        need = cells * shards / total
+        room, want = [[1.0] * 3 for _ in range(shards)], {}
+        for i in sorted(range(40), key=lambda i: -need[i, 0]):
+            fitting = [s for s in range(shards) if all(room[s][d] >= need[i, d] - 1e-9 for d in range(3))] or list(range(shards))
+            want[i] = max(fitting, key=lambda s: (sum(room[s][d] * need[i, d] for d in range(3)), -s))
+            room[want[i]] = [room[want[i]][d] - need[i, d] for d in range(3)]
+        plain = np.array([want[i] for i in range(40)])
+        assert (sharding.fill(cells, np.ones((shards, 3)), total) == sharding.even(need, plain.copy(), np.array(room))).all()
+
+
 def brute(vectors, every=20, k=20):
     ids = np.array([i for i, _ in vectors])
     m = np.array([v for _, v in vectors], float)
