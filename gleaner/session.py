@@ -41,7 +41,11 @@ BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000")
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the executors' Python workers, once a session."""
+    """Make this package importable in the executors' Python workers, once a session.
+
+    A session that has Spark's own size of Arrow batches gets ``BATCH_ROWS``
+    from here on, for all its queries; one with another size keeps it.
+    """
     key, usual, ours = BATCH_ROWS
     if spark.conf.get(key, usual) == usual:
         spark.conf.set(key, ours)
@@ -56,19 +60,44 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder; on a cluster
+    that is an error, for no executor sees another machine's disk.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    context = spark.sparkContext
+    held = context._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        return held.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet in the folder of ``spark.checkpoint.dir`` and read back.
+    """``df`` written once as Parquet in the shared folder and read back.
 
-    Costly steps with several readers run once, and lineage does not grow from
-    pass to pass.  Without such a folder one of our own is made.
+    Costly steps with several readers run once, lineage does not grow from pass
+    to pass, and a lost executor costs a re-read.  See :func:`discard`.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="gleaner-")
-        if not held.isDefined():
-            spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/gleaner/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables of :func:`settled` frames that nothing will read any more."""
+    for df in frames:
+        path = getattr(df, "_settled", None)
+        if path:
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
