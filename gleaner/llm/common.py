@@ -2,20 +2,20 @@
 
 Nothing here keeps state on the driver beyond small models; anything that must
 cut lineage goes to a Parquet table in the folder named by
-``spark.checkpoint.dir``, which all executors see.
+``spark.checkpoint.dir``, which all executors see (:func:`gleaner.session.settled`).
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import settled
+
 #: ASCII upper and lower case, for the contracts that lower-case A-Z only.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -26,28 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables: the session's, or one of our own where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            found = held.get()
-        else:
-            found = tempfile.mkdtemp(prefix="gleaner-")
-            spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back.
-
-    A lost executor costs a re-read, never a recomputation of what lies above.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: Write a table once in the shared folder and read it back.
+materialize = settled
 
 
 def shuffle_width(spark: SparkSession) -> int:

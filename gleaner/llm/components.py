@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard
 from .common import materialize
 
 
@@ -36,7 +37,9 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         down = large  # every edge leads from the greater to the lesser node
         least = down.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = down.join(least, F.col("u") == F.col("k")).select("v", "m", "u")
+        used = edges
         edges = materialize(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+        discard(used)
         after = _mark(edges)
         if after == before:
             break

@@ -43,6 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import discard
 from .common import materialize, shuffle_width, tidy
 from .components import components
 
@@ -340,7 +341,7 @@ def _keys_of(labelled: DataFrame, probes: list[tuple[int, int, int]]) -> DataFra
     return labelled.select("g", "s", "codes").mapInArrow(expand, "g long, s long, key long")
 
 
-def _groups(nodes: DataFrame) -> DataFrame:
+def _groups(nodes: DataFrame, keep) -> DataFrame:
     """``p``, ``node``: every node in its own group, and in each group it has to be compared with.
 
     A node's own group is the largest bucket that its best codewords put it in.
@@ -354,11 +355,11 @@ def _groups(nodes: DataFrame) -> DataFrame:
     own = best.join(bucket, "key").groupBy("node").agg(F.max_by("hub", F.struct("n", "key")).alias("g"))
     grouped = nodes.join(own, "node", "left").select("node", F.coalesce("g", "node").alias("g"), "codes")
     sizes = grouped.groupBy("g").agg(F.count("*").alias("s"))
-    labelled = materialize(grouped.join(sizes, "g").select("node", "g", "s", "codes"), "groups")
+    labelled = keep(grouped.join(sizes, "g").select("node", "g", "s", "codes"), "groups")
     # Members side by side, large groups over several tasks, and tasks small enough for many keys a row.
     every = _keys_of(labelled.repartitionByRange(shuffle_width(nodes.sparkSession), "g", "node").sortWithinPartitions("g"), PROBES)
-    met = materialize(every.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key"), "met-keys")
-    sharing = materialize(every.join(_small(met), "key", "left_semi").distinct(), "sharing")
+    met = keep(every.groupBy("key").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("key"), "met-keys")
+    sharing = keep(every.join(_small(met), "key", "left_semi").distinct(), "sharing")
     top = sharing.groupBy("key").agg(F.max_by("g", F.struct("s", "g")).alias("p"))
     meet = sharing.join(top, "key").filter("g <> p").select("p", "g").distinct()
     members = labelled.select("g", "node")
@@ -391,7 +392,7 @@ def _either(a: str, b: str) -> Column:
     return F.concat(F.array_except(a, b), F.array_except(b, a))
 
 
-def _links(nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def _links(nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col: str, keep) -> DataFrame:
     """Edges ``u``, ``v`` between nodes of similarity 0.8 and more that connect whatever such nodes share a key.
 
     In a group every set is replaced by its difference to one reference set: two
@@ -402,21 +403,21 @@ def _links(nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col:
     their rarest shingles (prefix filtering), so a group of n similar documents
     costs about n rows and not the square.
     """
-    groups = materialize(_groups(nodes), "memberships")
+    groups = keep(_groups(nodes, keep), "memberships")
     others = groups.filter("p <> node").groupBy("p").agg(F.count("*").alias("others"))
-    groups = materialize(groups.join(others, "p"), "groups-met")
+    groups = keep(groups.join(others, "p"), "groups-met")
     w = nodes.select("node", "w")
     bits = sum((apart(F.col("wu")[k], F.col("wv")[k]) for k in range(1, WORDS)), apart(F.col("wu")[0], F.col("wv")[0]))
     two = groups.filter("others = 1 and p <> node").join(w.withColumnRenamed("w", "wu"), "node").join(w.select(F.col("node").alias("p"), F.col("w").alias("wv")), "p").filter(bits <= APART)
-    kept = materialize(groups.filter("others > 1").unionAll(two.select("p", "node", "others")), "groups-kept")
+    kept = keep(groups.filter("others > 1").unionAll(two.select("p", "node", "others")), "groups-kept")
 
     name = nodes.select("node", "least", "mark")
-    asked = materialize(kept.select(F.explode(F.array("p", "node")).alias("node")).distinct().join(name, "node"), "asked")
-    ids = _small(materialize(asked.select(F.col("least").alias("_asked")).distinct(), "asked-ids"))
+    asked = keep(kept.select(F.explode(F.array("p", "node")).alias("node")).distinct().join(name, "node"), "asked")
+    ids = _small(keep(asked.select(F.col("least").alias("_asked")).distinct(), "asked-ids"))
     own = shingle_sets(docs.select(id_col, text_col).join(ids, F.col(id_col) == F.col("_asked"), "left_semi"), size, id_col, text_col)
-    sets = materialize(own.join(asked, ["least", "mark"]).groupBy("node").agg(F.any_value("shingles").alias("su")), "shingle-sets")
+    sets = keep(own.join(asked, ["least", "mark"]).groupBy("node").agg(F.any_value("shingles").alias("su")), "shingle-sets")
     both = kept.join(sets, "node").join(sets.select(F.col("node").alias("p"), F.col("su").alias("sp")), "p")
-    apart_ = materialize(both.select("p", "node", "others", F.size("su").alias("n"), F.size("sp").alias("np"), _either("su", "sp").alias("d")), "differences")
+    apart_ = keep(both.select("p", "node", "others", F.size("su").alias("n"), F.size("sp").alias("np"), _either("su", "sp").alias("d")), "differences")
     stars = apart_.filter((F.size("d") * SPAN <= (F.col("n") + F.col("np")) * STEP) & (F.col("p") != F.col("node"))).select(F.col("p").alias("u"), F.col("node").alias("v"))
 
     # Move the reference to the middle: shingles that most differences hold change sides.  Frequent shingles, at most
@@ -429,14 +430,14 @@ def _links(nodes: DataFrame, docs: DataFrame, size: int, id_col: str, text_col:
     none = F.array().cast("array<bigint>")
     centred = many.join(listed, "p", "left").withColumns({"often": F.coalesce("often", none), "flips": F.coalesce("flips", none)}).withColumn("d", _either("d", "flips"))
     ordered = F.concat(F.array_sort(F.array_except("d", "often")), F.array_intersect("often", "d"))
-    centred = materialize(centred.select("p", "node", "n", F.size("d").alias("m"), (F.size("d") * SPAN - F.col("n") * STEP).alias("x"), ordered.alias("d")), "centred")
+    centred = keep(centred.select("p", "node", "n", F.size("d").alias("m"), (F.size("d") * SPAN - F.col("n") * STEP).alias("x"), ordered.alias("d")), "centred")
     middle = centred.groupBy("p").agg(F.min(F.struct("x", "node")).alias("c"), F.max("n").alias("most"))
     roled = centred.join(middle, "p").withColumn("core", F.col("x") + F.col("c.x") <= 0)
     cores = roled.filter(F.col("core") & (F.col("node") != F.col("c.node"))).select(F.col("c.node").alias("u"), F.col("node").alias("v"))
 
     # Pairs with a common shingle in their differences, not both in the core.  ``low``: the least difference of a partner.
     strays = roled.filter(~F.col("core")).groupBy("p").agg(F.min("m").alias("stray"))
-    roled = materialize(roled.select("p", "node", "n", "m", "d", "core", "most").join(strays, "p"), "roles")
+    roled = keep(roled.select("p", "node", "n", "m", "d", "core", "most").join(strays, "p"), "roles")
     room = F.expr(f"(n + least(n * {SIMILAR[1]} div {SIMILAR[0]}, most)) * {STEP} div {SPAN}")
     low = F.when(F.col("core"), F.col("stray")).otherwise(0)
     common = F.floor((F.col("m") + F.col("low") - F.col("room") + 1) / 2)
@@ -471,8 +472,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, id_col="doc_id", text_col="t
     known = materialize(sketches(docs.filter(F.col(id_col).isNotNull()), size, id_col, text_col), "sketches")
     same = known.groupBy("w", "mark").agg(F.min("id").alias("least"), F.any_value("codes").alias("codes"))
     nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()), "sketch-nodes")
-    classes = components(_links(nodes, docs, size, id_col, text_col))
+    spent: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        spent.append(materialize(df, name))
+        return spent[-1]
+
+    classes = components(_links(nodes, docs, size, id_col, text_col, keep))
+    discard(*spent)
     rooted = materialize(nodes.select("node", "w", "mark", "least").join(classes, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    discard(nodes)
     named = rooted.groupBy("root").agg(F.min("least").alias("name"))
     of = rooted.join(named, "root").select("w", "mark", "name")
     return known.select("id", "w", "mark").join(of, ["w", "mark"]).select("id", F.col("name").alias("root"))
