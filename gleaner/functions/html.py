@@ -26,8 +26,12 @@ AUTH_TEXTS = ("sign in", "log in", "enter your password")
 CONSENT_TEXTS = ("cookie", "consent", "gdpr", "privacy policy", "we use cookies")
 CONSENT_REJECT = ("reject", "decline", "deny", "necessary only")
 CONSENT_ACCEPT = ("accept all", "accept", "agree", "allow all", "allow")
+CLOSE_TEXTS = ("close", "dismiss", "ok", "×", "x", "✕", "✖")
 LOAD_MORE = r"(?i)load more|show more|view more|see more|more results"
 
+#: A dialog that lies over the page, in its markup.
+OVERLAY = r"""(?i)<dialog[\s>]|<[^>]+\s(?:role\s*=\s*["']?dialog|aria-modal\s*=\s*["']?true)["'\s>]"""
+
 #: White space as Unicode and Python see it.
 SPACES = r"\s\x1c-\x1f\x85\xa0  -     　"
 
@@ -135,6 +139,7 @@ def obstacle_of(page_text: Column, url: Column) -> Column:
         F.when(contains_any(page_text, CHALLENGE_TEXTS), "captcha_gate")
         .when(F.coalesce(url.rlike(AUTH_URL), F.lit(False)) & contains_any(page_text, AUTH_TEXTS), "session_expiry")
         .when(contains_any(page_text, CONSENT_TEXTS), "cookie_banner")
+        .when(F.coalesce(page_text.rlike(OVERLAY), F.lit(False)), "popup_modal")
         .when(F.coalesce(page_text.rlike(LOAD_MORE), F.lit(False)), "load_more")
     )
 
@@ -144,6 +149,9 @@ def has_challenge_frame(sources: Column) -> Column:
     return F.coalesce(F.exists(sources, lambda s: contains_any(s, CHALLENGE_FRAMES)), F.lit(False))
 
 
-def dismiss_rank(label: Column) -> Column:
-    """0: a button that refuses, 1: one that accepts, null: neither; refusing words win within a label."""
-    return F.when(contains_any(label, CONSENT_REJECT), 0).when(contains_any(label, CONSENT_ACCEPT), 1)
+def dismiss_rank(label: Column, obstacle: str = "cookie_banner") -> Column:
+    """0: a button that refuses, 1: one that accepts (both on cookie banners only), 2: one that closes, null: none; the least wins within a label."""
+    close = F.when(contains_any(label, CLOSE_TEXTS), 2)
+    if obstacle != "cookie_banner":
+        return close
+    return F.when(contains_any(label, CONSENT_REJECT), 0).when(contains_any(label, CONSENT_ACCEPT), 1).otherwise(close)

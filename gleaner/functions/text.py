@@ -46,10 +46,14 @@ def numbered(errors: Column) -> Column:
     return F.array_join(F.transform(errors, lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e)), "\n")
 
 
+#: A decimal number, with or without an exponent.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
+
 def backoff_seconds(attempt: Column, base: float = 1.0, retry_after: Column | None = None) -> Column:
     """Wait before the next try, without jitter: a numeric Retry-After wins, else powers of two up to 30."""
     wait = F.least(F.lit(30.0), F.lit(float(base)) * F.pow(F.lit(2.0), attempt))
-    given = F.try_to_number(retry_after, F.lit("999999.999")).cast("double") if retry_after is not None else None
+    given = F.when(F.trim(retry_after).rlike(NUMBER), F.trim(retry_after).cast("double")) if retry_after is not None else None
     return wait if given is None else F.coalesce(given, wait)
 
 
@@ -70,13 +74,19 @@ def marker_name(path: Column) -> Column:
     return F.substring(F.sha2(path, 256), 1, 16)
 
 
-#: What an outcome of an event says.
+#: What an outcome of an event says; the first list that holds it wins.
 SEVERITY = {
-    "ok": ("success", "ok", "valid", "stored", "complete", "completed", "done", "stripped", "extracted", "kept_static", "corpus_hit", "corpus_miss_single_shot_ok"),
-    "error": ("failed", "blocked", "corpus_error", "flagged", "corpus_miss_single_shot_blocked", "corpus_miss_single_shot_fetch_failed"),
-    "warn": ("empty", "fallback", "repairing", "retrying", "wait", "fallback_section", "encoding_fallback", "no_fallback"),
-    "progress": ("begin", "started", "processing", "fetch_done", "store_start", "validate_done"),
-}
+    "ok": (
+        "success", "ok", "corpus_hit", "kept_static", "completed", "single_shot_ok", "corpus_miss_single_shot_ok", "dismissed", "rescued", "stale_element_recovered", "title_ok",
+    ),
+    "error": (
+        "error", "failed", "fetch_failed", "blocked", "flagged", "no_content", "parse_exhausted", "corpus_error", "answer_generation_failed", "navigation_error", "browser_error", "chunk_ingest_failed", "chunk_failed",
+    ),
+    "warn": (
+        "obstacle_detected", "encoding_fallback", "rate_limit_wait", "strip_parse_warning", "detection_failure", "timeout", "answer_fallback_rescued", "answer_unwrap_rescue", "networkidle_timeout", "load_more_stall",
+    ),
+    "progress": ("tool_use", "json_from_content", "json_mode", "retrying", "store_start", "fetch_done", "validate_done", "stripping", "extracting"),
+}
 
 
 def severity(outcome: Column) -> Column:

@@ -1,23 +1,31 @@
 """The vector corpus: immutable snapshots of a collection, replaced by URL, searched exactly.
 
-A collection is a folder with versions ``v=N`` and a manifest that names the
-current one.  A write makes a new version and then moves the manifest, so a
-reader sees the old version or the new one and never a half of either.  Rows are
-laid out by ``url_bucket``, a hash of the URL, which a lookup by URL prunes to.
+A collection is a folder of rows laid out by ``url_bucket``, a hash of the URL,
+and of numbered manifests.  A manifest says for each bucket which folder holds
+it; a write makes new folders for the buckets it touches, then publishes the
+next manifest under a name that did not exist before.  A reader takes the
+greatest manifest, so it sees the old version or the new one, never a half of
+either and never none.  A lookup by URL reads one bucket.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.text import iso_utc, provenance
 from ..schemas import CORPUS
 
 BUCKETS = 32
+#: Rows that one task writes, about; large buckets are written by several.
+TASK_ROWS = 100_000
 #: New URLs up to which the side of a replace is broadcast; counted first.
 BROADCAST_URLS = 100_000
 #: Vectors of a block and queries of a block.
@@ -42,14 +50,11 @@ def cosine_distance(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (size > 0), 1 - dot(a, b) / size)
 
 
-def _vector(values: list[float]) -> Column:
-    return F.array(*(F.lit(float(v)) for v in values))
-
-
 def query(collection: DataFrame, embedding: list[float], k: int = 5, where: Column | None = None, id_col: str = "chunk_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest rows by cosine distance, ties to the smaller id; ``where`` filters first."""
     rows = collection if where is None else collection.filter(where)
-    return rows.withColumn("distance", cosine_distance(F.col(vector_col), _vector(embedding))).filter("distance is not null").orderBy("distance", id_col).limit(k)
+    given = F.lit([float(v) for v in embedding])
+    return rows.withColumn("distance", cosine_distance(F.col(vector_col), given)).filter("distance is not null").orderBy("distance", id_col).limit(k)
 
 
 def _blocks(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, DataFrame]:
@@ -155,69 +160,97 @@ class Corpus:
     """A collection under ``path``, written by one writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, f"{path.rstrip('/')}/{name}", buckets
-
-    def _fs(self):
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        self.spark, self.name, self.root, self.buckets = spark, name, f"{path.rstrip('/')}/{name}", buckets
 
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _fs(self):
+        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def versions(self) -> list[int]:
+        """Published versions, in order."""
+        fs, at = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", n) for n in names) if m)
+
     def version(self) -> int | None:
-        _, fs = self._fs()
-        at = self._path("CURRENT")
-        if not fs.exists(at):
-            return None
-        stream = fs.open(at)
+        return max(self.versions(), default=None)
+
+    def manifest(self, version: int) -> dict[str, str]:
+        """Folder of each bucket that has rows."""
+        stream = self._fs().open(self._path(f"manifest-{version:010d}.json"))
         try:
-            return int(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip())
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _rows(self, folders: dict[str, str]) -> DataFrame:
+        fields = self.spark.createDataFrame([], CORPUS).schema.add("url_bucket", IntegerType())
+        if not folders:
+            return self.spark.createDataFrame([], fields)
+        paths = [f"{self.root}/{folder}/url_bucket={bucket}" for bucket, folder in sorted(folders.items())]
+        return self.spark.read.schema(fields).option("basePath", self.root).parquet(*paths).select(*fields.names)
+
     def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, the current one by default; none yet: no rows."""
+        """Rows of a version, the newest by default; none yet: no rows."""
         version = self.version() if version is None else version
-        if version is None:
-            return self.spark.createDataFrame([], CORPUS).withColumn("url_bucket", F.lit(0))
-        return self.spark.read.parquet(f"{self.root}/v={version}")
+        return self._rows({} if version is None else self.manifest(version))
 
     def at_url(self, url: str) -> DataFrame:
         """Rows of one URL; only its bucket is read."""
-        bucket = url_bucket(F.lit(url), self.buckets)
-        return self.read().filter((F.col("url_bucket") == bucket) & (F.col("source_url") == url))
-
-    def _publish(self, rows: DataFrame) -> int:
-        """Write a new version, then move the manifest to it."""
-        number = (self.version() or 0) + 1
-        rows.drop("url_bucket").withColumn("url_bucket", url_bucket(F.col("source_url"), self.buckets)).repartition("url_bucket").write.mode("overwrite").partitionBy("url_bucket").parquet(f"{self.root}/v={number}")
-        _, fs = self._fs()
-        draft, current = self._path(f".CURRENT-{uuid.uuid4().hex}"), self._path("CURRENT")
+        bucket = self.spark.range(1).select(url_bucket(F.lit(url), self.buckets)).first()[0]
+        version = self.version()
+        own = {} if version is None else {b: f for b, f in self.manifest(version).items() if b == str(bucket)}
+        return self._rows(own).filter(F.col("source_url") == url)
+
+    def _publish(self, rows: DataFrame, touched: list[int], size: int) -> int:
+        """Write the rows of the touched buckets, about ``size``, to a folder of their own, then the next manifest."""
+        held = self.version()
+        number, folder = (held or 0) + 1, f"v={(held or 0) + 1}-{uuid.uuid4().hex}"
+        each = -(-size // (TASK_ROWS * max(1, len(touched))))  # tasks a bucket
+        salted = rows.withColumn("url_bucket", url_bucket(F.col("source_url"), self.buckets)).withColumn("_salt", F.pmod(F.xxhash64("source_url", F.lit("salt")), F.lit(max(1, each))))
+        salted.repartition(max(1, each * len(touched)), "url_bucket", "_salt").drop("_salt").write.partitionBy("url_bucket").parquet(f"{self.root}/{folder}")
+        fs = self._fs()
+        written = {f.getPath().getName().partition("=")[2] for f in fs.listStatus(self._path(folder)) if f.isDirectory()}
+        kept = {b: f for b, f in (self.manifest(held) if held else {}).items() if int(b) not in touched}
+        draft, final = self._path(f".draft-{uuid.uuid4().hex}"), self._path(f"manifest-{number:010d}.json")
         out = fs.create(draft, True)
-        out.writeBytes(str(number))
+        out.write(bytearray(json.dumps(kept | dict.fromkeys(written, folder)).encode()))
         out.close()
-        if not fs.rename(draft, current):  # a target that exists is not replaced everywhere
-            fs.delete(current, False)
-            fs.rename(draft, current)
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another writer published version {number} of {self.name}")
         return number
 
+    def _buckets_of(self, rows: DataFrame) -> list[int]:
+        """The buckets of the rows' URLs: at most as many as there are."""
+        return sorted(r[0] for r in rows.select(url_bucket(F.col("source_url"), self.buckets)).distinct().collect())
+
+    def _current(self, touched: list[int]) -> DataFrame:
+        version = self.version()
+        return self._rows({} if version is None else {b: f for b, f in self.manifest(version).items() if int(b) in touched}).drop("url_bucket")
+
     def store(self, chunks: DataFrame) -> int:
         """Replace all chunks of the URLs in ``chunks``; returns how many were stored. None is an error."""
         columns = [f.name for f in self.spark.createDataFrame([], CORPUS).schema]
         new = chunks.select(*columns)
-        stored = new.count()
+        stored, bare = new.agg(F.count("*"), F.count(F.when(F.col("embedding").isNull(), 1))).first()
         if not stored:
             raise ValueError("no chunks to store")
-        if new.filter("embedding is null").limit(1).count():
+        if bare:
             raise ValueError("chunk and embedding counts differ")
-        self._publish(replace_by_url(self.read().select(*columns), new))
+        touched = self._buckets_of(new)
+        old = self._current(touched)
+        self._publish(replace_by_url(old, new), touched, stored + old.count())
         return stored
 
     def delete(self, urls: list[str]) -> int:
         """Delete by URL; returns the deleted rows."""
-        rows = self.read()
-        gone = rows.filter(F.col("source_url").isin(urls)).count()
+        touched = self._buckets_of(self.spark.createDataFrame([(u,) for u in urls], "source_url string"))
+        old = self._current(touched)
+        size = old.count()
+        gone = old.filter(F.col("source_url").isin(urls)).count()
         if gone:
-            self._publish(delete_urls(rows, urls))
+            self._publish(delete_urls(old, urls), touched, size)
         return gone

@@ -80,3 +80,27 @@ def embed(text: Column, embedder, batch_size: int = 32) -> Column:
             yield pd.Series(made)
 
     return run(text)
+
+
+def try_embed(text: Column, embedder, batch_size: int = 32) -> Column:
+    """Struct of ``vector`` and ``failure``: like :func:`embed`, but a text that the embedder fails on says why.
+
+    When a batch fails its texts are tried one by one, so one text fails alone.
+    """
+
+    def one(texts: list[str]) -> list[tuple]:
+        try:
+            made = embedder.embed(texts)
+            if len(made) != len(texts):
+                raise ValueError(f"{len(made)} vectors for {len(texts)} texts")
+            return [(v, None) for v in made]
+        except Exception as e:  # noqa: BLE001  a failing embedder flags its rows
+            return [(None, f"embedder failed: {e}")] if len(texts) == 1 else [r for t in texts for r in one([t])]
+
+    @F.pandas_udf("vector array<float>, failure string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            given = texts.tolist()
+            yield pd.DataFrame([r for at in range(0, len(given), batch_size) for r in one(given[at : at + batch_size])], columns=["vector", "failure"])
+
+    return run(text)

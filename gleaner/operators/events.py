@@ -15,7 +15,7 @@ def empty(spark) -> DataFrame:
 
 
 def event(df: DataFrame, event_type: str, url: Column | None = None, outcome: Column | None = None, reason: Column | None = None, ts: Column | None = None, **details: Column) -> DataFrame:
-    """Events (without id) of the rows of ``df``; no details give a null, not an empty object."""
+    """Events (without id) of the rows of ``df``; no details give a null, not an empty object.  A detail may end in ``_``, to be named like a parameter."""
     none = F.lit(None).cast("string")
     return df.select(
         (F.current_timestamp() if ts is None else ts).alias("ts"),
@@ -23,7 +23,7 @@ def event(df: DataFrame, event_type: str, url: Column | None = None, outcome: Co
         (none if url is None else url).alias("url"),
         (none if outcome is None else outcome).alias("outcome"),
         (none if reason is None else reason).alias("reason"),
-        (F.to_json(F.struct(*(v.alias(k) for k, v in details.items()))) if details else none).alias("details_json"),
+        (F.to_json(F.struct(*(v.alias(k.rstrip("_")) for k, v in details.items()))) if details else none).alias("details_json"),
     )
 
 

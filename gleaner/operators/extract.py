@@ -44,8 +44,8 @@ def blank(text: Column) -> Column:
 
 
 def route(df: DataFrame) -> DataFrame:
-    """``df`` (content, content_type) with ``flag``: why a row needs no extractor; null: it goes on."""
-    return df.withColumn("flag", F.when(F.col("content_type") == "unknown", UNSUPPORTED).when(blank(F.col("content")), BLANK))
+    """``df`` (content, content_type, content_failure) with ``flag``: why a row needs no extractor; null: it goes on."""
+    return df.withColumn("flag", F.when(F.col("content_type") == "unknown", UNSUPPORTED).when(F.col("content_failure").isNotNull(), F.col("content_failure")).when(blank(F.col("content")), BLANK))
 
 
 def _answers(rows: DataFrame, extractor: Extractor, parse_retry: int) -> DataFrame:
@@ -102,6 +102,7 @@ def finish(rows: DataFrame) -> DataFrame:
         F.when(~ok, F.array().cast(f"array<{SECTION}>")).when(wrap, one).otherwise(full).alias("sections"),
         F.when(ok & wrap, "fallback_section").when(ok, "extracted").otherwise("flagged").alias("extraction_outcome"),
         "content",
+        "trail",
     )
 
 
@@ -109,14 +110,21 @@ def flagged(rows: DataFrame, reason: Column) -> DataFrame:
     """Zero-confidence results without sections that keep their provenance."""
     return rows.select(
         "source_url", "scrape_timestamp", "page_title", "content_type", F.lit(0.0).alias("confidence"), reason.alias("extraction_notes"), F.lit(False).alias("truncated"),
-        F.array().cast(f"array<{SECTION}>").alias("sections"), F.lit("flagged").alias("extraction_outcome"), "content",
+        F.array().cast(f"array<{SECTION}>").alias("sections"), F.lit("flagged").alias("extraction_outcome"), "content", "trail",
     )
 
 
+#: Optional columns of what is extracted: errors to repair, why there is no content, and a record of earlier rounds.
+OPTIONAL = ("repair_errors", "content_failure", "trail")
+
+
 def extract(df: DataFrame, extractor: Extractor = heading_sections, parse_retry: int = 1) -> DataFrame:
-    """Results for rows of (source_url, scrape_timestamp, page_title, content_type, content, optional repair_errors)."""
-    if "repair_errors" not in df.columns:
-        df = df.withColumn("repair_errors", F.lit(None).cast("string"))
-    rows = route(df.select("source_url", "scrape_timestamp", "page_title", "content_type", "content", "repair_errors"))
+    """Results for rows of (source_url, scrape_timestamp, page_title, content_type, content) and the ``OPTIONAL`` columns.
+
+    The plan that is returned runs the extractor each time it runs: whoever
+    reads it more than once settles it first.
+    """
+    df = df.withColumns({c: F.lit(None).cast("string") for c in OPTIONAL if c not in df.columns})
+    rows = route(df.select("source_url", "scrape_timestamp", "page_title", "content_type", "content", *OPTIONAL))
     asked = _answers(rows.filter("flag is null").drop("flag"), extractor, parse_retry)
     return finish(asked).unionByName(flagged(rows.filter("flag is not null"), F.col("flag")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,19 +27,46 @@ def retryable(status: Column) -> Column:
     return F.when(status == 429, "rate_limit").when(status.between(500, 599), "server_errors")
 
 
+#: Charsets that need no Python: UTF-8 and what the JVM decodes the same way for any bytes.
+UTF8 = ("", "utf-8", "utf8", "utf_8", "u8")
+LATIN = ("latin-1", "latin1", "latin_1", "l1", "iso-8859-1", "iso8859-1", "iso_8859_1", "iso8859", "8859", "cp819")
+
+
+def _declared(body: Column, charset: Column) -> Column:
+    """Text in the declared charset; null where there is no such charset or the bytes do not fit it."""
+
+    @F.pandas_udf("string")
+    def text(bodies: pd.Series, charsets: pd.Series) -> pd.Series:
+        out = []
+        for raw, name in zip(bodies, charsets, strict=True):
+            try:
+                out.append(None if raw is None else bytes(raw).decode(name))
+            except (LookupError, UnicodeDecodeError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return text(body, charset)
+
+
+def _charset(charset: Column) -> Column:
+    return F.lower(F.trim(F.coalesce(charset, F.lit(""))))
+
+
 def decode_body(body: Column, charset: Column) -> Column:
-    """Text of bytes: the declared charset where it fits, else UTF-8, else Latin-1."""
+    """Text of bytes: the declared charset where it fits, else UTF-8, else Latin-1.
 
-    valid = F.try_validate_utf8(body.cast("string"))
-    low = F.lower(F.coalesce(charset, F.lit("")))
-    latin = low.isin("latin-1", "latin1", "iso-8859-1", "iso8859-1")
-    return F.when(latin, F.decode(body, "ISO-8859-1")).otherwise(F.coalesce(valid, F.decode(body, "ISO-8859-1")))
+    Bodies in UTF-8 and Latin-1, declared or not, stay in the JVM; only the
+    others are handed to Python.
+    """
+    low = _charset(charset)
+    other = F.when(~low.isin(*UTF8, *LATIN), body)
+    return F.when(low.isin(*LATIN), F.decode(body, "ISO-8859-1")).otherwise(F.coalesce(_declared(other, low), F.try_validate_utf8(body.cast("string")), F.decode(body, "ISO-8859-1")))
 
 
 def encoding_fallback(body: Column, charset: Column) -> Column:
     """Was neither the declared charset nor UTF-8 good for the bytes?"""
-    low = F.lower(F.coalesce(charset, F.lit("")))
-    return ~low.isin("latin-1", "latin1", "iso-8859-1", "iso8859-1") & F.try_validate_utf8(body.cast("string")).isNull() & body.isNotNull()
+    low = _charset(charset)
+    return ~low.isin(*LATIN) & body.isNotNull() & F.try_validate_utf8(body.cast("string")).isNull() & _declared(F.when(~low.isin(*UTF8, *LATIN), body), low).isNull()
 
 
 def decide(static: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import FRONTIER, TERMINAL_STATES
+from ..session import settled
 
 MAX_ATTEMPTS = 2
 BACKOFF_SECONDS = 5.0
+#: Statuses from the end of the chain to its begin.
+FURTHEST = ("stored", "flagged", "no_content", "blocked", "fetch_failed")
 
 
 def empty(spark) -> DataFrame:
@@ -86,10 +89,12 @@ def next_reason(status: Column, reason: Column, attempts: Column, max_attempts:
 def apply_outcomes(frontier: DataFrame, outcomes: DataFrame, now: Column | None = None, max_attempts: int = MAX_ATTEMPTS, backoff_seconds: float = BACKOFF_SECONDS) -> DataFrame:
     """Frontier after the outcomes (url, status, reason) of one pass.
 
-    A completed row keeps the deadline it had; a failure sets or clears it.
+    A completed row keeps the deadline it had; a failure sets or clears it.  Of
+    several outcomes of one URL the one that got furthest counts.
     """
     now = F.current_timestamp() if now is None else now
-    one = outcomes.groupBy("url").agg(F.min_by(F.struct("status", F.col("reason").alias("why")), "status").alias("_o"))
+    rank = F.array_position(F.array(*(F.lit(x) for x in FURTHEST)), F.col("status"))
+    one = outcomes.groupBy("url").agg(F.min(F.struct(rank.alias("rank"), "status", F.col("reason").alias("why"))).alias("_o"))
     joined = frontier.join(one, "url", "left").select(*frontier.columns, "_o.status", "_o.why")
     status, tries = F.col("status"), F.col("attempts")
     state = next_state(status, tries, max_attempts)
@@ -144,5 +149,15 @@ def by_state(states_: DataFrame) -> DataFrame:
 
 
 def running_attempts(attempts: DataFrame) -> DataFrame:
-    """Each attempt with its number within its key."""
-    return attempts.withColumn("attempt", F.row_number().over(Window.partitionBy("key").orderBy("id")))
+    """Each attempt with its number within its key.
+
+    Attempts lie in range partitions by key and id, so a key with a third of all
+    attempts spans many; only its count in each crosses over to the next.
+    """
+    ranged = settled(attempts.repartitionByRange("key", "id").withColumn("_part", F.spark_partition_id()), "attempts")
+    sizes = ranged.groupBy("key", "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select(F.col("key").alias("_key"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_before"))
+    own = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("key", "_part").orderBy("id")))
+    joined = own.join(shift, F.col("key").eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    return joined.withColumn("attempt", (F.col("_before") + F.col("_k")).cast("int")).drop("_part", "_p", "_key", "_k", "_before")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import answer_from_markdown, answer_ok, json_in_text, render_evidence, unwrap_answer
 from ..functions.text import iso_utc, provenance
 from ..schemas import ANSWER, EVIDENCE
+from ..session import settled
 from .corpus import cosine_distance
+from .events import event
 
 
 def status_of_miss(status: Column, has_result: Column) -> Column:
@@ -69,16 +74,46 @@ def miss_results(requests: DataFrame, outcomes: DataFrame) -> DataFrame:
     )
 
 
-def live_query(requests: DataFrame, corpus: DataFrame, ingest_single, k: int = 5) -> DataFrame:
-    """Results for all requests; ``ingest_single(urls) -> outcomes`` runs the chain without writing, for missed URLs only."""
-    missed = misses(requests, corpus)
-    return corpus_hits(requests, corpus, k).unionByName(miss_results(missed, ingest_single(missed.select("url").distinct())))
+def corpus_errors(requests: DataFrame, why: str) -> DataFrame:
+    """Results of requests to a corpus that cannot be read."""
+    none = F.lit(None).cast("string")
+    bare = F.create_map(F.lit("source_url"), F.col("url"))
+    return requests.select("request_id", "url", F.lit(False).alias("found_in_corpus"), F.lit("error").alias("source_used"), F.lit("error").alias("status"), F.coalesce(F.lit(why), none).alias("reason"), bare.alias("provenance"), F.array().cast(f"array<{EVIDENCE}>").alias("evidence"), F.lit("corpus_error").alias("event_outcome"))
+
+
+def live_query(requests: DataFrame, corpus: DataFrame | Callable[[], DataFrame], ingest_single, k: int = 5) -> DataFrame:
+    """Results for all requests; ``ingest_single(urls) -> outcomes`` runs the chain without writing, for missed URLs only.
+
+    ``corpus`` is a table or what opens one; a corpus that cannot be opened or
+    read gives error results and no scrape.
+    """
+    try:
+        found = corpus() if callable(corpus) else corpus
+        hits = settled(corpus_hits(requests, found, k), "live-hits")
+    except Exception as e:  # noqa: BLE001  whatever is wrong with it, the request gets an answer
+        return corpus_errors(requests, str(e).split("\n")[0])
+    missed = settled(requests.join(hits.select("request_id"), "request_id", "left_anti"), "live-misses")
+    return hits.unionByName(miss_results(missed, ingest_single(missed.select("url").distinct())))
+
+
+def live_events(results: DataFrame, now: Column) -> DataFrame:
+    """One event a request; ``query_given`` where the results say what was asked."""
+    asked = F.col("query").isNotNull() if "query" in results.columns else F.lit(False)
+    told = F.col("event_outcome") != "corpus_error"
+    return event(results, "live_query", F.col("url"), F.col("event_outcome"), F.col("reason"), now, found_in_corpus=F.when(told, F.col("found_in_corpus")), source_used=F.when(told, F.col("source_used")), evidence_count=F.when(told, F.size("evidence")), query_given=F.when(told, asked), error=F.when(~told, F.col("reason")))
 
 
 def render(results: DataFrame) -> DataFrame:
     return results.withColumn("rendered", render_evidence(F.col("evidence")))
 
 
+def _asked(complete, question, evidence) -> str | None:
+    try:
+        return complete(question, evidence)
+    except Exception:  # noqa: BLE001  a failing model gives no answer
+        return None
+
+
 def answers(results: DataFrame, complete, parse: bool = True) -> DataFrame:
     """Results with ``answer`` (null on failure) and ``answer_outcome``.
 
@@ -87,14 +122,12 @@ def answers(results: DataFrame, complete, parse: bool = True) -> DataFrame:
     Markdown.
     """
 
-    @F.udf("string")
-    def ask(question, evidence):
-        try:
-            return complete(question, evidence)
-        except Exception:  # noqa: BLE001  a failing model gives no answer
-            return None
+    @F.pandas_udf("string")
+    def ask(questions: pd.Series, evidence: pd.Series) -> pd.Series:
+        return pd.Series([_asked(complete, q, e) for q, e in zip(questions, evidence, strict=True)], dtype=object)
 
-    asked = render(results).withColumn("_text", ask(F.col("query"), F.col("rendered")))
+    # Written, for what is read from the text below must not ask again.
+    asked = settled(render(results).withColumn("_text", ask(F.col("query"), F.col("rendered"))), "answers")
     parsed = F.from_json(json_in_text(F.col("_text")), ANSWER)
     unwrapped = unwrap_answer(parsed)
     rescued = answer_from_markdown(F.col("_text"), F.col("evidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import numbered
+from ..session import settled
 from . import extract as ex
 
 MIN_CONFIDENCE = 0.5
@@ -32,27 +33,50 @@ def flag_reason(content_type: Column, skip_repair: bool = False) -> Column:
     return F.when(content_type == "unknown", "unsupported_content_type").otherwise("skipped_repair" if skip_repair else "repair_budget_exhausted")
 
 
+#: What a round of extraction and validation leaves in ``trail``: one JSON object a line.
+ROUND = "retry_count int, extraction string, validation string, num_sections int, confidence double, truncated boolean, title string, notes string, content_type string"
+
+
+def _round(outcome: Column) -> Column:
+    fields = (F.col("retry_count"), F.col("extraction_outcome").alias("extraction"), outcome.alias("validation"), F.size("sections").alias("num_sections"), "confidence", "truncated", F.col("page_title").alias("title"), F.col("extraction_notes").alias("notes"), "content_type")
+    return F.concat_ws("\n", "trail", F.to_json(F.struct(*fields)))
+
+
+def rounds(checked: DataFrame, *keep: str) -> DataFrame:
+    """The rounds that validated results went through, a row each, with the columns of ``ROUND``."""
+    each = checked.select(*keep, F.explode(F.split("trail", "\n")).alias("_r"))
+    return each.select(*keep, F.from_json("_r", ROUND).alias("_r")).select(*keep, "_r.*")
+
+
 def validate(results: DataFrame, extractor: ex.Extractor = ex.heading_sections, min_confidence: float = MIN_CONFIDENCE, budget: int = REPAIR_BUDGET, skip_repair: bool = False, parse_retry: int = 1) -> DataFrame:
-    """Results (with ``content``) and ``errors``, ``is_valid``, ``should_retry``, ``retry_count``, ``flag_reason``.
+    """Results (with ``content``) and ``errors``, ``is_valid``, ``should_retry``, ``retry_count``, ``flag_reason``, ``trail``.
 
     Each of the ``budget`` rounds extracts only the rows that fail and may be
-    repaired; the others are settled, so no round can see them again.
+    repaired; the others are done with, so no round can see them again.  Results
+    are written before they are split, so no extractor is asked twice.
     """
     if "extraction_outcome" not in results.columns:
         results = results.withColumn("extraction_outcome", F.lit("extracted"))
-    settled, open_ = None, results.withColumn("retry_count", F.lit(0))
+    if "trail" not in results.columns:
+        results = results.withColumn("trail", F.lit(None).cast("string"))
+    finished, open_ = None, results.withColumn("retry_count", F.lit(0))
     for count in range(budget + 1):
-        checked = open_.withColumn("errors", errors(min_confidence))
         last = skip_repair or count == budget
+        if not (last and finished is None):
+            open_ = settled(open_, "results")
+        checked = open_.withColumn("errors", errors(min_confidence))
         fails = F.size("errors") > 0
         again = F.lit(False) if last else fails & (F.col("content_type") != "unknown")
+        checked = checked.withColumn("trail", _round(F.when(~fails, "valid").when(again, "repairing").otherwise("failed")))
         done = checked.filter(~again)
-        settled = done if settled is None else settled.unionByName(done.select(*settled.columns))
+        finished = done if finished is None else finished.unionByName(done.select(*finished.columns))
         if last:
             break
-        failing = checked.filter(again).withColumn("repair_errors", numbered(F.col("errors")))
-        open_ = ex.extract(failing, extractor, parse_retry).withColumn("retry_count", F.lit(count + 1))
-    return settled.withColumns(
+        failing = checked.filter(again)
+        if failing.isEmpty():
+            break
+        open_ = ex.extract(failing.withColumn("repair_errors", numbered(F.col("errors"))), extractor, parse_retry).withColumn("retry_count", F.lit(count + 1))
+    return finished.withColumns(
         {
             "is_valid": F.size("errors") == 0,
             "should_retry": F.lit(False),

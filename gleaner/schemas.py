@@ -16,6 +16,10 @@ FETCH_RESULT = (
     "url string, outcome string, html string, raw binary, status_code int, content_type string, "
     "final_url string, fetcher string, reason string, visible_text string"
 )
+#: The same, and what happened on the way.
+FETCH_LOG = FETCH_RESULT + (
+    ", hops array<struct<from_url: string, to_url: string, code: int>>, retries array<struct<code: int, attempt: int, wait: double>>, lost_charset string, waited double"
+)
 BLOCK = "struct<heading: string, level: int, text: string>"
 STRIP_RESULT = (
     f"title string, outcome string, text string, method string, chars_before int, chars_after int, num_blocks int, num_tables int, blocks array<{BLOCK}>"

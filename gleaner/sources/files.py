@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from io import BytesIO
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,19 +44,29 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pdf_text(body: Column) -> Column:
-    """Text of a PDF's pages that have any, pages apart by an empty line; an error is raised for the row where no PDF reader is installed."""
+    """Struct of ``text`` and ``failure`` of PDF bodies; null bodies give null.
 
-    @F.udf("string")
-    def read(raw):
-        if not raw:
-            return ""
-        from io import BytesIO
+    The text is that of all pages that have any, apart by an empty line.  What
+    cannot be read, also for want of a PDF reader, says so in ``failure``.
+    """
 
-        from pypdf import PdfReader
+    @F.pandas_udf("text string, failure string")
+    def read(raws: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_pdf_text(r) for r in raws], columns=["text", "failure"])
+
+    return F.when(body.isNotNull(), read(body))
 
-        return "\n\n".join(t for t in (p.extract_text() or "" for p in PdfReader(BytesIO(bytes(raw))).pages) if t.strip())
 
-    return read(body)
+def _pdf_text(raw: bytes | None) -> tuple[str | None, str | None]:
+    if not raw:
+        return "", None
+    try:
+        from pypdf import PdfReader
+
+        texts = [page.extract_text() or "" for page in PdfReader(BytesIO(bytes(raw))).pages]
+    except Exception as e:  # noqa: BLE001  a broken file flags its row
+        return None, f"pdf text extraction failed: {e}"
+    return "\n\n".join(t for t in texts if t.strip()), None
 
 
 def pdf_supported() -> bool:

@@ -33,6 +33,38 @@ def test_replace_not_duplicate(spark, tmp_path):
     assert corpus.count(c.read()) == 2
 
 
+def test_a_reader_always_finds_a_whole_version(spark, tmp_path):
+    c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4", buckets=8)
+    c.store(rows(spark))
+    before = c.read()
+    seen = []
+
+    class Watched(corpus.Corpus):
+        def manifest(self, version):  # called between the new folder and the new manifest
+            seen.append(c.read().count())
+            return super().manifest(version)
+
+    w = Watched(spark, str(tmp_path), "corpus_x_4", buckets=8)
+    w.store(rows(spark, "https://b/", 2))
+    assert set(seen) == {3} and before.count() == 3 and c.read().count() == 5 and c.versions() == [1, 2]
+    kept = {b: f for b, f in c.manifest(1).items()}
+    moved = {b: f for b, f in c.manifest(2).items() if kept.get(b) != f}
+    assert len(moved) == 1  # one bucket was touched, the others are the same folders
+    assert [len(r["embedding"]) for r in c.at_url("https://b/").collect()] == [4, 4] and c.at_url("https://none/").count() == 0
+    with pytest.raises(RuntimeError, match="another writer"):
+        stale = corpus.Corpus(spark, str(tmp_path), "corpus_x_4", buckets=8)
+        stale.version = lambda: 1
+        stale.store(rows(spark, "https://c/", 1))
+    assert c.read().count() == 5
+
+
+def test_large_buckets_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "TASK_ROWS", 20)
+    c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4", buckets=1)
+    many = spark.createDataFrame([chunk_row(f"https://{i}/", 1, [i, 1, 0, 0]) for i in range(200)], CORPUS)
+    assert c.store(many) == 200 and c.read().count() == 200 and len(c.read().inputFiles()) > 3
+
+
 def test_store_refuses_nothing_and_missing_vectors(spark, tmp_path):
     c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4")
     with pytest.raises(ValueError):
@@ -130,6 +162,33 @@ def test_live_hits_and_misses(spark):
     assert (got[4]["status"], got[4]["reason"], got[4]["event_outcome"], got[4]["evidence"]) == ("blocked", "why", "corpus_miss_single_shot_blocked", [])
 
 
+def test_a_corpus_that_cannot_be_read_is_an_error_result(spark, tmp_path):
+    asked = spark.createDataFrame([(1, "https://a/", None)], "request_id long, url string, query_vector array<double>")
+
+    def never(urls):
+        raise AssertionError("no scrape without a corpus")
+
+    got = live.live_query(asked, lambda: spark.read.parquet(str(tmp_path / "none")), never)
+    r = got.first()
+    assert (r["status"], r["source_used"], r["found_in_corpus"], r["event_outcome"], r["evidence"]) == ("error", "error", False, "corpus_error", []) and r["reason"]
+    e = live.live_events(got, F.lit(T)).first()
+    assert (e["event_type"], e["outcome"], e["url"]) == ("live_query", "corpus_error", "https://a/") and '"error"' in e["details_json"]
+
+
+def test_answers_ask_once(spark, tmp_path):
+    path = str(tmp_path / "asked")
+
+    def model(question, evidence):
+        with open(path, "a") as f:
+            f.write(question + "\n")
+        return "**Answer**\nmaybe"
+
+    df = spark.createDataFrame([(f"q{i}", [("proof", {"source_url": "u"})]) for i in range(5)], "query string, evidence array<struct<text: string, provenance: map<string, string>>>")
+    out = live.answers(df, model)
+    out.collect(), out.count(), out.filter("answer_outcome = 'fallback_rescue'").collect()
+    assert sorted(open(path).read().split()) == [f"q{i}" for i in range(5)]
+
+
 def test_answers(spark):
     df = spark.createDataFrame([("q1", [("proof", {"source_url": "u"})]), ("q2", [("proof", {"source_url": "u"})]), ("q3", []), ("q4", [("p", {"source_url": "u"})])], "query string, evidence array<struct<text: string, provenance: map<string, string>>>")
 

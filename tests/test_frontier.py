@@ -165,6 +165,9 @@ def test_bodies(spark):
     rows = [("é".encode(), "utf-8"), ("é".encode("latin-1"), "utf-8"), ("é".encode("latin-1"), "ISO-8859-1"), ("é".encode(), None), (None, None)]
     got = spark.createDataFrame(rows, "b binary, c string").select(fetch.decode_body(F.col("b"), F.col("c")), fetch.encoding_fallback(F.col("b"), F.col("c"))).collect()
     assert [tuple(r) for r in got] == [("é", False), ("é", True), ("é", False), ("é", False), (None, False)]
+    rows = [("привет".encode("windows-1251"), "Windows-1251"), ("日本".encode("shift_jis"), "shift_jis"), ("naïve".encode("utf-16"), "utf-16"), ("é".encode(), "no-such"), (b"\xff\xfe\xfd", "utf-16"), (b"\xe9\xff", "ascii"), (b"", "koi8-r")]
+    got = spark.createDataFrame(rows, "b binary, c string").select(fetch.decode_body(F.col("b"), F.col("c")), fetch.encoding_fallback(F.col("b"), F.col("c"))).collect()
+    assert [tuple(r) for r in got] == [("привет", False), ("日本", False), ("naïve", False), ("é", False), ("ÿþý", True), ("éÿ", True), ("", False)]
 
 
 def test_statuses(spark):
@@ -290,7 +293,12 @@ def test_batch_end_to_end(spark):
     assert {u: s for u, (s, _, _) in state_of(after).items()} == {"https://good/": "done", "https://gate/": "blocked", "https://down/": "retrying", "https://thin/": "flagged"}
     assert {r["url"]: r["stored_chunks"] for r in done.outcomes.collect()}["https://good/"] == done.chunks.count() == 1
     kinds = {r["event_type"]: r["n"] for r in log.groupBy("event_type").agg(F.count("*").alias("n")).collect()}
-    assert kinds == {"fetch_attempt": 4, "ingest_lifecycle": 4, "validation_flagged": 1, "batch_url_state": 4}
+    assert kinds == {
+        "fetch_attempt": 4, "strip_attempt": 2, "extraction_attempt": 3, "extraction_flagged": 2, "validation_attempt": 3, "validation_flagged": 1, "obstacle_detected": 1,
+        "chunk_complete": 1, "ingest_lifecycle": 5, "batch_url_state": 4, "batch_run": 2,
+    }
+    last = log.filter("event_type = 'batch_run' and outcome = 'finished'").select(F.from_json("details_json", "total long, by_state map<string,long>").alias("d")).first()["d"]
+    assert last["total"] == 4 and last["by_state"] == {"done": 1, "blocked": 1, "retrying": 1, "flagged": 1}
     again, _, _ = plan.run_batch(after, urls(spark, *pages), fetcher, at(10))
     assert state_of(again)["https://down/"][:2] == ("failed", 2) and state_of(again)["https://good/"][1] == 1
 
@@ -302,3 +310,156 @@ def test_text_content_needs_no_bytes(spark):
     assert {r["url"]: r["status"] for r in plan.ingest(fetched, strict_compat=True).outcomes.collect()}["https://t/"] == "no_content"
     single = plan.ingest(fetched, write_to_corpus=False)
     assert single.chunks.count() == 0 and not any(r["written"] for r in single.outcomes.collect())
+
+
+class Counted:
+    """Counts calls by a line in a file, whatever process they happen in."""
+
+    def __init__(self, path):
+        self.path = str(path)
+
+    def __call__(self, what):
+        with open(self.path, "a") as f:
+            f.write(what.replace("\n", " ") + "\n")
+
+    def lines(self):
+        try:
+            return sorted(open(self.path).read().splitlines())
+        except FileNotFoundError:
+            return []
+
+
+PAGE = "<html><body><h1>Head {0}</h1><p>" + "word " * 100 + "</p></body></html>"
+
+
+def read_all(done):
+    """Everything that came of a pass, several times."""
+    for _ in range(2):
+        done.outcomes.collect(), done.chunks.collect(), done.events.collect()
+
+
+@pytest.mark.parametrize("budget", [0, 1, 2])
+def test_every_costly_step_runs_once(spark, tmp_path, budget):
+    from gleaner.operators.embed import HashingEmbedder
+
+    asked, fetched, embedded = (Counted(tmp_path / n) for n in ("asked", "fetched", "embedded"))
+
+    def extractor(content, kind, title, errors):
+        asked(content[:6])
+        return {"sections": [{"content": content}], "confidence": 0.1 if content.startswith("Head 0") or not errors and content.startswith("Head 1") else 0.9}
+
+    class Embedder(HashingEmbedder):
+        def embed(self, texts):
+            for t in texts:
+                embedded(t[:6])
+            return super().embed(texts)
+
+    def fetcher(due):
+        def run(batches):
+            for pdf in batches:
+                for u in pdf["url"]:
+                    fetched(u)
+                yield pdf
+
+        table = spark.createDataFrame([(f"https://{i}/", "success", PAGE.format(i), None, 200, "text/html", None, "static", None, None) for i in range(10)], schemas.FETCH_RESULT)
+        return table.join(due.mapInPandas(run, "url string"), "url")
+
+    names = [f"https://{i}/" for i in range(10)]
+    after, done, log = plan.run_batch(frontier.empty(spark), urls(spark, *names), fetcher, at(0), extractor=extractor, embedder=Embedder(), settings=config.ExtractorSettings(repair_budget=budget))
+    read_all(done), log.collect(), after.collect()
+    assert fetched.lines() == names
+    repaired = (["Head 0"] * budget) + (["Head 1"] if budget else [])
+    assert asked.lines() == sorted([f"Head {i}" for i in range(10)] + repaired)
+    flagged = {"https://0/"} if budget else {"https://0/", "https://1/"}
+    assert {r["url"] for r in done.outcomes.filter("status = 'flagged'").collect()} == flagged
+    assert embedded.lines() == [f"Head {i}" for i in range(len(flagged), 10)]
+    tries = log.filter("event_type = 'validation_attempt' and url = 'https://1/'").collect()
+    assert sorted(r["outcome"] for r in tries) == (["repairing", "valid"] if budget else ["failed"])
+
+
+def test_an_empty_page_is_extracted_twice(spark, tmp_path):
+    asked = Counted(tmp_path / "asked")
+
+    def nothing(content, *_):
+        asked(content)
+        return {"sections": [], "confidence": 0.0}
+
+    fetched = spark.createDataFrame([("https://e/", "success", "<p>nearly nothing</p>", None, 200, "text/html", None, "static", None, None)], schemas.FETCH_RESULT)
+    done = plan.ingest(fetched, extractor=nothing)
+    read_all(done)
+    assert [r["status"] for r in done.outcomes.collect()] == ["flagged"] and len(asked.lines()) == 2
+    kinds = [(r["event_type"], r["outcome"]) for r in done.events.collect()]
+    assert kinds.count(("extraction_attempt", "fallback_section")) == 2 and ("validation_attempt", "repairing") in kinds and ("validation_attempt", "failed") in kinds
+
+
+def test_pdf_and_embedder_failures_are_outcomes(spark):
+    from gleaner.operators.embed import HashingEmbedder
+
+    class Picky(HashingEmbedder):
+        def embed(self, texts):
+            if any("special" in t for t in texts):
+                raise RuntimeError("no vector")
+            return super().embed(texts)
+
+    rows = [(f"https://{i}/", "success", PAGE.format(i), None, 200, "text/html", None, "static", None, None) for i in range(3)]
+    rows[1] = (rows[1][0], "success", PAGE.format(1).replace("word", "special", 1), *rows[1][3:])
+    rows += [("https://p/", "success", None, bytearray(b"%PDF-1.4 broken"), 200, "application/pdf", None, "static", None, None), ("https://n/", "success", None, None, 200, "application/pdf", None, "static", None, None)]
+    done = plan.ingest(spark.createDataFrame(rows, schemas.FETCH_RESULT), embedder=Picky())
+    got = {r["url"]: (r["status"], r["reason"], r["stored_chunks"]) for r in done.outcomes.collect()}
+    assert got["https://1/"] == ("flagged", "embedder failed: no vector", 0) and got["https://0/"][0] == got["https://2/"][0] == "stored"
+    assert got["https://p/"][0] == "flagged" and got["https://n/"][0] == "no_content"
+    assert {r["source_url"] for r in done.chunks.collect()} == {"https://0/", "https://2/"}
+    notes = done.events.filter("event_type = 'extraction_flagged'").collect()
+    assert len(notes) == 1 and notes[0]["reason"].startswith("pdf text extraction failed")
+    failed = done.events.filter("event_type = 'chunk_failed'").collect()
+    assert [(r["url"], r["details_json"]) for r in failed] == [("https://1/", '{"stage":"embed"}')]
+
+
+def test_store_writes_events_and_survives_failure(spark, tmp_path):
+    from gleaner.operators import corpus, events
+
+    rows = [(f"https://{i}/", "success", PAGE.format(i), None, 200, "text/html", None, "static", None, None) for i in range(3)]
+    done = plan.ingest(spark.createDataFrame(rows, schemas.FETCH_RESULT))
+    collection = corpus.Corpus(spark, str(tmp_path), "corpus_hashing_64")
+    stored = plan.store(done, collection, at(1))
+    log = events.append(events.empty(spark), stored.events)
+    assert collection.read().count() == done.chunks.count() == 3 and events.unfinished(log).count() == 0
+    assert log.filter("event_type in ('chunk_ingest_begin', 'chunk_ingest_complete')").count() == 6
+
+    class Broken(corpus.Corpus):
+        def _publish(self, *_):
+            raise OSError("disk is full")
+
+    lost = plan.store(done, Broken(spark, str(tmp_path), "corpus_hashing_64"), at(2))
+    assert {(r["status"], r["reason"], r["written"]) for r in lost.outcomes.collect()} == {("flagged", "store failed: OSError: disk is full", False)}
+    log = events.append(log, lost.events.filter("event_type like 'chunk%'"))
+    assert events.unfinished(log).count() == 3 and collection.read().count() == 3 and collection.version() == 1
+
+
+def test_what_happened_on_the_way_is_told(spark):
+    row = ("https://a/", "success", PAGE.format(0), None, 200, "text/html", "https://c/", "static", None, None, [("https://a/", "https://b/", 301), ("https://b/", "https://c/", 302)], [(429, 0, 1.5)], "koi", 0.25)
+    done = plan.ingest(spark.createDataFrame([row], schemas.FETCH_LOG))
+    got = sorted((r["outcome"], r["reason"]) for r in done.events.filter("event_type in ('obstacle_detected', 'rate_limit_wait')").collect())
+    assert [o for o, _ in got] == ["encoding_fallback", "follow_and_log", "follow_and_log", "retry_with_backoff", "wait"]
+    assert got[1][1] == "redirect 301: https://a/ -> https://b/"
+
+
+def test_fetching_a_table_of_urls(spark):
+    many = spark.range(200).select(F.concat(F.lit("https://d"), F.col("id") % 7, F.lit(".example/"), F.col("id")).alias("url")).unionAll(spark.createDataFrame([("",), (None,)], "url string"))
+    got = http.fetch_urls(many, 3, fetcher="tests.test_frontier:fake_fetch", min_interval=0).collect()
+    assert len(got) == 200 and all(r["outcome"] == "success" and r["hops"] == [] and r["waited"] == 0 for r in got)
+
+
+def test_attempts_of_a_hot_key_are_numbered_across_partitions(spark):
+    rows = [("hot", i) for i in range(3000)] + [(f"k{i % 50}", i) for i in range(300)] + [(None, 7), (None, 3)]
+    got = frontier.running_attempts(spark.createDataFrame(rows, "key string, id long").repartition(9)).collect()
+    want = {}
+    for k, i in sorted(rows, key=lambda r: r[1]):
+        want.setdefault(k, []).append(i)
+    assert {(r["key"], r["id"]): r["attempt"] for r in got} == {(k, i): n + 1 for k, ids in want.items() for n, i in enumerate(ids)}
+
+
+def test_the_furthest_of_two_outcomes_counts(spark):
+    f = frontier.mark_processing(frontier.add_urls(frontier.empty(spark), urls(spark, "https://a/"), at(0)), urls(spark, "https://a/"), at(0))
+    two = spark.createDataFrame([("https://a/", "fetch_failed", "x"), ("https://a/", "stored", None), ("https://a/", "blocked", "y")], "url string, status string, reason string")
+    assert [r["state"] for r in frontier.apply_outcomes(f, two, at(1)).collect()] == ["done"]

@@ -55,6 +55,13 @@ def test_obstacles(spark):
     assert got == ["captcha_gate", "session_expiry", None, "cookie_banner", "load_more", None]
 
 
+def test_overlays(spark):
+    rows = [("<div role='dialog'>x", "popup_modal"), ("<DIALOG open>", "popup_modal"), ('<p aria-modal="true">', "popup_modal"), ("<p>a dialog</p>", None), ("<div role=dialog>we use cookies", "cookie_banner"), ("<div role=dialog>load more", "popup_modal")]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(H.obstacle_of(F.col("t"), F.lit("https://a/"))).collect()
+    assert [r[0] for r in got] == [w for _, w in rows]
+    assert [r[0] for r in spark.createDataFrame([("Close",), ("reject",), (None,)], "t string").select(H.dismiss_rank(F.col("t"), "popup_modal")).collect()] == [2, None, None]
+
+
 def test_dismiss_rank_refuses_first(spark):
     rows = [("Reject all",), ("Accept all",), ("Accept necessary only",), ("More",)]
     assert [r[0] for r in spark.createDataFrame(rows, "t string").select(H.dismiss_rank(F.col("t"))).collect()] == [0, 1, 0, None]
@@ -111,8 +118,15 @@ def test_previews(spark):
 
 
 def test_severity(spark):
-    rows = [("stored",), ("failed",), ("retrying",), ("begin",), ("whatever",), (None,)]
-    assert [r[0] for r in spark.createDataFrame(rows, "o string").select(text.severity(F.col("o"))).collect()] == ["ok", "error", "warn", "progress", "other", "other"]
+    want = {"corpus_hit": "ok", "completed": "ok", "fetch_failed": "error", "no_content": "error", "flagged": "error", "timeout": "warn", "encoding_fallback": "warn", "retrying": "progress", "fetch_done": "progress", "stored": "other", "begin": "other", "empty": "other", None: "other"}
+    rows = [(o,) for o in want]
+    assert [r[0] for r in spark.createDataFrame(rows, "o string").select(text.severity(F.col("o"))).collect()] == list(want.values())
+
+
+def test_retry_after_is_any_number(spark):
+    rows = [("1500000", 1500000.0), ("0.0005", 0.0005), (" 7 ", 7.0), ("1e2", 100.0), ("soon", 4.0), ("", 4.0), (None, 4.0)]
+    got = spark.createDataFrame([(t,) for t, _ in rows], "t string").select(text.backoff_seconds(F.lit(2), 1.0, F.col("t"))).collect()
+    assert [r[0] for r in got] == [w for _, w in rows]
 
 
 def test_numbered_errors(spark):
