@@ -102,6 +102,7 @@ def finish(rows: DataFrame) -> DataFrame:
         F.when(~ok, F.array().cast(f"array<{SECTION}>")).when(wrap, one).otherwise(full).alias("sections"),
         F.when(ok & wrap, "fallback_section").when(ok, "extracted").otherwise("flagged").alias("extraction_outcome"),
         "content",
+        "content_failure",
         "trail",
     )
 
@@ -110,7 +111,7 @@ def flagged(rows: DataFrame, reason: Column) -> DataFrame:
     """Zero-confidence results without sections that keep their provenance."""
     return rows.select(
         "source_url", "scrape_timestamp", "page_title", "content_type", F.lit(0.0).alias("confidence"), reason.alias("extraction_notes"), F.lit(False).alias("truncated"),
-        F.array().cast(f"array<{SECTION}>").alias("sections"), F.lit("flagged").alias("extraction_outcome"), "content", "trail",
+        F.array().cast(f"array<{SECTION}>").alias("sections"), F.lit("flagged").alias("extraction_outcome"), "content", "content_failure", "trail",
     )
 
 

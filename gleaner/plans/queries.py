@@ -118,7 +118,11 @@ def mime_routing(spark, sf_dir):
 
 
 def page_obstacles(spark, sf_dir):
-    found = read(spark, sf_dir, "pages").select("page_id", H.obstacle_of(F.col("html"), F.col("url")).alias("obstacle"))
+    """Pages with the signs of every obstacle that text, markup or URL can show."""
+    k = F.pmod("page_id", F.lit(7))
+    sign = F.element_at(F.array(*(F.lit(t) for t in ("", "Just a moment", "Please Sign In", "GDPR notice", '<div id="x" role="dialog">', "Show more", "<dialog open>load more"))), (k + 1).cast("int"))
+    p = read(spark, sf_dir, "pages").select("page_id", F.concat("html", sign).alias("html"), F.when(k == 2, F.concat("url", F.lit("/login?next=x"))).otherwise(F.col("url")).alias("url"))
+    found = p.select("page_id", H.obstacle_of(F.col("html"), F.col("url")).alias("obstacle"))
     return fetch.with_policy(found).select("page_id", "obstacle", "enabled", "policy", "max_retries")
 
 
@@ -164,8 +168,18 @@ def last_three_per_key(spark, sf_dir):
     return events.last_n_per(log(spark, sf_dir), "url", 3).select("url", "id", "event_type")
 
 
+#: Outcomes of all kinds of events, and one that no event has.
+OUTCOMES = (
+    "success", "empty", "blocked", "failed", "no_fallback", "fallback", "kept_static", "dismissed", "follow_and_log", "encoding_fallback", "detection_failure", "wait", "stripped", "title_extraction_failed", "retrying",
+    "fallback_section", "extracted", "flagged", "valid", "repairing", "tool_use_failed", "json_mode", "ok", "begin", "complete", "fetch_done", "validate_done", "store_start", "completed", "started", "finished", "done",
+    "corpus_hit", "corpus_error", "corpus_miss_single_shot_ok", "corpus_miss_single_shot_blocked", "no_content", "fetch_failed", "stored", "single_shot_ok", "timeout", "rescued", "unwrapped", "unheard_of",
+)
+
+
 def event_severity(spark, sf_dir):
-    return events.severities(log(spark, sf_dir)).groupBy("event_type", "severity").agg(F.count("*").alias("n"))
+    k = F.pmod("id", F.lit(len(OUTCOMES) + 1)).cast("int")
+    rows = log(spark, sf_dir).withColumn("outcome", F.get(F.lit(list(OUTCOMES)), k))  # beyond the last: null
+    return events.severities(rows).groupBy("outcome", "severity").agg(F.count("*").alias("n"))
 
 
 def domain_spacing(spark, sf_dir):
@@ -193,7 +207,8 @@ def frontier_fold(spark, sf_dir):
 
 
 def batch_summary(spark, sf_dir):
-    return frontier.fold(attempts(spark, sf_dir)).groupBy("state").agg(F.count("*").alias("n"))
+    one = frontier.by_state(frontier.fold(attempts(spark, sf_dir)))
+    return one.select("total", F.explode("by_state").alias("state", "n"))
 
 
 def running_attempts(spark, sf_dir):
@@ -247,14 +262,23 @@ def page_title(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", H.title(F.col("html")).alias("title"))
 
 
+def varied_pages(spark, sf_dir) -> DataFrame:
+    """Pages as they are, as bare text, empty, and with a second part and a table: every way to strip."""
+    k = F.pmod("page_id", F.lit(4))
+    more = F.lit("<h2>Part&nbsp;two</h2><p>tail &amp; end</p><table><tr><th>a</th><th> b </th></tr><tr><td></td><td>c</td></tr></table></article>")
+    bare = F.concat(F.lit("  "), F.regexp_replace(F.regexp_extract("html", "<title>([^<]*)</title>", 1), "[<>]", ""), F.lit(" \t end "))
+    html = F.when(k == 1, bare).when(k == 2, F.when(F.pmod("page_id", F.lit(8)) == 2, " \n")).when(k == 3, F.regexp_replace("html", "</article>", more)).otherwise(F.col("html"))
+    return read(spark, sf_dir, "pages").select("page_id", html.alias("html"))
+
+
 def page_blocks(spark, sf_dir):
     ship(spark)
-    return strip.blocks(strip.strip_pages(read(spark, sf_dir, "pages").select("page_id", "html")), ["page_id"])
+    return strip.blocks(strip.strip_pages(varied_pages(spark, sf_dir)), ["page_id"]).withColumn("level", F.coalesce("level", F.lit(0)))
 
 
 def strip_stats(spark, sf_dir):
     ship(spark)
-    return strip.strip_pages(read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "title", "outcome", "method", "chars_before", "chars_after", "num_blocks", "num_tables")
+    return strip.strip_pages(varied_pages(spark, sf_dir)).select("page_id", "title", "outcome", "method", "chars_before", "chars_after", "num_blocks", "num_tables")
 
 
 # ------------------------------------------------------------------ validation
@@ -310,8 +334,9 @@ def concat_invariant(spark, sf_dir):
 
 
 def chunk_metadata(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    return c.select("source_url", "chunk_index", F.map_keys(F.from_json(text.metadata_json(), "map<string,string>")).alias("keys")).select("source_url", "chunk_index", F.array_join("keys", ",").alias("keys"))
+    c = _chunks(spark, sf_dir).withColumn("given", F.from_json(text.metadata_json(), "map<string,string>"))
+    said = F.array_join(F.transform(F.map_entries("given"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|")
+    return c.select("source_url", "chunk_index", said.alias("metadata"))
 
 
 # ------------------------------------------------------------------ corpus
@@ -365,13 +390,21 @@ def collection_names(spark, sf_dir):
 
 
 def live_hit_miss(spark, sf_dir):
-    """Requests for every document's URL against a corpus of the English ones."""
-    d = read(spark, sf_dir, "documents").select(doc_url().alias("url"), "lang")
-    have = d.filter("lang = 'en'").select(F.col("url").alias("source_url")).distinct()
-    hit = d.join(have, d["url"] == have["source_url"], "left_semi").select("url", F.lit("corpus_hit").alias("event_outcome"))
-    status = F.when(F.length("url") % 2 == 0, "stored").otherwise("fetch_failed")
-    miss = d.join(have, d["url"] == have["source_url"], "left_anti").select("url", live.event_of_miss(status, F.lit(True)).alias("event_outcome"))
-    return hit.unionByName(miss)
+    """Requests for every document's URL against a corpus of the English ones; what is missing is scraped, or fails to."""
+    d = read(spark, sf_dir, "documents").select("doc_id", doc_url().alias("url"), "lang", "text")
+    null = F.lit(None)
+    have = d.filter("lang = 'en'").select(
+        F.col("url").alias("chunk_id"), F.col("url").alias("source_url"), stamp().alias("scrape_timestamp"), null.cast("string").alias("page_title"), F.lit("h").alias("section_heading"), F.coalesce("text", F.lit("")).alias("content"), null.cast("array<float>").alias("embedding")
+    )
+    requests = d.select(F.col("doc_id").alias("request_id"), "url", null.cast("array<double>").alias("query_vector"))
+
+    def single(urls):
+        good = F.length("url") % 2 == 0
+        section = F.array(F.struct(null.cast("string").alias("heading"), F.col("url").alias("content"), null.cast("int").alias("level")))
+        return urls.select("url", F.when(good, "stored").otherwise("fetch_failed").alias("status"), F.when(~good, "down").alias("reason"), F.col("url").alias("source_url"), stamp().alias("scrape_timestamp"), F.lit("T").alias("page_title"), F.when(good, section).alias("sections"))
+
+    out = live.live_query(requests, have, single)
+    return out.select(F.col("request_id").alias("doc_id"), "url", "found_in_corpus", "source_used", "status", "reason", "event_outcome", F.size("evidence").alias("pieces"), F.array_join(F.map_keys("provenance"), ",").alias("provenance"), F.md5(F.get("evidence", F.lit(0))["text"].cast("binary")).alias("first"))
 
 
 def _evidence(spark, sf_dir):
@@ -418,6 +451,40 @@ def corpus_of_pages(spark, sf_dir):
     return done.chunks.select("chunk_id", "source_url", "section_heading", "chunk_index", "chunk_total", "content", F.size("embedding").alias("dimension"))
 
 
+def mixed_fetches(spark, sf_dir) -> DataFrame:
+    """Fetch results of every kind, from the pages: eight by page id."""
+    k = F.pmod("page_id", F.lit(8))
+    pick = lambda *values: F.element_at(F.array(*(F.lit(v) for v in values)), (k + 1).cast("int"))
+    html = F.when(k == 0, F.col("html")).when(k == 6, "<p> </p>")
+    body = F.when(k == 3, F.concat(F.lit("Plain text of "), F.col("url"))).when(k == 7, F.concat(F.lit('{"url": "'), F.col("url"), F.lit('"}'))).when(k == 4, F.col("url"))
+    none = F.lit(None).cast("string")
+    return read(spark, sf_dir, "pages").select(
+        "url", pick("success", "blocked", "failed", "success", "success", "success", "success", "success").alias("outcome"), html.alias("html"), body.cast("binary").alias("raw"), pick(200, 403, 500, 200, 200, 200, 200, 200).alias("status_code"),
+        pick("text/html", "text/html", "text/html", "text/plain; charset=utf-8", "image/png", "text/html", "text/html", "application/json").alias("content_type"), F.col("url").alias("final_url"), F.lit("static").alias("fetcher"),
+        F.when(k.isin(1, 2), F.concat(F.lit("HTTP "), pick(200, 403, 500, 200, 200, 200, 200, 200).cast("string"))).alias("reason"), none.alias("visible_text"),
+    )
+
+
+def ingest_outcomes(spark, sf_dir):
+    """What comes of fetches of every kind."""
+    ship(spark)
+    done = plan.ingest(mixed_fetches(spark, sf_dir), scrape_timestamp=stamp())
+    return done.outcomes.select("url", "status", "reason", "fetch_outcome", "written", "content_type", "flag_reason", F.array_join("errors", "; ").alias("errors"))
+
+
+def ingest_events(spark, sf_dir):
+    """The events of such a pass, counted."""
+    ship(spark)
+    done = plan.ingest(mixed_fetches(spark, sf_dir), scrape_timestamp=stamp())
+    return done.events.groupBy("event_type", "outcome").agg(F.count("*").alias("n"), F.countDistinct("url").alias("urls"))
+
+
+def live_events(spark, sf_dir):
+    """One event a live request."""
+    out = live_hit_miss(spark, sf_dir).withColumns({"evidence": F.array_repeat(F.lit(0), F.col("pieces")), "query": F.lit(None).cast("string")})
+    return live.live_events(out, stamp()).select("event_type", "url", "outcome", "reason", "details_json")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -427,6 +494,6 @@ QUERIES = {
         page_title, page_blocks, strip_stats, validation_errors, validation_flags, repair_partition,
         chunks, chunk_ids, chunk_totals, concat_invariant, chunk_metadata,
         knn_topk, knn_filtered, knn_multi_query, get_all, count_by_url, replace_by_url, delete_scoped, collection_names,
-        live_hit_miss, render_evidence, citations_top3, text_previews, ingest_reports, ingest_pages_end_to_end, corpus_of_pages,
+        live_hit_miss, render_evidence, citations_top3, text_previews, ingest_reports, ingest_outcomes, ingest_events, live_events, ingest_pages_end_to_end, corpus_of_pages,
     )
 }

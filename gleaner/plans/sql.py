@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from ..functions import html as H
-from ..functions.text import SEVERITY
-from ..operators.chunk import MAX_CHARS
-from ..operators.frontier import MAX_ATTEMPTS
-
+#: Written out here, so that no wrong constant of the engine can agree with itself.
+MAX_CHARS, MAX_ATTEMPTS = 2000, 2
 STAMP, NOW = "2026-01-01 00:00:00", "2026-01-02 00:00:00"
 URL = "'https://' || coalesce(source, 'unknown') || '.example.com/doc/' || doc_id"
 
@@ -25,11 +22,11 @@ def _in(values) -> str:
 
 SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _step = "html"
-for _pattern, _by in (("(?is)<script.*?</script>", " "), ("(?is)<style.*?</style>", " "), ("<[^>]+>", " "), (H.SPACE_ENTITY, " "), (H.VISIBLE_ENTITY, "x"), (SPACES, "")):
+for _pattern, _by in (("(?is)<script.*?</script>", " "), ("(?is)<style.*?</style>", " "), ("<[^>]+>", " "), ("&nbsp;|&#(9|10|11|12|13|32|160);", " "), ("&(amp|lt|gt|quot|copy|middot|reg|deg|eacute|#[0-9]{1,7});", "x"), (SPACES, "")):
     _step = f"regexp_replace({_step}, {_quoted(_pattern)}, {_quoted(_by)}, 'g')"
 VISIBLE = f"length({_step})"
 EMPTY = "(coalesce(length(html), 0) = 0 OR bad OR visible < {t} OR (length(html) > 5000 AND visible < length(html) * 0.01))"
-SEEN = f"seen AS (SELECT *, coalesce({VISIBLE}, 0) AS visible, coalesce({_any('html', H.ERROR_PHRASES)}, FALSE) AS bad FROM pages)"
+SEEN = f"seen AS (SELECT *, coalesce({VISIBLE}, 0) AS visible, coalesce({_any('html', ('javascript is disabled', 'robot check', 'verify you''re not a robot'.replace(chr(39) * 2, chr(39)), 'access denied', 'cloudflare'))}, FALSE) AS bad FROM pages)"
 
 RESULTS = f"""results AS (
   SELECT doc_id, {URL} AS source_url, coalesce(text, '') AS content,
@@ -67,10 +64,8 @@ FRONTIER = f"""frontier AS (
          CAST(CASE WHEN page_id % 6 = 0 THEN 0 ELSE 1 END AS INTEGER) AS attempts,
          CASE page_id % 6 WHEN 1 THEN epoch(TIMESTAMP '{NOW}') - 5 WHEN 5 THEN epoch(TIMESTAMP '{NOW}') + 5 END AS due FROM pages)"""
 
-#: One piece a step: what is left, and how much of an overlong line is left.
-CHUNKS = rf"""RECURSIVE {RESULTS},
-good AS (SELECT source_url, content FROM results WHERE NOT {BLANK}),
-step(source_url, k, piece, rest, long_left) AS (
+#: Pieces of ``good`` (source_url, content), one a step: what is left, and how much of an overlong line is left.
+STEPS = rf"""step(source_url, k, piece, rest, long_left) AS (
   SELECT source_url, 0, '', content, 0 FROM good
   UNION ALL
   SELECT source_url, k + 1, left(rest, n), substr(rest, n + 1),
@@ -94,6 +89,9 @@ step(source_url, k, piece, rest, long_left) AS (
           SELECT *, CASE WHEN position(chr(10) IN rest) > 0 THEN position(chr(10) IN rest) ELSE length(rest) END AS line
           FROM step WHERE rest <> ''))))),
 pieces AS (SELECT source_url, k AS chunk_index, piece AS content, count(*) OVER (PARTITION BY source_url) AS chunk_total FROM step WHERE k > 0)"""
+CHUNKS = f"""RECURSIVE {RESULTS},
+good AS (SELECT source_url, content FROM results WHERE NOT {BLANK}),
+{STEPS}"""
 
 TURNS = f"""turns AS (
   SELECT conv_id, turn, text, 'https://chat.example.com/' || conv_id AS source_url, CASE WHEN turn % 2 = 0 THEN role END AS heading,
@@ -102,7 +100,36 @@ TURNS = f"""turns AS (
 KNN = "0.0 + round(1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6)"
 RAW_KNN = KNN[len("0.0 + round(") : -len(", 6)")]
 
-_severity = "CASE " + " ".join(f"WHEN outcome IN {_in(v)} THEN '{k}'" for k, v in SEVERITY.items()) + " ELSE 'other' END"
+#: Outcomes in the order of the query, with what each of them says.
+SEVERITIES = """success ok, empty other, blocked error, failed error, no_fallback other, fallback other, kept_static ok, dismissed ok, follow_and_log other, encoding_fallback warn,
+detection_failure warn, wait other, stripped other, title_extraction_failed other, retrying progress, fallback_section other, extracted other, flagged error, valid other, repairing other,
+tool_use_failed other, json_mode progress, ok ok, begin other, complete other, fetch_done progress, validate_done progress, store_start progress, completed ok, started other, finished other, done other,
+corpus_hit ok, corpus_error error, corpus_miss_single_shot_ok ok, corpus_miss_single_shot_blocked other, no_content error, fetch_failed error, stored other, single_shot_ok ok, timeout warn, rescued ok,
+unwrapped other, unheard_of other"""
+_said = ", ".join(f"({i}, '{x.split()[0]}', '{x.split()[1]}')" for i, x in enumerate(SEVERITIES.split(",")))
+
+#: Pages of the one template: the heading, the paragraphs, the title, as a reader sees them.
+_flat = lambda t: f"trim(regexp_replace({t}, '{SPACES}+', ' ', 'g'))"
+_plain = lambda t: f"replace(replace(replace(replace({t}, '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&amp;', '&')"
+PAGE = f"""art AS (
+  SELECT page_id, url, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS inside, {_flat(_plain("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title FROM pages),
+page AS (
+  SELECT page_id, url, html, nullif(title, '') AS title, {_flat(_plain("regexp_extract(inside, '(?s)<h1>(.*?)</h1>', 1)"))} AS head,
+         list_filter(list_transform(regexp_split_to_array(replace(replace(regexp_replace(inside, '(?s)^.*?</h1>', ''), '<br>', ' '), '<b>', ''), '</?p>'), lambda x: {_flat(_plain("x"))}), lambda x: x <> '') AS parts
+  FROM art),
+body AS (SELECT *, head || chr(10) || array_to_string(parts, chr(10) || chr(10)) AS text FROM page)"""
+BARE = """'  ' || regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '[<>]', '', 'g') || ' ' || chr(9) || ' end '"""
+VARIED = f"""{PAGE}, seen AS (
+  SELECT *, page_id % 4 AS k, trim(regexp_replace({BARE}, '[ \\t]+', ' ', 'g')) AS bare, length({BARE}) AS bare_size FROM body)"""
+
+#: Sections of a stripped page: its paragraphs, the heading apart from the first where it looks like one.
+SECTIONS = f"""{PAGE}, sec AS (
+  SELECT url, title, i, CASE WHEN i > 1 THEN part WHEN length(head) <= 120 AND NOT regexp_matches(head, '[.!?:,;]$') THEN part ELSE head || chr(10) || part END AS content,
+         CASE WHEN i = 1 AND length(head) <= 120 AND NOT regexp_matches(head, '[.!?:,;]$') THEN head END AS heading
+  FROM (SELECT url, title, head, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM page))"""
+
+MIXED = """mixed AS (
+  SELECT url, page_id % 8 AS k FROM pages)"""
 
 SQL = {
     "schema_checks": f"WITH {RESULTS} SELECT doc_id, CASE WHEN doc_id % 5 = 0 AND confidence > 0.5 THEN 'empty_but_confident' ELSE '' END AS violations FROM results",
@@ -121,11 +148,9 @@ SELECT url, CASE WHEN ok AND NOT short THEN 'success' WHEN page_id % 2 = 0 THEN
     "mime_routing": """WITH m AS (SELECT page_id, ['text/html; charset=utf-8', 'application/pdf', 'TEXT/PLAIN', 'application/json', 'application/xml', 'image/png', '', NULL][CAST(page_id % 8 + 1 AS INTEGER)] AS mime FROM pages)
 SELECT page_id, CASE WHEN lower(mime) LIKE '%html%' THEN 'html' WHEN lower(mime) LIKE '%pdf%' THEN 'pdf' WHEN regexp_matches(lower(mime), 'text|json|xml') THEN 'text' ELSE 'unknown' END AS content_type,
   coalesce(mime, '') = '' OR lower(mime) LIKE 'text/%' OR regexp_matches(lower(mime), 'html|xml') AS html_like FROM m""",
-    "page_obstacles": f"""WITH o AS (SELECT page_id, CASE WHEN {_any("html", H.CHALLENGE_TEXTS)} THEN 'captcha_gate'
-    WHEN regexp_matches(url, '{H.AUTH_URL}') AND {_any("html", H.AUTH_TEXTS)} THEN 'session_expiry' WHEN {_any("html", H.CONSENT_TEXTS)} THEN 'cookie_banner'
-    WHEN regexp_matches(html, '{H.LOAD_MORE}') THEN 'load_more' END AS obstacle FROM pages)
-SELECT page_id, obstacle, coalesce(obstacle, '') IN ('captcha_gate', 'cookie_banner', 'load_more') AS enabled,
-  CASE obstacle WHEN 'captcha_gate' THEN 'terminal_blocked' WHEN 'session_expiry' THEN 'terminal_blocked' WHEN 'cookie_banner' THEN 'dismiss' WHEN 'load_more' THEN 'paginate' ELSE '' END AS policy, 3 AS max_retries FROM o""",
+    "page_obstacles": """WITH o AS (SELECT page_id, [NULL, 'captcha_gate', 'session_expiry', 'cookie_banner', 'popup_modal', 'load_more', 'popup_modal'][CAST(page_id % 7 + 1 AS INTEGER)] AS obstacle FROM pages)
+SELECT page_id, obstacle, coalesce(obstacle, 'session_expiry') <> 'session_expiry' AS enabled,
+  CASE obstacle WHEN 'captcha_gate' THEN 'terminal_blocked' WHEN 'session_expiry' THEN 'terminal_blocked' WHEN 'cookie_banner' THEN 'dismiss' WHEN 'popup_modal' THEN 'dismiss' WHEN 'load_more' THEN 'paginate' ELSE '' END AS policy, 3 AS max_retries FROM o""",
     "url_list": "SELECT url FROM pages WHERE page_id % 3 = 1",
     "redirect_hops": "SELECT url, 1 AS hop, url AS from_url, url || '?a' AS to_url FROM pages UNION ALL SELECT url, 2, url || '?a', url || '?b' FROM pages",
     "backoff_plan": "SELECT event_id, CASE WHEN event_id % 8 = 7 THEN 12.5 ELSE least(30.0, pow(2.0, event_id % 8)) END AS wait FROM events",
@@ -135,7 +160,8 @@ SELECT page_id, obstacle, coalesce(obstacle, '') IN ('captcha_gate', 'cookie_ban
     "event_types": "SELECT DISTINCT event_type FROM events",
     "newest_per_key": f"WITH {LOG} SELECT url, id, event_type, outcome FROM log QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1",
     "last_three_per_key": f"WITH {LOG} SELECT url, id, event_type FROM log QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) <= 3",
-    "event_severity": f"WITH {LOG} SELECT event_type, {_severity} AS severity, count(*) AS n FROM log GROUP BY 1, 2",
+    "event_severity": f"""WITH said(k, outcome, severity) AS (VALUES {_said})
+SELECT outcome, coalesce(severity, 'other') AS severity, count(*) AS n FROM events LEFT JOIN said ON event_id % 45 = k GROUP BY ALL""",
     "domain_spacing": f"""WITH {LOG}, g AS (SELECT id, 'u' || substr(url, 10, length(url) - 10) AS domain, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY url ORDER BY ts, id)) AS gap FROM log)
 SELECT id, domain, round(coalesce(greatest(0, 3600.0 - gap), 0), 3) AS wait FROM g""",
     "stage_durations": f"WITH {LOG} SELECT id, round(epoch(ts) - epoch(min(ts) OVER (PARTITION BY url, event_type)), 2) AS duration_seconds FROM log",
@@ -144,7 +170,7 @@ SELECT url, begun FROM l WHERE begun IS NOT NULL AND (ended IS NULL OR ended < b
     "events_appended": """SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY url, length(html)) AS id, url, '{"size":' || length(html) || '}' AS details_json FROM pages""",
     "frontier_fold": f"WITH {FOLD} SELECT key, state, attempts FROM fold",
     "frontier_replayed": f"WITH {FOLD} SELECT key, state, attempts FROM fold",
-    "batch_summary": f"WITH {FOLD} SELECT state, count(*) AS n FROM fold GROUP BY state",
+    "batch_summary": f"WITH {FOLD} SELECT CAST(sum(count(*)) OVER () AS BIGINT) AS total, state, count(*) AS n FROM fold GROUP BY state",
     "running_attempts": f"WITH {ATTEMPTS} SELECT key, id, CAST(row_number() OVER (PARTITION BY key ORDER BY id) AS INTEGER) AS attempt FROM attempts",
     "pending_due": f"WITH {FRONTIER} SELECT url, state, attempts FROM frontier WHERE state = 'pending' OR (state = 'retrying' AND due <= epoch(TIMESTAMP '{NOW}'))",
     "state_counts": f"WITH {FRONTIER} SELECT state, count(*) AS n FROM frontier GROUP BY state",
@@ -170,7 +196,9 @@ SELECT is_valid, retry_count, CASE WHEN is_valid THEN NULL WHEN content_type = '
     "chunk_ids": f"WITH {CHUNKS} SELECT source_url, CAST(chunk_index AS INTEGER) AS chunk_index, sha1(source_url || chr(0) || '1' || chr(0) || chunk_index) AS chunk_id FROM pieces",
     "chunk_totals": f"WITH {CHUNKS} SELECT source_url, CAST(1 AS BIGINT) AS num_sections, count(*) AS num_chunks, CASE WHEN count(*) > 1 THEN '1' ELSE '' END AS sections_split FROM pieces GROUP BY source_url",
     "concat_invariant": f"WITH {RESULTS} SELECT count(*) AS sections, CAST(0 AS BIGINT) AS broken FROM results WHERE NOT {BLANK}",
-    "chunk_metadata": f"WITH {CHUNKS} SELECT source_url, CAST(chunk_index AS INTEGER) AS chunk_index, 'source_url,scrape_timestamp,ingest_timestamp,content_type,confidence,chunk_index,chunk_total,truncated,page_title' AS keys FROM pieces",
+    "chunk_metadata": f"""WITH {CHUNKS} SELECT source_url, CAST(chunk_index AS INTEGER) AS chunk_index,
+  'source_url=' || source_url || '|scrape_timestamp=2026-01-01T00:00:00.000+00:00|ingest_timestamp=2026-01-01T00:00:00.000+00:00|content_type=' || content_type || '|confidence=' || confidence ||
+  '|chunk_index=' || chunk_index || '|chunk_total=' || chunk_total || '|truncated=false|page_title=Document ' || doc_id AS metadata FROM pieces JOIN results USING (source_url)""",
     "knn_topk": f"SELECT vec_id, distance FROM (SELECT e.vec_id, {RAW_KNN} AS raw, {KNN} AS distance FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q) ORDER BY raw, vec_id LIMIT 5",
     "knn_filtered": f"SELECT vec_id, distance FROM (SELECT e.vec_id, {RAW_KNN} AS raw, {KNN} AS distance FROM embeddings e, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q WHERE e.label = 1) ORDER BY raw, vec_id LIMIT 5",
     "knn_multi_query": f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
@@ -181,7 +209,11 @@ SELECT is_valid, retry_count, CASE WHEN is_valid THEN NULL WHEN content_type = '
     "replace_by_url": f"SELECT {URL} AS source_url, CASE WHEN lang = 'fr' THEN 'new' ELSE 'old' END AS version, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",
     "delete_scoped": f"SELECT {URL} AS source_url, doc_id FROM documents WHERE NOT (doc_id < 20 AND coalesce(source, '') = 'src' || doc_id)",
     "collection_names": "SELECT DISTINCT label, 'corpus_BAAI_bge_m' || label || '_' || len(embedding) AS name FROM embeddings",
-    "live_hit_miss": f"""SELECT {URL} AS url, CASE WHEN lang = 'en' THEN 'corpus_hit' WHEN length({URL}) % 2 = 0 THEN 'corpus_miss_single_shot_ok' ELSE 'corpus_miss_single_shot_fetch_failed' END AS event_outcome FROM documents""",
+    "live_hit_miss": f"""WITH d AS (SELECT doc_id, {URL} AS url, lang = 'en' AS hit, length({URL}) % 2 = 0 AS good, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, url, coalesce(hit, FALSE) AS found_in_corpus, CASE WHEN hit THEN 'corpus' ELSE 'live_scrape' END AS source_used, CASE WHEN hit THEN 'ok' WHEN good THEN 'single_shot_ok' ELSE 'fetch_failed' END AS status,
+  CASE WHEN NOT coalesce(hit, FALSE) AND NOT good THEN 'down' END AS reason, CASE WHEN hit THEN 'corpus_hit' WHEN good THEN 'corpus_miss_single_shot_ok' ELSE 'corpus_miss_single_shot_fetch_failed' END AS event_outcome,
+  CAST(CASE WHEN hit OR good THEN 1 ELSE 0 END AS INTEGER) AS pieces, CASE WHEN hit THEN 'source_url,scrape_timestamp' WHEN good THEN 'source_url,scrape_timestamp,page_title' ELSE 'source_url' END AS provenance,
+  CASE WHEN hit THEN md5(text) WHEN good THEN md5(url) END AS first FROM d""",
     "render_evidence": f"""WITH {TURNS}
 SELECT conv_id, string_agg('[' || i || '] source_url=' || source_url || CASE WHEN coalesce(heading, '') <> '' THEN ' section_heading=' || heading ELSE '' END || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY i) AS rendered FROM turns GROUP BY conv_id""",
     "citations_top3": f"""WITH {TURNS}, s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k FROM turns WHERE coalesce(text, '') <> '')
@@ -190,4 +222,40 @@ SELECT conv_id, CAST(k - 1 AS INTEGER) AS k, source_url, heading AS section_head
   left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) AS flat, left(sha256({URL}), 16) AS marker FROM documents""",
     "ingest_reports": f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'url=' || {URL} || ' is_valid=True stored_chunks=3 sections=2 confidence=0.9' WHEN 3 THEN 'fetch succeeded but no content to ingest'
   ELSE 'fetch outcome=failed reason=None -> no ingestion' END AS report FROM documents""",
+    "live_events": f"""WITH d AS (SELECT {URL} AS url, coalesce(lang = 'en', FALSE) AS hit, length({URL}) % 2 = 0 AS good FROM documents)
+SELECT 'live_query' AS event_type, url, CASE WHEN hit THEN 'corpus_hit' WHEN good THEN 'corpus_miss_single_shot_ok' ELSE 'corpus_miss_single_shot_fetch_failed' END AS outcome, CASE WHEN NOT hit AND NOT good THEN 'down' END AS reason,
+  '{{"found_in_corpus":' || hit || ',"source_used":"' || CASE WHEN hit THEN 'corpus' ELSE 'live_scrape' END || '","evidence_count":' || CASE WHEN hit OR good THEN 1 ELSE 0 END || ',"query_given":false}}' AS details_json FROM d""",
+    "strip_stats": f"""WITH {VARIED}
+SELECT page_id, CASE WHEN k IN (0, 3) THEN title END AS title, CASE k WHEN 1 THEN 'fallback' WHEN 2 THEN 'empty' ELSE 'stripped' END AS outcome, CASE WHEN k IN (0, 3) THEN 'content' ELSE 'raw' END AS method,
+  CAST(CASE k WHEN 0 THEN length(html) WHEN 1 THEN bare_size WHEN 2 THEN CASE WHEN page_id % 8 = 2 THEN 2 ELSE 0 END ELSE length(html) + 117 END AS INTEGER) AS chars_before,
+  CAST(CASE k WHEN 0 THEN length(text) WHEN 1 THEN length(bare) WHEN 2 THEN 0 ELSE length(text) + 30 END AS INTEGER) AS chars_after,
+  CAST(CASE k WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS INTEGER) AS num_blocks, CAST(CASE k WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS num_tables FROM seen""",
+    "page_blocks": f"""WITH {VARIED}
+SELECT page_id, 1 AS block_index, CASE WHEN k <> 1 THEN head END AS heading, CASE WHEN k <> 1 THEN 1 ELSE 0 END AS level, CASE WHEN k = 1 THEN bare ELSE array_to_string(parts, chr(10) || chr(10)) END AS text FROM seen WHERE k <> 2
+UNION ALL SELECT page_id, 2, 'Part two', 2, 'tail & end' || chr(10) || chr(10) || 'a | b c' FROM seen WHERE k = 3""",
+    "ingest_pages_end_to_end": f"""WITH RECURSIVE {SECTIONS}, {SEEN}, good AS (SELECT url || chr(0) || i AS source_url, content FROM sec),
+{STEPS}, n AS (SELECT split_part(source_url, chr(0), 1) AS url, count(*) AS n FROM pieces GROUP BY 1),
+e AS (SELECT url, coalesce(length(html), 0) > 0 AS ok, {EMPTY.format(t=100)} AS short FROM seen)
+SELECT url, CASE WHEN ok AND NOT short THEN 'stored' ELSE 'fetch_failed' END AS status, CASE WHEN ok AND short THEN 'no rendered page' END AS reason,
+  CASE WHEN ok AND NOT short THEN 'success' WHEN ok THEN 'empty' ELSE 'failed' END AS fetch_outcome, CAST(CASE WHEN ok AND NOT short THEN n ELSE 0 END AS INTEGER) AS stored_chunks, ok AND NOT short AS written,
+  CASE WHEN ok AND NOT short THEN title END AS page_title, CASE WHEN ok AND NOT short THEN 'html' END AS content_type, CASE WHEN ok AND NOT short THEN CAST(0.9 AS DOUBLE) END AS confidence
+FROM e JOIN page USING (url) LEFT JOIN n USING (url)""",
+    "corpus_of_pages": f"""WITH RECURSIVE {SECTIONS}, {SEEN}, kept AS (SELECT sec.*, url || chr(0) || i AS source_url FROM sec JOIN seen USING (url) WHERE length(html) > 0 AND NOT {EMPTY.format(t=100)}),
+good AS (SELECT source_url, content FROM kept),
+{STEPS}
+SELECT sha1(source_url || chr(0) || chunk_index) AS chunk_id, url AS source_url, heading AS section_heading, CAST(chunk_index AS INTEGER) AS chunk_index, CAST(chunk_total AS INTEGER) AS chunk_total, pieces.content, 64 AS dimension
+FROM pieces JOIN kept USING (source_url)""",
+    "ingest_outcomes": f"""WITH {MIXED}
+SELECT url, ['stored', 'blocked', 'fetch_failed', 'stored', 'flagged', 'no_content', 'flagged', 'stored'][CAST(k + 1 AS INTEGER)] AS status,
+  CASE k WHEN 1 THEN 'HTTP 403' WHEN 2 THEN 'HTTP 500' WHEN 4 THEN 'validation failed: 3 errors, repair budget exhausted' WHEN 5 THEN 'fetch succeeded but no usable content (no html, no raw bytes)' WHEN 6 THEN 'validation failed: 2 errors, repair budget exhausted' END AS reason,
+  CASE k WHEN 1 THEN 'blocked' WHEN 2 THEN 'failed' WHEN 5 THEN '' ELSE 'success' END AS fetch_outcome, k IN (0, 3, 7) AS written,
+  CASE k WHEN 0 THEN 'html' WHEN 3 THEN 'text' WHEN 4 THEN 'unknown' WHEN 6 THEN 'html' WHEN 7 THEN 'text' END AS content_type, CASE k WHEN 4 THEN 'unsupported_content_type' WHEN 6 THEN 'repair_budget_exhausted' END AS flag_reason,
+  CASE WHEN k IN (1, 2, 5) THEN NULL WHEN k IN (4, 6) THEN 'no content extracted: sections list is empty; confidence below threshold' || CASE k WHEN 4 THEN '; unsupported content type: unknown' ELSE '' END ELSE '' END AS errors FROM mixed""",
+    "ingest_events": f"""WITH {MIXED}, said(event_type, outcome, ks) AS (VALUES
+  ('fetch_attempt', 'success', [0, 3, 4, 5, 6, 7]), ('fetch_attempt', 'blocked', [1]), ('fetch_attempt', 'failed', [2]), ('strip_attempt', 'stripped', [0]), ('strip_attempt', 'empty', [6]),
+  ('extraction_attempt', 'extracted', [0, 3, 7]), ('extraction_attempt', 'flagged', [4, 6, 6]), ('extraction_flagged', 'flagged', [4, 6, 6]),
+  ('validation_attempt', 'valid', [0, 3, 7]), ('validation_attempt', 'repairing', [6]), ('validation_attempt', 'failed', [4, 6]), ('validation_flagged', 'flagged', [4, 6]), ('obstacle_detected', 'flagged', [4, 6]),
+  ('chunk_complete', 'ok', [0, 3, 7]), ('ingest_lifecycle', 'fetch_done', [1, 2, 5]), ('ingest_lifecycle', 'validate_done', [4, 6]), ('ingest_lifecycle', 'store_start', [0, 3, 7]), ('ingest_lifecycle', 'completed', [0, 3, 7])),
+one AS (SELECT event_type, outcome, unnest(ks) AS k FROM said)
+SELECT event_type, outcome, count(*) AS n, count(DISTINCT url) AS urls FROM one JOIN mixed USING (k) GROUP BY ALL""",
 }
