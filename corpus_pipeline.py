@@ -1,7 +1,8 @@
 """The corpus pipeline: quality, near-duplicates, repeated passages, benchmark leaks, packing.
 
 Every stage takes ``(spark, docs, sf_dir)``; all but the last return the
-columns of ``documents``, and each works on all that the one before it kept.
+columns of ``documents``, whatever else they are called, and each works on all
+that the one before it kept.  An empty table gives no row at every stage.
 """
 
 from __future__ import annotations
@@ -11,17 +12,26 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, packing, quality, simhash, substring
 from gleaner.llm.common import materialize, table
-from gleaner.session import ship
+from gleaner.session import discard, ship
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the line model does not reject."""
+    """Keep the documents that the line model does not reject.
+
+    Null and empty texts are scored as one empty line; a score of just 0.5 is
+    kept; repeated rows stay or go together; long texts are read whole.
+    """
     ship(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest id of every class of near-duplicates."""
+    """Keep the smallest id of every class of near-duplicates.
+
+    Null ids and texts without words always stay; all rows of one id stay or go
+    together, so repeated rows of a kept id stay; a text of fewer than five
+    words is one shingle; long texts are read whole.
+    """
     ship(spark)
     return simhash.drop_near_duplicates(docs)
 
@@ -42,12 +52,21 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that leak no benchmark item."""
+    """Keep the documents that leak no benchmark item.
+
+    Null and empty texts and null ids are clean unless their text leaks; items
+    of fewer than five words match nothing; repeated rows go together; long
+    texts are read whole.
+    """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A place in a packed sequence for every piece of every document."""
+    """A place in a packed sequence for every piece of every document.
+
+    Null and empty texts are one piece of the end id; repeated rows and null
+    ids are packed each; long texts are cut, nothing is lost.
+    """
     ship(spark)
     return packing.pack(docs)
 
@@ -68,7 +87,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each stage's rows are written once, as a cluster would hand them on."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")
+            discard(before)
     return docs
