@@ -316,6 +316,7 @@ def sketches(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFram
                 codes += [c.tobytes() for c in nearest_codes(lean)]
             yield pd.DataFrame({"w": pd.Series(w, dtype=object), "mark": np.array(mark, np.int64), "codes": pd.Series(codes, dtype=object)})
 
+    sketch = sketch.asNondeterministic()  # else the filter below runs it a second time
     out = docs.select(F.col(id_col).alias("id"), sketch(F.col(text_col).cast("string").cast("binary")).alias("_s")).filter("_s.w is not null")
     return out.select("id", "_s.w", "_s.mark", "_s.codes")
 
@@ -383,6 +384,7 @@ def shingle_sets(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
             own = [shingle_set(r, size) for r in raws]
             yield pd.DataFrame({"mark": np.array([set_mark(h) for h in own], np.int64), "shingles": pd.Series([h.view(np.int64) for h in own], dtype=object)})
 
+    sets = sets.asNondeterministic()  # else a later join's null test runs it first, on rows that are not asked for
     out = docs.select(F.col(id_col).alias("least"), sets(F.col(text_col).cast("string").cast("binary")).alias("_s"))
     return out.select("least", "_s.mark", "_s.shingles")
 
