@@ -9,7 +9,9 @@ window, so equal windows always share their anchor wherever they stand.
   a passage that a third of all documents share costs one entry a block.
 * Parse against every other block: entries meet their equals through a shuffle
   by anchor hash.  An anchor that occurs once drops out with all its windows;
-  under the others, windows are compared one by one.
+  under the others, windows are compared one by one.  Windows of a frequent
+  anchor, found by a count beforehand, are dealt by their own hash instead, so
+  a phrase that a third of all documents use fills no task.
 * Greedy factors: settled windows of a document whose sources are consecutive
   join into maximal factors.  Windows that run over a factor's boundary were
   looked up on their own, so no repeat hides there.
@@ -35,7 +37,8 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, tidy
+from ..session import discard
+from .common import materialize, shuffle_width, tidy
 
 WINDOW = 20
 GROUP = 6
@@ -49,6 +52,10 @@ MIX_A = 0xFF51AFD7ED558CCD
 MIX_B = 0xC4CEB9FE1A85EC53
 MASK = (1 << 64) - 1
 
+#: An anchor is frequent when it holds one run in so many for each shuffle partition; runs in a block from which it is counted.
+FREQUENT = 4
+COUNTED = 4
+
 ENTRY = "part int, entry binary, bucket int, spans binary"
 SPAN = np.dtype([("at", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("ref_at", "<i4")])
 RUN = np.dtype([("anchor", "<u8"), ("doc", "<u4"), ("at", "<u4"), ("n", "u1")])
@@ -135,8 +142,32 @@ def joined_runs(*columns: np.ndarray, steps: int = 1) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def index_block(block, window: int, parts: int):
-    """Settled spans by document, and entries by anchor partition, of one block."""
+def windows_of(pieces: list[np.ndarray], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, piece, place in it and anchor of every window that lies inside one piece; and where it begins."""
+    size = np.array([len(h) for h in pieces])
+    h = np.concatenate(pieces)
+    n = size - window + 1
+    piece = np.repeat(np.arange(len(pieces)), n)
+    own = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+    at = (np.cumsum(size) - size)[piece] + own
+    return h, piece, own, at
+
+
+def anchors_of(h: np.ndarray, window: int, at: np.ndarray) -> np.ndarray:
+    return sliding_min(rolled(h, GROUP, ROLL_A), window - GROUP + 1)[at]
+
+
+def counted_anchors(block, window: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Anchors of several runs of a block, how many each has, and how many runs there are."""
+    h, piece, own, at = windows_of([s[3] for s in block], window)
+    anchor = anchors_of(h, window, at)
+    starts = joined_runs(anchor, piece, own)
+    found, n = np.unique(anchor[starts], return_counts=True)
+    return found[n >= COUNTED], n[n >= COUNTED], len(starts)
+
+
+def index_block(block, window: int, parts: int, frequent: np.ndarray | None = None):
+    """Settled spans by document, and entries by partition, of one block."""
     block = sorted(block, key=lambda s: s[:3])
     keys: dict[tuple[int, int], int] = {}
     pieces, doc, first = [], [], []
@@ -147,14 +178,8 @@ def index_block(block, window: int, parts: int):
             doc.append(keys.setdefault((kid, dg), len(keys)))
             first.append(at)
             pieces.append(h)
-    size = np.array([len(h) for h in pieces])
-    h = np.concatenate(pieces)
-    start = np.cumsum(size) - size
-    n = size - window + 1
-    piece = np.repeat(np.arange(len(pieces)), n)
-    own = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
-    at = start[piece] + own  # windows inside one piece only
-    anchor = sliding_min(rolled(h, GROUP, ROLL_A), window - GROUP + 1)[at]
+    h, piece, own, at = windows_of(pieces, window)
+    anchor = anchors_of(h, window, at)
     whole = rolled(h ^ np.uint64(MIX_A), window, ROLL_B)[at]
     doc_of = np.array(doc, np.uint32)[piece]
     place = (np.array(first)[piece] + own).astype(np.uint32)
@@ -175,11 +200,18 @@ def index_block(block, window: int, parts: int):
     left = np.flatnonzero(left)
     anchor, whole, doc_of, place = anchor[left], whole[left], doc_of[left], place[left]
     runs = joined_runs(anchor, doc_of, place)
+    hot = np.zeros(len(anchor), bool) if frequent is None else np.isin(anchor, frequent)
+    if hot.any():  # windows of frequent anchors are runs of their own
+        edge = np.zeros(len(anchor) + 1, bool)
+        edge[runs] = True
+        edge[:-1] |= hot
+        edge[1:] |= hot
+        runs = np.flatnonzero(edge[:-1])
     length = np.diff(np.append(runs, len(anchor)))
     if len(length) and length.max() > 255:  # a run's length takes one byte
         runs = np.concatenate([np.arange(r, r + k, 255) for r, k in zip(runs, length, strict=True)])
         length = np.diff(np.append(runs, len(anchor)))
-    part = (anchor[runs] % np.uint64(parts)).astype(np.int64)
+    part = (np.where(hot[runs], whole[runs], anchor[runs]) % np.uint64(parts)).astype(np.int64)
     by = np.argsort(part, kind="stable")
     edges = np.searchsorted(part[by], np.arange(parts + 1))
     entries = []
@@ -314,18 +346,26 @@ def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col=
     """Settled spans, one row for each document that has any: kid, dg, spans (packed ``SPAN`` records)."""
     parts = shuffle_width(docs.sparkSession)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes]]:
+        for batch in batches:
+            kid, dg, raw = batch.columns
+            for i in range(batch.num_rows):
+                yield kid[i].as_py(), dg[i].as_py(), raw[i].as_py()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return tidy(counted(batches))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in segments(rows(batches), window):
+            found, n, total = counted_anchors(block, window)
+            yield _batch(("anchor", pa.int64(), [*found.view(np.int64).tolist(), None]), ("n", pa.int64(), [*n.tolist(), total]))
+
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return tidy(indexed(batches))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            for batch in batches:
-                kid, dg, raw = batch.columns
-                for i in range(batch.num_rows):
-                    yield kid[i].as_py(), dg[i].as_py(), raw[i].as_py()
-
-        for block in segments(rows(), window):
-            settled, entries = index_block(block, window, parts)
+        for block in segments(rows(batches), window):
+            settled, entries = index_block(block, window, parts, frequent)
             known = pack_spans(settled, parts)
             none = [None] * len(known), [None] * len(entries)
             yield _batch(
@@ -367,6 +407,12 @@ def find_spans(docs: DataFrame, window: int = WINDOW, id_col="doc_id", text_col=
             yield _batch(("kid", pa.int64(), [k for k, _ in some]), ("dg", pa.int64(), [d for _, d in some]), ("spans", pa.binary(), [b"".join(by[k]) for k in some]))
 
     keyed = docs.select(*(c.alias(n) for n, c in _named(docs, id_col, text_col).items()), _bytes(text_col).alias("_raw"))
+    # At most ``FREQUENT * parts`` anchors come back.
+    runs = materialize(keyed.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
+    total = runs.filter("anchor is null").first()
+    often = runs.filter(F.col("anchor").isNotNull() & (F.col("n") * (FREQUENT * parts) > (total["n"] if total else 0))).select("anchor").collect()
+    discard(runs)
+    frequent = np.array([r["anchor"] for r in often], np.int64).view(np.uint64)
     met = keyed.mapInArrow(index, ENTRY).repartitionById(parts, F.col("part")).mapInArrow(meet, "bucket int, spans binary")
     return met.repartitionById(parts, F.col("bucket")).mapInArrow(gather, "kid long, dg long, spans binary")
 

@@ -331,6 +331,25 @@ def test_rolled_hashes_depend_on_the_window_only():
     assert (substring.sliding_min(both, 15) == [both[i : i + 15].min() for i in range(186)]).all()
 
 
+def test_windows_of_a_frequent_anchor_are_dealt_by_their_own_hash(spark, monkeypatch):
+    rng = random.Random(14)
+    phrase = "the very common phrase of six".split()
+    texts = [[*(f"w{rng.randrange(10**6)}" for _ in range(14)), *phrase, *(f"w{rng.randrange(10**6)}" for _ in range(14))] for _ in range(60)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100 + i, " ".join(t[3:])) for i, t in enumerate(texts[:20])]
+    blocks = [(i, i, t.encode()) for i, t in rows]
+    anchors, n, total = substring.counted_anchors(next(substring.segments(blocks, 20)), 20)
+    hot = anchors[n >= 20]
+    _, entries = substring.index_block(next(substring.segments(blocks[:1], 20)), 20, 64, hot)
+    _, plain = substring.index_block(next(substring.segments(blocks[:1], 20)), 20, 64)
+    count = lambda e: sum(len(substring.unpack_entry(raw)[2]) for _, raw in e)
+    assert total >= 80 and count(entries) == count(plain) == 15
+    for frequent, counted in ((10**9, 1), (0, 1), (4, 4)):  # every anchor, none, some
+        monkeypatch.setattr(substring, "FREQUENT", frequent)
+        monkeypatch.setattr(substring, "COUNTED", counted)
+        got = sorted((tuple(r) for r in substring.digest(frame(spark, rows)).collect()), key=str)
+        assert got == plain_digest(rows, 20)
+
+
 def test_windows_under_one_anchor_are_told_apart_by_the_whole_hash(monkeypatch):
     real = substring.rolled
 
