@@ -87,9 +87,13 @@ def _bare(spark: SparkSession) -> list[int]:
 
 def windows(words: Column, raws: Column, bare: list[int]) -> Column:
     """Hashes of all windows, in order; an array of nothing for fewer words; bare windows as hashes of their raw words."""
-    plain = _windows(words)
-    as_they_stand = F.transform(plain, lambda h, i: F.when(h.isin(bare), F.xxhash64(F.slice(raws, i + 1, WORDS), F.lit(WORDS))).otherwise(h))
-    return F.when(F.exists(plain, lambda h: h.isin(bare)), as_they_stand).otherwise(plain)
+    # An array of one binds a value for the expressions inside, so that nothing is computed for each window again,
+    # and raw words not at all where no window is bare.
+    def with_raws(plain: Column, own: Column) -> Column:
+        return F.transform(plain, lambda h, i: F.when(h.isin(bare), F.xxhash64(F.slice(own, i + 1, WORDS), F.lit(WORDS))).otherwise(h))
+
+    bound = F.transform(F.array(_windows(words)), lambda plain: F.when(F.exists(plain, lambda h: h.isin(bare)), F.transform(F.array(raws), lambda own: with_raws(plain, own))[0]).otherwise(plain))
+    return bound[0]
 
 
 def _text(column: str) -> Column:
