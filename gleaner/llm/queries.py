@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import ann, decontaminate, language_id, packing, quality, sharding, simhash, substring, token_output, url_filter
+from . import ann, audit, bpe, decontaminate, language_id, negatives, packing, quality, sharding, simhash, substring, token_output, url_filter
 from .common import table
 
 
@@ -64,6 +64,21 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sequence_id", "doc_ids", "pieces", "starts", "cu_seqlens", "n_tokens", F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
 
 
+def op11_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_language_id": op2_language_id,
@@ -75,10 +90,15 @@ QUERIES = {
     "op8_substring_rlz": op8_substring_rlz,
     "op9_ann_collision": op9_ann_collision,
     "op10_token_output": op10_token_output,
+    "op11_bpe_speculate": op11_bpe_speculate,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 SQL = {
     "op1_url_filter": url_filter.filter_sql(),
     "op6_decontaminate_templates": decontaminate.LEAK_SQL,
     "op8_substring_rlz": substring.DIGEST_SQL,
+    "op12_filter_audit": audit.AUDIT_SQL,
+    "op13_hard_negatives": negatives.MINE_SQL,
 }
