@@ -1,29 +1,42 @@
-"""The vector corpus: immutable snapshots of a collection, replaced by URL, searched exactly.
+"""The vector corpus: immutable versions of a collection, replaced by URL, searched exactly or by an index.
 
 A collection is a folder of rows laid out by ``url_bucket``, a hash of the URL,
-and of numbered manifests.  A manifest says for each bucket which folder holds
-it; a write makes new folders for the buckets it touches, then publishes the
-next manifest under a name that did not exist before.  A reader takes the
-greatest manifest, so it sees the old version or the new one, never a half of
-either and never none.  A lookup by URL reads one bucket.
+and of numbered manifests.  A manifest lists the layers of each bucket: folders
+with rows, and folders with URLs that are gone from all layers before.  A store
+adds a layer of the new rows and one of their URLs, a delete just one of URLs,
+so neither reads or writes the rows that were there; readers merge.  A bucket
+of many layers is rewritten as one by :meth:`Corpus.compact`, and split in two,
+four or more where it has grown too large.  The next manifest is published
+under a name that did not exist before.  A reader takes the greatest one, so it
+sees the old version or the new one, never a half of either and never none.  A
+lookup by URL reads one bucket.
+
+A collection may have an index (:mod:`.vector_index`): each folder of rows is a
+segment of it, made before the manifest names the folder, so index and rows
+always agree, in old versions too.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..functions.text import iso_utc, provenance
 from ..schemas import CORPUS
+from ..session import discard, settled
 
 BUCKETS = 32
+#: Rows of a bucket above which a rewrite splits it, and layers of one above which a write asks for a rewrite.
+BUCKET_ROWS = 1_000_000
+LAYERS = 24
 #: Rows that one task writes, about; large buckets are written by several.
 TASK_ROWS = 100_000
 #: New URLs up to which the side of a replace is broadcast; counted first.
@@ -153,7 +166,36 @@ def row_provenance(stamp: str = "scrape_timestamp") -> Column:
     return provenance(F.col("source_url"), iso_utc(F.col(stamp)), F.col("page_title"), F.col("section_heading"))
 
 
-# ------------------------------------------------------------- snapshots
+# ------------------------------------------------------------- versions
+
+
+class Layer(NamedTuple):
+    """A folder of rows, or of URLs that are gone from all layers before, and how many it has in this bucket."""
+
+    folder: str
+    rows: int
+    gone: bool = False
+
+
+class Manifest(dict):
+    """Layers, in order, by bucket (``number.modulus``); ``index`` names the folder of the index, if there is one."""
+
+    def __init__(self, buckets: dict[str, list[Layer]], index: str | None = None):
+        super().__init__(buckets)
+        self.index = index
+
+    def dumped(self) -> bytes:
+        return json.dumps({"buckets": self, "index": self.index}).encode()
+
+    @classmethod
+    def loaded(cls, text: str) -> Manifest:
+        held = json.loads(text)
+        return cls({b: [Layer(*x) for x in layers] for b, layers in held["buckets"].items()}, held["index"])
+
+
+def _number(folder: str) -> int:
+    """The version that wrote a folder."""
+    return int(re.search(r"v=(\d+)-", folder)[1])
 
 
 class Corpus:
@@ -162,95 +204,253 @@ class Corpus:
     def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = BUCKETS):
         self.spark, self.name, self.root, self.buckets = spark, name, f"{path.rstrip('/')}/{name}", buckets
 
+    # ------------------------------------------------------------- versions
+
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
     def _fs(self):
         return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, folder: str = "") -> list[str]:
+        fs, at = self._fs(), self._path(folder) if folder else self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
+
     def versions(self) -> list[int]:
         """Published versions, in order."""
-        fs, at = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-        return sorted(int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", n) for n in names) if m)
+        return sorted(int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", n) for n in self._names()) if m)
 
     def version(self) -> int | None:
         return max(self.versions(), default=None)
 
-    def manifest(self, version: int) -> dict[str, str]:
-        """Folder of each bucket that has rows."""
+    def manifest(self, version: int) -> Manifest:
+        """Layers of each bucket that has rows, or had."""
         stream = self._fs().open(self._path(f"manifest-{version:010d}.json"))
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return Manifest.loaded(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _rows(self, folders: dict[str, str]) -> DataFrame:
-        fields = self.spark.createDataFrame([], CORPUS).schema.add("url_bucket", IntegerType())
-        if not folders:
-            return self.spark.createDataFrame([], fields)
-        paths = [f"{self.root}/{folder}/url_bucket={bucket}" for bucket, folder in sorted(folders.items())]
-        return self.spark.read.schema(fields).option("basePath", self.root).parquet(*paths).select(*fields.names)
-
-    def read(self, version: int | None = None) -> DataFrame:
-        """Rows of a version, the newest by default; none yet: no rows."""
+    def _held(self, version: int | None = None) -> Manifest:
         version = self.version() if version is None else version
-        return self._rows({} if version is None else self.manifest(version))
+        return Manifest({}) if version is None else self.manifest(version)
 
-    def at_url(self, url: str) -> DataFrame:
-        """Rows of one URL; only its bucket is read."""
-        bucket = self.spark.range(1).select(url_bucket(F.lit(url), self.buckets)).first()[0]
-        version = self.version()
-        own = {} if version is None else {b: f for b, f in self.manifest(version).items() if b == str(bucket)}
-        return self._rows(own).filter(F.col("source_url") == url)
-
-    def _publish(self, rows: DataFrame, touched: list[int], size: int) -> int:
-        """Write the rows of the touched buckets, about ``size``, to a folder of their own, then the next manifest."""
-        held = self.version()
-        number, folder = (held or 0) + 1, f"v={(held or 0) + 1}-{uuid.uuid4().hex}"
-        each = -(-size // (TASK_ROWS * max(1, len(touched))))  # tasks a bucket
-        salted = rows.withColumn("url_bucket", url_bucket(F.col("source_url"), self.buckets)).withColumn("_salt", F.pmod(F.xxhash64("source_url", F.lit("salt")), F.lit(max(1, each))))
-        salted.repartition(max(1, each * len(touched)), "url_bucket", "_salt").drop("_salt").write.partitionBy("url_bucket").parquet(f"{self.root}/{folder}")
+    def _publish(self, number: int, manifest: Manifest) -> int:
+        """Make ``manifest`` the version ``number``; an error where another writer did."""
         fs = self._fs()
-        written = {f.getPath().getName().partition("=")[2] for f in fs.listStatus(self._path(folder)) if f.isDirectory()}
-        kept = {b: f for b, f in (self.manifest(held) if held else {}).items() if int(b) not in touched}
         draft, final = self._path(f".draft-{uuid.uuid4().hex}"), self._path(f"manifest-{number:010d}.json")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(kept | dict.fromkeys(written, folder)).encode()))
+        out.write(bytearray(manifest.dumped()))
         out.close()
         if fs.exists(final) or not fs.rename(draft, final):
             fs.delete(draft, False)
             raise RuntimeError(f"another writer published version {number} of {self.name}")
         return number
 
-    def _buckets_of(self, rows: DataFrame) -> list[int]:
-        """The buckets of the rows' URLs: at most as many as there are."""
-        return sorted(r[0] for r in rows.select(url_bucket(F.col("source_url"), self.buckets)).distinct().collect())
+    # -------------------------------------------------------------- buckets
+
+    def _keys(self, manifest: Manifest) -> dict[int, set[int]]:
+        """Numbers of the buckets by modulus; what was never written has the first modulus."""
+        found: dict[int, set[int]] = {self.buckets: set(range(self.buckets))}
+        for key in manifest:
+            number, modulus = map(int, key.split("."))
+            found.setdefault(modulus, set()).add(number)
+            while modulus > self.buckets:  # its parents are split
+                modulus //= 2
+                found.setdefault(modulus, set()).discard(number % modulus)
+        return found
+
+    def _bucket(self, manifest: Manifest, url: Column) -> Column:
+        """The bucket of a URL: at each modulus those numbers that are not split."""
+        out, keys = F.lit(None).cast("string"), self._keys(manifest)
+        for modulus in sorted(keys, reverse=True):
+            if keys[modulus]:
+                number = url_bucket(url, modulus)
+                hit = F.lit(True) if len(keys[modulus]) == modulus else number.isin(sorted(keys[modulus]))
+                out = F.when(hit, F.concat(number.cast("string"), F.lit(f".{modulus}"))).otherwise(out)
+        return out
+
+    def _rows(self, manifest: Manifest) -> DataFrame:
+        """Live rows of the buckets of ``manifest``, with ``url_bucket`` and ``v`` (number and mark of the folder)."""
+        fields = self.spark.createDataFrame([], CORPUS).schema.add("url_bucket", "string").add("v", "string")
+        paths = [f"{self.root}/{x.folder}/url_bucket={b}" for b, layers in sorted(manifest.items()) for x in layers if not x.gone]
+        if not paths:
+            return self.spark.createDataFrame([], fields)
+        return self._alive(self.spark.read.schema(fields).option("basePath", self.root).parquet(*paths), manifest)
+
+    def _alive(self, rows: DataFrame, manifest: Manifest) -> DataFrame:
+        """``rows`` without those whose URL a later layer of their bucket calls gone."""
+        layers = [(b, x) for b, layers in sorted(manifest.items()) for x in layers if x.gone]
+        if not layers:
+            return rows
+        gone = self.spark.read.schema("source_url string, url_bucket string, v string").option("basePath", f"{self.root}/gone").parquet(*(f"{self.root}/{x.folder}/url_bucket={b}" for b, x in layers))
+        number = F.split("v", "-")[0].cast("long")
+        last = gone.groupBy(F.col("source_url").alias("_url")).agg(F.max(number).alias("_gone"))
+        last = F.broadcast(last) if sum(x.rows for _, x in layers) <= BROADCAST_URLS else last  # the manifest counts them
+        return rows.join(last, (F.col("source_url") == F.col("_url")) & (number < F.col("_gone")), "left_anti")
 
-    def _current(self, touched: list[int]) -> DataFrame:
-        version = self.version()
-        return self._rows({} if version is None else {b: f for b, f in self.manifest(version).items() if int(b) in touched}).drop("url_bucket")
+    def read(self, version: int | None = None) -> DataFrame:
+        """Rows of a version, the newest by default; none yet: no rows."""
+        return self._rows(self._held(version)).drop("v")
+
+    def at_url(self, url: str, version: int | None = None) -> DataFrame:
+        """Rows of one URL; only its bucket is read."""
+        held = self._held(version)
+        bucket = self.spark.range(1).select(self._bucket(held, F.lit(url))).first()[0]
+        return self._rows(Manifest({b: layers for b, layers in held.items() if b == bucket})).drop("v").filter(F.col("source_url") == url)
+
+    # --------------------------------------------------------------- writing
+
+    def _written(self, rows: DataFrame, folder: str, size: int) -> dict[str, int]:
+        """Write ``rows`` (with ``url_bucket``), about ``size``, to ``folder`` by bucket; returns the rows of each."""
+        counts = {r["url_bucket"]: r["n"] for r in rows.groupBy("url_bucket").agg(F.count("*").alias("n")).collect()}  # the manifest lists them anyway
+        if counts:
+            each = -(-size // (TASK_ROWS * len(counts)))  # tasks a bucket
+            salted = rows.withColumn("_salt", F.pmod(F.xxhash64("source_url", F.lit("salt")), F.lit(max(1, each))))
+            salted.repartition(max(1, each * len(counts)), "url_bucket", "_salt").drop("_salt").write.partitionBy("url_bucket").parquet(f"{self.root}/{folder}")
+        return counts
+
+    def _layered(self, held: Manifest, new: DataFrame | None, gone: DataFrame, number: int) -> Manifest:
+        """``held`` with a layer of the URLs ``gone`` in buckets that have older rows, and one of the rows ``new``."""
+        mark = f"v={number}-{uuid.uuid4().hex}"
+        layers: dict[str, list[Layer]] = {b: list(own) for b, own in held.items()}
+        urls = settled(gone.select("source_url").distinct().withColumn("url_bucket", self._bucket(held, F.col("source_url"))).filter(F.col("url_bucket").isin(sorted(held))), "gone")
+        for b, n in self._written(urls, f"gone/{mark}", urls.count()).items():
+            layers[b].append(Layer(f"gone/{mark}", n, True))
+        discard(urls)
+        if new is not None:
+            placed = settled(new.withColumn("url_bucket", self._bucket(held, F.col("source_url"))), "layer")
+            for b, n in self._written(placed, mark, placed.count()).items():
+                layers.setdefault(b, []).append(Layer(mark, n))
+            discard(placed)
+            if held.index:
+                self._indexed(held.index, mark, [b for b, own in layers.items() if Layer(mark, own[-1].rows) == own[-1]])
+        return Manifest(layers, held.index)
 
     def store(self, chunks: DataFrame) -> int:
-        """Replace all chunks of the URLs in ``chunks``; returns how many were stored. None is an error."""
+        """Replace all chunks of the URLs in ``chunks``, which is evaluated once; returns how many were stored. None is an error."""
         columns = [f.name for f in self.spark.createDataFrame([], CORPUS).schema]
-        new = chunks.select(*columns)
+        new = settled(chunks.select(*columns), "stored")
         stored, bare = new.agg(F.count("*"), F.count(F.when(F.col("embedding").isNull(), 1))).first()
         if not stored:
             raise ValueError("no chunks to store")
         if bare:
             raise ValueError("chunk and embedding counts differ")
-        touched = self._buckets_of(new)
-        old = self._current(touched)
-        self._publish(replace_by_url(old, new), touched, stored + old.count())
+        version = self.version()
+        held = Manifest({}) if version is None else self.manifest(version)
+        number = (version or 0) + 1
+        after = self._layered(held, new, new, number)
+        discard(new)
+        self._publish(number, after)
+        self._tidied(after)
         return stored
 
     def delete(self, urls: list[str]) -> int:
-        """Delete by URL; returns the deleted rows."""
-        touched = self._buckets_of(self.spark.createDataFrame([(u,) for u in urls], "source_url string"))
-        old = self._current(touched)
-        size = old.count()
-        gone = old.filter(F.col("source_url").isin(urls)).count()
-        if gone:
-            self._publish(delete_urls(old, urls), touched, size)
+        """Delete by URL; returns the deleted rows.  What is written grows with the URLs, not with the rows."""
+        version = self.version()
+        held = self._held(version)
+        given = self.spark.createDataFrame([(u,) for u in urls], "source_url string")
+        touched = {r[0] for r in given.select(self._bucket(held, F.col("source_url"))).distinct().collect()}
+        there = self._rows(Manifest({b: x for b, x in held.items() if b in touched})).filter(F.col("source_url").isin(urls)).groupBy("source_url").agg(F.count("*").alias("n")).collect()  # URLs that were given
+        if there:
+            found = self.spark.createDataFrame([(r["source_url"],) for r in there], "source_url string")
+            after = self._layered(held, None, found, version + 1)
+            self._publish(version + 1, after)
+            self._tidied(after)
+        return sum(r["n"] for r in there)
+
+    def _tidied(self, after: Manifest) -> None:
+        """Rewrite what has gathered too many layers."""
+        if any(len(own) > LAYERS for own in after.values()):
+            self.compact(LAYERS)
+
+    def compact(self, layers: int = 1) -> int | None:
+        """Rewrite the buckets of more than ``layers`` layers, or of too many rows, as one layer each; the new version, if there is one.
+
+        A bucket of more than ``BUCKET_ROWS`` live rows is split by as many bits of the hash as it takes.
+        """
+        version = self.version()
+        if version is None:
+            return None
+        held = self.manifest(version)
+        chosen = {b: x for b, x in held.items() if len(x) > layers or sum(y.rows for y in x if not y.gone) > BUCKET_ROWS}
+        if not chosen:
+            return None
+        live = settled(self._rows(Manifest(chosen)).drop("v"), "compacted")
+        counts = {r["url_bucket"]: r["n"] for r in live.groupBy("url_bucket").agg(F.count("*").alias("n")).collect()}
+        many, splits = {b: n for b, n in counts.items() if n > BUCKET_ROWS}, {}
+        if many:  # one URL is never split, so count what the halves would be no further than the URLs allow
+            urls = live.filter(F.col("url_bucket").isin(list(many))).groupBy("url_bucket").agg(F.approx_count_distinct("source_url").alias("u")).collect()
+            splits = {r["url_bucket"]: 1 << min(math.ceil(math.log2(many[r["url_bucket"]] / BUCKET_ROWS)), max(0, int(r["u"]).bit_length() - 1)) for r in urls}
+        if all(len(x) == 1 and splits.get(b, 1) == 1 for b, x in chosen.items()):
+            discard(live)
+            return None
+        place = F.col("url_bucket")
+        for times in sorted({t for t in splits.values() if t > 1}):
+            for b in sorted(b for b, t in splits.items() if t == times):
+                modulus = int(b.split(".")[1]) * times
+                place = F.when(F.col("url_bucket") == b, F.concat(url_bucket(F.col("source_url"), modulus).cast("string"), F.lit(f".{modulus}"))).otherwise(place)
+        mark = f"v={version + 1}-{uuid.uuid4().hex}"
+        written = self._written(live.withColumn("url_bucket", place), mark, sum(counts.values()))
+        discard(live)
+        after = Manifest({b: x for b, x in held.items() if b not in chosen} | {b: [Layer(mark, n)] for b, n in written.items()}, held.index)
+        if held.index:
+            self._indexed(held.index, mark, list(written))
+        return self._publish(version + 1, after)
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Delete all but the last ``keep`` versions and the folders that only those used; returns how many folders went."""
+        versions = self.versions()
+        kept, fs, gone = [self.manifest(v) for v in versions[-max(1, keep) :]], self._fs(), 0
+        for v in versions[: -max(1, keep)]:
+            fs.delete(self._path(f"manifest-{v:010d}.json"), False)
+        used = {x.folder for m in kept for own in m.values() for x in own} | {m.index for m in kept}
+        for folder in [n for n in self._names() if n.startswith(("v=", "index-"))] + [f"gone/{n}" for n in self._names("gone")]:
+            if folder not in used:
+                gone += bool(fs.delete(self._path(folder), True))
         return gone
+
+    # --------------------------------------------------------------- the index
+
+    def _index(self, name: str):
+        from .vector_index import VectorIndex
+
+        return VectorIndex(self.spark, f"{self.root}/{name}")
+
+    def _indexed(self, name: str, folder: str, buckets: list[str]) -> None:
+        """Code the rows of a folder as a segment of the index."""
+        rows = self._rows(Manifest({b: [Layer(folder, 0)] for b in buckets}))
+        self._index(name).add(rows, folder.partition("=")[2], "chunk_id", "embedding", ("source_url", "url_bucket"))
+
+    def build_index(self, lists: int | None = None, recall: float = 0.95, k: int = 5) -> int:
+        """Train an index on the newest version and code its rows; stores and deletes keep it from then on.  Returns the new version."""
+        from .vector_index import VectorIndex
+
+        version = self.version()
+        held = self._held(version)
+        name = f"index-{uuid.uuid4().hex}"
+        VectorIndex.create(self._rows(held), f"{self.root}/{name}", "chunk_id", "embedding", lists, recall, k)
+        folders: dict[str, list[str]] = {}
+        for b, own in held.items():
+            for x in own:
+                if not x.gone:
+                    folders.setdefault(x.folder, []).append(b)
+        for folder, buckets in folders.items():
+            self._indexed(name, folder, buckets)
+        return self._publish(version + 1, Manifest(held, name))
+
+    def search(self, queries: DataFrame, k: int = 5, version: int | None = None, **options) -> DataFrame:
+        """The ``k`` nearest chunks for each query (query_id, query_vector): query_id, rank, hit_id, distance.
+
+        With an index its lists are searched (``probes``, ``refine``), else all rows are.
+        """
+        held = self._held(version)
+        if not held.index:
+            return query_many(self._rows(held), queries, k)
+        live = sorted({(x.folder.partition("=")[2], b) for b, own in held.items() for x in own if not x.gone})
+        pairs = F.broadcast(self.spark.createDataFrame(live, "segment string, url_bucket string"))  # as many as the manifest lists
+
+        def alive(rows: DataFrame) -> DataFrame:
+            return self._alive(rows.join(pairs, ["segment", "url_bucket"], "left_semi").withColumn("v", F.col("segment")), held)
+
+        return self._index(held.index).search(queries, k, segments=sorted({s for s, _ in live}), only=alive, **options)

@@ -65,6 +65,63 @@ def test_large_buckets_are_written_by_several_tasks(spark, tmp_path, monkeypatch
     assert c.store(many) == 200 and c.read().count() == 200 and len(c.read().inputFiles()) > 3
 
 
+def bytes_under(path):
+    return sum(f.stat().st_size for f in path.rglob("*") if f.is_file())
+
+
+def test_a_delete_writes_urls_and_no_rows(spark, tmp_path):
+    c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4", buckets=4)
+    text = "long words of a chunk " * 200
+    c.store(spark.createDataFrame([chunk_row(f"https://{i}/", j, [i, j, 0, 1], content=f"{text}{i}{j}") for i in range(60) for j in range(3)], CORPUS).repartition(3))
+    before, size = c.read(), bytes_under(tmp_path)
+    assert c.delete(["https://7/", "https://none/"]) == 3
+    assert bytes_under(tmp_path) - size < 8192 < size
+    assert before.count() == 180 and c.read(1).count() == 180 and c.read().count() == 177 and c.at_url("https://7/").count() == 0 and c.at_url("https://7/", 1).count() == 3
+    assert c.delete(["https://7/"]) == 0 and c.version() == 2
+    c.store(spark.createDataFrame([chunk_row("https://7/", 1, [1, 1, 1, 1])], CORPUS))  # a URL that was gone comes back
+    assert c.at_url("https://7/").count() == 1 and c.read().count() == 178 and c.read(2).count() == 177
+
+
+def test_rewrites_keep_the_rows_and_split_large_buckets(spark, tmp_path, monkeypatch):
+    c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4", buckets=2)
+    for k in range(3):
+        c.store(spark.createDataFrame([chunk_row(f"https://{i}/", j, [i, j, k, 1]) for i in range(k, 30) for j in range(2)], CORPUS))
+    c.delete(["https://29/"])
+    want = sorted(map(str, c.read().drop("url_bucket").collect()))
+    assert len(want) == 58 and max(map(len, c.manifest(4).values())) >= 5
+    monkeypatch.setattr(corpus, "BUCKET_ROWS", 10)
+    assert c.compact() == 5
+    held = c.manifest(5)
+    assert len(held) > 4 and all(len(x) == 1 and x[0].rows <= 20 for x in held.values()) and sum(x[0].rows for x in held.values()) == 58
+    assert sorted(map(str, c.read().drop("url_bucket").collect())) == want == sorted(map(str, c.read(4).drop("url_bucket").collect()))
+    assert all(c.at_url(f"https://{i}/").count() == 2 for i in (0, 13, 28))
+    c.store(spark.createDataFrame([chunk_row("https://13/", 9, [1, 1, 1, 1])], CORPUS))  # into a split bucket
+    assert c.at_url("https://13/").count() == 1 and c.read().count() == 57 and c.delete(["https://28/"]) == 2
+    assert c.vacuum() > 0 and c.versions() == [7] and c.read().count() == 55
+
+
+def test_many_layers_ask_for_a_rewrite(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus, "LAYERS", 2)
+    c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4", buckets=1)
+    c.store(rows(spark))
+    c.store(rows(spark, n=2))
+    assert c.versions() == [1, 2, 3] and [len(x) for x in c.manifest(3).values()] == [1] and c.read().count() == 2
+
+
+def test_store_evaluates_its_chunks_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4", buckets=4)
+    c.store(rows(spark))
+    c.store(rows(spark, "https://b/", 7).withColumn("confidence", counted.asNondeterministic()("confidence")))
+    assert seen.value == 7 and c.read().count() == 10
+
+
 def test_store_refuses_nothing_and_missing_vectors(spark, tmp_path):
     c = corpus.Corpus(spark, str(tmp_path), "corpus_x_4")
     with pytest.raises(ValueError):
