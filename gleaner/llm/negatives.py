@@ -211,7 +211,7 @@ def _searched(waiting: DataFrame, anchors: DataFrame, lanes: DataFrame, tasks: i
         none.cast("binary").alias("ids"), none.cast("binary").alias("labels"), none.cast("binary").alias("vs"), pick("anchor").alias("anchors"), pick("windows").alias("windows"), pick("id").alias("own_ids"), pick("label").alias("own_labels"), F.flatten(pick("v")).alias("own_vs"),
     )
     long = none.cast("array<long>")
-    met = stay.withColumns({"own_ids": long, "own_labels": long, "own_vs": long}).unionByName(come).repartitionById(int(parts), F.col("place")).sortWithinPartitions("place", "turn", "order")
+    met = stay.withColumns({"own_ids": long, "own_labels": long, "own_vs": long}).unionByName(come).repartitionById(int(parts or 1), F.col("place")).sortWithinPartitions("place", "turn", "order")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, lane = None, []
