@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import domain, severity
 from ..schemas import EVENTS
-from ..session import settled
+from ..session import discard, settled
 
 
 def empty(spark) -> DataFrame:
@@ -125,5 +125,64 @@ def spacing(requests: DataFrame, min_interval: float = 1.0, url_col: str = "url"
     return out.withColumn("wait", wait).drop("_at", "_part", "_p", "_d", "_own", "_before")
 
 
+def kept_spacing(requests: DataFrame, min_interval: float = 1.0, url_col: str = "url") -> DataFrame:
+    """For each request, when it starts (``starts``) and how long it waits for that, if the interval in its domain is kept.
+
+    The clock restarts after each wait, so waits add up: request i starts at
+    max(t_i, start_{i-1} + d), which is i d + max over j <= i of (t_j - j d).
+    The maximum is a prefix scan: inside range partitions by domain and time it
+    is a window, and from partition to partition only one count and one maximum
+    a domain are carried, so a domain with a third of all requests spans many.
+    Times are counted in whole microseconds; ties go by id.  An interval of zero
+    or less means no waits.
+    """
+    step = max(0, round(min_interval * 1_000_000))
+    keyed = requests.withColumns({"domain": domain(F.col(url_col)), "_at": F.unix_micros(F.col("ts").cast("timestamp"))})
+    ranged = keyed.repartitionByRange("domain", "ts", "id").withColumn("_part", F.spark_partition_id())
+    own = Window.partitionBy("domain", "_part").orderBy("ts", "id")
+    held = settled(ranged.withColumn("_i", F.row_number().over(own).cast("long")), "kept-spacing")
+    ahead = F.col("_at") - F.col("_i") * step  # places count from the partition's own first request
+    parts = held.groupBy("domain", "_part").agg(F.count("*").alias("_n"), F.max(ahead).alias("_m"))
+    before = Window.partitionBy("domain").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # Of a domain, one row a partition: what came before, and its greatest lead with places counted from the domain's first.
+    counted = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    carried = counted.withColumn("_lead", F.max(F.col("_m") - F.col("_before") * step).over(before)).select(F.col("domain").alias("_d"), F.col("_part").alias("_p"), "_before", "_lead")
+    joined = held.join(carried, F.col("domain").eqNullSafe(F.col("_d")) & (F.col("_part") == F.col("_p")))
+    place = F.col("_i") + F.col("_before")
+    lead = F.greatest(F.max(F.col("_at") - place * step).over(own.rowsBetween(Window.unboundedPreceding, 0)), F.col("_lead"))
+    started = joined.withColumn("_start", place * step + lead) if step else joined.withColumn("_start", F.col("_at"))
+    out = started.withColumns({"starts": F.timestamp_micros("_start"), "wait": (F.col("_start") - F.col("_at")) / 1_000_000})
+    return out.drop("_at", "_part", "_i", "_d", "_p", "_before", "_lead", "_start")
+
+
+def run_durations(log: DataFrame, gap: float, starts: Column | None = None, key: str = "url") -> DataFrame:
+    """``log`` with the number of each event's run within its key, and the seconds since that run began.
+
+    A key's first event begins a run, and so does an event more than ``gap``
+    seconds after the one before, or one that ``starts`` says begins one.  Gaps
+    and islands over range partitions by key and time: the last time, the runs
+    and the last beginning of a key in each partition are carried to the next,
+    one row each, so a key with a third of the log spans many.
+    """
+    begins = F.lit(False) if starts is None else F.coalesce(starts, F.lit(False))
+    marked = log.withColumns({"_at": seconds(F.col("ts")), "_b": begins})
+    ranged = settled(marked.repartitionByRange(key, "ts", "id").withColumn("_part", F.spark_partition_id()), "runs")
+    own, later = Window.partitionBy(key, "_part").orderBy("ts", "id"), Window.partitionBy("_k").orderBy("_p")
+    last = ranged.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.max("_at").alias("_last"))
+    last = last.withColumn("_before", F.lag("_last").over(later)).drop("_last")
+    same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_part") == F.col("_p"))
+    since = F.col("_at") - F.coalesce(F.lag("_at").over(own), F.col("_before"))
+    flagged = ranged.join(last, same).withColumn("_new", F.col("_b") | since.isNull() | (since > float(gap))).drop("_k", "_p", "_before", "_b")
+    own_rows = own.rowsBetween(Window.unboundedPreceding, 0)
+    flagged = flagged.withColumns({"_runs": F.sum(F.col("_new").cast("int")).over(own_rows), "_from": F.last(F.when(F.col("_new"), F.col("_at")), ignorenulls=True).over(own_rows)})
+    held = settled(flagged, "runs-marked")
+    parts = held.groupBy(F.col(key).alias("_k"), F.col("_part").alias("_p")).agg(F.max("_runs").alias("_n"), F.max("_from").alias("_f"))
+    before = later.rowsBetween(Window.unboundedPreceding, -1)
+    carried = parts.select("_k", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier"), F.last("_f", ignorenulls=True).over(before).alias("_begun"))
+    out = held.join(carried, same).withColumns({"run": (F.col("_runs") + F.col("_earlier")).cast("int"), "duration_seconds": F.round(F.col("_at") - F.coalesce("_from", "_begun"), 2)})
+    discard(ranged)
+    return out.drop("_at", "_part", "_new", "_runs", "_from", "_k", "_p", "_earlier", "_begun")
+
+
 def delete_url(log: DataFrame, url: str) -> DataFrame:
     return log.filter(~F.coalesce(F.col("url") == url, F.lit(False)))
