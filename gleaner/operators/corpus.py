@@ -18,9 +18,7 @@ always agree, in old versions too.
 
 from __future__ import annotations
 
-import json
 import math
-import re
 import uuid
 from typing import NamedTuple
 
@@ -32,6 +30,7 @@ from pyspark.sql import functions as F
 from ..functions.text import iso_utc, provenance
 from ..schemas import CORPUS
 from ..session import discard, settled
+from .versions import Versions
 
 BUCKETS = 32
 #: Rows of a bucket above which a rewrite splits it, and layers of one above which a write asks for a rewrite.
@@ -184,69 +183,29 @@ class Manifest(dict):
         super().__init__(buckets)
         self.index = index
 
-    def dumped(self) -> bytes:
-        return json.dumps({"buckets": self, "index": self.index}).encode()
+    def dumped(self) -> dict:
+        return {"buckets": self, "index": self.index}
 
     @classmethod
-    def loaded(cls, text: str) -> Manifest:
-        held = json.loads(text)
+    def loaded(cls, held: dict) -> Manifest:
         return cls({b: [Layer(*x) for x in layers] for b, layers in held["buckets"].items()}, held["index"])
 
 
-def _number(folder: str) -> int:
-    """The version that wrote a folder."""
-    return int(re.search(r"v=(\d+)-", folder)[1])
-
-
-class Corpus:
+class Corpus(Versions):
     """A collection under ``path``, written by one writer at a time."""
 
     def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = BUCKETS):
-        self.spark, self.name, self.root, self.buckets = spark, name, f"{path.rstrip('/')}/{name}", buckets
-
-    # ------------------------------------------------------------- versions
-
-    def _path(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-
-    def _fs(self):
-        return self._path("x").getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str = "") -> list[str]:
-        fs, at = self._fs(), self._path(folder) if folder else self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        return sorted(f.getPath().getName() for f in fs.listStatus(at)) if fs.exists(at) else []
-
-    def versions(self) -> list[int]:
-        """Published versions, in order."""
-        return sorted(int(m[1]) for m in (re.fullmatch(r"manifest-(\d+)\.json", n) for n in self._names()) if m)
-
-    def version(self) -> int | None:
-        return max(self.versions(), default=None)
+        super().__init__(spark, f"{path.rstrip('/')}/{name}", name)
+        self.buckets = buckets
 
     def manifest(self, version: int) -> Manifest:
         """Layers of each bucket that has rows, or had."""
-        stream = self._fs().open(self._path(f"manifest-{version:010d}.json"))
-        try:
-            return Manifest.loaded(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        return Manifest.loaded(self._read_version(version))
 
     def _held(self, version: int | None = None) -> Manifest:
         version = self.version() if version is None else version
         return Manifest({}) if version is None else self.manifest(version)
 
-    def _publish(self, number: int, manifest: Manifest) -> int:
-        """Make ``manifest`` the version ``number``; an error where another writer did."""
-        fs = self._fs()
-        draft, final = self._path(f".draft-{uuid.uuid4().hex}"), self._path(f"manifest-{number:010d}.json")
-        out = fs.create(draft, True)
-        out.write(bytearray(manifest.dumped()))
-        out.close()
-        if fs.exists(final) or not fs.rename(draft, final):
-            fs.delete(draft, False)
-            raise RuntimeError(f"another writer published version {number} of {self.name}")
-        return number
-
     # -------------------------------------------------------------- buckets
 
     def _keys(self, manifest: Manifest) -> dict[int, set[int]]:
@@ -341,7 +300,7 @@ class Corpus:
         number = (version or 0) + 1
         after = self._layered(held, new, new, number)
         discard(new)
-        self._publish(number, after)
+        self._publish(number, after.dumped())
         self._tidied(after)
         return stored
 
@@ -355,7 +314,7 @@ class Corpus:
         if there:
             found = self.spark.createDataFrame([(r["source_url"],) for r in there], "source_url string")
             after = self._layered(held, None, found, version + 1)
-            self._publish(version + 1, after)
+            self._publish(version + 1, after.dumped())
             self._tidied(after)
         return sum(r["n"] for r in there)
 
@@ -396,19 +355,13 @@ class Corpus:
         after = Manifest({b: x for b, x in held.items() if b not in chosen} | {b: [Layer(mark, n)] for b, n in written.items()}, held.index)
         if held.index:
             self._indexed(held.index, mark, list(written))
-        return self._publish(version + 1, after)
+        return self._publish(version + 1, after.dumped())
 
     def vacuum(self, keep: int = 1) -> int:
         """Delete all but the last ``keep`` versions and the folders that only those used; returns how many folders went."""
-        versions = self.versions()
-        kept, fs, gone = [self.manifest(v) for v in versions[-max(1, keep) :]], self._fs(), 0
-        for v in versions[: -max(1, keep)]:
-            fs.delete(self._path(f"manifest-{v:010d}.json"), False)
+        kept = [self.manifest(v) for v in self._forget(keep)]
         used = {x.folder for m in kept for own in m.values() for x in own} | {m.index for m in kept}
-        for folder in [n for n in self._names() if n.startswith(("v=", "index-"))] + [f"gone/{n}" for n in self._names("gone")]:
-            if folder not in used:
-                gone += bool(fs.delete(self._path(folder), True))
-        return gone
+        return self._sweep([n for n in self._names() if n.startswith(("v=", "index-"))] + [f"gone/{n}" for n in self._names("gone")], used)
 
     # --------------------------------------------------------------- the index
 
@@ -437,7 +390,7 @@ class Corpus:
                     folders.setdefault(x.folder, []).append(b)
         for folder, buckets in folders.items():
             self._indexed(name, folder, buckets)
-        return self._publish(version + 1, Manifest(held, name))
+        return self._publish(version + 1, Manifest(held, name).dumped())
 
     def search(self, queries: DataFrame, k: int = 5, version: int | None = None, **options) -> DataFrame:
         """The ``k`` nearest chunks for each query (query_id, query_vector): query_id, rank, hit_id, distance.

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import answers, text
 from ..functions import html as H
 from ..operators import chunk, corpus, events, extract, fetch, frontier, live, strip, validate
-from ..session import ship
+from ..operators.vector_index import VectorIndex
+from ..session import discard, remove, scratch, settled, ship
 from ..sources import files
-from ..streaming.frontier import advance
+from ..streaming import live as streams
+from ..streaming.frontier import frontier_stream
 from .. import schemas
 from . import ingest as plan
 
@@ -45,16 +47,24 @@ def results(spark, sf_dir) -> DataFrame:
 
 def log(spark, sf_dir) -> DataFrame:
     """The events table as an event log."""
+    return log_of(read(spark, sf_dir, "events"))
+
+
+def log_of(table: DataFrame) -> DataFrame:
     outcome = F.when(F.col("event_type") == "purchase", "stored").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "signup", "flagged").when(F.col("event_type") == "click", "begin").otherwise("empty")
-    return read(spark, sf_dir, "events").select(
+    return table.select(
         F.col("event_id").alias("id"), "ts", "event_type", F.concat(F.lit("https://u"), F.col("user_id").cast("string"), F.lit(".example.com/")).alias("url"), outcome.alias("outcome"), F.lit(None).cast("string").alias("reason"), F.col("props").alias("details_json"),
     )
 
 
 def attempts(spark, sf_dir) -> DataFrame:
+    return attempts_of(read(spark, sf_dir, "events"))
+
+
+def attempts_of(table: DataFrame) -> DataFrame:
     status = F.when(F.col("event_type") == "purchase", "stored").when(F.col("event_type") == "error", "fetch_failed").when(F.col("event_type") == "signup", "flagged").when(F.col("event_type") == "click", "blocked").otherwise("no_content")
     key = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd"))
-    return read(spark, sf_dir, "events").select(key.alias("key"), F.col("event_id").alias("id"), status.alias("status"), "ts")
+    return table.select(key.alias("key"), F.col("event_id").alias("id"), status.alias("status"), "ts")
 
 
 def page_frontier(spark, sf_dir) -> DataFrame:
@@ -186,6 +196,16 @@ def domain_spacing(spark, sf_dir):
     return events.spacing(log(spark, sf_dir), 3600.0).select("id", "domain", F.round("wait", 3).alias("wait"))
 
 
+def kept_spacing(spark, sf_dir):
+    """Waits that add up: the clock of a domain restarts after each."""
+    return events.kept_spacing(log(spark, sf_dir), 3600.0).select("id", "domain", "wait")
+
+
+def run_durations(spark, sf_dir):
+    """Seconds since the begin of the run: a click begins one, and so does a day without events."""
+    return events.run_durations(log(spark, sf_dir), 86_400, F.col("event_type") == "click").select("id", "run", "duration_seconds")
+
+
 def stage_durations(spark, sf_dir):
     return events.stage_durations(log(spark, sf_dir), "url", "event_type").select("id", "duration_seconds")
 
@@ -240,19 +260,26 @@ def apply_outcomes(spark, sf_dir):
     return frontier.apply_outcomes(f, outcomes, stamp(NOW)).select("url", "state", "attempts", "reason", F.unix_seconds("next_attempt_ts").alias("due"))
 
 
-def frontier_replayed(spark, sf_dir):
-    """The streaming step, replayed in order over each key's log."""
+def streamed_events(spark, sf_dir) -> DataFrame:
+    """The events table as a stream of its files."""
+    path = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")  # a pattern may be one file, a path may not
 
-    def replay(pdf):
-        import pandas as pd
 
-        state, tries = "pending", 0
-        for s in pdf.sort_values("id")["status"]:
-            state, tries = advance(state, tries, s, frontier.MAX_ATTEMPTS)
-        return pd.DataFrame({"key": [pdf["key"].iloc[0]], "state": [state], "attempts": [tries]})
+def frontier_replayed(spark, sf_dir):
+    """The frontier as a stream over the log of attempts, run until all is read; the last state of each key."""
+    ship(spark)
+    out = streams.drained(frontier_stream(attempts_of(streamed_events(spark, sf_dir)).select("key", "id", "status"), frontier.MAX_ATTEMPTS), "replayed")
+    last = out.groupBy("key").agg(F.max_by(F.struct("state", "attempts"), F.struct("_batch", "attempts")).alias("s"))
+    return last.select("key", "s.state", "s.attempts")
 
+
+def newest_streamed(spark, sf_dir):
+    """The newest three events of each URL, kept by the stream over the log."""
     ship(spark)
-    return attempts(spark, sf_dir).select("key", "id", "status").groupBy("key").applyInPandas(replay, "key string, state string, attempts int")
+    out = streams.drained(streams.newest(log_of(streamed_events(spark, sf_dir)), 3), "newest")
+    last = out.groupBy("url").agg(F.max("_batch").alias("_batch"))
+    return out.join(last, ["url", "_batch"]).select("url", "id", "event_type")
 
 
 # ------------------------------------------------------------------ strip
@@ -361,6 +388,37 @@ def knn_multi_query(spark, sf_dir):
     return corpus.query_many(collection(spark, sf_dir), q, 5, "vec_id").select("query_id", "rank", F.col("hit_id").alias("vec_id"), rounded("distance"))
 
 
+def _indexed(spark, sf_dir, recall: float) -> VectorIndex:
+    """The vectors in an index of two segments: one that it was made with, and one that came later."""
+    rows, path = collection(spark, sf_dir), scratch(spark, "index")
+    index = VectorIndex.create(rows, path, "vec_id", "embedding", recall=recall)
+    index.add(rows.filter("label <> 3 or label is null"), "first", "vec_id", "embedding", ("label",))
+    index.add(rows.filter("label = 3"), "second", "vec_id", "embedding", ("label",))
+    return index
+
+
+def knn_indexed(spark, sf_dir):
+    """All lists of the index, with an insert before and a delete (label 4) as of the search: the exact neighbours."""
+    ship(spark)
+    index = _indexed(spark, sf_dir, 0.95)
+    q = collection(spark, sf_dir).filter(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = index.search(q, 5, len(index.model().centroids), collection(spark, sf_dir).count(), F.col("label") != 4)
+    remove(spark, index.path)
+    return found.select("query_id", "rank", F.col("hit_id").alias("vec_id"), rounded("distance"))
+
+
+def knn_indexed_recall(spark, sf_dir):
+    """Whether the lists that the index says suffice hold nine tenths of the exact neighbours of all queries."""
+    ship(spark)
+    index = _indexed(spark, sf_dir, 0.98)
+    rows = collection(spark, sf_dir)
+    q = rows.filter(F.pmod("vec_id", F.lit(50)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found, exact = index.search(q, 5), corpus.query_many(rows, q, 5, "vec_id")
+    remove(spark, index.path)
+    both = exact.select("query_id", "hit_id").join(found.select("query_id", "hit_id", F.lit(1).alias("hit")), ["query_id", "hit_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("recalled"))
+
+
 def get_all(spark, sf_dir):
     return corpus.get(collection(spark, sf_dir), F.col("label") == 2).select("vec_id", "label")
 
@@ -489,11 +547,11 @@ QUERIES = {
     f.__name__: f
     for f in (
         schema_checks, page_visible_length, page_looks_empty, page_fetch_decision, fetch_with_browser, page_domain_counts, mime_routing, page_obstacles, url_list, redirect_hops, backoff_plan,
-        events_recent, events_filtered, events_for_key, event_types, newest_per_key, last_three_per_key, event_severity, domain_spacing, stage_durations, unfinished_ingests, events_appended,
-        frontier_fold, batch_summary, running_attempts, pending_due, state_counts, enqueue_dedupe, recover_interrupted, apply_outcomes, frontier_replayed,
+        events_recent, events_filtered, events_for_key, event_types, newest_per_key, last_three_per_key, event_severity, domain_spacing, kept_spacing, stage_durations, run_durations, unfinished_ingests, events_appended,
+        frontier_fold, batch_summary, running_attempts, pending_due, state_counts, enqueue_dedupe, recover_interrupted, apply_outcomes, frontier_replayed, newest_streamed,
         page_title, page_blocks, strip_stats, validation_errors, validation_flags, repair_partition,
         chunks, chunk_ids, chunk_totals, concat_invariant, chunk_metadata,
-        knn_topk, knn_filtered, knn_multi_query, get_all, count_by_url, replace_by_url, delete_scoped, collection_names,
+        knn_topk, knn_filtered, knn_multi_query, knn_indexed, knn_indexed_recall, get_all, count_by_url, replace_by_url, delete_scoped, collection_names,
         live_hit_miss, render_evidence, citations_top3, text_previews, ingest_reports, ingest_outcomes, ingest_events, live_events, ingest_pages_end_to_end, corpus_of_pages,
     )
 }

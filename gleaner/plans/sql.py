@@ -160,10 +160,15 @@ SELECT page_id, obstacle, coalesce(obstacle, 'session_expiry') <> 'session_expir
     "event_types": "SELECT DISTINCT event_type FROM events",
     "newest_per_key": f"WITH {LOG} SELECT url, id, event_type, outcome FROM log QUALIFY row_number() OVER (PARTITION BY url ORDER BY id DESC) = 1",
     "last_three_per_key": f"WITH {LOG} SELECT url, id, event_type FROM log QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) <= 3",
+    "newest_streamed": f"WITH {LOG} SELECT url, id, event_type FROM log QUALIFY row_number() OVER (PARTITION BY url ORDER BY ts DESC, id DESC) <= 3",
     "event_severity": f"""WITH said(k, outcome, severity) AS (VALUES {_said})
 SELECT outcome, coalesce(severity, 'other') AS severity, count(*) AS n FROM events LEFT JOIN said ON event_id % 45 = k GROUP BY ALL""",
     "domain_spacing": f"""WITH {LOG}, g AS (SELECT id, 'u' || substr(url, 10, length(url) - 10) AS domain, epoch(ts) - epoch(lag(ts) OVER (PARTITION BY url ORDER BY ts, id)) AS gap FROM log)
 SELECT id, domain, round(coalesce(greatest(0, 3600.0 - gap), 0), 3) AS wait FROM g""",
+    "kept_spacing": f"""WITH {LOG}, n AS (SELECT id, 'u' || substr(url, 10, length(url) - 10) AS domain, epoch_us(ts) AS t, row_number() OVER (PARTITION BY url ORDER BY ts, id) AS i FROM log)
+SELECT id, domain, (i * 3600000000 + max(t - i * 3600000000) OVER (PARTITION BY domain ORDER BY i) - t) / 1000000.0 AS wait FROM n""",
+    "run_durations": f"""WITH {LOG}, f AS (SELECT *, coalesce(event_type = 'click' OR epoch(ts) - epoch(lag(ts) OVER w) > 86400, TRUE) AS new FROM log WINDOW w AS (PARTITION BY url ORDER BY ts, id))
+SELECT id, CAST(sum(CAST(new AS INTEGER)) OVER w AS INTEGER) AS run, round(epoch(ts) - epoch(last_value(CASE WHEN new THEN ts END IGNORE NULLS) OVER w), 2) AS duration_seconds FROM f WINDOW w AS (PARTITION BY url ORDER BY ts, id)""",
     "stage_durations": f"WITH {LOG} SELECT id, round(epoch(ts) - epoch(min(ts) OVER (PARTITION BY url, event_type)), 2) AS duration_seconds FROM log",
     "unfinished_ingests": f"""WITH {LOG}, l AS (SELECT url, max(id) FILTER (event_type = 'click') AS begun, max(id) FILTER (event_type = 'purchase') AS ended FROM log GROUP BY url)
 SELECT url, begun FROM l WHERE begun IS NOT NULL AND (ended IS NULL OR ended < begun)""",
@@ -204,6 +209,10 @@ SELECT is_valid, retry_count, CASE WHEN is_valid THEN NULL WHEN content_type = '
     "knn_multi_query": f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
   SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {KNN} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {RAW_KNN}, e.vec_id) AS rank
   FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0) WHERE rank <= 5""",
+    "knn_indexed": f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, distance FROM (
+  SELECT q.vec_id AS query_id, e.vec_id AS vec_id, {KNN} AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY {RAW_KNN}, e.vec_id) AS rank
+  FROM embeddings e, embeddings q WHERE q.vec_id % 50 = 0 AND e.label <> 4) WHERE rank <= 5""",
+    "knn_indexed_recall": "SELECT count(*) AS queries, CAST(5 * count(*) AS BIGINT) AS neighbours, TRUE AS recalled FROM embeddings WHERE vec_id % 50 = 0",
     "get_all": "SELECT vec_id, label FROM embeddings WHERE label = 2",
     "count_by_url": f"WITH {CHUNKS} SELECT source_url, count(*) AS chunks FROM pieces GROUP BY source_url",
     "replace_by_url": f"SELECT {URL} AS source_url, CASE WHEN lang = 'fr' THEN 'new' ELSE 'old' END AS version, CASE WHEN lang = 'fr' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents",

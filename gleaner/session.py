@@ -88,7 +88,7 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     to pass, and a lost executor costs a re-read.  See :func:`discard`.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
@@ -100,6 +100,20 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_settled", None)
         if path:
-            spark = df.sparkSession
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for a new folder of intermediate data in the shared folder."""
+    return f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import StructType
+
+from ..session import exists, remove, scratch
+from .deadlines import PROVIDER
 
 NEWEST = 50
 EVENT = "id long, ts timestamp, event_type string, url string, outcome string, reason string, details_json string"
@@ -61,6 +65,33 @@ def unfinished(log: DataFrame, patience: str = "1 hour", late: str = "10 minutes
     return begins.join(ends, (F.col("url") == F.col("_url")) & in_time & later, "left_outer").filter("_ended is null").select("url", "begun", "ts")
 
 
+def drained(view: DataFrame, name: str) -> DataFrame:
+    """All that a stream's view says once it has read what is there: rows with ``_batch``, as a table of the shared folder.
+
+    The session's state store is one that knows timers for as long as the stream runs.
+    """
+    spark = view.sparkSession
+    key, held = "spark.sql.streaming.stateStore.providerClass", None
+    held = spark.conf.get(key, None)
+    out, checkpoint = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    spark.conf.set(key, PROVIDER)
+    try:
+        query = view.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(keep).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        if held is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, held)
+    remove(spark, checkpoint)
+    schema = StructType(view.schema.fields).add("_batch", "integer")
+    return spark.read.schema(schema).parquet(f"{out}/*") if exists(spark, out) else spark.createDataFrame([], schema)
+
+
 def refresh(view: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], seconds: float = 60.0) -> bool:
     """Bring what ``write(batch, id)`` keeps up to date with all that has arrived, within ``seconds``; false if it took longer and was stopped.
 
