@@ -24,7 +24,8 @@ BLANK = "empty content: nothing to extract"
 NO_OUTPUT = "model returned no parseable structured output"
 #: Least confidence of content wrapped as one section.
 WRAPPED_CONFIDENCE = 0.3
-ANSWERED = f"raw_sections array<{SECTION}>, raw_confidence double, raw_title string, raw_notes string, raw_truncated boolean, failure string"
+CALLS = "array<struct<outcome: string, reason: string>>"
+ANSWERED = f"raw_sections array<{SECTION}>, raw_confidence double, raw_title string, raw_notes string, raw_truncated boolean, failure string, calls {CALLS}"
 
 
 def heading_sections(content: str, content_type: str, page_title: str | None, repair_errors: str | None = None) -> dict:
@@ -55,22 +56,25 @@ def _answers(rows: DataFrame, extractor: Extractor, parse_retry: int) -> DataFra
         for pdf in batches:
             made = []
             for content, kind, title, errors in zip(pdf["content"], pdf["content_type"], pdf["page_title"], pdf["repair_errors"], strict=True):
-                raw, failure = None, NO_OUTPUT
+                raw, failure, calls = None, NO_OUTPUT, []
                 for _ in range(parse_retry + 1):
                     try:
                         raw = extractor(content, kind, title, errors)
+                        calls.append(("success", "structured output") if isinstance(raw, dict) else ("tool_use_parse_failed", NO_OUTPUT))
                     except Exception as e:  # noqa: BLE001  a failing extractor flags its row
                         failure = f"llm call failed: {e}"
+                        calls.append(("tool_use_failed", failure))
                     if isinstance(raw, dict):
                         try:
                             sections = [{"heading": s.get("heading"), "content": s.get("content") or "", "level": s.get("level")} for s in raw.get("sections") or []]
-                            made.append((sections, float(raw["confidence"]), raw.get("page_title"), raw.get("extraction_notes"), bool(raw.get("truncated", False)), None))
+                            made.append((sections, float(raw["confidence"]), raw.get("page_title"), raw.get("extraction_notes"), bool(raw.get("truncated", False)), None, calls))
                             break
                         except (AttributeError, KeyError, TypeError, ValueError) as e:
                             raw, failure = None, f"schema validation failed: {e!r}"
+                            calls[-1] = ("tool_use_parse_failed", failure)
                 else:
-                    made.append((None, None, None, None, False, failure))
-            out = pd.DataFrame(made, columns=["raw_sections", "raw_confidence", "raw_title", "raw_notes", "raw_truncated", "failure"], index=pdf.index)
+                    made.append((None, None, None, None, False, failure, calls))
+            out = pd.DataFrame(made, columns=["raw_sections", "raw_confidence", "raw_title", "raw_notes", "raw_truncated", "failure", "calls"], index=pdf.index)
             yield pd.concat([pdf, out], axis=1)
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
@@ -104,6 +108,7 @@ def finish(rows: DataFrame) -> DataFrame:
         "content",
         "content_failure",
         "trail",
+        "calls",
     )
 
 
@@ -111,7 +116,7 @@ def flagged(rows: DataFrame, reason: Column) -> DataFrame:
     """Zero-confidence results without sections that keep their provenance."""
     return rows.select(
         "source_url", "scrape_timestamp", "page_title", "content_type", F.lit(0.0).alias("confidence"), reason.alias("extraction_notes"), F.lit(False).alias("truncated"),
-        F.array().cast(f"array<{SECTION}>").alias("sections"), F.lit("flagged").alias("extraction_outcome"), "content", "content_failure", "trail",
+        F.array().cast(f"array<{SECTION}>").alias("sections"), F.lit("flagged").alias("extraction_outcome"), "content", "content_failure", "trail", F.lit(None).cast(CALLS).alias("calls"),
     )
 
 

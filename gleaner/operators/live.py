@@ -107,30 +107,50 @@ def render(results: DataFrame) -> DataFrame:
     return results.withColumn("rendered", render_evidence(F.col("evidence")))
 
 
-def _asked(complete, question, evidence) -> str | None:
+def _asked(complete, question, evidence) -> tuple[str | None, str | None]:
     try:
-        return complete(question, evidence)
-    except Exception:  # noqa: BLE001  a failing model gives no answer
-        return None
+        return complete(question, evidence), None
+    except Exception as e:  # noqa: BLE001  a failing model gives no answer
+        return None, f"llm call failed: {e}"
+
+
+#: Why there is no answer.
+NO_OUTPUT = "model returned no parseable structured output"
+NO_SCHEMA = "schema validation failed: answer or citations missing"
+QUESTION = 200
 
 
 def answers(results: DataFrame, complete, parse: bool = True) -> DataFrame:
-    """Results with ``answer`` (null on failure) and ``answer_outcome``.
+    """Results with ``answer`` (null on failure), ``answer_outcome``, ``answer_error`` (why the structured path failed) and ``answer_length`` (of the text before it was unwrapped).
 
     ``complete(question, rendered evidence) -> text or None`` is any Python
     callable; its text is read as JSON, alone or fenced, and unwrapped, else as
     Markdown.
     """
 
-    @F.pandas_udf("string")
-    def ask(questions: pd.Series, evidence: pd.Series) -> pd.Series:
-        return pd.Series([_asked(complete, q, e) for q, e in zip(questions, evidence, strict=True)], dtype=object)
+    @F.pandas_udf("text string, failure string")
+    def ask(questions: pd.Series, evidence: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_asked(complete, q, e) for q, e in zip(questions, evidence, strict=True)], columns=["text", "failure"])
 
     # Written, for what is read from the text below must not ask again.
-    asked = settled(render(results).withColumn("_text", ask(F.col("query"), F.col("rendered"))), "answers")
-    parsed = F.from_json(json_in_text(F.col("_text")), ANSWER)
+    asked = settled(render(results).withColumn("_asked", ask(F.col("query"), F.col("rendered"))), "answers")
+    text = F.col("_asked.text")
+    parsed = F.from_json(json_in_text(text), ANSWER)
     unwrapped = unwrap_answer(parsed)
-    rescued = answer_from_markdown(F.col("_text"), F.col("evidence"))
+    rescued = answer_from_markdown(text, F.col("evidence"))
     good = answer_ok(unwrapped)
     outcome = F.when(good & (unwrapped["answer"] != parsed["answer"]), "unwrapped").when(good, "answered").when(rescued.isNotNull(), "fallback_rescue").otherwise("failed")
-    return asked.withColumns({"answer": F.when(good, unwrapped).otherwise(rescued), "answer_outcome": outcome}).drop("_text")
+    error = F.when(~good, F.coalesce("_asked.failure", F.when(json_in_text(text).isNull(), NO_OUTPUT).otherwise(NO_SCHEMA)))
+    return asked.withColumns({"answer": F.when(good, unwrapped).otherwise(rescued), "answer_outcome": outcome, "answer_error": error, "answer_length": F.length(parsed["answer"])}).drop("_asked")
+
+
+def answer_events(answered: DataFrame, now: Column | None = None) -> DataFrame:
+    """Events of :func:`answers`: what was unwrapped, rescued from prose, or failed; plain answers write none."""
+    url = F.col("url") if "url" in answered.columns else F.lit(None).cast("string")
+    told = {"evidence_count": F.size("evidence"), "question": F.substring("query", 1, QUESTION)}
+    of = lambda outcome: answered.filter(F.col("answer_outcome") == outcome)
+    unwrapped = event(of("unwrapped"), "answer_unwrap_rescue", url, F.lit("unwrapped"), F.lit("JSON-inside-JSON detected and unwrapped"), now, original_length=F.col("answer_length"), answer_length=F.length("answer.answer"))
+    why = F.concat(F.lit("structural path failed ("), F.col("answer_error"), F.lit("), rescued from markdown"))
+    rescued = event(of("fallback_rescue"), "answer_fallback_rescued", url, F.lit("fallback_rescue"), why, now, **told)
+    failed = event(of("failed"), "answer_generation_failed", url, F.lit("failed"), F.col("answer_error"), now, **told)
+    return unwrapped.unionByName(rescued).unionByName(failed)

@@ -157,24 +157,31 @@ class _Content(HTMLParser):
         self.close_block()
 
 
-def parse(html: str) -> _Content:
-    p = _Content()
+def parse(html: str) -> tuple[_Content, str | None]:
+    """What the parser collected, and why it stopped early, if it did."""
+    p, failure = _Content(), None
     try:
         p.feed(html)
-    except Exception:  # noqa: BLE001  malformed markup never raises
-        pass
+    except Exception as e:  # noqa: BLE001  malformed markup never raises
+        failure = f"markup parse failed: {e}"
     p.finish()
-    return p
+    return p, failure
+
+
+def _warning(stage: str, reason: str, before: int | None = None, after: int | None = None) -> dict:
+    return {"stage": stage, "reason": reason, "chars_before": before, "chars_after": after}
 
 
 def strip_page(html: str | None, visible_text: str | None = None) -> dict:
     """One page to title, outcome, text, method, sizes and blocks."""
     before = len(html or "")
-    out = {"title": None, "outcome": "empty", "text": "", "method": "raw", "chars_before": before, "chars_after": 0, "num_blocks": 0, "num_tables": 0, "blocks": []}
+    out = {"title": None, "outcome": "empty", "text": "", "method": "raw", "chars_before": before, "chars_after": 0, "num_blocks": 0, "num_tables": 0, "blocks": [], "warnings": []}
     if not html or not html.strip():
         return out
     marked = "<" in html and ">" in html
-    page = parse(html) if marked else None
+    page, failure = parse(html) if marked else (None, None)
+    if failure:
+        out["warnings"].append(_warning("parse", failure))
     if page is not None:
         out["title"] = page.titles["title"] or page.titles["h1"]
         blocks = [{"heading": h, "level": v, "text": t} for h, v, t in page.blocks]
@@ -182,6 +189,7 @@ def strip_page(html: str | None, visible_text: str | None = None) -> dict:
         if blocks and text:
             if not (before > LARGE and len(text) / before < LEAST):
                 return out | {"outcome": "stripped", "text": text, "method": "content", "chars_after": len(text), "num_blocks": len(blocks), "num_tables": page.tables, "blocks": blocks}
+            out["warnings"].append(_warning("ratio_fallback", f"content extraction kept too little ({len(text)}/{before} chars, {len(text) / before * 100:.1f}%), falling back to all text", before, len(text)))
             if visible_text and visible_text.strip():
                 return _fallback(out, visible_text, "browser-visible-text")
     return _fallback(out, "".join(page.everything) if page is not None else html, "html-text-content" if marked else "raw")
@@ -195,7 +203,7 @@ def _fallback(out: dict, text: str, method: str) -> dict:
     return out
 
 
-FIELDS = ["title", "outcome", "text", "method", "chars_before", "chars_after", "num_blocks", "num_tables", "blocks"]
+FIELDS = ["title", "outcome", "text", "method", "chars_before", "chars_after", "num_blocks", "num_tables", "blocks", "warnings"]
 
 
 def strip_html(html: Column, visible_text: Column | None = None) -> Column:

@@ -34,11 +34,11 @@ def flag_reason(content_type: Column, skip_repair: bool = False) -> Column:
 
 
 #: What a round of extraction and validation leaves in ``trail``: one JSON object a line.
-ROUND = "retry_count int, extraction string, validation string, num_sections int, confidence double, truncated boolean, title string, notes string, content_type string"
+ROUND = "retry_count int, extraction string, validation string, num_sections int, confidence double, truncated boolean, title string, notes string, content_type string, " + f"calls {ex.CALLS}"
 
 
 def _round(outcome: Column) -> Column:
-    fields = (F.col("retry_count"), F.col("extraction_outcome").alias("extraction"), outcome.alias("validation"), F.size("sections").alias("num_sections"), "confidence", "truncated", F.col("page_title").alias("title"), F.col("extraction_notes").alias("notes"), "content_type")
+    fields = (F.col("retry_count"), F.col("extraction_outcome").alias("extraction"), outcome.alias("validation"), F.size("sections").alias("num_sections"), "confidence", "truncated", F.col("page_title").alias("title"), F.col("extraction_notes").alias("notes"), "content_type", "calls")
     return F.concat_ws("\n", "trail", F.to_json(F.struct(*fields)))
 
 
@@ -59,6 +59,8 @@ def validate(results: DataFrame, extractor: ex.Extractor = ex.heading_sections,
         results = results.withColumn("extraction_outcome", F.lit("extracted"))
     if "trail" not in results.columns:
         results = results.withColumn("trail", F.lit(None).cast("string"))
+    if "calls" not in results.columns:
+        results = results.withColumn("calls", F.lit(None).cast(ex.CALLS))
     finished, open_ = None, results.withColumn("retry_count", F.lit(0))
     for count in range(budget + 1):
         last = skip_repair or count == budget

@@ -21,7 +21,7 @@ from ..schemas import SECTION
 from ..session import settled
 from ..sources.files import pdf_text
 
-#: Fixed value: why a fetch without a body ends the chain.
+#: Why a fetch without a body ends the chain; further down the texts of reasons are fixed as well.
 NO_CONTENT = "fetch succeeded but no usable content (no html, no raw bytes)"
 #: Fields of a result that an outcome carries, null where there is no result.
 RESULT = {
@@ -30,6 +30,11 @@ RESULT = {
 }
 
 
+def charset_of(mime: Column) -> Column:
+    """The charset that a content type declares; null: none."""
+    return F.nullif(F.regexp_extract(F.lower(mime), r"""charset\s*=\s*["']?([^"';\s]+)""", 1), F.lit(""))
+
+
 @dataclass
 class Ingested:
     """What came of a set of fetched pages."""
@@ -51,16 +56,20 @@ def _content(fetched: DataFrame, strict_compat: bool = False) -> DataFrame:
     marked = ok & (F.col("kind") == "html") & (F.coalesce(F.length("html"), F.lit(0)) > 0)
     pdf = ok & (F.col("kind") == "pdf") & F.col("raw").isNotNull()
     read = typed.withColumns({"_strip": F.when(marked, strip.strip_html(F.when(marked, F.col("html")), F.when(marked, F.col("visible_text")))), "_pdf": pdf_text(F.when(pdf, F.col("raw")))})
-    raw = F.when(F.col("raw").isNotNull() & (F.col("kind") != "pdf"), F.make_valid_utf8(F.col("raw").cast("string")))
+    body = F.when(F.col("kind") != "pdf", F.col("raw"))
+    declared = charset_of(F.col("content_type"))
+    raw = fetch.decode_body(body, declared)
     text = raw if strict_compat else F.coalesce(raw, F.when(F.col("kind") == "text", F.col("html")))
     content = F.when(marked, F.coalesce("_strip.text", F.lit(""))).otherwise(F.coalesce("_pdf.text", text))
     bodies = ("html", "raw", "visible_text")
+    lost = [] if "lost_charset" in typed.columns else [F.when(ok & fetch.encoding_fallback(F.when(declared.isNotNull(), body), declared), declared).alias("lost_charset")]
     return read.select(
         *(F.col(c) for c in typed.columns if c not in bodies),
         content.alias("content"),
         F.col("_pdf.failure").alias("content_failure"),
         F.when(marked, F.col("_strip.title")).alias("page_title"),
-        F.when(marked, F.struct(*(f"_strip.{c}" for c in ("outcome", "method", "title", "chars_before", "chars_after", "num_blocks", "num_tables")))).alias("strip"),
+        F.when(marked, F.struct(*(f"_strip.{c}" for c in ("outcome", "method", "title", "chars_before", "chars_after", "num_blocks", "num_tables", "warnings")))).alias("strip"),
+        *lost,
         (ok & (content.isNotNull() | F.col("raw").isNotNull())).alias("usable"),
     )
 
@@ -103,9 +112,11 @@ def ingest(
         F.lit(0).alias("stored_chunks"), F.lit(False).alias("written"), *(F.lit(None).cast(t).alias(c) if c == "sections" else F.col(c) for c, t in RESULT.items()),
     )
     good = checked.filter("is_valid")
+    fallen: list[tuple[str, str]] = []
     pieces = chunk.chunk_results(good, corpus.max_chunk_chars, now)
     if write_to_corpus:
-        made = settled(pieces.withColumn("_e", embed.try_embed(F.col("content"), embedder or embed.load_embedder(corpus), corpus.batch_size)), "chunks")
+        embedder = embedder or embed.load_embedder(corpus, on_fallback=lambda *models: fallen.append(models))
+        made = settled(pieces.withColumn("_e", embed.try_embed(F.col("content"), embedder, corpus.batch_size)), "chunks")
         sizes = made.groupBy(url).agg(F.count("*").cast("int").alias("_n"), F.min("_e.failure").alias("_why"))
         sizes = sizes.unionByName(chunk.chunk_failures(good).select("url", F.lit(0).alias("_n"), F.col("reason").alias("_why")))
         whole = good.withColumn("url", F.col("source_url")).join(sizes, "url", "left")
@@ -124,7 +135,7 @@ def ingest(
     outcomes = reduce(DataFrame.unionByName, [early, stored, bad])
     if write_to_corpus:
         outcomes = settled(outcomes, "outcomes")
-    log = [*fetch_events(ready, now), *extraction_events(checked, now), *chunk_events(made, outcomes, now, corpus.max_chunk_chars), *lifecycle_events(outcomes, now, write_to_corpus)]
+    log = [*fetch_events(ready, now), *extraction_events(checked, now), *model_events(checked, extractor, fallen, now), *chunk_events(made, outcomes, now, corpus.max_chunk_chars), *lifecycle_events(outcomes, now, write_to_corpus)]
     return Ingested(outcomes, chunks, reduce(DataFrame.unionByName, log))
 
 
@@ -150,6 +161,8 @@ def fetch_events(ready: DataFrame, now: Column) -> list[DataFrame]:
     if "waited" in ready.columns:
         out.append(events.event(ready.filter("waited > 0"), "rate_limit_wait", url, F.lit("wait"), F.lit(None).cast("string"), now, seconds=F.col("waited")))
     stripped = ready.filter("strip is not null")
+    warned = stripped.select("url", F.explode("strip.warnings").alias("w"))
+    out.append(events.event(warned, "strip_parse_warning", url, F.lit("fallback"), F.col("w.reason"), now, stage=F.col("w.stage"), chars_before=F.col("w.chars_before"), chars_after=F.col("w.chars_after")))
     out.append(events.event(stripped, "strip_attempt", url, F.col("strip.outcome"), None, now, **{c: F.col(f"strip.{c}") for c in ("method", "title", "chars_before", "chars_after", "num_blocks", "num_tables")}))
     return out
 
@@ -172,6 +185,18 @@ def extraction_events(checked: DataFrame, now: Column, policy: ObstaclePolicy |
     return out
 
 
+def model_events(checked: DataFrame, extractor, fallen: list[tuple[str, str]], now: Column) -> list[DataFrame]:
+    """Calls of a language model, by an extractor that names its ``model``, and embedding models that gave way to another."""
+    out, nowhere = [], F.lit(None).cast("string")
+    if model := getattr(extractor, "model", None):
+        call = validate.rounds(checked, "source_url").select("source_url", F.explode("calls").alias("c"))
+        out.append(events.event(call, "llm_call", F.col("source_url"), F.col("c.outcome"), F.col("c.reason"), now, model=F.lit(model)))
+    for first, second in fallen:
+        one = checked.sparkSession.range(1)
+        out.append(events.event(one, "embed_model_fallback", nowhere, F.lit("fallback"), F.lit(f"{first} failed to load, using {second}"), now, model=F.lit(first), fallback_model=F.lit(second)))
+    return out
+
+
 def chunk_events(made: DataFrame, outcomes: DataFrame, now: Column, limit: int) -> list[DataFrame]:
     """Chunked URLs, and those whose chunks could not be made or embedded."""
     stats = chunk.chunk_stats(made, limit)

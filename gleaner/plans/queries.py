@@ -485,6 +485,57 @@ def citations_top3(spark, sf_dir):
     return e.select("conv_id", "k", "c.source_url", "c.section_heading", "c.quote")
 
 
+def _answered(spark, sf_dir) -> DataFrame:
+    """The first turn of every conversation as a question, and a model that answers in every shape, by how long the question is."""
+    first = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
+    asked = _evidence(spark, sf_dir).join(first, "conv_id").withColumn("query", F.coalesce("query", F.lit("")))
+
+    def model(question, evidence):
+        import json
+
+        cited = [{"source_url": "https://cited.example.com/", "quote": question[:20] or "none"}]
+        whole = json.dumps({"answer": f"said: {question}", "citations": cited})
+        kind = len(question) % 7
+        if kind == 4:
+            raise RuntimeError("down")
+        return [whole, f"Here it is:\n```json\n{whole}\n```", json.dumps({"answer": whole, "citations": []}), f"**Answer**\n{question} \n**Citations**\nnone", None, '{"citations": []}', ""][kind]
+
+    return live.answers(asked, model)
+
+
+def answers_of_every_shape(spark, sf_dir):
+    ship(spark)
+    return _answered(spark, sf_dir).select("conv_id", "answer_outcome", "answer_error", F.md5(F.col("answer.answer").cast("binary")).alias("answer"), F.coalesce(F.size("answer.citations"), F.lit(0)).alias("citations"))
+
+
+def answer_events(spark, sf_dir):
+    ship(spark)
+    return live.answer_events(_answered(spark, sf_dir), stamp()).groupBy("event_type", "outcome", "reason").agg(F.count("*").alias("n"))
+
+
+def extraction_cleanup(spark, sf_dir):
+    """An extractor that leaves blank sections, or none at all: what is filtered, wrapped and noted."""
+    ship(spark)
+
+    def halves(content, content_type, page_title, repair_errors):
+        if len(content) % 3 == 0:
+            return {"sections": [], "confidence": 0.1, "extraction_notes": "none found"}
+        parts = [content[: len(content) // 2], " \n\t", content[len(content) // 2 :]]
+        return {"sections": [{"heading": None, "content": p} for p in parts], "confidence": 0.8}
+
+    made = extract.extract(results(spark, sf_dir).filter("content_type <> 'unknown'").withColumn("content", F.trim(F.coalesce("content", F.lit("")))), halves)
+    return made.select("source_url", "extraction_outcome", "extraction_notes", rounded("confidence"), F.size("sections").alias("sections"))
+
+
+def quarantined_chunks(spark, sf_dir):
+    """Chunks of which the last of a divided document says that there are fewer: sorted, and counted in the same pass."""
+    total = F.when(F.col("chunk_total") > 1, F.col("chunk_total") - 1).otherwise(F.col("chunk_total"))
+    done = files.sort_chunks(_chunks(spark, sf_dir).withColumn("chunk_total", total))
+    found = done.good.select(F.lit("good").alias("kind"), F.lit("").alias("reason")).unionAll(done.bad.select(F.lit("bad"), "reason"))
+    out = found.groupBy("kind", "reason").agg(F.count("*").alias("n"))
+    return out.withColumn("counted", F.when(F.col("kind") == "bad", done.counts["bad"]).otherwise(done.counts["read"] - done.counts["bad"]).cast("long"))
+
+
 def text_previews(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", text.preview(F.col("text")).alias("preview"), text.flat_preview(F.col("text")).alias("flat"), text.marker_name(doc_url()).alias("marker"))
@@ -552,6 +603,6 @@ QUERIES = {
         page_title, page_blocks, strip_stats, validation_errors, validation_flags, repair_partition,
         chunks, chunk_ids, chunk_totals, concat_invariant, chunk_metadata,
         knn_topk, knn_filtered, knn_multi_query, knn_indexed, knn_indexed_recall, get_all, count_by_url, replace_by_url, delete_scoped, collection_names,
-        live_hit_miss, render_evidence, citations_top3, text_previews, ingest_reports, ingest_outcomes, ingest_events, live_events, ingest_pages_end_to_end, corpus_of_pages,
+        live_hit_miss, render_evidence, citations_top3, answers_of_every_shape, answer_events, extraction_cleanup, quarantined_chunks, text_previews, ingest_reports, ingest_outcomes, ingest_events, live_events, ingest_pages_end_to_end, corpus_of_pages,
     )
 }

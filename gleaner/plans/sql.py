@@ -97,6 +97,16 @@ TURNS = f"""turns AS (
   SELECT conv_id, turn, text, 'https://chat.example.com/' || conv_id AS source_url, CASE WHEN turn % 2 = 0 THEN role END AS heading,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn, text, role) AS i FROM conversations)"""
 
+#: The question of every conversation, its shape, how much of its evidence can be cited, and what comes of the model's answer.
+ANSWERS = f"""{TURNS}, c AS (SELECT conv_id, least(3, count(*) FILTER (coalesce(text, '') <> '')) AS cited FROM turns GROUP BY conv_id),
+f AS (SELECT conv_id, coalesce(first(text ORDER BY turn), '') AS q FROM conversations GROUP BY conv_id),
+k AS (SELECT *, length(q) % 7 AS k FROM c JOIN f USING (conv_id)),
+answers AS (
+  SELECT conv_id, CASE WHEN k < 2 THEN 'answered' WHEN k = 2 THEN 'unwrapped' WHEN k IN (3, 5) AND cited > 0 THEN 'fallback_rescue' ELSE 'failed' END AS answer_outcome,
+    CASE k WHEN 4 THEN 'llm call failed: down' WHEN 5 THEN 'schema validation failed: answer or citations missing' WHEN 3 THEN 'model returned no parseable structured output' WHEN 6 THEN 'model returned no parseable structured output' END AS answer_error,
+    CASE WHEN k < 3 THEN 'said: ' || q WHEN k = 3 AND cited > 0 THEN trim(q) WHEN k = 5 AND cited > 0 THEN '{{"citations": []}}' END AS answer,
+    CASE WHEN k < 3 THEN 1 WHEN k IN (3, 5) THEN cited ELSE 0 END AS citations FROM k)"""
+
 KNN = "0.0 + round(1 - list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))), 6)"
 RAW_KNN = KNN[len("0.0 + round(") : -len(", 6)")]
 
@@ -227,6 +237,19 @@ SELECT doc_id, url, coalesce(hit, FALSE) AS found_in_corpus, CASE WHEN hit THEN
 SELECT conv_id, string_agg('[' || i || '] source_url=' || source_url || CASE WHEN coalesce(heading, '') <> '' THEN ' section_heading=' || heading ELSE '' END || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY i) AS rendered FROM turns GROUP BY conv_id""",
     "citations_top3": f"""WITH {TURNS}, s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY i) AS k FROM turns WHERE coalesce(text, '') <> '')
 SELECT conv_id, CAST(k - 1 AS INTEGER) AS k, source_url, heading AS section_heading, left(text, 300) AS quote FROM s WHERE k <= 3""",
+    "answers_of_every_shape": f"WITH {ANSWERS} SELECT conv_id, answer_outcome, answer_error, md5(answer) AS answer, CAST(citations AS INTEGER) AS citations FROM answers",
+    "answer_events": f"""WITH {ANSWERS}
+SELECT CASE answer_outcome WHEN 'unwrapped' THEN 'answer_unwrap_rescue' WHEN 'fallback_rescue' THEN 'answer_fallback_rescued' ELSE 'answer_generation_failed' END AS event_type, answer_outcome AS outcome,
+  CASE answer_outcome WHEN 'unwrapped' THEN 'JSON-inside-JSON detected and unwrapped' WHEN 'fallback_rescue' THEN 'structural path failed (' || answer_error || '), rescued from markdown' ELSE answer_error END AS reason, count(*) AS n
+FROM answers WHERE answer_outcome <> 'answered' GROUP BY ALL""",
+    "extraction_cleanup": rf"""WITH {RESULTS}, t AS (SELECT source_url, trim(content, ' ') AS content FROM results WHERE content_type <> 'unknown'),
+h AS (SELECT source_url, {BLANK} AS bare, length(content) % 3 = 0 AS none, [left(content, length(content) // 2), substr(content, length(content) // 2 + 1)] AS halves FROM t),
+b AS (SELECT *, len(list_filter(halves, lambda x: regexp_replace(x, '{SPACES}', '', 'g') <> '')) AS whole FROM h)
+SELECT source_url, CASE WHEN bare THEN 'flagged' WHEN none THEN 'fallback_section' ELSE 'extracted' END AS extraction_outcome,
+  CASE WHEN bare THEN 'empty content: nothing to extract' WHEN none THEN 'none found | extractor returned 0 sections; raw content wrapped as fallback' ELSE (3 - whole) || ' empty sections filtered' END AS extraction_notes,
+  CAST(CASE WHEN bare THEN 0.0 WHEN none THEN 0.3 ELSE 0.8 END AS DOUBLE) AS confidence, CAST(CASE WHEN bare THEN 0 WHEN none THEN 1 ELSE whole END AS INTEGER) AS sections FROM b""",
+    "quarantined_chunks": f"""WITH {CHUNKS}, s AS (SELECT chunk_total > 1 AND chunk_index = chunk_total AS bad FROM pieces)
+SELECT CASE WHEN bad THEN 'bad' ELSE 'good' END AS kind, CASE WHEN bad THEN 'chunk_index_beyond_total' ELSE '' END AS reason, count(*) AS n, count(*) AS counted FROM s GROUP BY bad""",
     "text_previews": f"""SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview,
   left(trim(regexp_replace(text, '\\s+', ' ', 'g')), 200) AS flat, left(sha256({URL}), 16) AS marker FROM documents""",
     "ingest_reports": f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'url=' || {URL} || ' is_valid=True stored_chunks=3 sections=2 confidence=0.9' WHEN 3 THEN 'fetch succeeded but no content to ingest'

@@ -22,7 +22,8 @@ FETCH_LOG = FETCH_RESULT + (
 )
 BLOCK = "struct<heading: string, level: int, text: string>"
 STRIP_RESULT = (
-    f"title string, outcome string, text string, method string, chars_before int, chars_after int, num_blocks int, num_tables int, blocks array<{BLOCK}>"
+    f"title string, outcome string, text string, method string, chars_before int, chars_after int, num_blocks int, num_tables int, blocks array<{BLOCK}>, "
+    "warnings array<struct<stage: string, reason: string, chars_before: int, chars_after: int>>"
 )
 SECTION = "struct<heading: string, content: string, level: int>"
 EXTRACTION = (

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from io import BytesIO
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import EXTRACTION
+from ..schemas import EXTRACTION, chunk_violations, extraction_violations
+from ..session import settled
 
 
 def clean_urls(lines: DataFrame) -> DataFrame:
@@ -43,6 +46,43 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EXTRACTION).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
+class Sorted(NamedTuple):
+    """Rows that go on, rows that are kept aside with their ``reason``, and how many of each there were, read and sorted in one pass."""
+
+    good: DataFrame
+    bad: DataFrame
+    counts: dict[str, int]
+
+
+def quarantine(rows: DataFrame, violations: Callable[[DataFrame], DataFrame], unreadable: str | None = None) -> Sorted:
+    """Sort ``rows`` by what ``violations`` (which adds a column of that name) says of them.
+
+    ``unreadable`` names a column that holds the text of a record that could
+    not be read; such a row is bad whatever else it holds.  Rows are read once:
+    they are written, and counted on the way by an observation.
+    """
+    lost = F.col(unreadable).isNotNull() if unreadable else F.lit(False)
+    reason = F.when(lost, "unreadable record").when(F.size("violations") > 0, F.array_join("violations", ","))
+    seen = Observation()
+    marked = violations(rows).withColumn("reason", reason)
+    counted = marked.observe(seen, F.count("*").alias("read"), F.count("reason").alias("bad"), F.count(F.when(lost, 1)).alias("unreadable"))
+    held = settled(counted, "sorted")
+    spare = ["violations", "reason", *([unreadable] if unreadable else [])]
+    return Sorted(held.filter("reason is null").drop(*spare), held.filter("reason is not null").drop("violations"), {k: int(v) for k, v in seen.get.items()})
+
+
+def sort_results(spark: SparkSession, path: str) -> Sorted:
+    """Saved extraction results, one bad record no longer ending the read: see :func:`quarantine`; bad rows keep their text as ``record``."""
+    fields = spark.createDataFrame([], f"{EXTRACTION}, record string").schema
+    read = spark.read.schema(fields).options(mode="PERMISSIVE", columnNameOfCorruptRecord="record", multiLine=True).json(path)
+    return quarantine(read, extraction_violations, "record")
+
+
+def sort_chunks(chunks: DataFrame) -> Sorted:
+    """Chunks that may be stored, and those that may not."""
+    return quarantine(chunks, chunk_violations)
+
+
 def pdf_text(body: Column) -> Column:
     """Struct of ``text`` and ``failure`` of PDF bodies; null bodies give null.
 
