@@ -7,6 +7,12 @@ meet those of the documents in a hash join, so a question asked again with
 other numbers or names still matches.  A window of placeholders only says
 nothing; it counts by its words as they stand.
 
+An item's leak holds half of its windows, so it holds at least one of any
+``n - ceil(n / 2) + 1`` of them.  Documents and items are paired through the
+rarest so many alone, counted over all documents: an opening that many items
+and many documents share pairs nobody.  The pairs found, and only those, are
+then laid side by side with all their windows.
+
 An alignment lays an item beside one stretch of a document: the matches whose
 places differ from the item's by about the same (a band of ``2 * DRIFT``
 shifts, so that a value of one word more does not break it), one a window of
@@ -20,8 +26,9 @@ most consistent, then the first is reported.  The benchmark's windows are
 broadcast only up to ``BROADCAST_WINDOWS`` rows, counted first; beyond it the
 same join is a shuffled one.
 
-Defined results: items of fewer than five template words cannot be judged and
-match nothing; of items with the same template the smallest id is reported;
+Defined results: items of one to four template words are one window, and so are
+such documents, so a short item matches a text that is nothing else; items
+without a word match nothing; of items with the same template the smallest id is reported;
 null and empty texts are clean; an empty table, of documents or items, gives no
 row; texts are read whole, however long; rows with equal id and text are one
 document; null ids are allowed; columns of other names are no input.
@@ -31,9 +38,10 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import discard
 from .common import materialize
 
 WORDS = 5
@@ -75,18 +83,18 @@ def template_words(text: Column) -> Column:
 
 
 def _windows(words: Column) -> Column:
-    last = F.size(words) - WORDS
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(words, i + 1, WORDS)))).otherwise(F.array().cast("array<bigint>"))
+    last = F.greatest(F.size(words) - WORDS, F.lit(0))
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, WORDS)))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _bare(spark: SparkSession) -> list[int]:
-    """Hashes of the windows of placeholders only."""
-    rows = [(list(w),) for w in product((NAME, NUMBER, UNIT), repeat=WORDS)]
+    """Hashes of the windows of placeholders only, short ones included."""
+    rows = [(list(w),) for n in range(1, WORDS + 1) for w in product((NAME, NUMBER, UNIT), repeat=n)]
     return [r[0] for r in spark.createDataFrame(rows, "w array<string>").select(F.xxhash64("w")).collect()]
 
 
 def windows(words: Column, raws: Column, bare: list[int]) -> Column:
-    """Hashes of all windows, in order; an array of nothing for fewer words; bare windows as hashes of their raw words."""
+    """Hashes of all windows, in order; fewer words are one window, none are none; bare windows as hashes of their raw words."""
     # An array of one binds a value for the expressions inside, so that nothing is computed for each window again,
     # and raw words not at all where no window is bare.
     def with_raws(plain: Column, own: Column) -> Column:
@@ -108,20 +116,31 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
         .select("item", template_words(F.col("t")).alias("words"), raw_words(F.col("t")).alias("raws"))
         .groupBy("words")
         .agg(F.min("item").alias("item"), F.min_by("raws", "item").alias("raws"))
-        .filter(F.size("words") >= WORDS)
-        .select("item", "words", "raws", (F.size("words") - WORDS + 1).alias("n_windows"), F.xxhash64("words").alias("tid")),
+        .filter(F.size("words") > 0)
+        .select("item", "words", "raws", F.greatest(F.size("words") - WORDS + 1, F.lit(1)).alias("n_windows"), F.xxhash64("words").alias("tid")),
         "items",
     )
     bare = _bare(spark)
-    asked = items.select("tid", F.posexplode(windows(F.col("words"), F.col("raws"), bare)).alias("at", "h"))
-    small = items.agg(F.sum("n_windows")).first()[0] or 0
-    asked = F.broadcast(asked) if small <= BROADCAST_WINDOWS else asked
+    asked = materialize(items.select("tid", "n_windows", F.posexplode(windows(F.col("words"), F.col("raws"), bare)).alias("at", "h")), "item-windows")
+    small = (items.agg(F.sum("n_windows")).first()[0] or 0) <= BROADCAST_WINDOWS
+
+    def few(df: DataFrame) -> DataFrame:
+        """At most a row a window of the benchmark: broadcast if these were counted to be few."""
+        return F.broadcast(df) if small else df
 
     keyed = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string"), F.col(id_col).cast("string")).alias("dg"), _text(text_col).alias("t"))
     placed = keyed.select("id", "dg", template_words(F.col("t")).alias("words"), "t").select("id", "dg", F.posexplode(windows(F.col("words"), raw_words(F.col("t")), bare)).alias("place", "h"))
+    held = materialize(placed.join(few(asked.select("h").distinct()), "h", "left_semi"), "document-windows")
+    # The rarest windows of every item, as many as a leak cannot do without.
+    often = held.groupBy("h").agg(F.count("*").alias("n_docs"))
+    rank = F.row_number().over(Window.partitionBy("tid").orderBy(F.coalesce("n_docs", F.lit(0)), "at"))
+    spared = F.ceil(F.col("n_windows") * COVERAGE).cast("int") - 1
+    rare = asked.join(often, "h", "left").withColumn("rank", rank).filter((F.col("rank") <= F.col("n_windows") - spared) & F.col("n_docs").isNotNull())
+    pairs = materialize(held.select("dg", "h").join(few(rare.select("tid", "h").distinct()), "h").select("dg", "tid").distinct(), "template-pairs")
     # One match for each window of the item in an alignment: a repeated window adds nothing.
     band = F.floor((F.col("place") - F.col("at")) / DRIFT)
-    met = placed.join(asked, "h").select("id", "dg", "tid", "at", "place", F.explode(F.array(band, band - 1)).alias("band"))
+    sides = pairs.join(few(asked.select("tid", "at", "h")), "tid").join(held, ["dg", "h"])
+    met = sides.select("id", "dg", "tid", "at", "place", F.explode(F.array(band, band - 1)).alias("band"))
     met = materialize(met.groupBy("dg", "tid", "band", "at").agg(F.min("place").alias("place"), F.min("id").alias("id")), "template-matches")
     close = (
         met.groupBy("dg", "tid", "band")
@@ -134,8 +153,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     # Slots, for close pairs only: the values that an alignment lays side by side.
     full = keyed.join(close.select("dg").distinct(), "dg", "left_semi").dropDuplicates(["dg"]).select("dg", raw_words(F.col("t")).alias("doc_raws"))
     slots = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.struct(F.element_at("words", F.col("at") + k + 1).alias("kind"), F.element_at("raws", F.col("at") + k + 1).alias("ours"), F.element_at("doc_raws", F.col("place") + k + 1).alias("theirs"))),
-        lambda s: s["kind"].isin(NAME, NUMBER, UNIT),
+        F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda k: F.struct(F.get("words", F.col("at") + k).alias("kind"), F.get("raws", F.col("at") + k).alias("ours"), F.get("doc_raws", F.col("place") + k).alias("theirs"))),
+        lambda s: F.coalesce(s["kind"].isin(NAME, NUMBER, UNIT), F.lit(False)),
     )
     key = ["dg", "tid", "band"]
     values = materialize(
@@ -150,11 +169,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     ours = values.groupBy(*key, "kind", "ours").agg(F.count("*").alias("n"), F.max(F.col("ours") != F.col("theirs")).alias("other"))
     theirs = values.groupBy(*key, "kind", "theirs").agg(F.count("*").alias("n"))
     one = F.avg((F.col("n") == 1).cast("double"))
-    pairs = ours.groupBy(*key).agg(F.count("*").alias("n_slots"), one.alias("a"), F.max("other").alias("other")).join(theirs.groupBy(*key).agg(one.alias("b")), key)
-    judged = close.join(pairs, key, "left").withColumn("same", F.coalesce(F.least("a", "b"), F.lit(1.0))).filter(F.col("same") >= CONSISTENCY)
+    fits = ours.groupBy(*key).agg(F.count("*").alias("n_slots"), one.alias("a"), F.max("other").alias("other")).join(theirs.groupBy(*key).agg(one.alias("b")), key)
+    judged = close.join(fits, key, "left").withColumn("same", F.coalesce(F.least("a", "b"), F.lit(1.0))).filter(F.col("same") >= CONSISTENCY)
     # Counters for maxima: more windows, more consistent, first.
     best = judged.groupBy("dg", "tid").agg(F.max(F.struct("hit", "same", (-F.col("band")).alias("first"), "id", "item", "n_windows", "n_slots", "other")).alias("l"))
-    return best.select(
+    out = best.select(
         F.col("l.id").alias(id_col),
         F.col("l.item").alias(item_col),
         (F.col("l.hit") / F.col("l.n_windows")).alias("coverage"),
@@ -164,6 +183,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
         F.coalesce("l.other", F.lit(False)).alias("reparameterised"),
         "dg",
     )
+    out = materialize(out, "leaks")
+    discard(items, asked, held, pairs, met, close, values)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
@@ -202,9 +224,9 @@ def _window_sql(at: str) -> str:
 #: DuckDB SQL with the query's rows.
 LEAK_SQL = rf"""
 WITH {_words_sql("item")},{_words_sql("doc")},
-items AS (SELECT min(id) AS item_id, arg_min(r, id) AS r, c, len(c) - {WORDS - 1} AS n FROM item WHERE len(c) >= {WORDS} GROUP BY c),
+items AS (SELECT min(id) AS item_id, arg_min(r, id) AS r, c, greatest(len(c) - {WORDS - 1}, 1) AS n FROM item WHERE len(c) > 0 GROUP BY c),
 iw AS (SELECT item_id, r, c, n, unnest(range(1, n + 1)) AS i FROM items),
-dw AS (SELECT id AS doc_id, r, c, unnest(range(1, len(c) - {WORDS - 2})) AS j FROM doc WHERE len(c) >= {WORDS}),
+dw AS (SELECT id AS doc_id, r, c, unnest(range(1, greatest(len(c) - {WORDS - 1}, 1) + 1)) AS j FROM doc WHERE len(c) > 0),
 iw5 AS (SELECT item_id, r, c, n, i, {_window_sql("i")} AS w FROM iw),
 dw5 AS (SELECT doc_id, r, j, {_window_sql("j")} AS w FROM dw),
 hits AS (SELECT doc_id, item_id, n, i, j, t.r AS ir, t.c AS ic, d.r AS dr, CAST(floor((j - i) / {DRIFT}.0) AS BIGINT) - o AS band

@@ -456,3 +456,32 @@ def test_templates_stand_word_for_word(spark):
     assert len(row["w"]) == len(row["r"])
     pairs = dict(zip(row["r"], row["w"], strict=True))
     assert pairs["3,50"] == decontaminate.NUMBER and pairs["EUR,"] == decontaminate.UNIT and pairs["Bob's"] == decontaminate.NAME and pairs["12km"] == decontaminate.NUMBER
+
+
+def test_a_common_opening_pairs_nobody(spark, monkeypatch):
+    opening = "what is the value of the following expression when"
+    rng = random.Random(6)
+    words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)]
+    tail = lambda: " ".join(rng.choice(words) for _ in range(12))
+    items = [(i, f"{opening} {tail()}") for i in range(400)]
+    docs = [(i, f"{opening} {tail()} {opening} {tail()}") for i in range(4000)]
+    docs[17] = (17, f"before {items[3][1]} after")
+    made = {}
+    whole = decontaminate.materialize
+
+    def counting(df, name):
+        out = whole(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialize", counting)
+    leaks = decontaminate.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string"))
+    assert [(r["doc_id"], r["item_id"], r["coverage"]) for r in leaks.collect()] == [(17, 3, 1.0)]
+    assert made["template-pairs"] < 100 and made["template-matches"] < 5000
+
+
+def test_short_items_match_whole_short_texts(spark):
+    items = spark.createDataFrame([(1, "Yes."), (2, "It costs 5 dollars"), (3, "!!"), (4, "7 8 9")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "yes"), (2, "yes it is so and more"), (3, "it costs 99 dollars"), (4, "??"), (5, ""), (6, "7 8 9"), (7, "6 5 4"), (8, None)], DOCS)
+    got = sorted((r["doc_id"], r["item_id"], r["reparameterised"]) for r in decontaminate.find_leaks(docs, items).collect())
+    assert got == [(1, 1, False), (3, 2, True), (6, 4, False)]
