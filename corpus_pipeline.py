@@ -54,9 +54,9 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that leak no benchmark item.
 
-    Null and empty texts and null ids are clean unless their text leaks; items
-    of fewer than five words match nothing; repeated rows go together; long
-    texts are read whole.
+    Null and empty texts and null ids are clean unless their text leaks; an item
+    of fewer than five words matches a text that is nothing else; repeated rows
+    go together; long texts are read whole.
     """
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
