@@ -19,11 +19,13 @@ Vectors are dealt into blocks by a hash of the row, whatever their key; each
 block is an index of its own, so memory is bounded and blocks work in parallel.
 Every block is sent and indexed once (a few times if there are fewer blocks
 than tasks); the queries, in blocks too, are what travels.  A visit sends back
-one row a query with its best, and those are merged.
+the best k rows of a query, and a ranking that is bounded in each task before
+the shuffle keeps k of them all.  Vectors of each length are an index of their
+own.
 
-Defined results: vectors that are null, empty, all zero, of another length
-than most, or hold null or non-finite components take no part; ties go to the
-smaller id; rows with the query's own id are no candidates; fewer candidates
+Defined results: vectors that are null, empty, all zero, or hold null or
+non-finite components take no part; vectors of different lengths are not
+compared, and each length is searched; ties go to the smaller id; rows with the query's own id are no candidates; fewer candidates
 than ``k`` are all returned; an empty table gives no row.  Rows of equal id and
 vector are one row, dropped before the blocks are built; different vectors of
 one id are different rows, and as queries they ask together: a row counts once,
@@ -37,9 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import discard
 from .common import empty_like, materialize, shuffle_width
 
 K = 20
@@ -190,55 +193,61 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(vectors: DataFrame, every: int = 20, k: int = K, id_col="vec_id", vec_col="embedding") -> DataFrame:
     """Neighbours of the rows whose id is divisible by ``every``: query_id, rank, vec_id, score."""
     known = materialize(usable(vectors, id_col, vec_col).dropDuplicates(["id", "v"]), "ann-rows")
-    size = known.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("m")).orderBy(F.desc("n"), "d").first()
-    if size is None:
+    asks = F.pmod("id", F.lit(every)) == 0
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    found = known.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.count(F.when(asks, 1)).alias("asking"), F.sqrt(F.max(square)).alias("most")).filter("asking > 0")
+    # Blocks of vectors and of queries; each block in copies enough to fill the tasks, each copy for its share of the queries.
+    width = shuffle_width(vectors.sparkSession)
+    counted = found.withColumns({"blocks": F.ceil(F.col("n") / BLOCK).cast("int"), "groups": (F.ceil(F.col("asking") / QUERIES) + 1).cast("int")})
+    counted = counted.withColumn("copies", F.greatest(F.lit(1), F.least("groups", (F.lit(width) / F.col("blocks")).cast("int"))))
+    before = F.sum(F.col("blocks") * F.col("copies")).over(Window.orderBy("dim").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = materialize(counted.withColumn("base", F.coalesce(before, F.lit(0)).cast("int")), "ann-sizes")  # one row a vector length
+    places = sizes.agg(F.sum(F.col("blocks") * F.col("copies"))).first()[0]
+    if not places:
         return empty_like(vectors, RESULT)
-    dim, longest = int(size["d"]), float(np.sqrt(size["m"])) * (1 + 1e-9)
-    known = known.filter(F.size("v") == dim)
-    blocks = -(-size["n"] // BLOCK)
+    small = F.broadcast(sizes)
     row = F.xxhash64(F.monotonically_increasing_id())
 
-    def packed(df: DataFrame, name: str, by: int) -> DataFrame:
-        """Rows of ``df`` as a few rows of binary columns, about ``by`` vectors each: a hash deals them, so none can grow."""
-        parts = max(1, by)
+    def packed(df: DataFrame, name: str, by: str) -> DataFrame:
+        """Rows of ``df`` as a few rows of binary columns, so many as ``by`` says: a hash deals them, so none can grow."""
 
         def gather(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({name: [int(pdf["b"].iloc[0])], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vs": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
+            return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], name: [int(pdf["b"].iloc[0])], "ids": [pdf["id"].to_numpy(np.int64).tobytes()], "vs": [np.stack(pdf["v"].to_numpy()).astype(np.float64).tobytes()]})
 
-        return df.withColumn("b", F.pmod(row, F.lit(parts)).cast("int")).groupBy("b").applyInPandas(gather, f"{name} int, ids binary, vs binary")
+        dealt = df.withColumn("dim", F.size("v")).join(small.select("dim", by), "dim").withColumn("b", F.pmod(row, F.col(by)).cast("int"))
+        return dealt.groupBy("dim", "b").applyInPandas(gather, f"dim int, {name} int, ids binary, vs binary").join(small, "dim")
 
-    asked = known.filter(F.pmod("id", F.lit(every)) == 0)
-    groups = -(-size["n"] // (every * QUERIES)) + 1
-    data = materialize(packed(known, "block", blocks), "ann-blocks")
-    queries = packed(asked, "qblock", groups)
+    data = materialize(packed(known, "block", "blocks"), "ann-blocks")
+    queries = packed(known.filter(asks), "qblock", "groups")
     # The stated queries against all rows, in blocks: each block waits in its task, and the query blocks come by.
-    tasks = max(blocks, shuffle_width(vectors.sparkSession))
-    copies = min(groups, tasks // blocks)  # of a block, each for its share of the queries
-    place = F.col("block") * copies
-    waiting = data.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select((place + F.col("copy")).alias("place"), "block", F.lit(0).alias("turn"), "ids", "vs")
-    coming = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select((place + F.pmod("qblock", F.lit(copies))).alias("place"), "block", F.lit(1).alias("turn"), "ids", "vs")
+    place = F.col("base") + F.col("block") * F.col("copies")
+    waiting = data.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).select((place + F.col("copy")).alias("place"), "dim", "block", F.lit(0).alias("turn"), "most", "ids", "vs")
+    coming = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select((place + F.pmod("qblock", F.col("copies"))).alias("place"), "dim", F.col("qblock").alias("block"), F.lit(1).alias("turn"), "most", "ids", "vs")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = None
+        index, at = None, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                ids, vs = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vs"], np.float64).reshape(-1, dim)
-                if not row["turn"]:
-                    index = CollisionIndex(ids, vs, longest)
+            for r in batch.to_pylist():
+                ids, vs = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["vs"], np.float64).reshape(-1, r["dim"])
+                if not r["turn"]:
+                    index, at = CollisionIndex(ids, vs, r["most"] * (1 + 1e-9)), r["block"] << 32
                     continue
                 if index is None or not len(ids):
                     continue
                 out = list(index.search(ids, vs, k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([q for q, _, _, _ in out], pa.int64()), pa.array([i for _, i, _, _ in out], pa.list_(pa.int64())), pa.array([s for _, _, s, _ in out], pa.list_(pa.float64())), pa.array([row["block"] * (1 << 32) + at for _, _, _, at in out], pa.list_(pa.int64()))],
-                    names=["query_id", "ids", "scores", "rows"],
-                )
-
-    met = waiting.unionAll(coming).repartitionById(blocks * copies, F.col("place")).sortWithinPartitions("place", "turn")
-    best = met.select("block", "turn", "ids", "vs").mapInArrow(visit, "query_id long, ids array<long>, scores array<double>, rows array<long>")
-    zipped = F.transform(F.arrays_zip("scores", "ids", "rows"), lambda s: F.struct((-s["scores"]).alias("s"), s["ids"].alias("i"), s["rows"].alias("r")))
-    # Largest score first, then smallest id: negated scores sort that way as structs.  k a block and query vector at most.
-    merged = best.groupBy("query_id").agg(F.array_sort(F.flatten(F.collect_list(zipped))).alias("all"), F.count("*").alias("n"))
-    once = F.filter("all", lambda s, at: (F.col("n") <= blocks) | (F.array_position(F.transform("all", lambda t: t["r"]), s["r"]) == at + 1))
-    ranked = F.slice(once, 1, k)
-    return merged.select("query_id", F.posexplode(ranked).alias("p", "hit")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))
+                each = np.array([len(i) for _, i, _, _ in out])
+                flat = [np.repeat(ids, each), np.repeat((r["block"] << 32) + np.arange(len(ids)), each), *(np.concatenate([o[c] for o in out]) for c in (1, 2)), at + np.concatenate([o[3] for o in out])]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in flat], names=["query_id", "q", "vec_id", "score", "row"])
+
+    met = waiting.unionAll(coming).repartitionById(int(places), F.col("place")).sortWithinPartitions("place", "turn")
+    best = met.select("dim", "block", "turn", "most", "ids", "vs").mapInArrow(visit, "query_id long, q long, vec_id long, score double, row long")
+
+    def first(rows: DataFrame, *keys: str) -> DataFrame:
+        """The best ``k`` of each key; no task holds or sends more than it takes for that."""
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id", "row"))).filter(F.col("rank") <= k)
+
+    # Of each query vector first; where several have one id, a row that they both found counts once.
+    own = first(best, "query_id", "q").groupBy("query_id", "row").agg(F.max("score").alias("score"), F.first("vec_id").alias("vec_id"))
+    out = materialize(first(own, "query_id").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"), "ann-found")
+    discard(known, sizes, data)
+    return out

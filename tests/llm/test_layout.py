@@ -312,6 +312,39 @@ def test_repeated_rows_push_no_neighbour_out(spark):
     assert [(r["rank"], r["vec_id"], r["score"]) for r in ann.search(odd).orderBy("rank").collect()] == [(1, 1, 2.0), (2, 2, 1.0), (3, 2, 1.0)]
 
 
+def recall_of(made, queries, k=20):
+    """Share of the exact neighbours that one block's index finds."""
+    index = ann.CollisionIndex(np.arange(len(made)), made, float(np.linalg.norm(made, axis=1).max()))
+    hits = 0
+    for q, found, _, _ in index.search(np.array(queries), made[queries], k):
+        exact = made @ made[q]
+        exact[q] = -np.inf
+        hits += len(set(found.tolist()) & set(np.argsort(-exact, kind="stable")[:k].tolist()))
+    return hits / (k * len(queries))
+
+
+@pytest.mark.parametrize("width,unit,long", [(64, True, False), (64, False, False), (64, True, True), (384, True, False)])
+def test_recall_by_length(width, unit, long):
+    rng = np.random.default_rng(width)
+    made = rng.standard_normal((4000, width))
+    made = made / np.linalg.norm(made, axis=1)[:, None] if unit else made * np.exp(rng.standard_normal((4000, 1)) / 3)
+    if long:
+        made[7] *= 10
+    assert recall_of(made, list(range(0, 4000, 50))) >= 0.9
+
+
+def test_every_length_is_searched(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(6)]) for i in range(90)] + [(1000 + i, [float(x) for x in rng.standard_normal(3)]) for i in range(60)] + [(2000, [1.0])]
+    got = collections.defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    for q, v in rows:
+        if q % 20 == 0 and q != 2000:
+            assert got[q] == [i for _, i in sorted((-float(np.dot(v, w)), i) for i, w in rows if len(w) == len(v) and i != q)[:20]]
+    assert set(got) == {q for q, _ in rows if q % 20 == 0} - {2000}
+
+
 def test_few_neighbours_and_none(spark):
     df = spark.createDataFrame([(20 * i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<float>")
     got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df).collect())
