@@ -4,6 +4,12 @@ The parser keeps what carries content and drops navigation, footers, asides,
 forms, scripts and boxes whose class or id names them as furniture.  A heading
 opens a block; paragraphs, lists, tables, quotes and code belong to the block
 they stand in.  It never raises: malformed markup is read as far as it goes.
+
+Furniture without a telling name shows by its density: a box is worth its plain
+text, less the text of its links, plus what the boxes in it are worth, as far
+as that is more than nothing.  The worth is summed up on the way through the
+page; boxes of several links that are worth less than nothing are left out on a
+second way down, and what is left is the part of the page that is worth most.
 """
 
 from __future__ import annotations
@@ -27,6 +33,10 @@ FURNITURE = re.compile(r"\b(ad|ads|advert|advertisement|banner|breadcrumbs?|comm
 #: Pages longer than the first number keep at least the second share of their characters, else they fall back.
 LARGE, LEAST = 5000, 0.05
 
+#: Boxes that are judged by density, and links that one has at least to be left out.
+BOXES = frozenset("div section ul ol dl".split())
+LINKS = 3
+
 METHODS = ("content", "browser-visible-text", "html-text-content", "raw")
 
 
@@ -34,11 +44,24 @@ def flat(text: str) -> str:
     return " ".join(text.split())
 
 
+class _Box:
+    """An open box: its number, its plain and linked characters, its links, and whether it holds the page's heading."""
+
+    def __init__(self, number: int, tag: str):
+        self.number, self.tag, self.plain, self.link, self.links, self.titled = number, tag, 0, 0, 0, False
+
+
 class _Content(HTMLParser):
-    """Collects (heading, level, text) blocks, the title, and all text."""
+    """Collects (heading, level, text) blocks, the title, and all text; ``sparse``: boxes (by number) that are not worth it.
+
+    ``without``: boxes to leave out, as an earlier way through the page found them.
+    """
 
-    def __init__(self):
+    def __init__(self, without: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.without, self.sparse = without, set()
+        self.numbered, self.linked = 0, 0  # boxes seen, and open links
+        self.boxes: list[_Box] = []
         self.blocks: list[list] = []
         self.heading, self.level, self.parts = None, None, []
         self.tables = 0
@@ -74,7 +97,24 @@ class _Content(HTMLParser):
             self.blocks.append([self.heading, self.level if self.heading else None, "\n\n".join(self.parts)])
         self.heading, self.parts = None, []
 
+    def close_box(self) -> None:
+        """Judge the innermost box, and hand its worth to the one around it."""
+        box = self.boxes.pop()
+        worth, lost = box.plain - box.link, False
+        if worth < 0 and box.links >= LINKS and not box.titled:
+            self.sparse.add(box.number)
+            lost = True
+        if self.boxes and not lost:
+            around = self.boxes[-1]
+            around.titled |= box.titled
+            if worth >= 0:
+                around.plain += worth
+            else:  # too few links to tell: they count further up
+                around.plain, around.link, around.links = around.plain + box.plain, around.link + box.link, around.links + box.links
+
     def handle_starttag(self, tag, attrs):
+        if tag in BOXES:
+            self.numbered += 1
         if tag in ("script", "style"):
             self.mute += 1
         if tag in self.titles and self.titles[tag] is None and self.titling is None:
@@ -87,10 +127,19 @@ class _Content(HTMLParser):
             self.skip.append(tag)
             return
         named = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
-        if tag in SKIPPED or (tag in ("div", "section", "ul", "span", "p") and FURNITURE.search(named)):
+        if tag in SKIPPED or (tag in ("div", "section", "ul", "span", "p") and FURNITURE.search(named)) or (tag in BOXES and self.numbered in self.without):
             self.flush_text()
             self.skip.append(tag)
-        elif tag in HEADINGS:
+            return
+        if tag in BOXES:
+            self.boxes.append(_Box(self.numbered, tag))
+        elif tag == "a":
+            self.linked += 1
+            if self.boxes:
+                self.boxes[-1].links += 1
+        elif tag == "h1" and self.boxes:
+            self.boxes[-1].titled = True
+        if tag in HEADINGS:
             self.flush_text()
             self.kind, self.next_level = "heading", HEADINGS[tag]
         elif tag in LISTS:
@@ -117,6 +166,12 @@ class _Content(HTMLParser):
                 while self.skip and self.skip.pop() != tag:
                     pass
             return
+        if tag == "a":
+            self.linked = max(0, self.linked - 1)
+        elif tag in BOXES and any(b.tag == tag for b in self.boxes):
+            while self.boxes[-1].tag != tag:
+                self.close_box()
+            self.close_box()
         if tag in HEADINGS and self.kind == "heading":
             level = self.next_level
             self.flush_text()
@@ -141,12 +196,20 @@ class _Content(HTMLParser):
             self.everything.append(data)
         if not self.skip:
             self.buffer.append(data)
+            if self.boxes:
+                size = len(flat(data))
+                if self.linked:
+                    self.boxes[-1].link += size
+                else:
+                    self.boxes[-1].plain += size
 
     def finish(self):
         try:
             self.close()
         except Exception:  # noqa: BLE001  malformed markup never raises
             pass
+        while self.boxes:
+            self.close_box()
         self.flush_text()
         if self.rows:
             lines = [" | ".join(r) for r in self.rows if r]
@@ -159,7 +222,16 @@ class _Content(HTMLParser):
 
 def parse(html: str) -> tuple[_Content, str | None]:
     """What the parser collected, and why it stopped early, if it did."""
-    p, failure = _Content(), None
+    p, failure = _read(html, frozenset())
+    if p.sparse:
+        dense, _ = _read(html, frozenset(p.sparse))
+        if any(text for _, _, text in dense.blocks):  # a page of links alone stays as it is
+            p = dense
+    return p, failure
+
+
+def _read(html: str, without: frozenset[int]) -> tuple[_Content, str | None]:
+    p, failure = _Content(without), None
     try:
         p.feed(html)
     except Exception as e:  # noqa: BLE001  malformed markup never raises

@@ -298,6 +298,16 @@ def varied_pages(spark, sf_dir) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", html.alias("html"))
 
 
+def page_main_content(spark, sf_dir):
+    """Pages as they are, with their navigation in a box that no name tells, and as large ones of hardly any text."""
+    k = F.pmod("page_id", F.lit(3))
+    boxed = F.replace(F.replace("html", F.lit("<nav>"), F.lit('<div class="x1">')), F.lit("</nav>"), F.lit("</div>"))
+    bare = F.concat(F.lit("<html><body>"), F.repeat(F.lit('<i class="x"></i>'), 400), F.lit("<p>few words of page "), F.col("page_id").cast("string"), F.lit("</p></body></html>"))
+    ship(spark)
+    pages = read(spark, sf_dir, "pages").select("page_id", F.when(k == 1, boxed).when(k == 2, bare).otherwise(F.col("html")).alias("html"))
+    return strip.strip_pages(pages).select("page_id", "outcome", "method", "num_blocks", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
 def page_blocks(spark, sf_dir):
     ship(spark)
     return strip.blocks(strip.strip_pages(varied_pages(spark, sf_dir)), ["page_id"]).withColumn("level", F.coalesce("level", F.lit(0)))
@@ -600,7 +610,7 @@ QUERIES = {
         schema_checks, page_visible_length, page_looks_empty, page_fetch_decision, fetch_with_browser, page_domain_counts, mime_routing, page_obstacles, url_list, redirect_hops, backoff_plan,
         events_recent, events_filtered, events_for_key, event_types, newest_per_key, last_three_per_key, event_severity, domain_spacing, kept_spacing, stage_durations, run_durations, unfinished_ingests, events_appended,
         frontier_fold, batch_summary, running_attempts, pending_due, state_counts, enqueue_dedupe, recover_interrupted, apply_outcomes, frontier_replayed, newest_streamed,
-        page_title, page_blocks, strip_stats, validation_errors, validation_flags, repair_partition,
+        page_title, page_main_content, page_blocks, strip_stats, validation_errors, validation_flags, repair_partition,
         chunks, chunk_ids, chunk_totals, concat_invariant, chunk_metadata,
         knn_topk, knn_filtered, knn_multi_query, knn_indexed, knn_indexed_recall, get_all, count_by_url, replace_by_url, delete_scoped, collection_names,
         live_hit_miss, render_evidence, citations_top3, answers_of_every_shape, answer_events, extraction_cleanup, quarantined_chunks, text_previews, ingest_reports, ingest_outcomes, ingest_events, live_events, ingest_pages_end_to_end, corpus_of_pages,

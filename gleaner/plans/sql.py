@@ -262,6 +262,9 @@ SELECT page_id, CASE WHEN k IN (0, 3) THEN title END AS title, CASE k WHEN 1 THE
   CAST(CASE k WHEN 0 THEN length(html) WHEN 1 THEN bare_size WHEN 2 THEN CASE WHEN page_id % 8 = 2 THEN 2 ELSE 0 END ELSE length(html) + 117 END AS INTEGER) AS chars_before,
   CAST(CASE k WHEN 0 THEN length(text) WHEN 1 THEN length(bare) WHEN 2 THEN 0 ELSE length(text) + 30 END AS INTEGER) AS chars_after,
   CAST(CASE k WHEN 2 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS INTEGER) AS num_blocks, CAST(CASE k WHEN 3 THEN 1 ELSE 0 END AS INTEGER) AS num_tables FROM seen""",
+    "page_main_content": f"""WITH {PAGE}, b AS (SELECT page_id, page_id % 3 = 2 AS bare, coalesce(html, '') = '' AS none, text FROM body)
+SELECT page_id, CASE WHEN bare THEN 'fallback' WHEN none THEN 'empty' ELSE 'stripped' END AS outcome, CASE WHEN bare THEN 'html-text-content' WHEN none THEN 'raw' ELSE 'content' END AS method,
+  CAST(CASE WHEN none AND NOT bare THEN 0 ELSE 1 END AS INTEGER) AS num_blocks, md5(CASE WHEN bare THEN 'few words of page ' || page_id WHEN none THEN '' ELSE text END) AS text FROM b""",
     "page_blocks": f"""WITH {VARIED}
 SELECT page_id, 1 AS block_index, CASE WHEN k <> 1 THEN head END AS heading, CASE WHEN k <> 1 THEN 1 ELSE 0 END AS level, CASE WHEN k = 1 THEN bare ELSE array_to_string(parts, chr(10) || chr(10)) END AS text FROM seen WHERE k <> 2
 UNION ALL SELECT page_id, 2, 'Part two', 2, 'tail & end' || chr(10) || chr(10) || 'a | b c' FROM seen WHERE k = 3""",

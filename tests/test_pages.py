@@ -164,3 +164,21 @@ def test_unknown_is_never_repaired(spark):
     r = validate.validate(first).first()
     assert (r["is_valid"], r["retry_count"], r["flag_reason"]) == (False, 0, "unsupported_content_type")
     assert validate.validate(extract.extract(inputs(spark, ("u", "t", "html", "b")), lambda *_: {"sections": [], "confidence": 0.1}), skip_repair=True).first()["flag_reason"] == "skipped_repair"
+
+
+def text_of(html):
+    return strip.strip_page(html)["text"]
+
+
+def test_boxes_of_links_are_left_out_whatever_they_are_called():
+    links = "".join(f"<li><a href='/{i}'>item number {i}</a></li>" for i in range(5))
+    prose = "<p>" + "A sentence with a <a href='/x'>link</a> in it, and then some more of it. " * 4 + "</p>"
+    want = text_of(f"<body><h1>T</h1>{prose}</body>")
+    assert text_of(f"<body><div class='x1'><ul>{links}</ul></div><h1>T</h1>{prose}<div>{links}</div></body>") == want
+    each = "".join(f"<div><a href='/{i}'>one link a box {i}</a></div>" for i in range(5))
+    assert text_of(f"<body><div>{each}</div><div id='m'><h1>T</h1>{prose}</div></body>") == want
+    assert text_of(f"<body><div><h1>T</h1><div><div>{prose}<div><span>See </span>{each}</div></div></div></div></body>") == want
+    assert "item number 3" in text_of(f"<body><ul>{links}</ul></body>")  # nothing but links
+    assert "one link" in text_of("<body><div><a href='/'>one link</a> <a href='/'>two</a></div><p>text</p></body>")  # too few to tell
+    assert "item number 3" in text_of(f"<body><div><h1>Contents</h1><p>x</p>{links}</div></body>")  # holds the heading
+    assert text_of(f"<body><div><ul>{links}<h1>T</h1>{prose}") and text_of("<div></ul></div><a><a></div><div>" * 50 + "end") == "end"
