@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,25 +101,37 @@ def query_many(collection: DataFrame, queries: DataFrame, k: int = 5, id_col: st
     query_type = queries.schema["query_id"].dataType.simpleString()
     data, sizes = _blocks(collection.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), BLOCK_ROWS, "block")
     asked, _ = _blocks(queries.select(F.col("query_id").alias("id"), F.col("query_vector").alias("v")), BLOCK_QUERIES, "qblock")
-    asked = asked.select("width", "qblock", F.col("ids").alias("qids"), F.col("flat").alias("qflat"))
-    visits = asked.join(F.broadcast(sizes), "width").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-
-    def visit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for width, ids, flat, qids, qflat in zip(pdf["width"], pdf["ids"], pdf["flat"], pdf["qids"], pdf["qflat"], strict=True):
-            v, q = (np.asarray(x, float).reshape(-1, width) for x in (flat, qflat))
-            size, qsize = np.sqrt(_ordered_sum(v * v)), np.sqrt(_ordered_sum(q * q))
-            with np.errstate(all="ignore"):
-                rough = 1 - (q / qsize[:, None]) @ (v / size[:, None]).T
-            for j, own in enumerate(rough):
-                own = np.where(np.isnan(own), np.inf, own)
-                near = np.flatnonzero(own <= np.partition(own, k - 1)[k - 1] + 1e-9 if len(own) > k else own < np.inf)
-                exact = 1 - _ordered_sum(v[near] * q[j]) / (size[near] * qsize[j])
-                best = sorted((float(d), ids[i]) for d, i in zip(exact, near, strict=True) if np.isfinite(d))[:k]
-                out += [(qids[j], i, d) for d, i in best]
-        return pd.DataFrame(out, columns=["query_id", "hit_id", "distance"])
-
-    best = data.join(visits, ["width", "block"]).groupBy("width", "block", "qblock").applyInPandas(visit, f"query_id {query_type}, hit_id {id_type}, distance double")
+    # Each block waits in its task, once; the blocks of queries come by.
+    waiting = data.select("width", "block", F.lit(0).alias("turn"), "ids", F.lit(None).cast(f"array<{query_type}>").alias("qids"), "flat")
+    coming = asked.join(F.broadcast(sizes), "width").select("width", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("turn"), F.lit(None).cast(f"array<{id_type}>").alias("ids"), F.col("ids").alias("qids"), "flat")
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, v, size = None, None, None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in ("width", "block", "turn", "ids", "qids", "flat")}
+                width, at = row["width"].as_py(), (row["width"].as_py(), row["block"].as_py())
+                given = row["flat"].values.to_numpy().reshape(-1, width)
+                if not row["turn"].as_py():
+                    key, ids, v, size = at, row["ids"].values, given, np.sqrt(_ordered_sum(given * given))
+                elif key == at:
+                    yield nearest(ids, v, size, row["qids"].values, given)
+
+    def nearest(ids: pa.Array, v: np.ndarray, size: np.ndarray, qids: pa.Array, q: np.ndarray) -> pa.RecordBatch:
+        qsize, hits = np.sqrt(_ordered_sum(q * q)), []
+        names = ids.to_pylist()
+        with np.errstate(all="ignore"):
+            rough = 1 - (q / qsize[:, None]) @ (v / size[:, None]).T
+        for j, own in enumerate(rough):
+            own = np.where(np.isnan(own), np.inf, own)
+            near = np.flatnonzero(own <= np.partition(own, k - 1)[k - 1] + 1e-9 if len(own) > k else own < np.inf)
+            exact = 1 - _ordered_sum(v[near] * q[j]) / (size[near] * qsize[j])
+            hits += [(j, i, d) for d, _, i in sorted((float(d), names[i], i) for d, i in zip(exact, near.tolist(), strict=True) if np.isfinite(d))[:k]]
+        of, at, far = (list(x) for x in zip(*hits, strict=True)) if hits else ([], [], [])
+        return pa.RecordBatch.from_arrays([qids.take(pa.array(of, pa.int64())), ids.take(pa.array(at, pa.int64())), pa.array(far, pa.float64())], names=["query_id", "hit_id", "distance"])
+
+    met = waiting.unionAll(coming).repartition("width", "block").sortWithinPartitions("width", "block", "turn")
+    best = met.mapInArrow(visit, f"query_id {query_type}, hit_id {id_type}, distance double")
     final = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "hit_id"))
     return best.withColumn("rank", final).filter(F.col("rank") <= k).select("query_id", "rank", "hit_id", "distance")
 
