@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .config import corpus_settings
 from .operators import chunk, corpus, embed, strip
 from .plans import ingest as plan
-from .session import get_session, ship
+from .session import get_session, ship, temporary
 from .sources import files
 
 
@@ -27,7 +27,12 @@ def main(argv: list[str] | None = None) -> int:
     ask.add_argument("text")
     ask.add_argument("-k", type=int, default=5)
     args = parser.parse_args(argv)
-    spark = ship(get_session())
+    with temporary():
+        return run(ship(get_session()), args)
+
+
+def run(spark, args) -> int:
+    """One command; what it leaves in the shared folder goes when it is done."""
     settings = corpus_settings()
     if args.command == "strip":
         strip.strip_pages(spark.read.parquet(args.path)).select("url", "title", "outcome", "method", "chars_before", "chars_after").show(50, False)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,11 +83,26 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+_open: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Delete, at the end of the block, every intermediate table that was written in it: what is wanted is read or written by then."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _open.pop():
+            remove(spark, path)
+
+
 def settled(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Costly steps with several readers run once, lineage does not grow from pass
-    to pass, and a lost executor costs a re-read.  See :func:`discard`.
+    to pass, and a lost executor costs a re-read.  See :func:`discard` and
+    :func:`temporary`.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
@@ -116,4 +133,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for a new folder of intermediate data in the shared folder."""
-    return f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
+    for held in _open[-1:]:
+        held.append((spark, path))
+    return path

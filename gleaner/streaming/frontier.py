@@ -51,8 +51,3 @@ def live_tail(log: DataFrame, url: str | None = None) -> DataFrame:
 def event_rates(log: DataFrame, every: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Events by type and tumbling window, late ones within the watermark."""
     return log.withWatermark("ts", late).groupBy(F.window("ts", every), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
-
-
-def due_again(frontier: DataFrame, now) -> DataFrame:
-    """Retrying rows whose deadline has passed."""
-    return frontier.filter((F.col("state") == "retrying") & (F.col("next_attempt_ts") <= now))

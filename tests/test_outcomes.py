@@ -109,3 +109,19 @@ def test_answers_tell_how_they_came_about(spark):
     assert log["answer_fallback_rescued"]["reason"].endswith("rescued from markdown")
     lone = live.answers(df.filter("query = 'none'"), model).first()
     assert (lone["answer_outcome"], lone["answer_error"]) == ("failed", live.NO_OUTPUT)
+
+
+def test_temporary_tables_go_with_their_block(spark):
+    from pathlib import Path
+
+    from gleaner import session
+
+    with session.temporary():
+        outer = session.settled(spark.range(3), "outer")
+        with session.temporary():
+            inner = session.settled(spark.range(4), "inner")
+            assert inner.count() == 4
+        assert not Path(inner._settled.removeprefix("file:")).exists() and outer.count() == 3
+        path = Path(outer._settled.removeprefix("file:"))
+        assert path.exists()
+    assert not path.exists()
