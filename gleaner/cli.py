@@ -1,4 +1,4 @@
-"""Command line: ``python -m gleaner.cli {strip,chunk,ingest,query,states} ...`` for spark-submit or a shell."""
+"""Command line: ``python -m gleaner.cli {strip,chunk,ingest,query,index,compact} ...`` for spark-submit or a shell."""
 
 from __future__ import annotations
 
@@ -26,6 +26,8 @@ def main(argv: list[str] | None = None) -> int:
     ask = sub.add_parser("query")
     ask.add_argument("text")
     ask.add_argument("-k", type=int, default=5)
+    sub.add_parser("index", help="make an index of the collection; stores and queries use it from then on")
+    sub.add_parser("compact", help="rewrite buckets of several layers and drop old versions")
     args = parser.parse_args(argv)
     with temporary():
         return run(ship(get_session()), args)
@@ -44,9 +46,16 @@ def run(spark, args) -> int:
         stored = _corpus(spark, settings, embedder).store(done.chunks)
         done.outcomes.groupBy("status").count().orderBy("status").show()
         print(f"stored_chunks={stored}")
+    elif args.command == "index":
+        print(f"version={_corpus(spark, settings, embed.load_embedder(settings)).build_index()}")
+    elif args.command == "compact":
+        collection = _corpus(spark, settings, embed.load_embedder(settings))
+        print(f"version={collection.compact()} deleted_folders={collection.vacuum()}")
     else:
         embedder = embed.load_embedder(settings)
-        rows = corpus.query(_corpus(spark, settings, embedder).read(), embedder.embed([args.text])[0], args.k)
+        collection = _corpus(spark, settings, embedder)
+        one = spark.createDataFrame([(0, [float(x) for x in embedder.embed([args.text])[0]])], "query_id int, query_vector array<double>")
+        rows = collection.read().join(F.broadcast(collection.search(one, args.k)), F.col("chunk_id") == F.col("hit_id")).orderBy("rank")  # k rows
         for r in rows.select(F.round("distance", 4).alias("distance"), "source_url", F.substring(F.regexp_replace("content", r"\s+", " "), 1, 200).alias("text")).collect():
             print(r["distance"], r["source_url"], r["text"])
     return 0
