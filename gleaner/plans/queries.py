@@ -604,6 +604,118 @@ def live_events(spark, sf_dir):
     return live.live_events(out, stamp()).select("event_type", "url", "outcome", "reason", "details_json")
 
 
+# ------------------------------------------------------------------ stores and files
+
+
+def corpus_lifecycle(spark, sf_dir):
+    """Chunks zipped with their vectors and stored; the French ones replaced, some URLs deleted, layers rewritten; what each URL has then."""
+    from ..schemas import CORPUS
+
+    ship(spark)
+    made = _chunks(spark, sf_dir)
+    vectors = made.select("chunk_id", F.array(F.length("content").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
+    whole = settled(corpus.with_embeddings(made, vectors), "lifecycle")
+    columns = [c.split()[0] for c in CORPUS.split(", ")]
+    path = scratch(spark, "lifecycle")
+    store = corpus.Corpus(spark, path, "corpus_lengths_2", 8)
+    store.store(whole.select(*columns))
+    french = read(spark, sf_dir, "documents").filter("lang = 'fr'").select(doc_url().alias("source_url"))
+    store.store(whole.join(french, "source_url", "left_semi").withColumn("content", F.concat("content", F.lit("!"))).select(*columns))
+    store.delete([f"https://src{k}.example.com/doc/{k}" for k in range(20)])
+    store.compact(1)
+    out = settled(store.read().groupBy("source_url").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")), "lifecycle-found")
+    remove(spark, path)
+    discard(whole)
+    return out
+
+
+def event_store_search(spark, sf_dir):
+    """Fetches of all pages appended by language of their host, the last batch twice; one host deleted; a substring searched by trigrams."""
+    from ..operators.event_store import EventStore
+
+    path = scratch(spark, "event-store")
+    store = EventStore(spark, path)
+    pages = read(spark, sf_dir, "pages")
+    batches = [F.col("url").contains(".com/"), ~F.col("url").contains(".com/")]
+    for number, own in [*enumerate(batches), (1, batches[1])]:
+        store.append(events.event(pages.filter(own), "fetch_attempt", F.col("url"), F.lit("success"), None, stamp(), size=F.length("html")), "pages", number)
+    first = pages.agg(F.min("url")).first()[0]
+    store.delete_urls([first])
+    out = settled(store.recent(100, None, "/EN/%").select("id", "url", "details_json"), "event-store-found")
+    remove(spark, path)
+    return out
+
+
+def cascade_deleted(spark, sf_dir):
+    """One page's URL deleted from frontier, log and corpus: what each has left, and lost."""
+    from ..operators import cascade
+
+    pages = read(spark, sf_dir, "pages")
+    first = pages.agg(F.min("url")).first()[0]
+    told = events.event(pages, "fetch_attempt", F.col("url"), F.lit("success"), None, stamp()).unionByName(events.event(pages, "strip_attempt", F.col("url"), F.lit("stripped"), None, stamp()))
+    left = cascade.delete_everywhere(page_frontier(spark, sf_dir), told, pages.withColumnRenamed("url", "source_url"), first)
+    rows = [left.frontier.agg(F.count("*").alias("n")).select(F.lit("frontier").alias("place"), "n"), left.events.agg(F.count("*").alias("n")).select(F.lit("events"), "n"), left.corpus.agg(F.count("*").alias("n")).select(F.lit("corpus"), "n")]
+    lost = F.element_at(F.create_map(*(F.lit(x) for kv in left.deleted.items() for x in kv)), F.col("place")).cast("long")
+    return rows[0].unionAll(rows[1]).unionAll(rows[2]).withColumn("deleted", lost)
+
+
+def batch_pass(spark, sf_dir):
+    """One pass over all pages by the batch runner, with a store: the frontier after it."""
+    ship(spark)
+    pages = read(spark, sf_dir, "pages")
+    queue = frontier.add_urls(frontier.empty(spark), pages.select("url"), stamp())
+    path = scratch(spark, "batch")
+    store = corpus.Corpus(spark, path, "corpus_hashing_64", 8)
+    after, done, told = plan.run_batch(queue, pages.select("url"), lambda due: plan.fetch_offline(pages.join(due, "url", "left_semi")), stamp(NOW), collection=store)
+    stored = store.read().groupBy(F.col("source_url").alias("url")).agg(F.count("*").alias("chunks"))
+    out = settled(after.join(stored, "url", "left").select("url", "state", "attempts", "reason", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.unix_seconds("next_attempt_ts").alias("due")), "batch-found")
+    remove(spark, path)
+    return out
+
+
+def completed_states(spark, sf_dir):
+    """The frontier's list after one URL was completed by hand."""
+    f = page_frontier(spark, sf_dir)
+    first = read(spark, sf_dir, "pages").agg(F.min("url")).first()[0]
+    after = frontier.complete(f, first, "blocked", "by hand", stamp(NOW))
+    one = frontier.get(after, first).select("url", F.lit(True).alias("asked"))
+    return frontier.states(after).join(one, "url", "left").select("url", "state", "reason", F.coalesce("asked", F.lit(False)).alias("asked"))
+
+
+def url_file_roundtrip(spark, sf_dir):
+    """URLs written as a list, and read back."""
+    path = scratch(spark, "urls")
+    files.write_urls(read(spark, sf_dir, "pages").select(F.concat(F.lit("  "), "url", F.lit(" "))), path)
+    out = settled(files.read_urls(spark, path), "urls-found")
+    remove(spark, path)
+    return out
+
+
+def saved_results_sorted(spark, sf_dir):
+    """Results saved as JSON lines, some cut short and some beyond their checks: what goes on, and what is kept aside for which reason."""
+    k = F.pmod("doc_id", F.lit(10))
+    saved = results(spark, sf_dir).withColumns({"confidence": F.when(k == 5, 1.5).otherwise(F.col("confidence")), "scrape_timestamp": F.when(k != 7, F.col("scrape_timestamp"))})
+    line = F.to_json(F.struct(*(c for c in saved.columns if c not in ("doc_id", "content"))))
+    path = scratch(spark, "saved")
+    saved.withColumn("line", line).select(F.when(k == 3, F.expr("left(line, length(line) - 9)")).otherwise(F.col("line")).alias("value")).write.text(path)
+    done = files.sort_results(spark, path, multi_line=False)
+    found = done.good.select(F.lit("").alias("reason")).unionAll(done.bad.select("reason"))
+    out = settled(found.groupBy("reason").agg(F.count("*").alias("n")), "saved-found")
+    remove(spark, path)
+    discard(done.good, done.bad)
+    return out
+
+
+def decoded_bodies(spark, sf_dir):
+    """Texts as bytes of four charsets, three of them declared, and what comes back."""
+    ship(spark)
+    k = F.when(F.col("text").rlike("^[\\x00-\\xff]*$"), F.pmod("doc_id", F.lit(4))).otherwise(F.pmod("doc_id", F.lit(2)))
+    d = read(spark, sf_dir, "documents").withColumn("k", k)
+    body = F.when(F.col("k") == 0, F.encode("text", "UTF-8")).when(F.col("k") == 1, F.encode("text", "UTF-16")).when(F.col("k") == 2, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    charset = F.when(F.col("k") == 1, "UTF-16").when(F.col("k") == 2, "latin-1").when(F.col("k") == 3, "no-such-charset")
+    return d.select("doc_id", F.md5(fetch.decode_body(body, charset).cast("binary")).alias("text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -613,6 +725,8 @@ QUERIES = {
         page_title, page_main_content, page_blocks, strip_stats, validation_errors, validation_flags, repair_partition,
         chunks, chunk_ids, chunk_totals, concat_invariant, chunk_metadata,
         knn_topk, knn_filtered, knn_multi_query, knn_indexed, knn_indexed_recall, get_all, count_by_url, replace_by_url, delete_scoped, collection_names,
-        live_hit_miss, render_evidence, citations_top3, answers_of_every_shape, answer_events, extraction_cleanup, quarantined_chunks, text_previews, ingest_reports, ingest_outcomes, ingest_events, live_events, ingest_pages_end_to_end, corpus_of_pages,
+        live_hit_miss, render_evidence, citations_top3, answers_of_every_shape, answer_events, extraction_cleanup, quarantined_chunks, text_previews, ingest_reports, ingest_outcomes, ingest_events, live_events,
+        corpus_lifecycle, event_store_search, cascade_deleted, batch_pass, completed_states, url_file_roundtrip, saved_results_sorted, decoded_bodies,
+        ingest_pages_end_to_end, corpus_of_pages,
     )
 }

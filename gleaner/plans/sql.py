@@ -293,4 +293,23 @@ SELECT url, ['stored', 'blocked', 'fetch_failed', 'stored', 'flagged', 'no_conte
   ('chunk_complete', 'ok', [0, 3, 7]), ('ingest_lifecycle', 'fetch_done', [1, 2, 5]), ('ingest_lifecycle', 'validate_done', [4, 6]), ('ingest_lifecycle', 'store_start', [0, 3, 7]), ('ingest_lifecycle', 'completed', [0, 3, 7])),
 one AS (SELECT event_type, outcome, unnest(ks) AS k FROM said)
 SELECT event_type, outcome, count(*) AS n, count(DISTINCT url) AS urls FROM one JOIN mixed USING (k) GROUP BY ALL""",
+    "corpus_lifecycle": f"""WITH {CHUNKS}, p AS (
+  SELECT pieces.source_url, pieces.content, coalesce(lang = 'fr', FALSE) AS french FROM pieces JOIN (SELECT {URL} AS source_url, lang, doc_id, source FROM documents) d USING (source_url)
+  WHERE NOT (doc_id < 20 AND coalesce(source, '') = 'src' || doc_id))
+SELECT source_url, count(*) AS chunks, CAST(sum(length(content) + CAST(french AS INTEGER)) AS BIGINT) AS chars FROM p GROUP BY source_url""",
+    "event_store_search": """WITH b AS (SELECT url, '{"size":' || length(html) || '}' AS details_json, CASE WHEN contains(url, '.com/') THEN 0 ELSE 1 END AS batch FROM pages),
+n AS (SELECT *, row_number() OVER (ORDER BY batch, url, details_json) AS id FROM b)
+SELECT id, url, details_json FROM n WHERE contains(lower(url), '/en/') AND url <> (SELECT min(url) FROM pages) ORDER BY id DESC LIMIT 100""",
+    "cascade_deleted": """WITH f AS (SELECT min(url) AS url FROM pages), n AS (SELECT count(*) AS total, count(*) FILTER (url = (SELECT url FROM f)) AS gone FROM pages)
+SELECT 'frontier' AS place, total - gone AS n, gone AS deleted FROM n UNION ALL SELECT 'events', 2 * (total - gone), 2 * gone FROM n UNION ALL SELECT 'corpus', total - gone, gone FROM n""",
+    "batch_pass": f"""WITH RECURSIVE {SECTIONS}, {SEEN}, good AS (SELECT url || chr(0) || i AS source_url, content FROM sec),
+{STEPS}, n AS (SELECT split_part(source_url, chr(0), 1) AS url, count(*) AS n FROM pieces GROUP BY 1),
+e AS (SELECT url, coalesce(length(html), 0) > 0 AND NOT {EMPTY.format(t=100)} AS fine FROM seen)
+SELECT url, CASE WHEN fine THEN 'done' ELSE 'retrying' END AS state, 1 AS attempts, CASE WHEN NOT fine THEN 'attempts=1/2' END AS reason, CASE WHEN fine THEN n ELSE 0 END AS chunks,
+  CASE WHEN NOT fine THEN CAST(epoch(TIMESTAMP '{NOW}') + 5 AS BIGINT) END AS due FROM e LEFT JOIN n USING (url)""",
+    "completed_states": f"""WITH {FRONTIER}, m AS (SELECT min(url) AS first FROM pages)
+SELECT url, CASE WHEN url = first THEN 'blocked' ELSE state END AS state, CASE WHEN url = first THEN 'by hand' END AS reason, url = first AS asked FROM frontier, m""",
+    "url_file_roundtrip": "SELECT url FROM pages",
+    "saved_results_sorted": """SELECT CASE doc_id % 10 WHEN 3 THEN 'unreadable record' WHEN 5 THEN 'confidence_out_of_range' WHEN 7 THEN 'scrape_timestamp_missing' ELSE '' END AS reason, count(*) AS n FROM documents GROUP BY 1""",
+    "decoded_bodies": "SELECT doc_id, md5(text) AS text FROM documents",
 }

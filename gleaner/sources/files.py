@@ -71,10 +71,13 @@ def quarantine(rows: DataFrame, violations: Callable[[DataFrame], DataFrame], un
     return Sorted(held.filter("reason is null").drop(*spare), held.filter("reason is not null").drop("violations"), {k: int(v) for k, v in seen.get.items()})
 
 
-def sort_results(spark: SparkSession, path: str) -> Sorted:
-    """Saved extraction results, one bad record no longer ending the read: see :func:`quarantine`; bad rows keep their text as ``record``."""
+def sort_results(spark: SparkSession, path: str, multi_line: bool = True) -> Sorted:
+    """Saved extraction results, one bad record no longer ending the read: see :func:`quarantine`; bad rows keep their text as ``record``.
+
+    A file is one record, or, without ``multi_line``, a line is.
+    """
     fields = spark.createDataFrame([], f"{EXTRACTION}, record string").schema
-    read = spark.read.schema(fields).options(mode="PERMISSIVE", columnNameOfCorruptRecord="record", multiLine=True).json(path)
+    read = spark.read.schema(fields).options(mode="PERMISSIVE", columnNameOfCorruptRecord="record", multiLine=multi_line).json(path)
     return quarantine(read, extraction_violations, "record")
 
 
