@@ -11,8 +11,10 @@ to ``width``), ``positions`` (16-bit, restarting at 0 with every segment) and
 ``cu_seqlens`` (0, then the end of every segment).
 
 Defined results: null and empty texts are one segment of the end id alone;
-repeated rows and null ids are packed like others; an empty table gives no
-sequence.
+repeated rows and null ids are packed like others; pieces of one length are
+placed in the order they are read, and of sequences with equal room the one that
+got it last is filled; long texts are read whole; columns of other names are no
+input; an empty table gives no sequence.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ fragment.
 
 Defined results: a null URL, or one without ``://``, has an empty host and an
 empty path, fits no rule and takes the default verdict.  Repeated rows are
-judged each.  Other columns of the input are ignored.
+judged each; of rules of one length that fit the same URL the first one given
+counts; URLs are read whole, however long; an empty table gives no row.  Other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
