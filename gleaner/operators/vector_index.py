@@ -46,8 +46,10 @@ MAX_LISTS = 16_384
 PART = 4
 CODES = 256
 ROUNDS = 12
-#: Rows of a list that one task scores, and bytes of a file about that a list is written in.
+#: Rows of a list that one task scores about, rows that are worth a task of their own, and scored rows that are handed on at a time.
 SLICE_ROWS = 200_000
+SHELF_ROWS = 5_000
+HANDED = 100_000
 #: Rows that a search compares exactly, at least and a wanted neighbour.
 REFINE_LEAST, REFINE_EACH = 200, 20
 
@@ -105,10 +107,10 @@ class Model:
         rest = v - self.centroids[lists]
         return lists, np.stack([_nearest(rest[:, c], p)[:, 0] for c, p in zip(self.cuts(), self.parts, strict=True)], axis=1).astype(np.uint8)
 
-    def rough(self, query: np.ndarray, at: int, codes: np.ndarray) -> np.ndarray:
-        """Rough products of the query and rows of list ``at``: larger is nearer."""
+    def rough(self, query: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Rough products of the query and rows of the lists ``at``: larger is nearer."""
         tables = [p @ query[c] for c, p in zip(self.cuts(), self.parts, strict=True)]
-        return query @ self.centroids[at] + sum(t[codes[:, j]] for j, t in enumerate(tables))
+        return (self.centroids @ query)[at] + sum(t[codes[:, j]] for j, t in enumerate(tables))
 
 
 def train(vectors: DataFrame, lists: int | None = None, rows: int | None = None, seed: int = 7) -> Model:
@@ -264,38 +266,64 @@ class VectorIndex:
         opened_rows = rows.filter(F.col("list").isin(wanted))
         opened_rows = opened_rows if where is None else opened_rows.filter(where)
         pruned = opened_rows if only is None else only(opened_rows)
-        sizes = opened_rows.groupBy("list").agg(F.ceil(F.count("*") / SLICE_ROWS).cast("int").alias("slices"))  # reads no column
-        sizes = settled(sizes, "index-sizes")  # one row a list, MAX_LISTS at most
-        slices = pruned.select("list", "id", "code").join(F.broadcast(sizes), "list")
+        sizes = opened_rows.groupBy("list").agg(F.count("*").alias("n"))  # reads no column
+        sizes = settled(sizes.withColumn("slices", F.ceil(F.col("n") / SLICE_ROWS).cast("int")), "index-sizes")  # one row a list, MAX_LISTS at most
+        total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        # Slices of lists are dealt to shelves, one a task: as many as keep a shelf small, and as fill the tasks.
+        width = int(self.spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        shelves = max(1, -(-total // SLICE_ROWS), min(width, total // SHELF_ROWS))
+        shelf = F.pmod(F.xxhash64("list", "slice"), F.lit(shelves)).cast("int").alias("shelf")
+        sliced = pruned.select("list", "id", "code").join(F.broadcast(sizes), "list").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
+        spread = visits.join(F.broadcast(sizes), "list").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        lists_of = spread.select(shelf, "query_id", "q", "list").groupBy("shelf", "query_id").agg(F.any_value("q").alias("q"), F.array_sort(F.collect_set("list")).alias("lists"))  # MAX_LISTS at most
         none = F.lit(None)
-        waiting = slices.select("list", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int").alias("slice"), F.lit(0).alias("turn"), "id", "code", none.cast(query_type).alias("query_id"), none.cast("array<double>").alias("q"))
-        coming = visits.join(F.broadcast(sizes), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(1).alias("turn"), none.cast(id_type).alias("id"), none.cast("binary").alias("code"), "query_id", "q")
+        waiting = sliced.select(shelf, F.lit(0).alias("turn"), "list", "id", "code", none.cast(query_type).alias("query_id"), none.cast("array<double>").alias("q"), none.cast("array<int>").alias("lists"))
+        coming = lists_of.select("shelf", F.lit(1).alias("turn"), none.cast("int").alias("list"), none.cast(id_type).alias("id"), none.cast("binary").alias("code"), "query_id", "q", "lists")
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            key, ids, codes = None, [], []
+            key, lists, ids, codes, ready, out, size = None, [], [], [], False, [], 0
             for batch in batches:
-                at, turn = list(zip(batch.column("list").to_pylist(), batch.column("slice").to_pylist(), strict=True)), batch.column("turn").to_pylist()
-                edges = [0, *(i for i in range(1, batch.num_rows) if at[i] != at[i - 1] or turn[i] != turn[i - 1]), batch.num_rows]
+                at, turn = batch.column("shelf").to_numpy(), batch.column("turn").to_numpy()
+                edges = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (turn[1:] != turn[:-1])) + 1).tolist(), batch.num_rows]
                 for a, b in zip(edges, edges[1:], strict=False):
                     if a == b:
                         continue
                     if at[a] != key:
-                        key, ids, codes = at[a], [], []
+                        key, lists, ids, codes, ready = at[a], [], [], [], False
                     part = batch.slice(a, b - a)
-                    if not turn[a]:  # the slice waits: ids and codes only, SLICE_ROWS at most about
+                    if not turn[a]:  # the shelf waits: numbers of lists, ids and codes only
+                        lists.append(part.column("list").to_numpy())
                         ids.append(part.column("id"))
                         codes.append(np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(b - a, -1))
                         continue
                     if not ids:
                         continue
-                    if len(codes) > 1:
-                        ids, codes = [pa.concat_arrays(ids)], [np.concatenate(codes)]
-                    for query, q in zip(part.column("query_id"), part.column("q"), strict=True):
-                        near = model.rough(q.values.to_numpy(), key[0], codes[0])
+                    if not ready:  # once a shelf: sorted by list
+                        ready = True
+                        flat = np.concatenate(lists)
+                        order = np.argsort(flat, kind="stable")
+                        lists, ids, codes = [flat[order]], [pa.concat_arrays(ids).take(pa.array(order))], [np.concatenate(codes)[order]]
+                    for query, q, own in zip(part.column("query_id"), part.column("q"), part.column("lists"), strict=True):
+                        names = own.values.to_numpy()
+                        lo, hi = (np.searchsorted(lists[0], names, side) for side in ("left", "right"))
+                        rows_ = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+                        near = model.rough(q.values.to_numpy(), lists[0][rows_], codes[0][rows_])
                         best = np.argpartition(-near, refine - 1)[:refine] if len(near) > refine else np.arange(len(near))
-                        yield pa.RecordBatch.from_arrays([pa.array([query.as_py()] * len(best), batch.schema.field("query_id").type), ids[0].take(pa.array(best)), pa.array(np.full(len(best), key[0], np.int32)), pa.array(near[best])], names=["query_id", "id", "list", "near"])
-
-        met = waiting.unionByName(coming).repartition("list", "slice").sortWithinPartitions("list", "slice", "turn")
+                        out.append((query.as_py(), rows_[best], near[best]))
+                        size += len(best)
+                        if size >= HANDED:
+                            yield handed(out, ids[0], lists[0], batch.schema.field("query_id").type)
+                            out, size = [], 0
+                    if out:  # before another shelf comes
+                        yield handed(out, ids[0], lists[0], batch.schema.field("query_id").type)
+                        out, size = [], 0
+
+        def handed(out: list, ids: pa.Array, lists: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+            rows_ = np.concatenate([r for _, r, _ in out])
+            names = pa.array([q for q, _, _ in out], kind).take(pa.array(np.repeat(np.arange(len(out)), [len(r) for _, r, _ in out])))
+            return pa.RecordBatch.from_arrays([names, ids.take(pa.array(rows_)), pa.array(lists[rows_].astype(np.int32)), pa.array(np.concatenate([n for _, _, n in out]))], names=["query_id", "id", "list", "near"])
+
+        met = waiting.unionByName(coming).repartition(shelves, "shelf").sortWithinPartitions("shelf", "turn")
         rough = met.mapInArrow(score, f"query_id {query_type}, id {id_type}, list int, near double")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "id"))  # bounded before the shuffle
         few = rough.withColumn("r", rank).filter(F.col("r") <= refine).select("query_id", "id", "list")
