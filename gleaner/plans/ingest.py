@@ -18,7 +18,7 @@ from ..config import CorpusSettings, ExtractorSettings, ObstaclePolicy, RetrySet
 from ..functions.html import content_type
 from ..operators import chunk, corpus as corpora, embed, events, extract, fetch, frontier, strip, validate
 from ..schemas import SECTION
-from ..session import settled
+from ..session import settled, temporary
 from ..sources.files import pdf_text
 
 #: Why a fetch without a body ends the chain; further down the texts of reasons are fixed as well.
@@ -95,7 +95,9 @@ def ingest(
     ok = F.col("outcome") == "success"
     inputs = ready.filter("usable").select(F.col("url").alias("source_url"), now.alias("scrape_timestamp"), "page_title", F.col("kind").alias("content_type"), F.coalesce("content", F.lit("")).alias("content"), "content_failure")
     results = extract.extract(inputs, extractor, settings.parse_retry)
-    checked = settled(validate.validate(results, extractor, settings.min_confidence, settings.repair_budget, not write_to_corpus, settings.parse_retry), "validated")
+    with temporary():  # what each round of validation wrote goes once its outcome is written, without the bodies
+        validated = validate.validate(results, extractor, settings.min_confidence, settings.repair_budget, not write_to_corpus, settings.parse_retry)
+        checked = settled(validated.drop("content", "content_failure"), "validated", outlive=True)
 
     early = ready.filter("not usable").select(
         "url",

@@ -97,15 +97,15 @@ def temporary() -> Iterator[None]:
             remove(spark, path)
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
+def settled(df: DataFrame, name: str, outlive: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back.
 
     Costly steps with several readers run once, lineage does not grow from pass
     to pass, and a lost executor costs a re-read.  See :func:`discard` and
-    :func:`temporary`.
+    :func:`temporary`, whose innermost block the table can be made to outlive.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
+    path = scratch(spark, name, outlive)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled = path
@@ -131,9 +131,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+def scratch(spark: SparkSession, name: str, outlive: bool = False) -> str:
     """A path for a new folder of intermediate data in the shared folder."""
     path = f"{shared_dir(spark)}/gleaner/{name}-{uuid.uuid4().hex}"
-    for held in _open[-1:]:
+    for held in _open[-2:-1] if outlive else _open[-1:]:
         held.append((spark, path))
     return path
