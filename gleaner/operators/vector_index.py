@@ -50,6 +50,8 @@ ROUNDS = 12
 SLICE_ROWS = 200_000
 SHELF_ROWS = 5_000
 HANDED = 100_000
+#: Rows that are measured against all centroids at a time, so that no batch holds more than this many rows of distances.
+MEASURED = 64
 #: Rows that a search compares exactly, at least and a wanted neighbour.
 REFINE_LEAST, REFINE_EACH = 200, 20
 
@@ -256,13 +258,14 @@ class VectorIndex:
 
         def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                if len(pdf):
-                    near = _nearest(np.stack(pdf["q"].to_numpy()), model.centroids, probes)
-                    yield pd.DataFrame({"query_id": pdf["query_id"].repeat(near.shape[1]).to_numpy(), "q": pdf["q"].repeat(near.shape[1]).to_numpy(), "list": near.ravel().astype(np.int32)})
+                for at in range(0, len(pdf), MEASURED):
+                    some = pdf.iloc[at : at + MEASURED]
+                    near = _nearest(np.stack(some["q"].to_numpy()), model.centroids, probes)
+                    yield some.assign(opens=list(np.sort(near, axis=1).astype(np.int32)))
 
         asked = queries.select("query_id", unit(F.col("query_vector")).alias("q")).filter(F.size("q") == model.width)
-        visits = settled(asked.mapInPandas(opened, f"query_id {query_type}, q array<double>, list int"), "index-visits")
-        wanted = [r[0] for r in visits.select("list").distinct().collect()]  # MAX_LISTS at most
+        visits = settled(asked.mapInPandas(opened, f"query_id {query_type}, q array<double>, opens array<int>"), "index-visits")  # one row a query
+        wanted = [r[0] for r in visits.select(F.explode("opens").alias("list")).distinct().collect()]  # MAX_LISTS at most
         opened_rows = rows.filter(F.col("list").isin(wanted))
         opened_rows = opened_rows if where is None else opened_rows.filter(where)
         pruned = opened_rows if only is None else only(opened_rows)
@@ -274,8 +277,22 @@ class VectorIndex:
         shelves = max(1, -(-total // SLICE_ROWS), min(width, total // SHELF_ROWS))
         shelf = F.pmod(F.xxhash64("list", "slice"), F.lit(shelves)).cast("int").alias("shelf")
         sliced = pruned.select("list", "id", "code").join(F.broadcast(sizes), "list").withColumn("slice", F.pmod(F.xxhash64("id"), F.col("slices")).cast("int"))
-        spread = visits.join(F.broadcast(sizes), "list").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-        lists_of = spread.select(shelf, "query_id", "q", "list").groupBy("shelf", "query_id").agg(F.any_value("q").alias("q"), F.array_sort(F.collect_set("list")).alias("lists"))  # MAX_LISTS at most
+        # Which lists each shelf has a slice of: a pair a slice, MAX_LISTS and one for each SLICE_ROWS rows at most.
+        pairs = sizes.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).select(shelf, "list").distinct().collect()
+        lists_on: dict[int, list[int]] = {}
+        for pair in pairs:
+            lists_on.setdefault(pair["shelf"], []).append(pair["list"])
+        on_shelf = {number: np.array(sorted(held), np.int32) for number, held in lists_on.items()}
+
+        def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for query, q, opens in zip(pdf["query_id"], pdf["q"], pdf["opens"], strict=True):
+                    own = [(number, np.intersect1d(opens, held, assume_unique=True)) for number, held in on_shelf.items()]
+                    own = [(number, both) for number, both in own if len(both)]
+                    if own:
+                        yield pd.DataFrame({"shelf": np.array([number for number, _ in own], np.int32), "query_id": [query] * len(own), "q": [q] * len(own), "lists": [both for _, both in own]})
+
+        lists_of = visits.mapInPandas(dealt, f"shelf int, query_id {query_type}, q array<double>, lists array<int>")
         none = F.lit(None)
         waiting = sliced.select(shelf, F.lit(0).alias("turn"), "list", "id", "code", none.cast(query_type).alias("query_id"), none.cast("array<double>").alias("q"), none.cast("array<int>").alias("lists"))
         coming = lists_of.select("shelf", F.lit(1).alias("turn"), none.cast("int").alias("list"), none.cast(id_type).alias("id"), none.cast("binary").alias("code"), "query_id", "q", "lists")

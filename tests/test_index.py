@@ -95,3 +95,17 @@ def test_the_index_follows_a_corpus(spark, tmp_path):
     assert not {"https://new/1"} & same() and "https://new/1" in same(3) and "https://0/0" in same(2)
     assert c.compact() == 5 and not {"https://new/1"} & same()
     assert c.vacuum() > 0 and same()
+
+
+def test_a_query_waits_once_however_many_lists_it_opens(table, index, monkeypatch):
+    sizes, settled = {}, vector_index.settled
+
+    def counting(df, name, *args):
+        out = settled(df, name, *args)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(vector_index, "settled", counting)
+    queries = asked(table).filter("query_id < 5000")
+    index.search(queries, 5, probes=40)
+    assert sizes["index-visits"] == queries.count()
