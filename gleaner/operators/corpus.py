@@ -283,7 +283,7 @@ class Corpus(Versions):
         return counts
 
     def _layered(self, held: Manifest, new: DataFrame | None, gone: DataFrame, number: int) -> Manifest:
-        """``held`` with a layer of the URLs ``gone`` in buckets that have older rows, and one of the rows ``new``."""
+        """``held`` with a layer of the URLs ``gone`` in buckets that have older rows, and one of the rows ``new`` (settled, with ``url_bucket``)."""
         mark = f"v={number}-{uuid.uuid4().hex}"
         layers: dict[str, list[Layer]] = {b: list(own) for b, own in held.items()}
         urls = settled(gone.select("source_url").distinct().withColumn("url_bucket", self._bucket(held, F.col("source_url"))).filter(F.col("url_bucket").isin(sorted(held))), "gone")
@@ -291,10 +291,8 @@ class Corpus(Versions):
             layers[b].append(Layer(f"gone/{mark}", n, True))
         discard(urls)
         if new is not None:
-            placed = settled(new.withColumn("url_bucket", self._bucket(held, F.col("source_url"))), "layer")
-            for b, n in self._written(placed, mark, placed.count()).items():
+            for b, n in self._written(new, mark, new.count()).items():
                 layers.setdefault(b, []).append(Layer(mark, n))
-            discard(placed)
             if held.index:
                 self._indexed(held.index, mark, [b for b, own in layers.items() if Layer(mark, own[-1].rows) == own[-1]])
         return Manifest(layers, held.index)
@@ -302,14 +300,14 @@ class Corpus(Versions):
     def store(self, chunks: DataFrame) -> int:
         """Replace all chunks of the URLs in ``chunks``, which is evaluated once; returns how many were stored. None is an error."""
         columns = [f.name for f in self.spark.createDataFrame([], CORPUS).schema]
-        new = settled(chunks.select(*columns), "stored")
+        version = self.version()
+        held = Manifest({}) if version is None else self.manifest(version)
+        new = settled(chunks.select(*columns).withColumn("url_bucket", self._bucket(held, F.col("source_url"))), "stored")
         stored, bare = new.agg(F.count("*"), F.count(F.when(F.col("embedding").isNull(), 1))).first()
         if not stored:
             raise ValueError("no chunks to store")
         if bare:
             raise ValueError("chunk and embedding counts differ")
-        version = self.version()
-        held = Manifest({}) if version is None else self.manifest(version)
         number = (version or 0) + 1
         after = self._layered(held, new, new, number)
         discard(new)
@@ -348,14 +346,13 @@ class Corpus(Versions):
         chosen = {b: x for b, x in held.items() if len(x) > layers or sum(y.rows for y in x if not y.gone) > BUCKET_ROWS}
         if not chosen:
             return None
-        live = settled(self._rows(Manifest(chosen)).drop("v"), "compacted")
+        live = self._rows(Manifest(chosen)).drop("v")  # of folders that never change, so counting reads URLs only, and the rows are written once
         counts = {r["url_bucket"]: r["n"] for r in live.groupBy("url_bucket").agg(F.count("*").alias("n")).collect()}
         many, splits = {b: n for b, n in counts.items() if n > BUCKET_ROWS}, {}
         if many:  # one URL is never split, so count what the halves would be no further than the URLs allow
             urls = live.filter(F.col("url_bucket").isin(list(many))).groupBy("url_bucket").agg(F.approx_count_distinct("source_url").alias("u")).collect()
             splits = {r["url_bucket"]: 1 << min(math.ceil(math.log2(many[r["url_bucket"]] / BUCKET_ROWS)), max(0, int(r["u"]).bit_length() - 1)) for r in urls}
         if all(len(x) == 1 and splits.get(b, 1) == 1 for b, x in chosen.items()):
-            discard(live)
             return None
         place = F.col("url_bucket")
         for times in sorted({t for t in splits.values() if t > 1}):
@@ -364,7 +361,6 @@ class Corpus(Versions):
                 place = F.when(F.col("url_bucket") == b, F.concat(url_bucket(F.col("source_url"), modulus).cast("string"), F.lit(f".{modulus}"))).otherwise(place)
         mark = f"v={version + 1}-{uuid.uuid4().hex}"
         written = self._written(live.withColumn("url_bucket", place), mark, sum(counts.values()))
-        discard(live)
         after = Manifest({b: x for b, x in held.items() if b not in chosen} | {b: [Layer(mark, n)] for b, n in written.items()}, held.index)
         if held.index:
             self._indexed(held.index, mark, list(written))

@@ -265,3 +265,14 @@ def test_delete_everywhere(spark):
     assert (left.frontier.count(), left.events.count(), left.corpus.count(), left.deleted) == (1, 1, 0, {"frontier": 1, "events": 1, "corpus": 3})
     assert cascade.clear(e)[1] == 2 and frontier.reset(f).count() == 0
     assert events.delete_url(e, "https://a/").count() == 1
+
+
+def test_rows_are_set_aside_once_a_store_and_not_at_all_to_compact(spark, tmp_path, monkeypatch):
+    names, settled = [], corpus.settled
+    monkeypatch.setattr(corpus, "settled", lambda df, name, *args: names.append(name) or settled(df, name, *args))
+    store = corpus.Corpus(spark, str(tmp_path), "once", 2)
+    for text in ("old", "new"):
+        store.store(spark.createDataFrame([chunk_row(f"https://h{i}.example.com/", 1, [1, 0], content=text) for i in range(6)], CORPUS))
+    store.compact(1)
+    assert sorted(r["content"] for r in store.read().collect()) == ["new"] * 6
+    assert [n for n in names if n != "gone"] == ["stored", "stored"]
