@@ -2,20 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUT = "key string, state string, attempts int"
-STATE = "state string, attempts int"
+from ..functions.aggregates import smallest
+from ..schemas import TERMINAL_STATES
 
 
 def advance(state: str, attempts: int, status: str, max_attempts: int) -> tuple[str, int]:
     """One attempt; a terminal state stays what it is."""
-    if state in ("done", "blocked", "flagged", "failed"):
+    if state in TERMINAL_STATES:
         return state, attempts
     attempts += 1
     if status == "fetch_failed":
@@ -26,21 +22,22 @@ def advance(state: str, attempts: int, status: str, max_attempts: int) -> tuple[
 def frontier_stream(attempts: DataFrame, max_attempts: int = 2) -> DataFrame:
     """States of the keys an incoming batch of attempts (key, id, status) touches.
 
-    State has no timeout: a forgotten key would be processed again.
+    Only the first attempts of a key can count, so ``max_attempts`` of them are
+    its state, and :func:`advance` over them is what comes out.  A batch comes
+    after those before it whatever its ids are, by the time that Spark notes
+    for it.  State has no timeout: a forgotten key would be processed again.
     """
 
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now, tries = state.get if state.exists else ("pending", 0)
-        # Only the first attempts can count, so at most ``max_attempts`` rows of a batch are kept.
-        first: list[tuple[int, str]] = []
-        for pdf in frames:
-            first = sorted(first + list(zip(pdf["id"].tolist(), pdf["status"].tolist(), strict=True)))[:max_attempts]
-        for _, status in first:
-            now, tries = advance(now, tries, status, max_attempts)
-        state.update((now, tries))
-        yield pd.DataFrame({"key": [key[0]], "state": [now], "attempts": [tries]})
-
-    return attempts.groupBy("key").applyInPandasWithState(step, OUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    def step(held: Column, attempt: Column) -> Column:
+        state, tries, status = held["state"], held["attempts"] + 1, attempt["status"]
+        failed = F.when(tries >= max_attempts, "failed").otherwise("retrying")
+        now = F.when(status == "fetch_failed", failed).when(status == "stored", "done").when(status == "no_content", "failed").otherwise(status)
+        return F.when(state.isin(*TERMINAL_STATES), held).otherwise(F.struct(now.alias("state"), tries.alias("attempts")))
+
+    timed = attempts.select("key", F.struct(F.current_timestamp().alias("batch"), "id", "status").alias("attempt"))
+    first = timed.groupBy("key").agg(smallest(F.col("attempt"), max_attempts).alias("first"))
+    start = F.struct(F.lit("pending").alias("state"), F.lit(0).alias("attempts"))
+    return first.select("key", F.aggregate("first", start, step).alias("s")).select("key", "s.state", "s.attempts")
 
 
 def live_tail(log: DataFrame, url: str | None = None) -> DataFrame:

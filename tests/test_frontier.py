@@ -96,6 +96,32 @@ def test_stream_is_the_fold(spark, tmp_path):
     assert got == want
 
 
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_stream_takes_batches_as_they_arrive_and_runs_no_python(spark, tmp_path, most):
+    """Ids may go back from batch to batch; attempts after a final one change nothing; a key without a name is one key."""
+    log = [(None if key == "k0" else key, i, status) for key, i, status in random_log(most, keys=12, n=150)]
+    random.Random(5).shuffle(log)
+    want: dict = {}
+    for k in range(3):
+        part = log[50 * k : 50 * k + 50]
+        spark.createDataFrame(part, "key string, id long, status string").coalesce(1).write.parquet(str(tmp_path / "in" / f"n={k}"))
+        for key, _, status in sorted(part, key=lambda r: r[1]):
+            want[key] = stream.advance(*want.get(key, ("pending", 0)), status, most)
+    got, touched = {}, []
+
+    def keep(batch, _):
+        rows = batch.collect()
+        got.update({r["key"]: (r["state"], r["attempts"]) for r in rows})
+        touched.append({r["key"] for r in rows})
+
+    source = spark.readStream.schema("key string, id long, status string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "n=*"))
+    query = stream.frontier_stream(source, most).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    plan = query._jsq.explainInternal(False)
+    assert got == want and touched == [{r[0] for r in log[50 * k : 50 * k + 50]} for k in range(3)]
+    assert "StateStoreSave" in plan and "Pandas" not in plan
+
+
 def test_event_rates_stream(spark, tmp_path):
     spark.createDataFrame([(i, T + dt.timedelta(minutes=i), "x", "u", None, None, None) for i in range(10)], EVENTS).write.parquet(str(tmp_path / "log"))
     source = spark.readStream.schema(EVENTS).parquet(str(tmp_path / "log"))
