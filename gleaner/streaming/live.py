@@ -2,53 +2,31 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
+from ..functions.aggregates import largest
+from ..schemas import EVENTS
 from ..session import exists, remove, scratch
 from .deadlines import PROVIDER
 
 NEWEST = 50
-EVENT = "id long, ts timestamp, event_type string, url string, outcome string, reason string, details_json string"
-
-
-class Newest(StatefulProcessor):
-    """The newest ``n`` events of one key; state never grows beyond them."""
-
-    def __init__(self, n: int, key: str):
-        self.n, self.key = n, key
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", EVENT)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in EVENT.split(", ")]
-        best = pd.DataFrame([tuple(r) for r in self.held.get()] if self.held.exists() else [], columns=names)
-        for pdf in rows:
-            both = pd.concat([best, pdf[names]]) if len(best) else pdf[names]
-            best = both.sort_values(["ts", "id"], ascending=False, kind="stable").head(self.n)
-        best = best.sort_values(["ts", "id"], kind="stable")
-        plain = best.astype(object).where(best.notna(), None)
-        self.held.put([(int(r.id), pd.Timestamp(r.ts).to_pydatetime(), r.event_type, r.url, r.outcome, r.reason, r.details_json) for r in plain.itertuples(index=False)])
-        yield best.astype({"id": "int64", "ts": "datetime64[ns]"})
-
-    def close(self) -> None:
-        pass
 
 
 def newest(log: DataFrame, n: int = NEWEST) -> DataFrame:
     """For every URL that a batch of the log touches, its newest ``n`` events by (ts, id), oldest first.
 
     After each batch they are what :func:`gleaner.operators.events.for_url`
-    would say of the log so far.  Events without a URL are one key.
+    would say of the log so far.  Events without a URL are one key.  The state
+    of a key is these events, and never grows beyond them.
     """
-    keyed = log.select("id", "ts", "event_type", "url", "outcome", "reason", "details_json").withColumn("_key", F.coalesce("url", F.lit("")))
-    return keyed.groupBy("_key").transformWithStateInPandas(Newest(n, "_key"), EVENT, "Update", "None")
+    event = F.struct("ts", "id", "event_type", "url", "outcome", "reason", "details_json")
+    held = log.groupBy(F.coalesce("url", F.lit("")).alias("_key")).agg(largest(event, n).alias("held"))
+    columns = (c.split() for c in EVENTS.split(", "))
+    return held.select(F.explode("held").alias("e")).select(*(F.col(f"e.{name}").cast(kind).alias(name) for name, kind in columns))
 
 
 def unfinished(log: DataFrame, patience: str = "1 hour", late: str = "10 minutes", begin: str = "chunk_ingest_begin", complete: str = "chunk_ingest_complete") -> DataFrame:

@@ -4,10 +4,13 @@ import datetime as dt
 import random
 import time
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import events
+from gleaner.plans.queries import QUERIES
+from gleaner.plans.sql import SQL
 from gleaner.schemas import EVENTS
 from gleaner.streaming import deadlines, live
 
@@ -83,6 +86,38 @@ def test_newest_events_after_every_batch(spark, tmp_path):
         assert len(held[None]) == 7
 
 
+def test_newest_events_late_ones_too_and_without_python(spark, tmp_path):
+    """Old events in new batches, equal times, no URL or an empty one: as a sort of all that has come says, for the URLs of the batch."""
+    rng = random.Random(8)
+    log = [(i, T + dt.timedelta(seconds=rng.randrange(30)), rng.choice("xyz"), rng.choice(["u", "u", "v", "", None]), rng.choice(["ok", None]), rng.choice(["why", None]), rng.choice(["{}", None])) for i in range(150)]
+    rng.shuffle(log)
+    for k in range(3):
+        put(spark, log[50 * k : 50 * k + 50], EVENTS, tmp_path / "log")
+    got = []
+
+    def keep(batch, _):
+        got.append(sorted((tuple(r) for r in batch.collect()), key=lambda r: r[0]))
+
+    view = live.newest(spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log")), 4)
+    query = view.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    for k, rows in enumerate(got):
+        of = {u: sorted((r for r in log[: 50 * k + 50] if (r[3] or "") == u), key=lambda r: (r[1], r[0]))[-4:] for u in {r[3] or "" for r in log[50 * k : 50 * k + 50]}}
+        assert rows == sorted((r for held in of.values() for r in held), key=lambda r: r[0])
+    plan = query._jsq.explainInternal(False)
+    assert len(got) == 3 and "StateStoreSave" in plan and "Pandas" not in plan and "TransformWithState" not in plan
+
+
+def test_newest_events_of_no_user(spark, sf, tmp_path):
+    """Events without a user have no URL, and are three rows of the query as of its SQL."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * REPLACE (CASE WHEN user_id % 3 = 0 THEN NULL ELSE user_id END AS user_id) FROM '{sf}/events.parquet') TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = [tuple(r) for r in QUERIES["newest_streamed"](spark, str(tmp_path)).collect()]
+    want = con.execute(SQL["newest_streamed"]).fetchall()
+    assert sum(r[0] is None for r in want) == 3 and sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_unfinished_as_a_stream(spark, tmp_path, seed):
     rng = random.Random(seed)
